@@ -92,7 +92,7 @@ def _sample(runs: int):
                 size = np.diff(bounds)
                 doc = np.repeat(np.arange(hi - lo), size)
                 bar = np.minimum(2.0**64 * DEN / (NUM * np.maximum(size, 1)), 2.0**64 - 2048).astype(np.uint64)[doc]
-                cols = [b.column("doc_id").slice(lo, hi - lo), pa.array(set_ids(g, bounds).view(np.int64)), pa.array(size.astype(np.int64))]
+                cols = [b.column("doc_id").slice(lo, hi - lo), b.column("th").slice(lo, hi - lo), pa.array(set_ids(g, bounds).view(np.int64)), pa.array(size.astype(np.int64))]
                 for level in range(LEVELS):
                     kept_d, kept_t, kept_r = [], [], []
                     for r in range(runs):
@@ -106,10 +106,10 @@ def _sample(runs: int):
                     cut = pa.array(np.searchsorted(d[o], np.arange(hi - lo + 1)).astype(np.int32))
                     pairs = pa.StructArray.from_arrays([pa.array(r[o]), pa.array(t[o].view(np.int64))], names=["r", "t"])
                     cols.append(pa.ListArray.from_arrays(cut, pairs))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "s", "n", *(f"l{k}" for k in range(1, LEVELS + 1))])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "s", "n", *(f"l{k}" for k in range(1, LEVELS + 1))])
 
     levels = ", ".join(f"l{k} array<struct<r:int,t:long>>" for k in range(1, LEVELS + 1))
-    return run, f"doc_id long, s long, n long, {levels}"
+    return run, f"doc_id long, th long, s long, n long, {levels}"
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -262,10 +262,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("s"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links (other documents at the threshold or over it, copies too), n_shingles."""
+def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, th (hash of the text), root (of the class; null without words), class_id, n_links, n_shingles."""
     sample, schema = _sample(runs_for(recall))
-    slim = docs.select("doc_id", "text")
+    slim = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     signed = materialize(slim.mapInArrow(sample, schema), "jaccard-signatures")
     some = signed.where("n > 0")
     reps = materialize(some.groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), *(F.first(f"l{k}").alias(f"l{k}") for k in range(1, LEVELS + 1))), "jaccard-sets")
@@ -280,7 +280,27 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     root = components(compared.where("t is not null").select(F.col("s").alias("a"), F.col("t").alias("b")))
     node = reps.select("s", "rep", "m").join(root, "s", "left").withColumn("root", F.coalesce("root", "s"))
     lowest = node.groupBy("root").agg(F.min("rep").alias("class_id"))
-    node = materialize(node.join(lowest, "root").join(links, "s", "left").select("s", "class_id", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "jaccard-classes")
-    full = some.select("doc_id", "s", "n").join(maybe_broadcast(node), "s").select("doc_id", "class_id", "n_links", F.col("n").alias("n_shingles"))
-    alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_shingles"))
-    return full.unionByName(alone)
+    node = materialize(node.join(lowest, "root").join(links, "s", "left").select("s", "root", "class_id", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "jaccard-classes")
+    full = some.select("doc_id", "th", "s", "n").join(maybe_broadcast(node), "s").select("doc_id", "th", "root", "class_id", "n_links", F.col("n").alias("n_shingles"))
+    none = F.lit(0).cast("long")
+    return full.unionByName(signed.where("n = 0").select("doc_id", "th", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_shingles")))
+
+
+def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links (other documents at the threshold or over it, copies too), n_shingles."""
+    return classes(docs, recall).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+def keep_one_of_each_class(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """One document, with its columns, of each class: that of the lowest doc_id, of rows that repeat it the text with the
+    lowest hash. All documents without words stay."""
+    found = materialize(classes(docs, recall), "jaccard-found")
+    lead = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
+    keys = materialize(lead.unionByName(found.where("root is null").select("doc_id", "th").distinct()).select(F.col("doc_id").alias("lead_doc"), F.col("th").alias("lead_th")), "jaccard-kept")
+    here = F.col("doc_id").eqNullSafe(F.col("lead_doc")) & (F.col("text_th") == F.col("lead_th"))
+    kept = docs.withColumn("text_th", F.xxhash64(F.coalesce("text", F.lit("")))).join(maybe_broadcast(keys), here, "left_semi")
+    again = materialize(found.where("root is not null").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("lead_doc"), F.col("th").alias("lead_th")), "jaccard-repeated")
+    if not again.isEmpty():  # rows repeated whole
+        again = maybe_broadcast(again)
+        kept = kept.join(again, here, "left_anti").unionByName(kept.join(again, here, "left_semi").dropDuplicates(["doc_id", "text_th"]))
+    return kept.drop("text_th")

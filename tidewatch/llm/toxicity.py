@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_chunks
 from .textops import BYTE, Prefix, mix, words
@@ -251,21 +252,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityNet | None:
     return train([t for _, t in rows], [chosen[i] for i, _ in rows]) if rows else None
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
-    net = fit(docs, labels)
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(net)
+def _scored(docs: DataFrame, net: ToxicityNet | None) -> DataFrame:
+    """All columns of `docs` and the text's score as `toxicity_score`."""
+    model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
             for lo, hi, raw, off in text_chunks(b):
                 score = m.score_documents(raw, off) if m else np.zeros(hi - lo)
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns if True), pa.array(score)], names=[*b.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), pa.array(score)], names=[*b.schema.names, "toxicity_score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType())]))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    scored = _scored(docs.select("doc_id", "text"), fit(docs, labels))
+    score = F.col("toxicity_score")
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
 
-    from pyspark.sql import types as T
 
-    slim = docs.select("doc_id", "text")
-    scored = slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("score", T.DoubleType())]))
-    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with their columns, that are not predicted toxic."""
+    return _scored(docs, fit(docs, labels)).where(F.col("toxicity_score") < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
