@@ -6,7 +6,8 @@ shingles, each with probability 1 / (threshold * size), by a hash of the run and
 the same ones; a sampled shingle is a child bucket. Buckets of at most BUCKET sets are compared by brute force; larger
 ones are split again by another sample. A bucket that is still larger at the last level is compared whole as well, in
 tiles of two groups of about BUCKET sets. Runs are repeated until a pair at the threshold is found with probability
-RECALL. Every candidate pair is verified on the full sets, and counted in the first of the buckets it shares.
+RECALL: then it shares so many buckets (one for each run, on average) that pairs with fewer than 3 in common, 2 in tiles,
+are left out without losing recall that counts. Every candidate pair is verified on the full sets, and counted in the first of the buckets it shares.
 
 Pairs are never emitted: a bucket gives its members' link counts and a spanning forest of its links. Classes are the
 connected components of the forests, by alternating star contraction on tables in shared storage.
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, release, text_chunks
+from .common import materialize, release, text_chunks
 from .textops import Prefix, mix, ngrams, words
 
 WIDTH = 5
@@ -139,21 +140,62 @@ def _leaves(reps: DataFrame) -> DataFrame:
     return out
 
 
-def _tiles(leaves: DataFrame) -> DataFrame:
+_TILE = "s long, leaf long, g int, a int, b int"
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a tile (rows sorted by tile) that have a pair of their own in it: one whose sizes allow the threshold,
+    that shares enough leaves for a similar pair, and no earlier leaf than this."""
+    held: list[pa.RecordBatch] = []
+
+    def tile(t: pa.Table) -> np.ndarray:
+        n, leaf = t.column("n").to_numpy(), t.column("leaf")[0].as_py()
+        ok = (DEN * np.minimum.outer(n, n) >= NUM * np.maximum.outer(n, n)) & ~np.eye(len(n), dtype=bool)
+        if t.column("a")[0].as_py() != t.column("b")[0].as_py():
+            g = t.column("g").to_numpy()
+            ok &= g[:, None] != g[None, :]
+        if not ok.any():
+            return np.zeros(len(n), bool)
+        have = t.column("leaves").combine_chunks()
+        flat, owner = have.flatten().to_numpy(), np.repeat(np.arange(len(n)), np.diff(have.offsets.to_numpy()))
+        ok &= common_counts(flat, owner, len(n)) >= t.column("least")[0].as_py()
+        before = flat < leaf
+        return (ok & (common_counts(flat[before], owner[before], len(n)) == 0)).any(axis=1)
+
+    def settle(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        key = t.column("key").to_numpy()
+        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        ends = np.append(cut[1:], len(key))
+        done = len(cut) if last else len(cut) - 1
+        out = [np.flatnonzero(tile(t.slice(lo, hi - lo))) + lo for lo, hi in zip(cut[:done], ends[:done]) if hi - lo > 1]
+        if out and (k := np.concatenate(out)).size:
+            yield from t.select(["s", "leaf", "g", "a", "b"]).take(pa.array(k)).combine_chunks().to_batches()
+        held[:] = [] if last else t.slice(int(cut[-1])).to_batches()
+
+    for b in batches:
+        if b.num_rows:
+            yield from settle(pa.Table.from_batches([*held, b]), False)
+    if held:
+        yield from settle(pa.Table.from_batches(held), True)
+
+
+def _tiles(leaves: DataFrame, reps: DataFrame) -> DataFrame:
     """(s, all its leaves, tiles): what each set has to be sent to.
 
-    A leaf whose members all share an earlier leaf has no pair of its own and is left out.
+    Tiles are first looked through without the sets, by sizes and by the leaves that pairs have in common: similar sets
+    share far more of them than sets with one passage in common.
     """
-    own = leaves.groupBy("s").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
-    each = leaves.join(own, "s")
-    common = F.aggregate(F.slice("all", 2, BUCKET), F.col("all")[0], lambda a, x: F.array_intersect(a, x))
-    needed = each.where(f"c <= {BUCKET}").groupBy("leaf").agg(F.collect_list("leaves").alias("all")).where(F.array_min(common) == F.col("leaf")).select("leaf")
-    small = each.join(needed, "leaf").select("s", "leaves", "leaf", F.lit(1).alias("groups"))
-    large = each.where(f"c > {BUCKET}").select("s", "leaves", "leaf", F.ceil(F.col("c") / BUCKET).cast("int").alias("groups"))
-    g = F.pmod(F.xxhash64("s", "leaf"), F.col("groups")).cast("int")
-    dealt = small.unionByName(large).withColumn("g", g)
-    tiles = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda j: F.struct("leaf", F.col("g").alias("g"), F.least("g", j).alias("a"), F.greatest("g", j).alias("b")))
-    return dealt.groupBy("s").agg(F.first("leaves").alias("leaves"), F.flatten(F.collect_list(tiles)).alias("tiles"))
+    own = leaves.groupBy("s").agg(F.array_sort(F.collect_set("leaf")).alias("leaves")).join(reps.select("s", "n"), "s")
+    groups = F.when(F.col("c") > BUCKET, F.ceil(F.col("c") / BUCKET)).otherwise(1).cast("int")
+    dealt = leaves.join(own, "s").withColumn("groups", groups).withColumn("g", F.pmod(F.xxhash64("s", "leaf"), F.col("groups")).cast("int"))
+    j = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("j")
+    rows = dealt.select("s", "n", "leaves", "leaf", "g", F.when(F.col("groups") > 1, 2).otherwise(3).alias("least"), j)
+    rows = rows.select("s", "n", "leaves", "leaf", "g", "least", F.least("g", "j").alias("a"), F.greatest("g", "j").alias("b"))
+    rows = rows.withColumn("key", F.xxhash64("leaf", "a", "b"))
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    wanted = dealt.mapInArrow(_promising, _TILE)
+    tiles = wanted.groupBy("s").agg(F.collect_list(F.struct("leaf", "g", "a", "b")).alias("tiles"))
+    return tiles.join(own.select("s", "leaves"), "s")
 
 
 _ROWS = "key long, leaf long, side int, cross boolean, s long, m long, leaves array<long>, tokens binary"
@@ -268,11 +310,11 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     slim = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     signed = materialize(slim.mapInArrow(sample, schema), "jaccard-signatures")
     some = signed.where("n > 0")
-    reps = materialize(some.groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), *(F.first(f"l{k}").alias(f"l{k}") for k in range(1, LEVELS + 1))), "jaccard-sets")
-    tiles = _tiles(materialize(_leaves(reps), "jaccard-leaves"))
+    reps = materialize(some.groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.first("n").alias("n"), *(F.first(f"l{k}").alias(f"l{k}") for k in range(1, LEVELS + 1))), "jaccard-sets")
+    tiles = _tiles(materialize(_leaves(reps), "jaccard-leaves"), reps)
     needed = materialize(reps.select("s", "m", F.coalesce("rep", F.lit(_NULL)).alias("doc")).join(tiles, "s"), "jaccard-tiles")
     release(docs.sparkSession)
-    texts = slim.withColumn("doc", F.coalesce("doc_id", F.lit(_NULL))).join(maybe_broadcast(needed), "doc")
+    texts = slim.withColumn("doc", F.coalesce("doc_id", F.lit(_NULL))).join(needed, "doc")
     rows = texts.select("text", "s", "m", "leaves", "tiles").mapInArrow(_spread, _ROWS)
     compared = materialize(rows.groupBy("key").applyInArrow(_compare, "s long, t long, n long"), "jaccard-links")
     release(docs.sparkSession)
@@ -281,7 +323,7 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     node = reps.select("s", "rep", "m").join(root, "s", "left").withColumn("root", F.coalesce("root", "s"))
     lowest = node.groupBy("root").agg(F.min("rep").alias("class_id"))
     node = materialize(node.join(lowest, "root").join(links, "s", "left").select("s", "root", "class_id", (F.col("m") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "jaccard-classes")
-    full = some.select("doc_id", "th", "s", "n").join(maybe_broadcast(node), "s").select("doc_id", "th", "root", "class_id", "n_links", F.col("n").alias("n_shingles"))
+    full = some.select("doc_id", "th", "s", "n").join(node, "s").select("doc_id", "th", "root", "class_id", "n_links", F.col("n").alias("n_shingles"))
     none = F.lit(0).cast("long")
     return full.unionByName(signed.where("n = 0").select("doc_id", "th", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_shingles")))
 
@@ -298,9 +340,8 @@ def keep_one_of_each_class(docs: DataFrame, recall: float = RECALL) -> DataFrame
     lead = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
     keys = materialize(lead.unionByName(found.where("root is null").select("doc_id", "th").distinct()).select(F.col("doc_id").alias("lead_doc"), F.col("th").alias("lead_th")), "jaccard-kept")
     here = F.col("doc_id").eqNullSafe(F.col("lead_doc")) & (F.col("text_th") == F.col("lead_th"))
-    kept = docs.withColumn("text_th", F.xxhash64(F.coalesce("text", F.lit("")))).join(maybe_broadcast(keys), here, "left_semi")
+    kept = docs.withColumn("text_th", F.xxhash64(F.coalesce("text", F.lit("")))).join(keys, here, "left_semi")
     again = materialize(found.where("root is not null").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("lead_doc"), F.col("th").alias("lead_th")), "jaccard-repeated")
     if not again.isEmpty():  # rows repeated whole
-        again = maybe_broadcast(again)
         kept = kept.join(again, here, "left_anti").unionByName(kept.join(again, here, "left_semi").dropDuplicates(["doc_id", "text_th"]))
     return kept.drop("text_th")
