@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from .common import text_chunks
 from .textops import BYTE, Prefix, mix, words
 
-MAX_TRAIN_TOXIC = 1000
-MAX_TRAIN_CLEAN = 2500
-MAX_TRAIN_CHARS = 30_000
+MAX_TRAIN_TOXIC = 800
+MAX_TRAIN_CLEAN = 2000
+MAX_TRAIN_CHARS = 20_000
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM, PAIRS = 8, 8, 6, 4096
 #: A word is known if it is in this share of the training texts, and in MIN_DOCS at least.
@@ -99,6 +99,14 @@ class ToxicityNet:
         """Each word's share of all gate inputs."""
         return (self.p["E"] @ self.p["Wx"] + self.p["b"])[ids] + chars @ self.p["Wc"]
 
+    def block(self, ids: np.ndarray, chars: np.ndarray, start: np.ndarray, length: np.ndarray, rng: np.random.Generator | None = None):
+        """Gate inputs of the words of some windows, each window's words on their own; with `rng`, some words unknown."""
+        at = (start[:, None] + np.minimum(np.arange(WINDOW)[None, :], length[:, None] - 1)).ravel()
+        bi, bc = ids[at], chars[at]
+        if rng is not None:
+            bi = np.where(rng.random(len(at)) < 0.1, 0, bi)
+        return self.gates(bi, bc), np.arange(len(start)) * WINDOW, length, bi, bc
+
     def forward(self, g: np.ndarray, start: np.ndarray, length: np.ndarray, keep: bool = False):
         """Logits of the windows over the words' gate inputs; with `keep`, also what backward() needs."""
         p, n, k = self.p, len(start), HIDDEN
@@ -177,9 +185,13 @@ class ToxicityNet:
 def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 11) -> ToxicityNet | None:
     """Fits the network; None if one class is missing."""
     y = np.array(toxic, np.int64)
-    raws = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
-    h, chars, doc = featurize(np.frombuffer(b"".join(raws), np.uint8), offsets)
+    parts = []
+    for lo in range(0, len(texts), 100):
+        raws = [t.encode() for t in texts[lo : lo + 100]]
+        got = featurize(np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64))
+        parts.append((got[0], got[1], got[2] + lo))
+    h, chars, doc = map(np.concatenate, zip(*parts)) if parts else featurize(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    del parts
     if y.min(initial=1) == y.max(initial=0) or not len(h):
         return None
     kinds, inv = np.unique(h, return_inverse=True)
@@ -204,8 +216,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     epochs = int(np.clip(40_000 // len(y), epochs, 60))  # small samples need more rounds for as many steps
     for epoch in range(epochs):
         if epoch:
-            g = net.gates(ids, chars)
-            score = np.concatenate([net.forward(g, start[lo : lo + 4096], length[lo : lo + 4096]) for lo in range(0, len(start), 4096)])
+            score = np.concatenate([net.forward(*net.block(ids, chars, start[lo : lo + 4096], length[lo : lo + 4096])[:3]) for lo in range(0, len(start), 4096)])
         o = np.lexsort((-score, of))
         rank = np.empty(len(o), np.int64)
         rank[o] = np.arange(len(o)) - np.searchsorted(of[o], of[o])
@@ -216,13 +227,10 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
         weight = np.where(y[of[use]] == 1, 2.0 * trust, 1.0)
         for lo in range(0, len(use), 256):
             b = use[lo : lo + 256]
-            # words of these windows only
-            at = (start[b][:, None] + np.minimum(np.arange(WINDOW)[None, :], length[b][:, None] - 1)).ravel()
-            bi, bc = np.where(rng.random(len(at)) < 0.1, 0, ids[at]), chars[at]
-            s0 = np.arange(len(b)) * WINDOW
-            logit, kept = net.forward(net.gates(bi, bc), s0, length[b], keep=True)
+            g, s0, _, bi, bc = net.block(ids, chars, start[b], length[b], rng)
+            logit, kept = net.forward(g, s0, length[b], keep=True)
             d = ((_sigmoid(logit) - y[of[b]]) * weight[lo : lo + 256] / len(b)).astype(np.float32)
-            grads = net.backward(d, kept, s0, len(at), bi, bc)
+            grads = net.backward(d, kept, s0, len(bi), bi, bc)
             step += 1
             rate = 0.02 * (1 - epoch / epochs) + 0.002
             for k, gr in grads.items():
