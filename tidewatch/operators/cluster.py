@@ -32,9 +32,10 @@ def build_charts(history: DataFrame, unit: DataFrame) -> DataFrame:
 
 
 def _channel(charts: DataFrame, diff: bool) -> DataFrame:
-    """(itemid, bucket, r): ranks of first differences or of levels; flat series have no row."""
+    """(itemid, bucket, r): ranks of first differences or of levels, to 9 digits; flat series have no row."""
     if diff:
         charts = charts.withColumn("value", F.col("value") - F.lag("value").over(Window.partitionBy("itemid").orderBy("bucket"))).where("value is not null")
+    charts = charts.withColumn("value", F.round("value", 9))
     w = Window.partitionBy("itemid")
     uneven = charts.withColumn("_lo", F.min("value").over(w)).withColumn("_hi", F.max("value").over(w)).where("_hi > _lo")
     return uneven.select("itemid", "bucket", average_rank("value").alias("r"))
@@ -48,13 +49,12 @@ def _correlation(ranks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     return j.groupBy("i", "j").agg(F.corr("ri", "rj").alias("rho"))
 
 
-def pair_distances(charts: DataFrame, keys: DataFrame | None = None, raw_corr_min: float = 0.99) -> DataFrame:
-    """(i, j, distance) of all pairs i < j of charted items: (1 - rho) / 2 of their differences; of items of one key
-    family whose levels correlate at `raw_corr_min` or more, that of the levels if smaller. Flat series have rho 0."""
+def pair_distances(charts: DataFrame, keys: DataFrame | None = None, raw_corr_min: float = 0.99, n_buckets: int = 3) -> DataFrame:
+    """(i, j, distance) of all pairs i < j of charted items: (1 - rho) / 2 of their differences (of levels on a grid of fewer than 3
+    buckets); of items of one key family whose levels correlate at `raw_corr_min` or more, that of the levels if smaller. Flat series have rho 0."""
     ids = charts.select("itemid").distinct()
-    n = charts.agg(F.count_distinct("bucket")).first()[0]
     pairs = ids.select(F.col("itemid").alias("i")).join(ids.select(F.col("itemid").alias("j")), F.col("i") < F.col("j"))
-    diff = _correlation(_channel(charts, n >= 3))
+    diff = _correlation(_channel(charts, n_buckets >= 3))
     out = pairs.join(diff, ["i", "j"], "left").withColumn("distance", (1 - F.coalesce("rho", F.lit(0.0))) / 2).drop("rho")
     if keys is not None:
         fam = keys.select("itemid", key_family(F.col("key_")).alias("f")).where("f <> ''")
@@ -129,22 +129,22 @@ def group_items(distances: DataFrame, cfg: Clustering) -> DataFrame:
         order = {x: k for k, x in enumerate(sorted(set(label.tolist()) - {-1}))}
         return pd.DataFrame({"itemid": ids, "clusterid": [order.get(x, -1) for x in label.tolist()]})
 
-    return distances.groupBy(F.lit(1)).applyInPandas(link, "itemid long, clusterid int")
+    return distances.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(link, "itemid long, clusterid int")
 
 
 def cluster_anomalies(history: DataFrame, ids: DataFrame, cfg: Clustering, keys: DataFrame | None = None, onsets: DataFrame | None = None) -> DataFrame:
     """(itemid, clusterid) of the items of `ids`; -1 for all if there is too little to correlate."""
     none = ids.select("itemid", F.lit(-1).alias("clusterid"))
-    rows = history.join(ids.select("itemid").distinct(), "itemid", "left_semi")
+    rows = history.join(ids.select("itemid").distinct(), "itemid", "left_semi").persist()  # the flagged items' samples
     unit = grid_unit(rows)
-    charts = build_charts(rows.join(usable_items(rows, unit), "itemid", "left_semi"), unit)
+    charts = build_charts(rows.join(usable_items(rows, unit), "itemid", "left_semi"), unit).persist()
     n_items, n_buckets = charts.agg(F.count_distinct("itemid"), F.count_distinct("bucket")).first()
     if n_items > cfg.max_items:
         raise ValueError(f"{n_items} items to cluster; max_items is {cfg.max_items}")
     points = n_buckets - 1 if n_buckets >= 3 else n_buckets
     if n_items < 2 or points < cfg.min_corr_points:
         return none
-    distances = pair_distances(charts, keys, cfg.raw_corr_min)
+    distances = pair_distances(charts, keys, cfg.raw_corr_min, n_buckets)
     if onsets is not None:
         distances = onset_constraint(distances, onsets, cfg.max_onset_gap)
     found = group_items(distances, cfg)

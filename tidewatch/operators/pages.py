@@ -47,7 +47,8 @@ def pages_by_cluster(anomalies: DataFrame, max_clusters: int = 50) -> DataFrame:
 
 def pages_for_events(events: DataFrame) -> DataFrame:
     """(page, itemid) of the fast axis' events in their order; events without items have no page."""
-    ranked = events.withColumn("k", F.row_number().over(Window.orderBy(F.col("score").desc(), "group")) - 1) if "k" not in events.columns else events
+    # a handful of events: their order is one short sort
+    ranked = events.withColumn("k", F.row_number().over(Window.orderBy(F.col("score").desc(), "reason", "cluster")) - 1)
     name = F.concat(F.lit("event"), "k", F.when(F.col("cluster").isNotNull(), F.concat(F.lit("_cluster"), "cluster")).otherwise(""))
     return ranked.where(F.size("members") > 0).select(name.alias("page"), F.explode("members.itemid").alias("itemid"))
 
@@ -108,9 +109,8 @@ def dedup_trim(pool: DataFrame, items: DataFrame, excluded: DataFrame, n: int) -
 
 def stratified_sample(scored: DataFrame, unscored: DataFrame, n_top: int, n_mid: int, n_random: int, seed: int) -> DataFrame:
     """(itemid, score): the top scores, some of the rest and some unscored items (score 0), in a fixed random order."""
-    ranked = scored.select("itemid", "score", F.row_number().over(Window.orderBy(F.col("score").desc(), "itemid")).alias("rn")) if n_top else scored.select("itemid", "score", F.lit(1).alias("rn"))
     top = scored.select("itemid", "score").orderBy(F.col("score").desc(), "itemid").limit(n_top)
-    rest = ranked.join(top, "itemid", "left_anti").orderBy(hash_order(F.col("itemid"), seed), "itemid").limit(n_mid).select("itemid", "score")
+    rest = scored.select("itemid", "score").join(top, "itemid", "left_anti").orderBy(hash_order(F.col("itemid"), seed), "itemid").limit(n_mid).select("itemid", "score")
     rand = unscored.select("itemid").orderBy(hash_order(F.col("itemid"), seed + 1), "itemid").limit(n_random).withColumn("score", F.lit(0.0))
     return top.unionByName(rest).unionByName(rand)
 

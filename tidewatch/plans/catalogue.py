@@ -33,7 +33,7 @@ def query(sql: str | None = None, **views: str):
     return add
 
 
-def r(name: str, digits: int = 6):
+def r(name: str, digits: int = 9):
     return F.round(name, digits).alias(name)
 
 
@@ -71,7 +71,7 @@ MAGNITUDE_SQL = _CATEGORY_SQL % tuple(_ramp_sql({"relative": "delta / greatest(a
 # --- statistics
 
 
-@query("SELECT itemid, clock, round(value_min, 6) AS value_min, round(value_avg, 6) AS value_avg, round(value_max, 6) AS value_max FROM trends")
+@query("SELECT itemid, clock, round(value_min, 9) AS value_min, round(value_avg, 9) AS value_avg, round(value_max, 9) AS value_max FROM trends")
 def hourly_trends_rollup(spark, sf):
     return _Views(spark, sf).trends.select("itemid", "clock", r("value_min"), r("value_avg"), r("value_max"))
 
@@ -79,23 +79,23 @@ def hourly_trends_rollup(spark, sf):
 _STATS = ("sum", "sqr_sum", "mean", "std", "max_value")
 
 
-@query(f"SELECT itemid, cnt, last_clock, zero_cnt, {', '.join(f'round({c}, 4) AS {c}' for c in _STATS)} FROM long_", long_=stats_sql("hist", "value", START))
+@query(f"SELECT itemid, cnt, last_clock, zero_cnt, {', '.join(f'round({c}, 7) AS {c}' for c in _STATS)} FROM long_", long_=stats_sql("hist", "value", START))
 def window_stats(spark, sf):
     s = stats.window_stats(b.history(spark, sf), START, ENDEP)
-    return s.select("itemid", "cnt", "last_clock", "zero_cnt", *(r(c, 4) for c in _STATS))
+    return s.select("itemid", "cnt", "last_clock", "zero_cnt", *(r(c, 7) for c in _STATS))
 
 
-@query("SELECT itemid, round(intra_std, 6) AS intra_std FROM intra")
+@query("SELECT itemid, round(intra_std, 9) AS intra_std FROM intra")
 def intra_std(spark, sf):
     return stats.intra_std(_Views(spark, sf).window, 4.0).select("itemid", r("intra_std"))
 
 
-@query("SELECT itemid, round(sigma, 6) AS sigma FROM sig")
+@query("SELECT itemid, round(sigma, 9) AS sigma FROM sig")
 def baseline_sigma(spark, sf):
-    return _Views(spark, sf).sig.select("itemid", F.round(scalar.baseline_sigma(F.col("std"), F.col("intra_std")), 6).alias("sigma"))
+    return _Views(spark, sf).sig.select("itemid", F.round(scalar.baseline_sigma(F.col("std"), F.col("intra_std")), 9).alias("sigma"))
 
 
-@query("SELECT itemid, hour_of_day, round(mean, 6) AS mean, round(std, 6) AS std, cnt FROM hours")
+@query("SELECT itemid, hour_of_day, round(mean, 9) AS mean, round(std, 9) AS std, cnt FROM hours")
 def hour_of_day_stats(spark, sf):
     return _Views(spark, sf).hours.select("itemid", "hour_of_day", r("mean"), r("std"), "cnt")
 
@@ -117,7 +117,7 @@ PEAK_SQL = {
 }
 
 
-@query("SELECT itemid, round(local_peak, 6) AS local_peak, peak_episodes FROM peaks", **PEAK_SQL)
+@query("SELECT itemid, round(local_peak, 9) AS local_peak, peak_episodes FROM peaks", **PEAK_SQL)
 def recurring_peaks(spark, sf):
     v = _Views(spark, sf)
     return stats.peak_stats(v.window, v.sig, DAY, 2.0, ENDEP - DAY).select("itemid", r("local_peak"), "peak_episodes")
@@ -129,7 +129,7 @@ def stale_items(spark, sf):
     return fresh.select("itemid", F.lit(True).alias("fresh")).unionByName(stale.withColumn("fresh", F.lit(False)))
 
 
-@query(f"SELECT itemid, round(median(value_avg), 6) AS level FROM (SELECT *, row_number() OVER (PARTITION BY itemid ORDER BY clock DESC) AS rn FROM trends) WHERE rn <= 3 GROUP BY itemid")
+@query(f"SELECT itemid, round(median(value_avg), 9) AS level FROM (SELECT *, row_number() OVER (PARTITION BY itemid ORDER BY clock DESC) AS rn FROM trends) WHERE rn <= 3 GROUP BY itemid")
 def recent_level(spark, sf):
     return stats.recent_level(_Views(spark, sf).trends, 3).select("itemid", r("level"))
 
@@ -178,7 +178,7 @@ def _changepoints(v: _Views) -> DataFrame:
     return detectors.changepoint_scores(v.hist.where(F.col("clock") > ENDEP - 2 * DAY), v.sig, Changepoint(), 600)
 
 
-@query(f"SELECT z1.itemid, round(score, 6) AS score FROM z1 LEFT JOIN items USING (itemid) LEFT JOIN recent USING (itemid) LEFT JOIN base USING (itemid) WHERE NOT coalesce(key_ IS NOT NULL AND ({' OR '.join(f'coalesce(({_rule_sql(x)}) AND abs(coalesce(recent.mean, 0) - coalesce(base.mean, 0)) < {x.min_abs_diff}, false)' for x in ANOMALY_FILTERS)}), false)")
+@query(f"SELECT z1.itemid, round(score, 9) AS score FROM z1 LEFT JOIN items USING (itemid) LEFT JOIN recent USING (itemid) LEFT JOIN base USING (itemid) WHERE NOT coalesce(key_ IS NOT NULL AND ({' OR '.join(f'coalesce(({_rule_sql(x)}) AND abs(coalesce(recent.mean, 0) - coalesce(base.mean, 0)) < {x.min_abs_diff}, false)' for x in ANOMALY_FILTERS)}), false)")
 def anomaly_filters(spark, sf):
     v = _Views(spark, sf)
     s = detectors.zscore_scores(v.recent, v.base, Z1).select("itemid", r("score"))
@@ -199,10 +199,10 @@ def score_bands(spark, sf):
 
 # --- detectors and onsets
 
-_Z = "itemid, round(score, 6) AS score, round(z, 6) AS z"
+_Z = "itemid, round(score, 9) AS score, round(z, 9) AS z"
 
 
-@query(f"SELECT {_Z}, round(h_mean, 6) AS h_mean, round(t_mean, 6) AS t_mean FROM z15")
+@query(f"SELECT {_Z}, round(h_mean, 9) AS h_mean, round(t_mean, 9) AS t_mean FROM z15")
 def zscore_scores(spark, sf):
     v = _Views(spark, sf)
     return detectors.zscore_scores(v.recent, v.base, Z15).select("itemid", r("score"), r("z"), r("h_mean"), r("t_mean"))
@@ -214,7 +214,7 @@ def seasonal_scores(spark, sf):
     return detectors.seasonal_scores(v.recent, v.hours, HOUR, Seasonal(lambda_threshold=1.0)).select("itemid", r("score"), r("z"))
 
 
-@query("SELECT itemid, round(score, 6) AS score, round(s_max, 4) AS s_max FROM cp")
+@query("SELECT itemid, round(score, 9) AS score, round(s_max, 4) AS s_max FROM cp")
 def changepoint_scores(spark, sf):
     return _changepoints(_Views(spark, sf)).select("itemid", r("score"), r("s_max", 4))
 
@@ -224,9 +224,9 @@ def _ensemble(v: _Views) -> DataFrame:
     return detectors.ensemble_scores(found, {"zscore": 0.3, "changepoint": 0.3, "seasonal": 0.4}, Ensemble(min_score=0.7, require_any=2))
 
 
-@query("SELECT itemid, round(score, 6) AS score, n::BIGINT AS n_detectors, round(score, 6) >= 0.7 AS is_anomaly FROM ens")
+@query("SELECT itemid, round(score, 9) AS score, n::BIGINT AS n_detectors, round(score, 9) >= 0.7 AS is_anomaly FROM ens")
 def ensemble_scores(spark, sf):
-    return _ensemble(_Views(spark, sf)).select("itemid", r("score"), "n_detectors", (F.round("score", 6) >= 0.7).alias("is_anomaly"))
+    return _ensemble(_Views(spark, sf)).select("itemid", r("score"), "n_detectors", (F.round("score", 9) >= 0.7).alias("is_anomaly"))
 
 
 LEVEL_SQL = {
@@ -234,8 +234,8 @@ LEVEL_SQL = {
     "bd": "SELECT itemid, level, CASE WHEN 0.1 * abs(level) > 0 THEN 0.1 * abs(level) ELSE 2.0 * std END AS band FROM lv LEFT JOIN base USING (itemid)",
     "lrows": "SELECT itemid, clock, row_number() OVER (PARTITION BY itemid ORDER BY clock DESC) AS rn, abs(value_avg - level) > band AS far FROM trends JOIN bd USING (itemid) WHERE band > 0",
     "lwalk": "SELECT itemid, rn, far::INTEGER AS run FROM lrows WHERE rn = 1 UNION ALL SELECT lrows.itemid, lrows.rn, CASE WHEN far THEN run + 1 ELSE 0 END FROM lwalk JOIN lrows ON lrows.itemid = lwalk.itemid AND lrows.rn = lwalk.rn + 1 WHERE run <= 2",
-    "lstop": "SELECT itemid, max(rn) - CASE WHEN max(run) = 3 THEN 3 ELSE 0 END AS at FROM lwalk GROUP BY itemid",
-    "level_on": "SELECT itemid, clock AS onset FROM lstop JOIN lrows USING (itemid) WHERE rn = at",
+    "lstop": "SELECT itemid, max(rn) - CASE WHEN max(run) = 3 THEN 3 ELSE 0 END AS pos FROM lwalk GROUP BY itemid",
+    "level_on": "SELECT itemid, clock AS onset FROM lstop JOIN lrows USING (itemid) WHERE rn = pos",
 }
 ANOMALY_SQL = {
     "steps": f"SELECT itemid, k, {ENDEP} - 3600 * k AS t FROM (SELECT DISTINCT itemid FROM trends WHERE clock > {ENDEP - 49 * 3600 - DAY + 3600} AND clock <= {ENDEP}), range(49) AS g(k)",
@@ -269,12 +269,12 @@ def anomaly_onset(spark, sf):
 MAG = {"mg": f"SELECT itemid, key_, {MAGNITUDE_SQL} AS magnitude FROM (SELECT z1.itemid, key_, abs(h_mean - t_mean) AS delta, t_mean FROM z1 JOIN items USING (itemid))"}
 
 
-@query("SELECT itemid, round(magnitude, 6) AS magnitude FROM mg", **MAG)
+@query("SELECT itemid, round(magnitude, 9) AS magnitude FROM mg", **MAG)
 def gate_magnitude(spark, sf):
     v = _Views(spark, sf)
     s = detectors.zscore_scores(v.recent, v.base, Z1).join(v.items, "itemid").join(v.base.select("itemid", "std"), "itemid")
     gate = gates.magnitude_gate(scalar.category_index(F.col("key_"), CATEGORIES), CAT, F.abs(F.col("h_mean") - F.col("t_mean")), F.col("t_mean"), F.col("std"))
-    return s.select("itemid", F.round(gate, 6).alias("magnitude"))
+    return s.select("itemid", F.round(gate, 9).alias("magnitude"))
 
 
 _DUR = {
@@ -291,12 +291,12 @@ def _duration(spark, sf, measure):
     return gates.duration_gate(stats.in_range(v.hist, ENDEP - DAY, ENDEP), v.sig, Duration(measure=measure, hi_secs=36000), 600).select("itemid", r("duration"))
 
 
-@query(f"SELECT itemid, round({_ramp_sql('n * interval', 600, 36000)}, 6) AS duration FROM dcount JOIN dspace USING (itemid)", **_DUR)
+@query(f"SELECT itemid, round({_ramp_sql('n * interval', 600, 36000)}, 9) AS duration FROM dcount JOIN dspace USING (itemid)", **_DUR)
 def gate_duration(spark, sf):
     return _duration(spark, sf, "count")
 
 
-@query(f"SELECT itemid, round({_ramp_sql('n * interval', 600, 36000)}, 6) AS duration FROM dlong JOIN dspace USING (itemid)", **_DUR)
+@query(f"SELECT itemid, round({_ramp_sql('n * interval', 600, 36000)}, 9) AS duration FROM dlong JOIN dspace USING (itemid)", **_DUR)
 def gate_duration_consecutive(spark, sf):
     return _duration(spark, sf, "consecutive")
 
@@ -335,12 +335,12 @@ FROM z1 LEFT JOIN items USING (itemid) LEFT JOIN mg USING (itemid) LEFT JOIN bas
 }
 
 
-@query("SELECT itemid, category, round(score, 6) AS score, round(raw_score, 6) AS raw_score, round(score, 9) >= 0.4 AS is_anomaly FROM gated", **GATED_SQL)
+@query("SELECT itemid, category, round(score, 9) AS score, round(raw_score, 9) AS raw_score, round(score, 9) >= 0.4 AS is_anomaly FROM gated", **GATED_SQL)
 def gated_scores(spark, sf):
     return _gated(_Views(spark, sf)).select("itemid", "category", r("score"), r("raw_score"), (F.round("score", 9) >= 0.4).alias("is_anomaly"))
 
 
-@query("SELECT itemid, round(score, 6) AS score FROM gated WHERE score < 0.4 AND raw_score >= 0.4 AND idle = 1 AND peak = 1 AND magnitude < 1 AND raw_score * weight * duration >= 0.4", **GATED_SQL)
+@query("SELECT itemid, round(score, 9) AS score FROM gated WHERE score < 0.4 AND raw_score >= 0.4 AND idle = 1 AND peak = 1 AND magnitude < 1 AND raw_score * weight * duration >= 0.4", **GATED_SQL)
 def rescue_candidates(spark, sf):
     return gates.rescue_candidates(_gated(_Views(spark, sf)), 0.4).select("itemid", r("score"))
 
@@ -355,9 +355,9 @@ CHART_SQL = {
     "cgrid": "SELECT itemid, bucket FROM (SELECT DISTINCT itemid FROM cmean), (SELECT unnest(range(lo, hi + 1)) AS bucket FROM (SELECT min(bucket) AS lo, max(bucket) AS hi FROM cmean))",
     "cnear": "SELECT itemid, cgrid.bucket, value, max(CASE WHEN value IS NOT NULL THEN cgrid.bucket END) OVER (PARTITION BY itemid ORDER BY cgrid.bucket) AS b0, min(CASE WHEN value IS NOT NULL THEN cgrid.bucket END) OVER (PARTITION BY itemid ORDER BY cgrid.bucket ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b1 FROM cgrid LEFT JOIN cmean USING (itemid, bucket)",
     "charted": "SELECT n.itemid, n.bucket, CASE WHEN n.value IS NOT NULL THEN n.value WHEN b0 IS NULL THEN y.value WHEN b1 IS NULL THEN x.value ELSE x.value + (y.value - x.value) * (n.bucket - b0) / (b1 - b0) END AS value FROM cnear n LEFT JOIN cmean x ON x.itemid = n.itemid AND x.bucket = b0 LEFT JOIN cmean y ON y.itemid = n.itemid AND y.bucket = b1",
-    "cdiff": "SELECT * FROM (SELECT itemid, bucket, value - lag(value) OVER (PARTITION BY itemid ORDER BY bucket) AS value FROM charted) WHERE value IS NOT NULL",
+    "cdiff": "SELECT * FROM (SELECT itemid, bucket, round(value - lag(value) OVER (PARTITION BY itemid ORDER BY bucket), 9) AS value FROM charted) WHERE value IS NOT NULL",
     "drank": "SELECT itemid, bucket, rank() OVER (PARTITION BY itemid ORDER BY value) + (count(*) OVER (PARTITION BY itemid, value) - 1) / 2 AS r FROM cdiff",
-    "lrank": "SELECT itemid, bucket, rank() OVER (PARTITION BY itemid ORDER BY value) + (count(*) OVER (PARTITION BY itemid, value) - 1) / 2 AS r FROM charted",
+    "lrank": "SELECT itemid, bucket, rank() OVER (PARTITION BY itemid ORDER BY value) + (count(*) OVER (PARTITION BY itemid, value) - 1) / 2 AS r FROM (SELECT itemid, bucket, round(value, 9) AS value FROM charted)",
     "cids": "SELECT DISTINCT itemid FROM charted",
     "drho": "SELECT a.itemid AS i, b.itemid AS j, corr(a.r, b.r) AS rho FROM drank a JOIN drank b ON a.bucket = b.bucket AND a.itemid < b.itemid GROUP BY ALL",
     "dist0": "SELECT a.itemid AS i, b.itemid AS j, (1 - CASE WHEN rho IS NULL OR isnan(rho) THEN 0 ELSE rho END) / 2 AS distance FROM cids a JOIN cids b ON a.itemid < b.itemid LEFT JOIN drho ON drho.i = a.itemid AND drho.j = b.itemid",
@@ -374,23 +374,23 @@ def _charts(v: _Views) -> DataFrame:
     return cluster.build_charts(rows.join(cluster.usable_items(rows, unit), "itemid", "left_semi"), unit)
 
 
-@query("SELECT itemid, bucket, round(value, 6) AS value FROM charted", **CHART_SQL)
+@query("SELECT itemid, bucket, round(value, 9) AS value FROM charted", **CHART_SQL)
 def charts(spark, sf):
     return _charts(_Views(spark, sf)).select("itemid", "bucket", r("value"))
 
 
-@query("SELECT i, j, round(distance, 6) AS distance FROM dist0", **CHART_SQL)
+@query("SELECT i, j, round(distance, 9) AS distance FROM dist0", **CHART_SQL)
 def diff_spearman_pairs(spark, sf):
     return cluster.pair_distances(_charts(_Views(spark, sf))).select("i", "j", r("distance"))
 
 
-@query("SELECT i, j, round(distance, 6) AS distance FROM dist1", **CHART_SQL)
+@query("SELECT i, j, round(distance, 9) AS distance FROM dist1", **CHART_SQL)
 def raw_channel_pairs(spark, sf):
     v = _Views(spark, sf)
     return cluster.pair_distances(_charts(v), v.items, 0.3).select("i", "j", r("distance"))
 
 
-@query("SELECT d.i, d.j, round(CASE WHEN abs(a.onset - b.onset) > 7200 THEN 1 ELSE distance END, 6)::DOUBLE AS distance FROM dist0 d LEFT JOIN level_on a ON a.itemid = d.i LEFT JOIN level_on b ON b.itemid = d.j", **CHART_SQL, **LEVEL_SQL)
+@query("SELECT d.i, d.j, round(CASE WHEN abs(a.onset - b.onset) > 7200 THEN 1 ELSE distance END, 9)::DOUBLE AS distance FROM dist0 d LEFT JOIN level_on a ON a.itemid = d.i LEFT JOIN level_on b ON b.itemid = d.j", **CHART_SQL, **LEVEL_SQL)
 def distance_with_onset(spark, sf):
     v = _Views(spark, sf)
     return cluster.onset_constraint(cluster.pair_distances(_charts(v)), _level(v), 7200).select("i", "j", r("distance"))
@@ -440,18 +440,18 @@ def _short(spark, sf):
     return stats.short_window_stats(stats.in_range(b.history(spark, sf), START, ENDEP), 3)
 
 
-@query("SELECT itemid, round(fnew.mean, 6) AS recent, round(fold.mean, 6) AS mean, round(std, 6) AS std, cnt FROM fnew LEFT JOIN fold USING (itemid)", **FAST)
+@query("SELECT itemid, round(fnew.mean, 9) AS recent, round(fold.mean, 9) AS mean, round(std, 9) AS std, cnt FROM fnew LEFT JOIN fold USING (itemid)", **FAST)
 def short_window_stats(spark, sf):
     new, old = _short(spark, sf)
-    return new.select("itemid", F.round("mean", 6).alias("recent")).join(old.select("itemid", r("mean"), r("std"), "cnt"), "itemid", "left")
+    return new.select("itemid", F.round("mean", 9).alias("recent")).join(old.select("itemid", r("mean"), r("std"), "cnt"), "itemid", "left")
 
 
-@query("SELECT itemid, round(score, 6) AS score, round(z, 6) AS z FROM fz", **FAST)
+@query("SELECT itemid, round(score, 9) AS score, round(z, 9) AS z FROM fz", **FAST)
 def fast_severity(spark, sf):
     return fast.fast_severity(*_short(spark, sf), FCFG).select("itemid", r("score"), r("z"))
 
 
-@query(f"SELECT fz.itemid, round(abs(h_mean - hours.mean) / hours.std, 6) AS seasonal_z, coalesce(abs(h_mean - hours.mean) / hours.std < 1.0, false) AS suppressed FROM fz LEFT JOIN hours ON hours.itemid = fz.itemid AND hour_of_day = {HOUR} AND hours.std > 0", **FAST)
+@query(f"SELECT fz.itemid, round(abs(h_mean - hours.mean) / hours.std, 9) AS seasonal_z, coalesce(abs(h_mean - hours.mean) / hours.std < 1.0, false) AS suppressed FROM fz LEFT JOIN hours ON hours.itemid = fz.itemid AND hour_of_day = {HOUR} AND hours.std > 0", **FAST)
 def seasonal_veto(spark, sf):
     return fast.seasonal_veto(fast.fast_severity(*_short(spark, sf), FCFG), _Views(spark, sf).hours, HOUR, 1.0).select("itemid", r("seasonal_z"), "suppressed")
 
@@ -460,7 +460,7 @@ def _weights(spark, sf):
     return fast.host_event_weights(stats.in_range(b.problem_events(spark, sf), ENDEP - DAY, ENDEP), 3.0)
 
 
-@query("SELECT host_name, round(weight, 6) AS weight FROM hw", **FAST)
+@query("SELECT host_name, round(weight, 9) AS weight FROM hw", **FAST)
 def host_event_weight(spark, sf):
     return _weights(spark, sf).select("host_name", r("weight"))
 
@@ -506,7 +506,7 @@ def _anomalies(spark, sf):
     return b.anomalies(spark, sf, s.unionByName(detectors.zscore_scores(before, v.base, Z1).select("itemid", F.lit(ENDEP - DAY).cast("long").alias("created"), "score")))
 
 
-@query(f"SELECT itemid, round(score, 6) AS score FROM an WHERE created = {ENDEP} AND itemid NOT IN (SELECT itemid FROM an WHERE created < {ENDEP} AND created >= {ENDEP - 3 * DAY})", **AN)
+@query(f"SELECT itemid, round(score, 9) AS score FROM an WHERE created = {ENDEP} AND itemid NOT IN (SELECT itemid FROM an WHERE created < {ENDEP} AND created >= {ENDEP - 3 * DAY})", **AN)
 def detect_once(spark, sf):
     a = _anomalies(spark, sf)
     seen = a.where((F.col("created") < ENDEP) & (F.col("created") >= ENDEP - 3 * DAY))
@@ -523,7 +523,7 @@ def latest_cycle(spark, sf):
     return pages.latest_cycle(_anomalies(spark, sf)).select("itemid", "created", "group_name")
 
 
-@query("SELECT itemid, round(score, 6) AS score, n_members, n_rescued FROM (SELECT *, count(*) OVER (PARTITION BY g)::BIGINT AS n_members, count(*) FILTER (rescued) OVER (PARTITION BY g)::BIGINT AS n_rescued, row_number() OVER (PARTITION BY g ORDER BY score DESC, itemid) AS k FROM (SELECT *, CASE WHEN clusterid >= 0 THEN 'c' || clusterid::VARCHAR ELSE 'i' || itemid::VARCHAR END AS g FROM (SELECT *, row_number() OVER (PARTITION BY itemid ORDER BY score DESC, created DESC, group_name) AS b FROM an) WHERE b = 1)) WHERE k = 1", **AN)
+@query("SELECT itemid, round(score, 9) AS score, n_members, n_rescued FROM (SELECT *, count(*) OVER (PARTITION BY g)::BIGINT AS n_members, count(*) FILTER (rescued) OVER (PARTITION BY g)::BIGINT AS n_rescued, row_number() OVER (PARTITION BY g ORDER BY score DESC, itemid) AS k FROM (SELECT *, CASE WHEN clusterid >= 0 THEN 'c' || clusterid::VARCHAR ELSE 'i' || itemid::VARCHAR END AS g FROM (SELECT *, row_number() OVER (PARTITION BY itemid ORDER BY score DESC, created DESC, group_name) AS b FROM an) WHERE b = 1)) WHERE k = 1", **AN)
 def collapse_flagged(spark, sf):
     return pages.collapse_flagged(_anomalies(spark, sf)).select("itemid", r("score"), "n_members", "n_rescued")
 
@@ -562,7 +562,7 @@ def _pool(v):
     return pages.candidate_pools(_simple_scores(v), detectors.zscore_scores(v.recent, v.base, Z15), 10, 10, 7)
 
 
-@query("SELECT itemid, round(score, 6) AS score, band, pos::BIGINT AS pos FROM pool", **POOL)
+@query("SELECT itemid, round(score, 9) AS score, band, pos::BIGINT AS pos FROM pool", **POOL)
 def strata_pools(spark, sf):
     return _pool(_Views(spark, sf)).select("itemid", r("score"), "band", F.col("pos").cast("long").alias("pos"))
 
@@ -573,14 +573,14 @@ def dedup_trim(spark, sf):
     return pages.dedup_trim(_pool(v), v.items, v.items.where("itemid % 10 = 3"), 10).select("itemid", "band", F.col("rn").cast("long").alias("rn"))
 
 
-@query("SELECT itemid, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, itemid) AS k FROM z1) WHERE k <= 20 UNION ALL SELECT itemid, round(score, 6) FROM (SELECT *, row_number() OVER (ORDER BY " + HASH_SQL.format(s=3) + ", itemid) AS h FROM (SELECT *, row_number() OVER (ORDER BY score DESC, itemid) AS k FROM z1) WHERE k > 20) WHERE h <= 10 UNION ALL SELECT itemid, 0 FROM (SELECT itemid, row_number() OVER (ORDER BY " + HASH_SQL.format(s=4) + ", itemid) AS h FROM base WHERE itemid NOT IN (SELECT itemid FROM z1)) WHERE h <= 10")
+@query("SELECT itemid, round(score, 9) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, itemid) AS k FROM z1) WHERE k <= 20 UNION ALL SELECT itemid, round(score, 9) FROM (SELECT *, row_number() OVER (ORDER BY " + HASH_SQL.format(s=3) + ", itemid) AS h FROM (SELECT *, row_number() OVER (ORDER BY score DESC, itemid) AS k FROM z1) WHERE k > 20) WHERE h <= 10 UNION ALL SELECT itemid, 0 FROM (SELECT itemid, row_number() OVER (ORDER BY " + HASH_SQL.format(s=4) + ", itemid) AS h FROM base WHERE itemid NOT IN (SELECT itemid FROM z1)) WHERE h <= 10")
 def stratified_sample(spark, sf):
     v = _Views(spark, sf)
     z = detectors.zscore_scores(v.recent, v.base, Z1)
     return pages.stratified_sample(z, v.base.join(z, "itemid", "left_anti"), 20, 10, 10, 3).select("itemid", r("score"))
 
 
-@query("SELECT itemid, round(score, 6) AS score, round(z, 6) AS z FROM z1 ORDER BY score DESC, z DESC, itemid LIMIT 25")
+@query("SELECT itemid, round(score, 9) AS score, round(z, 9) AS z FROM z1 ORDER BY score DESC, z DESC, itemid LIMIT 25")
 def top_zscores(spark, sf):
     v = _Views(spark, sf)
     return pages.top_zscores(detectors.zscore_scores(v.recent, v.base, Z1), 25).select("itemid", r("score"), r("z"))
@@ -595,7 +595,7 @@ def master_upsert(spark, sf):
 
 # --- evaluation
 
-_METRICS = "tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1"
+_METRICS = "tp, fp, fn, tn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1"
 _COUNTS = "count(*) FILTER ({h} AND label = 1)::BIGINT AS tp, count(*) FILTER ({h} AND label = 0)::BIGINT AS fp, count(*) FILTER (NOT ({h}) AND label = 1)::BIGINT AS fn, count(*) FILTER (NOT ({h}) AND label = 0)::BIGINT AS tn"
 _PR = "SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM ({q})"
 EV = {"lb": "SELECT item_id AS itemid, label, round(coalesce(score, 0), 9) AS score, key_ FROM labels_ LEFT JOIN z1 ON z1.itemid = item_id JOIN items ON items.itemid = item_id WHERE label >= 0"}
@@ -646,7 +646,7 @@ PAIRS = {
 }
 
 
-@query("SELECT tp::BIGINT AS pair_tp, fp::BIGINT AS pair_fp, fn::BIGINT AS pair_fn, round(CASE WHEN n = 0 THEN 0 WHEN (2 * tp + fp + fn) / 2 - (tp + fp) * (tp + fn) / n = 0 THEN 1 ELSE (tp - (tp + fp) * (tp + fn) / n) / ((2 * tp + fp + fn) / 2 - (tp + fp) * (tp + fn) / n) END, 6)::DOUBLE AS ari FROM pr", **PAIRS)
+@query("SELECT tp::BIGINT AS pair_tp, fp::BIGINT AS pair_fp, fn::BIGINT AS pair_fn, round(CASE WHEN n = 0 THEN 0 WHEN (2 * tp + fp + fn) / 2 - (tp + fp) * (tp + fn) / n = 0 THEN 1 ELSE (tp - (tp + fp) * (tp + fn) / n) / ((2 * tp + fp + fn) / 2 - (tp + fp) * (tp + fn) / n) END, 9)::DOUBLE AS ari FROM pr", **PAIRS)
 def pair_metrics(spark, sf):
     groups = b.items(spark, sf).select("itemid", F.when(F.col("itemid") % 3 == 0, (F.col("hostid") % 5).cast("int")).otherwise(-1).alias("clusterid"))
     return evaluate.cluster_metrics(groups, b.labels(spark, sf)).select("pair_tp", "pair_fp", "pair_fn", r("ari"))
@@ -655,11 +655,11 @@ def pair_metrics(spark, sf):
 # --- scans
 
 
-@query("SELECT itemid, clock, round(avg(value), 6) AS value FROM (SELECT itemid, clock, value FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT itemid, clock, floor(value) FROM ev WHERE event_id % 2 = 1) GROUP BY itemid, clock")
+@query("SELECT itemid, clock, round(avg(value), 9) AS value FROM (SELECT itemid, clock, value FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT itemid, clock, floor(value) FROM ev WHERE event_id % 2 = 1) GROUP BY itemid, clock")
 def union_uint_float(spark, sf):
     e = b.raw_events(spark, sf)
     twins = e.where("event_id % 2 = 0").select("itemid", "clock", "value").unionByName(e.where("event_id % 2 = 1").select("itemid", "clock", F.floor("value").cast("double").alias("value")))
-    return twins.groupBy("itemid", "clock").agg(F.round(F.avg("value"), 6).alias("value"))
+    return twins.groupBy("itemid", "clock").agg(F.round(F.avg("value"), 9).alias("value"))
 
 
 def _database(spark, sf):
