@@ -59,8 +59,7 @@ def test_against_brute_force(spark):
         assert run(spark, rows) == brute(rows)
 
 
-def test_shuffled_joins(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "BROADCAST_BYTES", -1)
+def test_few_partitions(spark):
     rows = corpus(3)
     assert run(spark, rows, 2) == brute(rows)
 

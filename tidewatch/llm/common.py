@@ -53,18 +53,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-#: Tables whose Parquet files are no larger than this may be broadcast.
-BROADCAST_BYTES = 8 << 20
-
-
-def maybe_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """`df` (read from files) with a broadcast hint if it is small; else as it is, to be joined by shuffle."""
-    from pyspark.sql import functions as F
-
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= (BROADCAST_BYTES if limit is None else limit) else df
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of plans that are no longer referenced (else they stay until the next driver GC)."""
     import gc

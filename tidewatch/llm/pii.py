@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import materialize
 
 CONTEXT = 80
 MIN_TEXTS = 3
@@ -143,7 +143,7 @@ def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame:
     terms = materialize(joint.select("term").distinct(), "pii-terms")
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     words = text.select(F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    everywhere = words.join(maybe_broadcast(terms), "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    everywhere = words.join(terms, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     n = F.lit(float(total or 1))
     pmi = F.log(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et")))
     ic = -F.log(F.col("n_e") / n)
@@ -157,7 +157,7 @@ def all_spans(docs: DataFrame) -> DataFrame:
     pairs = materialize(disclosing(docs, rows), "pii-disclosing")
     near = rows.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
     kind = F.when(F.max("ratio") >= REMOVE, F.lit(TERM_KINDS[1])).otherwise(F.lit(TERM_KINDS[0]))
-    hit = near.join(maybe_broadcast(pairs), ["entity", "term"]).groupBy("doc_id", "th", "start", "stop").agg(kind.alias("kind"))
+    hit = near.join(pairs, ["entity", "term"]).groupBy("doc_id", "th", "start", "stop").agg(kind.alias("kind"))
     terms = hit.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop"))).alias("terms"))
     plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
@@ -177,7 +177,7 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = materialize(spans, "pii-spans").select(F.col("doc_id").alias("pii_doc"), F.col("th").alias("pii_th"), "pii_spans")
     text = F.col("text")
     keyed = docs.withColumn("pii_at", F.xxhash64(F.coalesce(text, F.lit(""))))
-    joined = keyed.join(maybe_broadcast(spans), F.col("doc_id").eqNullSafe(F.col("pii_doc")) & (F.col("pii_at") == F.col("pii_th")), "left")
+    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("pii_doc")) & (F.col("pii_at") == F.col("pii_th")), "left")
     order = F.array_sort(F.transform("pii_spans", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
 
     def step(acc: Column, x: Column) -> Column:

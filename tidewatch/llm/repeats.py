@@ -34,12 +34,13 @@ from .textops import Prefix, mix
 
 LENGTH = 100
 TRIGGER = 24
-#: Tables up to this size (of Parquet) are joined by broadcast, others by shuffle.
-BROADCAST_BYTES = 8 << 20
+#: Bytes of text parsed at a time; windows of a phrase that go together.
+CHUNK, SLICE = 1 << 19, 16
 
 _NULL = -(1 << 63)  # stands for a null doc_id: it sorts first
 _SEG = np.dtype([("key", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("th", "<u4"), ("n", "<u1")])
 _SPAN = np.dtype([("doc", "<i8"), ("th", "<u4"), ("start", "<u4"), ("end", "<u4")])
+_HEAD = np.dtype([("doc", "<i8"), ("th", "<u4"), ("start", "<u4"), ("n", "<u1")])
 _BLOBS = "bucket int, kind int, blob binary"
 _SPANS = "doc long, th long, start long, stop long, kind int"
 #: Kinds of spans: bytes to remove; a phrase whose windows are to be compared with other phrases'.
@@ -145,7 +146,7 @@ def _parse(n: int):
         for b in batches:
             doc_ids, th = _ids(b)
             parts = []
-            for lo, _, raw, off in text_chunks(b):
+            for lo, _, raw, off in text_chunks(b, limit=CHUNK):
                 key, h, doc, begin, count, _ = phrases(raw, off)
                 a = np.empty(len(key), _SEG)
                 a["key"], a["h"], a["doc"], a["th"], a["start"], a["n"] = key, h, doc_ids[lo + doc], th[lo + doc], begin - off[doc], count
@@ -156,36 +157,28 @@ def _parse(n: int):
     return run
 
 
-def _dictionary(compare: bool):
+def _dictionary(table: pa.Table) -> pa.Table:
     """Of one bucket: spans that repeat an earlier phrase, and the phrases that share their trigger with others."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-        spans = [np.zeros(0, _SPAN), *(_unpack(x, _SPAN) for k, x in zip(kinds, blobs) if k == 1)]
-        segs = np.concatenate([np.zeros(0, _SEG), *(_unpack(x, _SEG) for k, x in zip(kinds, blobs) if k == 0)])
-        del blobs, table
-        o, again = _firsts(segs["h"] ^ mix(segs["key"]), segs["doc"], segs["start"])
-        segs = segs[o]
-        take = lambda s: np.rec.fromarrays([s["doc"], s["th"], s["start"], s["start"] + s["n"] - 1 + LENGTH], dtype=_SPAN)
-        gone = _merge(np.concatenate([*spans, take(segs[again])]))
-        out, kind = [gone], [np.full(len(gone), REMOVE)]
-        if compare:
-            first = segs[~again]
-            first = first[np.argsort(first["key"], kind="stable")]
-            key, h = first["key"], first["h"]
-            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            many = np.maximum.reduceat(h, edge) != np.minimum.reduceat(h, edge) if len(first) else np.zeros(0, bool)
-            left = first[np.repeat(many, np.diff(np.append(edge, len(first))))]
-            out.append(take(left))
-            kind.append(np.full(len(left), COMPARE))
-        s = np.concatenate(out)
-        return pa.table([pa.array(s["doc"]), pa.array(s["th"].astype(np.int64)), pa.array(s["start"].astype(np.int64)), pa.array(s["end"].astype(np.int64)), pa.array(np.concatenate(kind).astype(np.int32))], names=["doc", "th", "start", "stop", "kind"])
-
-    return run
+    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+    spans = [np.zeros(0, _SPAN), *(_unpack(x, _SPAN) for k, x in zip(kinds, blobs) if k == 1)]
+    segs = np.concatenate([np.zeros(0, _SEG), *(_unpack(x, _SEG) for k, x in zip(kinds, blobs) if k == 0)])
+    del blobs, table
+    o, again = _firsts(segs["h"] ^ mix(segs["key"]), segs["doc"], segs["start"])
+    segs = segs[o]
+    take = lambda s: np.rec.fromarrays([s["doc"], s["th"], s["start"], s["start"] + s["n"] - 1 + LENGTH], dtype=_SPAN)
+    gone = _merge(np.concatenate([*spans, take(segs[again])]))
+    first = segs[~again]
+    first = first[np.argsort(first["key"], kind="stable")]
+    key, h = first["key"], first["h"]
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    many = np.maximum.reduceat(h, edge) != np.minimum.reduceat(h, edge) if len(first) else np.zeros(0, bool)
+    left = first[np.repeat(many, np.diff(np.append(edge, len(first))))]
+    return _spans(np.concatenate([gone, take(left)]), np.repeat([REMOVE, COMPARE], [len(gone), len(left)]))
 
 
 def _suffixes(n: int):
-    """The windows of phrases to compare, each as a phrase of its own."""
+    """Window hashes of the phrases to compare, dealt by trigger and by the trigger's place in the window, which equal
+    windows share; consecutive windows of a phrase share one header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,26 +186,63 @@ def _suffixes(n: int):
             spans = b.column("spans")
             cut, pairs = spans.offsets.to_numpy(), spans.flatten()
             begin, stop = pairs.field("start").to_numpy(), pairs.field("stop").to_numpy()
-            parts = []
-            for lo, hi, raw, off in text_chunks(b):
+            for lo, hi, raw, off in text_chunks(b, limit=CHUNK):
                 a, e = cut[lo] - cut[0], cut[hi] - cut[0]
+                if a == e:
+                    continue
                 doc = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1]))
-                s, n_w = begin[a:e] + off[doc], stop[a:e] - begin[a:e] - LENGTH + 1
-                at = np.repeat(s - np.cumsum(n_w) + n_w, n_w) + np.arange(int(n_w.sum()))
-                doc = np.repeat(doc, n_w)
-                seg = np.empty(len(at), _SEG)
-                h = Prefix(raw).of(at, at + LENGTH)
-                seg["key"], seg["h"], seg["doc"], seg["th"], seg["start"], seg["n"] = h, 0, doc_ids[lo + doc], th[lo + doc], at - off[doc], 1
-                parts.append(seg)
-                if sum(map(len, parts)) > 4_000_000:
-                    yield from _settle(parts, n)
-                    parts = []
-            if parts:
-                yield from _settle(parts, n)
+                s, count = begin[a:e] + off[doc], stop[a:e] - begin[a:e] - LENGTH + 1
+                pre = Prefix(raw)
+                grams = s[:, None] + np.arange(LENGTH - TRIGGER + 1)[None, :]
+                g = pre.of(grams.ravel(), grams.ravel() + TRIGGER).reshape(grams.shape)
+                place, key = s + g.argmin(axis=1), g.min(axis=1)
+                of = np.repeat(np.arange(len(s)), count)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + s[of]
+                part = (place[of] - at) // SLICE
+                first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (part[1:] != part[:-1])))
+                runs = np.diff(np.append(first, len(of)))
+                head = np.empty(len(first), _HEAD)
+                d = doc[of[first]]
+                head["doc"], head["th"], head["start"], head["n"] = doc_ids[lo + d], th[lo + d], at[first] - off[d], runs
+                bucket = (mix(key[of[first]] + part[first].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+                yield _send_runs(head, pre.of(at, at + LENGTH), first, bucket)
 
     return run
 
 
+def _send_runs(head: np.ndarray, h: np.ndarray, first: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    o = np.argsort(bucket, kind="stable")
+    used, start = np.unique(bucket[o], return_index=True)
+    blobs = []
+    for lo, hi in zip(start, np.append(start[1:], len(o))):
+        k = o[lo:hi]
+        n = head["n"][k].astype(np.int64)
+        at = np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        blobs.append(len(k).to_bytes(4, "little") + _pack(head[k]) + h[at].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.zeros(len(used), np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
+
+
+def _rank(table: pa.Table) -> pa.Table:
+    """Of one bucket: the windows that an earlier one equals."""
+    heads, hashes = [np.zeros(0, _HEAD)], [np.zeros(0, np.uint64)]
+    for blob in table.column("blob").to_pylist():
+        size = 4 + int.from_bytes(blob[:4], "little") * _HEAD.itemsize
+        heads.append(_unpack(blob[4:size], _HEAD))
+        hashes.append(np.frombuffer(blob, np.uint64, offset=size))
+    head, h = np.concatenate(heads), np.concatenate(hashes)
+    n = head["n"].astype(np.int64)
+    start = np.repeat(head["start"].astype(np.int64) - np.cumsum(n) + n, n) + np.arange(len(h))
+    o, again = _firsts(h, np.repeat(head["doc"], n), start)
+    k = o[again]
+    of = np.repeat(np.arange(len(head)), n)[k]
+    gone = _merge(np.rec.fromarrays([head["doc"][of], head["th"][of], start[k], start[k] + LENGTH], dtype=_SPAN))
+    return _spans(gone, np.full(len(gone), REMOVE))
+
+
+def _spans(s: np.ndarray, kind: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(s["doc"]), pa.array(s["th"].astype(np.int64)), pa.array(s["start"].astype(np.int64)), pa.array(s["end"].astype(np.int64)), pa.array(kind.astype(np.int32))], names=["doc", "th", "start", "stop", "kind"])
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         doc_ids, _ = _ids(b)
@@ -236,10 +266,8 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(texts: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Joins the documents' spans; by broadcast only if their table is small."""
-    small = int(str(spans._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
-    t = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_NULL)))
-    return t.join(F.broadcast(spans) if small else spans, ["doc", "th"], how)
+    """Joins the documents' spans."""
+    return texts.withColumn("doc", F.coalesce("doc_id", F.lit(_NULL))).join(spans, ["doc", "th"], how)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -247,14 +275,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     remove, of every document that has any; spans may overlap."""
     texts = _texts(docs)
     n = 4 * max(2, texts.rdd.getNumPartitions())
-    found = texts.mapInArrow(_parse(n), _BLOBS).groupBy("bucket").applyInArrow(_dictionary(True), _SPANS)
+    found = texts.mapInArrow(_parse(n), _BLOBS).groupBy("bucket").applyInArrow(_dictionary, _SPANS)
     pair = F.struct("start", "stop")
     grouped = found.groupBy("doc", "th").agg(F.collect_list(F.when(F.col("kind") == REMOVE, pair)).alias("gone"), F.collect_list(F.when(F.col("kind") == COMPARE, pair)).alias("open"))
     first = materialize(grouped, "repeats-phrases")
     release(docs.sparkSession)
     open_ = first.where(F.size("open") > 0).select("doc", "th", F.col("open").alias("spans"))
     windows = _with_spans(texts, open_, "inner").select("doc_id", "th", "text", "spans").mapInArrow(_suffixes(n), _BLOBS)
-    again = windows.groupBy("bucket").applyInArrow(_dictionary(False), _SPANS).groupBy("doc", "th").agg(F.collect_list(pair).alias("gone"))
+    again = windows.groupBy("bucket").applyInArrow(_rank, _SPANS).groupBy("doc", "th").agg(F.collect_list(pair).alias("gone"))
     second = materialize(again, "repeats-suffixes")
     release(docs.sparkSession)
     both = first.where(F.size("gone") > 0).select("doc", "th", "gone").unionByName(second)
