@@ -59,7 +59,7 @@ def event_only_events(weights: DataFrame, covered: DataFrame, min_event_score: f
 
 def build_result(events: DataFrame, suppressed: DataFrame, endep: int) -> DataFrame:
     """One row: the event document, highest score first."""
-    order = F.struct((-F.col("score")).alias("k"), F.monotonically_increasing_id().alias("n"), F.struct(*events.columns).alias("e"))
+    order = F.struct((-F.col("score")).alias("k"), F.to_json(F.struct(*events.columns)).alias("n"), F.struct(*events.columns).alias("e"))
     e = events.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["e"]).alias("events"), F.max("score").alias("m"), F.count("*").alias("n_events"))
     s = suppressed.agg(F.array_sort(F.collect_list(F.struct("itemid", F.lit("seasonal").alias("reason"), F.round("seasonal_z", 4).alias("z")))).alias("suppressed"))
     return e.crossJoin(s).select(F.lit(endep).cast("long").alias("endep"), F.coalesce("m", F.lit(0.0)).alias("max_score"), "n_events", "events", "suppressed")

@@ -67,8 +67,9 @@ def score_items(x: Inputs, cfg: Source, endep: int) -> DataFrame:
 def detect(x: Inputs, cfg: Source, endep: int) -> Findings:
     """One cycle, from statistics to incidents; nothing is written."""
     fresh, _ = stats.split_stale(x.history_stats, endep, cfg.staleness_secs)
-    kept = filters.apply_item_filters(fresh, x.items, fresh.select("itemid", "mean"), cfg.item_filters)
-    x = Inputs(x.history, x.trends, x.items, kept, x.trends_stats, x.hour_stats)
+    kept = filters.apply_item_filters(fresh, x.items, fresh.select("itemid", "mean"), cfg.item_filters).persist()
+    # a few rows an item, used by every step that follows
+    x = Inputs(x.history, x.trends, x.items, kept, x.trends_stats.persist(), x.hour_stats.persist())
     scores = score_items(x, cfg, endep).drop("is_anomaly").persist()
     ids = scores.select("itemid")
     trends = x.trends.join(ids, "itemid", "left_semi")
