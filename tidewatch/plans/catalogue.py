@@ -494,8 +494,8 @@ def fast_detection(spark, sf):
 # --- recorded anomalies, pages and queues
 
 AN = {
-    "both": f"SELECT itemid, {ENDEP}::BIGINT AS created, score FROM z1 UNION ALL SELECT itemid, {ENDEP - DAY}::BIGINT, score FROM zb",
-    "an": "SELECT itemid, created, group_name, hostid, CASE WHEN itemid % 3 = 0 THEN hostid % 5 ELSE -1 END AS clusterid, host_name, item_name, score, itemid % 2 = 0 AS rescued FROM both JOIN items USING (itemid)",
+    "zz": f"SELECT itemid, {ENDEP}::BIGINT AS created, score FROM z1 UNION ALL SELECT itemid, {ENDEP - DAY}::BIGINT, score FROM zb",
+    "an": "SELECT itemid, created, group_name, hostid, CASE WHEN itemid % 3 = 0 THEN hostid % 5 ELSE -1 END AS clusterid, host_name, item_name, score, itemid % 2 = 0 AS rescued FROM zz JOIN items USING (itemid)",
 }
 
 

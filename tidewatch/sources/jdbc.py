@@ -6,21 +6,22 @@ only those of the pattern.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Source
-from ..functions.scalar import matches_glob
 from ..functions.sequence import keep_latest
 from ..operators.stats import in_range
 from .files import any_glob, restrict
 
 
 def name_matches(column: Column, patterns) -> Column:
-    """Any of the patterns; a plain name also stands for the groups nested below it."""
-    one = lambda p: matches_glob(column, p) if any(c in p for c in "*?[") else (column == p) | column.startswith(p + "/")
+    """Any of the patterns, in which only a star is a wildcard; a plain name also stands for the groups nested below it."""
+    star = lambda p: column.rlike("(?s)^" + ".*".join(map(re.escape, p.split("*"))) + r"\z")
+    one = lambda p: star(p) if "*" in p else (column == p) | column.startswith(p + "/")
     return reduce(lambda a, b: a | b, map(one, patterns), F.lit(not patterns))
 
 
