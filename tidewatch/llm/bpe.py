@@ -16,7 +16,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,12 +39,12 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Cache(dict):
-    def __init__(self, make):
+    def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self._make = make
+        self._make, self._entries = make, entries
 
     def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self._entries:
             self.clear()
         out = self[key] = self._make(key)
         return out
@@ -79,8 +78,8 @@ class ForcedBoundaryCodec:
         #: Runs of white space stay with what follows them.
         self._fragments = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
         self._odd_space = re.compile(f"[{SPACES[len(ASCII_SPACES):]}]")
-        self._pieces = _Cache(self._merge)
-        self._known = _Cache(self._encode_fragment)
+        self._pieces = _Cache(lambda s: tuple(self._merge(s)), CACHE_ENTRIES // 3)
+        self._known = _Cache(self._encode_fragment, CACHE_ENTRIES // 3)
         self._spaced = _Cache(lambda s: self._encode_fragment(" " + s))
 
     def _merger(self, spec: dict):
@@ -100,14 +99,15 @@ class ForcedBoundaryCodec:
         cuts = [k for k, pair in enumerate(zip(fragment, fragment[1:]), 1) if pair in self._forced]
         return [fragment[i:j] for i, j in zip([0, *cuts], [*cuts, len(fragment)])] if cuts else [fragment]
 
-    def _encode_fragment(self, fragment: str) -> tuple[int, str, bytes, tuple[int, ...]]:
+    def _encode_fragment(self, fragment: str) -> tuple[int, str, bytes]:
+        """Number of ids, the ids in decimal, and the bytes that they decode to."""
         ids: list[int] = []
         for part in self._fragments.findall(fragment):
             for piece in self.forced_pieces(part):
                 ids += self._pieces[piece]
-        return len(ids), ",".join(map(str, ids)), b"".join(map(self.token_bytes.__getitem__, ids)), tuple(ids)
+        return len(ids), ",".join(map(str, ids)), b"".join(map(self.token_bytes.__getitem__, ids))
 
-    def _parts(self, text: str) -> list[tuple[int, str, bytes, tuple[int, ...]]]:
+    def _parts(self, text: str) -> list[tuple[int, str, bytes]]:
         if not text:
             return []
         if self._at_special and "<|" in text:
@@ -115,20 +115,21 @@ class ForcedBoundaryCodec:
             for k, part in enumerate(self._at_special.split(text)):
                 if k % 2:
                     i = self._special[part]
-                    out.append((1, str(i), self.token_bytes[i], (i,)))
+                    out.append((1, str(i), self.token_bytes[i]))
                 elif part:
                     out += self._plain(part)
             return out
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[tuple[int, str, bytes, tuple[int, ...]]]:
+    def _plain(self, text: str) -> list[tuple[int, str, bytes]]:
         if text[0] == " " or not text.isascii() and self._odd_space.search(text) or any(x in text for x in ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")):
             return list(map(self._known.__getitem__, self._fragments.findall(text)))
         head, *rest = text.split(" ")  # every space follows something else: each is a certain cut
         return [self._known[head], *map(self._spaced.__getitem__, rest)]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([p[3] for p in self._parts(text)]))
+        parts = self._parts(text)
+        return list(map(int, ",".join([p[1] for p in parts]).split(","))) if parts else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")

@@ -37,6 +37,8 @@ MIN_SHARE, MIN_DOCS = 1 / 300, 4
 EPOCHS = 8
 DECAY = 2e-3
 THRESHOLD = 0.3
+#: Bytes of text scored at a time.
+CHUNK = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -213,7 +215,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
-    epochs = int(np.clip(40_000 // len(y), epochs, 60))  # small samples need more rounds for as many steps
+    epochs = int(np.clip(24_000 // len(y), epochs, 60))  # small samples need more rounds for as many steps
     for epoch in range(epochs):
         if epoch:
             score = np.concatenate([net.forward(*net.block(ids, chars, start[lo : lo + 4096], length[lo : lo + 4096])[:3]) for lo in range(0, len(start), 4096)])
@@ -267,7 +269,7 @@ def _scored(docs: DataFrame, net: ToxicityNet | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            for lo, hi, raw, off in text_chunks(b):
+            for lo, hi, raw, off in text_chunks(b, limit=CHUNK):
                 score = m.score_documents(raw, off) if m else np.zeros(hi - lo)
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), pa.array(score)], names=[*b.schema.names, "toxicity_score"])
 
