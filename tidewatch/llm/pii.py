@@ -140,14 +140,20 @@ def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame:
     seen = rows.where(F.size("near") > 0).select("th", F.explode("near").alias("x")).select("th", "x.entity", "x.term").distinct()
     joint = materialize(seen.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_TEXTS), "pii-pairs")
     alone = rows.where(F.size("base") > 0).select("th", F.explode("base.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = materialize(joint.select("term").distinct(), "pii-terms")
+    nearby = seen.select("th", "term").distinct().groupBy("term").agg(F.count("*").alias("n_c"))
+    n = F.lit(float(total or 1))
+    ic = -F.log(F.col("n_e") / n)
+
+    def ratio(n_t: Column) -> Column:
+        return F.when(ic > 0, F.log(F.col("n_et") * n / (F.col("n_e") * F.greatest(n_t, F.col("n_et")))) / ic).otherwise(0.0)
+
+    # a term is in as many texts at least as it is near entities in: common words can't disclose, and aren't counted further
+    may = materialize(joint.join(alone, "entity").join(nearby, "term").where(ratio(F.col("n_c")) >= GENERALISE), "pii-candidates")
+    terms = materialize(may.select("term").distinct(), "pii-terms")
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     words = text.select(F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     everywhere = words.join(terms, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(total or 1))
-    pmi = F.log(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    ic = -F.log(F.col("n_e") / n)
-    scored = joint.join(alone, "entity").join(everywhere, "term").withColumn("ratio", F.when(ic > 0, pmi / ic).otherwise(0.0))
+    scored = may.join(everywhere, "term").withColumn("ratio", ratio(F.col("n_t")))
     return scored.where(F.col("ratio") >= GENERALISE).select("entity", "term", "ratio")
 
 
