@@ -418,7 +418,8 @@ def hourly_detection(spark, sf):
     from ..config import Detectors
 
     cfg = Source(history_interval=4800, staleness_secs=DAY, detectors=Detectors(ZScore(lambda_threshold=1.0), Changepoint(cusum_h=2.0), Seasonal(lambda_threshold=1.0)), ensemble=Ensemble(0.3, 2), anomaly_filters=())
-    found = detect(Inputs(v.hist, v.trends, v.items, v.recent, v.full, v.hours), cfg, ENDEP)
+    # cut the plan where many steps start from: each of these is small beside the raw samples' scan
+    found = detect(Inputs(*(x.persist() for x in (v.hist, v.trends, v.items, v.recent, v.full, v.hours))), cfg, ENDEP)
     return found.gated.join(found.clusters, "itemid", "left").select("itemid", "category", r("score"), r("raw_score"), "is_anomaly", F.coalesce("clusterid", F.lit(-1)).alias("clusterid"))
 
 
