@@ -126,6 +126,17 @@ def test_redaction(spark):
     assert Counter((r.doc_id, r.text, r.n_chars) for r in out.collect()) == expect
 
 
+def test_entities_that_occur_once(spark):
+    """Most personal data is unique: a term that stands only there gives it away, a common word doesn't."""
+    rows = [(i, f"common words stand here too, copy number {i}") for i in range(60)]
+    rows += [(100, "common zyxwvut a.b@c.example words"), (101, "words common qwertz +1 523 555 1055"), (102, "words common qwertz +1 523 555 1055")]
+    want = brute(rows)
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert got == {i: listed(want[t][1]) for i, t in rows}
+    assert got[100] == "email:15:28,removed:7:14"
+    assert got[101] == got[102] == "phone:20:35,removed:13:19"
+
+
 def test_empty_and_clean(spark):
     assert pii.personal_data(frame(spark, [])).count() == 0
     got = pii.personal_data(frame(spark, [(1, "no data at all")])).collect()

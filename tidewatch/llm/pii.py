@@ -6,9 +6,10 @@ backtracking; where a match of the plain pattern must start is stated by what pr
 Method. The values found are the protected entities e. A term t is a word of four letters or more within CONTEXT code
 points of an entity. Over the distinct texts of the corpus, with n(.) the number of texts that hold something and N all
 of them, PMI(e; t) = ln(n(e, t) N / (n(e) n(t))) and IC(e) = -ln(n(e) / N): a term with PMI = IC gives the entity away
-wholly. Pairs seen in MIN_TEXTS texts or more are judged by PMI / IC: from REMOVE on, the term is removed where it
-stands near the entity, from GENERALISE on, it is generalised. Contexts bound the pairs, so no text gives all pairs of
-its words; texts never leave the scans, only terms near entities and counts are shuffled.
+wholly. Every pair seen together in MIN_TEXTS texts (one: most entities occur once) is judged by PMI / IC: from REMOVE on,
+the term is removed where it stands near the entity, from GENERALISE on, it is generalised. Contexts bound the pairs, so
+no text gives all pairs of its words. Terms are counted everywhere from the distinct terms of each distinct text, before
+pairs are joined with the counts, so that no join gives more rows than there are pairs.
 
 Defined cases: null texts count as empty; rows of equal doc_id and text are judged once and returned each; a null doc_id
 is passed through; corpora without entities have base spans only (none); extra columns are ignored; an empty table gives
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 CONTEXT = 80
-MIN_TEXTS = 3
+MIN_TEXTS = 1
 GENERALISE, REMOVE = 0.85, 0.97
 
 #: The kinds in the order in which they are listed.
@@ -147,12 +148,13 @@ def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame:
     def ratio(n_t: Column) -> Column:
         return F.when(ic > 0, F.log(F.col("n_et") * n / (F.col("n_e") * F.greatest(n_t, F.col("n_et")))) / ic).otherwise(0.0)
 
-    # a term is in as many texts at least as it is near entities in: common words can't disclose, and aren't counted further
-    may = materialize(joint.join(alone, "entity").join(nearby, "term").where(ratio(F.col("n_c")) >= GENERALISE), "pii-candidates")
-    terms = materialize(may.select("term").distinct(), "pii-terms")
+    # a term is in as many texts at least as it is near entities in: pairs with common words can't disclose, and go no further
+    may = joint.join(alone, "entity").join(nearby, "term").where(ratio(F.col("n_c")) >= GENERALISE)
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    words = text.select(F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    everywhere = words.join(terms, "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    # terms are letters only: a text's are one string until copies are folded
+    words = F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))), " ")
+    folded = text.select(F.xxhash64("text").alias("th"), words.alias("terms")).where("terms <> ''").groupBy("th").agg(F.first("terms").alias("terms"))
+    everywhere = folded.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     scored = may.join(everywhere, "term").withColumn("ratio", ratio(F.col("n_t")))
     return scored.where(F.col("ratio") >= GENERALISE).select("entity", "term", "ratio")
 
