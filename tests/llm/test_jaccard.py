@@ -1,7 +1,9 @@
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidewatch.llm import jaccard as jc
@@ -72,6 +74,36 @@ def test_large_buckets(spark, monkeypatch, bucket):
     assert run(spark, rows) == brute(rows)
 
 
+def at_threshold(k):
+    """Two texts of 96 and 120 shingles, the first within the second."""
+    w = [f"p{k}w{i}" for i in range(124)]
+    return " ".join(w[:100]), " ".join(w)
+
+
+def test_recall_at_the_threshold(spark, monkeypatch):
+    """All shared buckets are too large at the first level: a pair shares fewer, and must share enough nevertheless."""
+    monkeypatch.setattr(jc, "BUCKET", 1)
+    n, recall = 400, 0.9
+    rows = [(2 * k + i, t) for k in range(n) for i, t in enumerate(at_threshold(k))]
+    got = run(spark, rows, recall=recall)
+    found = sum(c for (d, low, links, _), c in got.items() if d % 2 and links == 1 and low == d - 1)
+    assert found >= recall * n - 3 * (n * recall * (1 - recall)) ** 0.5
+
+
+def test_runs_give_recall_below_large_buckets():
+    """Sampling as the operator does it, J = 400 / 500, one set within the other, leaves of the last level only."""
+    rng = np.random.default_rng(6)
+    runs, trials, lost = jc.runs_for(jc.RECALL), 4000, 0
+    bar = np.uint64((1 << 64) * jc.DEN // (jc.NUM * 500))
+    for _ in range(trials):
+        g = rng.integers(0, 1 << 63, 400, np.uint64) * np.uint64(2)
+        leaves = 0
+        for r in range(runs):
+            leaves += math.prod(int((jc.mix(g ^ jc._seed(r, level)) <= bar).sum()) for level in range(jc.LEVELS))
+        lost += leaves < 3
+    assert lost <= 1  # 0.04 expected
+
+
 def test_empty(spark):
     assert run(spark, []) == Counter()
     assert run(spark, [(1, "")]) == Counter([(1, 1, 0, 0)])

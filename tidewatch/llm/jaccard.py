@@ -5,9 +5,10 @@ shingle). Equal sets are folded first; what follows works on distinct sets. In e
 shingles, each with probability 1 / (threshold * size), by a hash of the run and the shingle, so that similar sets choose
 the same ones; a sampled shingle is a child bucket. Buckets of at most BUCKET sets are compared by brute force; larger
 ones are split again by another sample. A bucket that is still larger at the last level is compared whole as well, in
-tiles of two groups of about BUCKET sets. Runs are repeated until a pair at the threshold is found with probability
-RECALL: then it shares so many buckets (one for each run, on average) that pairs with fewer than 3 in common, 2 in tiles,
-are left out without losing recall that counts. Every candidate pair is verified on the full sets, and counted in the first of the buckets it shares.
+tiles of two groups of about BUCKET sets. A pair is compared if it shares LEAST buckets or more (pairs with one passage in
+common share fewer); runs are so many that a pair at the threshold does with probability RECALL, whether its buckets are
+those of the first level or of the last. Every candidate pair is verified on the full sets, and counted in the first of the
+buckets it shares.
 
 Pairs are never emitted: a bucket gives its members' link counts and a spanning forest of its links. Classes are the
 connected components of the forests, by alternating star contraction on tables in shared storage.
@@ -37,15 +38,38 @@ NUM, DEN = 4, 5
 BUCKET = 256
 RECALL = 0.99999
 LEVELS = 2
+LEAST = 3
 _NULL = -(1 << 63)
 
 
-def runs_for(recall: float, levels: int = LEVELS) -> int:
-    """Runs after which a pair at the threshold has shared a bucket with probability `recall`."""
-    q = 1.0
-    for _ in range(levels):  # the number of shared children is Poisson with mean 1, thinned by what the child finds
-        q = 1 - math.exp(-q)
-    return math.ceil(math.log(1 - recall) / math.log(1 - q))
+def _shared(depth: int, upto: int) -> np.ndarray:
+    """P(a pair at the threshold shares 0, 1, .. upto - 1 buckets of level `depth` in one run).
+
+    It has sampled a Poisson number of shingles in common at each level, with mean 1 at least, the same ones below every
+    bucket of a run: the shared buckets are the product of these numbers.
+    """
+    one = np.array([math.exp(-1) / math.factorial(k) for k in range(upto)])
+    out = one
+    for _ in range(depth - 1):
+        p = np.zeros(upto)
+        for i in range(1, upto):
+            for j in range(1, (upto - 1) // i + 1):
+                p[i * j] += out[i] * one[j]
+        p[0] = 1 - (1 - out[0]) * (1 - one[0])
+        out = p
+    return out
+
+
+def runs_for(recall: float, levels: int = LEVELS, least: int = LEAST) -> int:
+    """Runs after which a pair at the threshold has shared `least` buckets with probability `recall`, at any level."""
+    most = 1
+    for depth in range(1, levels + 1):
+        one = _shared(depth, least)
+        total, runs = one, 1
+        while total.sum() > 1 - recall:
+            total, runs = np.convolve(total, one)[:least], runs + 1
+        most = max(most, runs)
+    return most
 
 
 def _seed(run: int, level: int) -> np.uint64:
@@ -189,7 +213,7 @@ def _tiles(leaves: DataFrame, reps: DataFrame) -> DataFrame:
     groups = F.when(F.col("c") > BUCKET, F.ceil(F.col("c") / BUCKET)).otherwise(1).cast("int")
     dealt = leaves.join(own, "s").withColumn("groups", groups).withColumn("g", F.pmod(F.xxhash64("s", "leaf"), F.col("groups")).cast("int"))
     j = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("j")
-    rows = dealt.select("s", "n", "leaves", "leaf", "g", F.when(F.col("groups") > 1, 2).otherwise(3).alias("least"), j)
+    rows = dealt.select("s", "n", "leaves", "leaf", "g", F.when(F.col("groups") > 1, LEAST - 1).otherwise(LEAST).alias("least"), j)
     rows = rows.select("s", "n", "leaves", "leaf", "g", "least", F.least("g", "j").alias("a"), F.greatest("g", "j").alias("b"))
     rows = rows.withColumn("key", F.xxhash64("leaf", "a", "b"))
     dealt = rows.repartition("key").sortWithinPartitions("key")
