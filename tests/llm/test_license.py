@@ -87,3 +87,20 @@ def test_scan(spark):
     assert {by[k].license for k in (201, 202, 203)} == {None}
     assert sorted(str(r.license) for r in got if r.doc_id == 200) == ["None", "mit-notice"]
     assert lic.license_scan(df.limit(0)).count() == 0
+
+
+def test_telling_words_and_texts(spark):
+    rows = [
+        ("Licensed under CC BY-SA 4.0", "cc-by-sa-4.0-notice"),
+        ("this file is distributed under the BSD license", "bsd-notice"),
+        ("the film was released under the title of the book", None),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "lgpl-3.0-notice"),
+        ("This work is licensed under the GNU General Public License, version 2.", "gpl-2.0-notice"),
+        ("This work is licensed under the Example General Public License, version 9.", None),
+    ]
+    for name in ("bsd-2-clause", "bsd-3-clause", "mpl-2.0", "lgpl-2.1", "cc0-1.0"):
+        ws = lic.bodies()[f"{name}-text"].split()
+        rows.append((" ".join(["some words before"] * 40 + ws), f"{name}-text"))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, (t, _) in enumerate(rows)], SCHEMA)
+    got = {r.doc_id: r.license for r in lic.license_scan(df).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(rows)}

@@ -7,7 +7,11 @@ it. The share of the template's words that are matched is its coverage.
 Where to align: coverage of MIN_COVERAGE leaves at most a certain number of template words unmatched, so of one more than
 that number of its rarest words at least one must be in the text. Every occurrence of such a word gives a stretch around
 the place where the template would lie; stretches that hold too few of the template's words are left out, which loses
-none. So whole texts are scanned, and repeated notices or long texts don't hide anchors. One pass, no shuffle.
+none. Full license texts (`licenses/`) are looked for only in texts that hold enough of their words at all, in coarser
+stretches that take in the finer ones. So whole texts are scanned, and repeated notices or long texts don't hide anchors. One pass, no shuffle.
+
+Short notices and headers differ from each other, and from plain prose, in a word or two: their telling phrases must be
+matched word by word without a gap.
 
 Defined cases: null and empty texts have no license; ties go to the template listed first; rows of equal doc_id are
 scanned each; extra columns are ignored; an empty table gives no rows.
@@ -20,6 +24,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,7 +60,41 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies."
     ),
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+}
+#: Name to the phrases that must be matched without a gap.
+TELLING = {
+    "gpl-3.0-notice": ("gnu general public license", "version 3"),
+    "cc-by-nc-4.0-notice": ("cc by-nc 4.0",),
+    "mit-notice": ("mit license",),
+    "apache-2.0-notice": ("apache license", "version 2.0"),
+    "gpl-3.0-header": ("gnu general public license", "version 3"),
 }
+for _name in ("BSD", "ISC", "zlib", "Artistic", "Unlicense"):
+    TEMPLATES[f"{_name.lower()}-notice"] = f"Released under the {_name} License."
+    TELLING[f"{_name.lower()}-notice"] = (f"{_name.lower()} license",)
+for _kind, _long in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc", "Attribution-NonCommercial"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives")):
+    for _v, _area in (("4.0", "International"), ("3.0", "Unported"), ("2.0", "Generic")):
+        TEMPLATES.setdefault(f"cc-{_kind}-{_v}-notice", f"Licensed under CC {_kind.upper()} {_v}.")
+        TELLING[f"cc-{_kind}-{_v}-notice"] = (f"cc {_kind} {_v}",)
+        TEMPLATES[f"cc-{_kind}-{_v}-long-notice"] = f"This work is licensed under a Creative Commons {_long} {_v} {_area} License."
+        TELLING[f"cc-{_kind}-{_v}-long-notice"] = (f"creative commons {_long.lower()} {_v}",)
+for _id, _family, _v in (("gpl", "GNU General", "2"), ("lgpl", "GNU Lesser General", "2.1"), ("lgpl", "GNU Lesser General", "3"), ("agpl", "GNU Affero General", "3"), ("mpl", "Mozilla", "1.1"), ("mpl", "Mozilla", "2.0"), ("epl", "Eclipse", "1.0"), ("epl", "Eclipse", "2.0")):
+    _name = f"{_id}-{_v if '.' in _v else _v + '.0'}"
+    TELLING[f"{_name}-notice"] = (f"{_family.lower()} public license", f"version {_v}")
+    TEMPLATES[f"{_name}-notice"] = f"This work is licensed under the {_family} Public License, version {_v}."
+    if _id.endswith("gpl"):
+        TELLING[f"{_name}-header"] = TELLING[f"{_name}-notice"]
+        TEMPLATES[f"{_name}-header"] = TEMPLATES["gpl-3.0-header"].replace("GNU General", _family).replace("version 3", f"version {_v}")
+
+
+@cache
+def bodies() -> dict[str, str]:
+    """Full license texts by name."""
+    return {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 
 def words_of(text: str) -> list[str]:
@@ -105,49 +145,75 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     """Templates prepared for scanning."""
 
-    def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE):
-        self.templates = []
+    def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE, texts: dict[str, str] | None = None, telling: dict[str, tuple[str, ...]] | None = None):
+        self.templates, self.bodies = self._prepared(templates, min_coverage), self._prepared(texts or {}, min_coverage)
+        self.any = sorted({w for *_, marks in self.templates for w in marks})
+        self.marked = set(self.any)
+        self.body_marks = {w for *_, marks in self.bodies for w in marks}
+        self.body_words = {w for _, ws, *_ in self.bodies for w in ws}
+        self.least_body = min((need for *_, need, _ in self.bodies), default=0)
+        self.telling: dict[str, list[tuple[int, int]]] = {}
+        for name, phrases in (telling or {}).items():
+            ws = words_of(templates.get(name, ""))
+            spans = [(k, k + len(p)) for p in map(words_of, phrases) for k in range(len(ws)) if ws[k : k + len(p)] == p]
+            self.telling[name] = spans
+
+    @staticmethod
+    def _prepared(templates: dict[str, str], min_coverage: float) -> list[tuple]:
+        out = []
         common = Counter(w for t in templates.values() for w in set(words_of(t)))
         for name, text in templates.items():
             ws = words_of(text)
             need = max(1, math.ceil(min_coverage * len(ws) - 1e-9))
             rare = sorted(range(len(ws)), key=lambda k, ws=ws: (common[ws[k]], -len(ws[k]), k))[: len(ws) - need + 1]
+            seldom = {ws[r] for r in rare}
             marks: dict[str, list[int]] = {}
             for k, w in enumerate(ws):
-                if any(ws[r] == w for r in rare):
+                if w in seldom:
                     marks.setdefault(w, []).append(k)
-            self.templates.append((name, ws, Counter(ws), need, marks))
-        self.any = sorted({w for *_, marks in self.templates for w in marks})
+            out.append((name, ws, Counter(ws), need, marks))
+        return out
+
+    def _told(self, name: str, pairs: list[tuple[int, int]]) -> bool:
+        at = {y: x for x, y in pairs}
+        return all(all(at.get(k, -1) == at.get(i, -1) + k - i for k in range(i, j)) and i in at for i, j in self.telling.get(name, ()))
 
     def scan(self, text: str) -> tuple[str, float, int, int] | None:
         """(name, coverage, matched words, position of the first matched word) of the best template, if any is covered enough."""
         low = text.lower()
-        if not any(w in low for w in self.any):
+        if not self.bodies and not any(w in low for w in self.any):
             return None
         ws = WORD.findall(low)
+        held = Counter(w for w in ws if w in self.body_words)
+        chosen = list(enumerate(self.templates))
+        if self.bodies and held.total() >= self.least_body:
+            for order, t in enumerate(self.bodies, len(chosen)):
+                if sum(min(n, c) for x, n in t[2].items() if (c := held.get(x))) >= t[3]:
+                    chosen.append((order, t))
+        marked = self.marked if len(chosen) == len(self.templates) else self.marked | self.body_marks
         at: dict[str, list[int]] = {}
-        marked = set(self.any)
         for k, w in enumerate(ws):
             if w in marked:
                 at.setdefault(w, []).append(k)
         if not at:
             return None
         best = None
-        for order, (name, t, count, need, marks) in enumerate(self.templates):
+        for order, (name, t, count, need, marks) in chosen:
             slack = len(t) // 4 + 4
+            step = slack if order >= len(self.templates) else 1
             seen: set[int] = set()
             for w, offsets in marks.items():
                 for k in at.get(w, ()):
                     for o in offsets:
-                        lo = k - o - slack
+                        lo = (k - o - slack) // step * step
                         if lo in seen:
                             continue
                         seen.add(lo)
-                        part = ws[max(0, lo) : k - o + len(t) + slack]
+                        part = ws[max(0, lo) : lo + 2 * slack + len(t) + step - 1]
                         if sum(min(n, c) for x, n in Counter(part).items() if (c := count.get(x))) < need:
                             continue
                         pairs = align(part, t)
-                        if len(pairs) >= need:
+                        if len(pairs) >= need and self._told(name, pairs):
                             key = (len(pairs) / len(t), len(pairs), -order, -(max(0, lo) + pairs[0][0]))
                             if best is None or key > best[0]:
                                 best = (key, name)
@@ -159,10 +225,10 @@ class Scanner:
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """doc_id, license (null if none), coverage (to 6 digits), n_matched and start_word of every document."""
-    chosen = TEMPLATES if templates is None else templates
+    chosen, texts, telling = (TEMPLATES, bodies(), TELLING) if templates is None else (templates, {}, {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(chosen, min_coverage)
+        scanner = Scanner(chosen, min_coverage, texts, telling)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
