@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from tidewatch import config, schemas
 from tidewatch.functions.scalar import category_index, category_name, matches_glob, ramp
 from tidewatch.operators import cluster, detectors, evaluate, fast, filters, gates, pages, stats
-from tidewatch.plans import backtest
+from tidewatch.operators.graph import components
+from tidewatch.plans import backtest, cycle
 from tidewatch.plans.lock import Held, single_instance
 from tidewatch.sources.files import CsvSource, read_labels
+from tidewatch.sources import stores
+from tidewatch.sources.jdbc import JdbcSource
 from tidewatch.sources.stores import Stores, write_csv, write_event_file
+from tidewatch.streaming import fast as stream
 
 
 def rows(df, *cols):
@@ -191,12 +195,74 @@ def test_csv_source(spark, tmp_path):
 
 def test_event_file(spark, tmp_path):
     e = spark.createDataFrame([(0.5, 1)], "score double, n_items long")
-    q = spark.createDataFrame([], "itemid long, seasonal_z double")
+    q = spark.createDataFrame([(9, 1.0)], "itemid long, seasonal_z double")
     out = f"{tmp_path}/events.json"
     write_event_file(fast.build_result(e, q, 77), f"file://{out}")
     write_event_file(fast.build_result(e, q, 78), f"file://{out}")
     got = json.load(open(out))
-    assert (got["endep"], got["n_events"], got["max_score"]) == (78, 1, 0.5) and not os.path.exists(f"{out}.tmp")
+    assert (got["ts"], got["n_events"], got["max_score"]) == (78, 1, 0.5) and not os.path.exists(f"{out}.tmp")
+    assert got["suppressed"] == [{"item_id": 9, "reason": "seasonal_expected"}] and got["dashboard_url"] is None
+
+
+def test_event_document(spark, tmp_path):
+    s = spark.createDataFrame([(1, 0.5, 100.0), (2, 0.5, 3.0), (3, 0.25, None)], "itemid long, score double, h_mean double")
+    c = spark.createDataFrame([(1, 0), (2, 0)], schemas.CLUSTERS)
+    items = spark.createDataFrame([(1, "h", "k1"), (2, "h", "k2")], "itemid long, host_name string, key_ string")
+    w = spark.createDataFrame([("g", 0.8)], "host_name string, weight double")
+    events = fast.score_events(s, c, items).withColumn("host", F.lit(None).cast("string")).unionByName(fast.event_only_events(w, items, 0.5))
+    none = spark.createDataFrame([], "itemid long, seasonal_z double")
+    got = write_event_file(fast.build_result(events, none, 1782259742), f"file://{tmp_path}/e.json")
+    assert {k: got[k] for k in ("ts", "max_score", "n_events", "suppressed", "dashboard_url")} == {"ts": 1782259742, "max_score": 0.8, "n_events": 3, "suppressed": [], "dashboard_url": None}
+    alone, pair, single = got["events"]
+    assert alone == {"score": 0.8, "n_items": 0, "cluster": -1, "reason": "host_events", "event_boost": 0.8, "items": [], "host": "g"}
+    assert pair["score"] == 0.75 and pair["cluster"] == 0 and pair["items"][0] == {"item_id": 1, "host": "h", "key": "k1", "score": 0.5, "recent_mean": 100.0} and "host" not in pair
+    assert single["cluster"] == -1 and single["items"] == [{"item_id": 3, "host": "", "key": "", "score": 0.25, "recent_mean": None}]
+    paged = rows(pages.pages_for_events(events), "page", "itemid", "pos")
+    assert paged == [("event2_cluster0", 1, 0), ("event2_cluster0", 2, 1), ("event3", 3, 0)]
+    empty = write_event_file(fast.build_result(events.limit(0), none, 123), f"file://{tmp_path}/e.json")
+    assert empty == {"ts": 123, "max_score": 0.0, "n_events": 0, "events": [], "suppressed": [], "dashboard_url": None}
+
+
+def test_cluster_pages(spark):
+    an = lambda data: spark.createDataFrame(data, "group_name string, hostid long, clusterid int, itemid long")
+    got = rows(pages.pages_by_cluster(an([("A", 1, 5, 10), ("A", 1, 5, 10), ("B", 2, 5, 11), ("C", 3, 7, 20), ("D", 4, -1, 30)])), "page", "itemid", "pos")
+    assert got == [("cluster5", 10, 0), ("cluster5", 11, 1), ("singletons", 20, 1), ("singletons", 30, 0)]
+    many = [("g", h, c + 100, c * 10 + h) for c in range(60) for h in (0, 1)]
+    assert pages.pages_by_cluster(an(many)).select("page").distinct().count() == 50
+    noisy = pages.pages_by_cluster(an([*many, ("g", 1, -1, 9999)]))
+    assert noisy.select("page").distinct().count() == 50 and rows(noisy.where("page = 'singletons'"), "itemid") == [(9999,)]
+    cycles = an([("g", 1, 0, 11), ("g", 2, 0, 12), ("g", 1, 0, 21), ("g", 2, 0, 22)]).withColumn("created", F.when(F.col("itemid") < 20, 1000).otherwise(9000))
+    assert rows(pages.pages_by_cluster(cycles), "page", "itemid") == [("cluster0", 11), ("cluster0", 12), ("cluster1000", 21), ("cluster1000", 22)]
+
+
+def test_grid_of_widgets(spark):
+    paged = spark.createDataFrame([("A", i) for i in range(101, 106)], "page string, itemid long")
+    labels = spark.createDataFrame([(101, "h: k")], "itemid long, header string")
+    got = rows(pages.page_layout(paged, labels), "itemid", "x", "y", "header")
+    assert got == [(101, 0, 0, "h: k"), (102, 15, 0, ""), (103, 30, 0, ""), (104, 45, 0, ""), (105, 0, 5, "")]
+    bands = spark.createDataFrame([(1, 0.9, "high"), (2, 0.0, "low"), (3, 0.95, "high")], "itemid long, score double, band string")
+    got = rows(pages.page_layout(pages.pages_by_band(bands), width=pages.REVIEW_WIDTH, suffix_always=False), "page", "itemid", "x")
+    assert got == [("high_score", 1, 16), ("high_score", 3, 0), ("low_score", 2, 0)]
+
+
+def test_saved_notes(spark):
+    labels = spark.createDataFrame([(1, 1, "i", 0.5), (2, 0, "", 1.0), (3, -1, "", 1.0)], "item_id long, label int, incident string, confidence double")
+    assert rows(pages.labels_for_saving(labels), "item_id", "note", "confidence") == [(1, "anomaly", 0.5), (2, "normal", None), (3, "skip", None)]
+
+
+def test_queue_and_master(spark):
+    items = spark.createDataFrame([(i, f"h{i}", "k") for i in range(40)], "itemid long, host_name string, key_ string")
+    scores = spark.createDataFrame([(i, 0.3 if i < 20 else 0.0) for i in range(40)], "itemid long, score double")
+    z = spark.createDataFrame([(1, 1.0, 9.0), (2, 0.9, 5.25)], "itemid long, score double, z double")
+    done = spark.createDataFrame([("h2", "k"), ("h3", "k")], "host_name string, key_ string")
+    got = pages.review_queue(scores, items, done, 5, 4, 3, 7, zscores=z).collect()
+    assert [(r.itemid, r.reason) for r in got if r.band == "flagged"] == [(1, "first-stage z=9.0")]
+    assert sorted(r.band for r in got) == ["boundary"] * 4 + ["control"] * 3 + ["flagged"] and not {2, 3} & {r.itemid for r in got}
+    an = spark.createDataFrame([(i, 50, "g", i, 0 if i < 3 else -1, 0.9 - i / 100, i == 2) for i in (0, 1, 2, 5)], "itemid long, created long, group_name string, hostid long, clusterid int, score double, rescued boolean")
+    got = pages.review_queue(scores, items, done, 5, 4, 3, 7, anomalies=an).where("band = 'flagged'").collect()
+    assert sorted((r.itemid, r.clusterid, r.reason) for r in got) == [(0, 0, "incident cluster 0 (3 items, 1 rescued)"), (5, -1, "flagged (unclustered)")]
+    assert rows(pages.replay_candidates(an, scores.where("itemid > 18"), 60), "itemid") == [(19,)]
+    assert rows(pages.replay_candidates(an, scores.where("itemid > 18"), 50), "itemid") == [(0,), (1,), (19,), (2,), (5,)]
 
 
 def test_config(tmp_path, monkeypatch):
@@ -228,7 +294,7 @@ def test_pages(spark):
     assert rows(pages.pages_by_group(an), "itemid") == [(0,), (1,), (4,), (5,)]
     many = spark.range(100).select(F.lit("p").alias("page"), F.col("id").alias("itemid"))
     got = pages.page_layout(many)
-    assert {r.page: r["count"] for r in got.groupBy("page").count().collect()} == {"p": 48, "p_2": 48, "p_3": 4}
+    assert {r.page: r["count"] for r in got.groupBy("page").count().collect()} == {"p_1": 48, "p_2": 48, "p_3": 4}
 
 
 def test_replay_records_once(spark):
@@ -238,12 +304,142 @@ def test_replay_records_once(spark):
     for i in range(4):
         for h in range(14 * 24):
             t = end - 3600 * (14 * 24 - h)
-            v = 100 + float(rng.normal(0, 3)) + (80 if i == 0 and t >= end - 7200 else 0)
+            v = 100 + float(rng.normal(0, 3)) + (300 if i == 0 and t >= end - 7200 else 0)
             trends.append((i, t, v - 2, v, v + 2))
         for k in range(72):
             t = end - 600 * (71 - k)
-            hist.append((i, t, 100 + float(rng.normal(0, 3)) + (80 if i == 0 and t >= end - 7200 else 0)))
+            hist.append((i, t, 100 + float(rng.normal(0, 3)) + (300 if i == 0 and t >= end - 7200 else 0)))
     items = spark.createDataFrame([("g", 1, "h", i, f"k{i}", "", f"k{i}") for i in range(4)], schemas.ITEMS)
     cfg = config.Source()
     out = backtest.replay(spark.createDataFrame(hist, schemas.HISTORY), spark.createDataFrame(trends, schemas.TRENDS), items, cfg, [end - 600, end])
     assert [o["recorded"] for o in out] == [[0], []] and out[1]["retained"] == [0]
+    labels = spark.createDataFrame([(i, int(i == 0), "", "", 1.0) for i in range(4)], schemas.LABELS)
+    m = backtest.backtest(spark.createDataFrame(hist, schemas.HISTORY), spark.createDataFrame(trends, schemas.TRENDS), items, labels, cfg, end)
+    assert rows(m["detection"].where("threshold = 0.5"), "tp", "fp", "fn") == [(1, 0, 0)]
+    assert m["scores"].where("is_anomaly").count() == 1
+
+
+def test_components(spark):
+    rng = np.random.default_rng(5)
+    edges = [(i, i + 1) for i in range(50, 90)] + [(int(a), int(b)) for a, b in rng.integers(100, 160, (50, 2))] + [(1, 1)] + [(200, k) for k in range(201, 300)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.s: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_groups_against_one_matrix(spark):
+    """Linkage by components gives what the whole matrix gives."""
+    rng = np.random.default_rng(7)
+    n = 24
+    d = rng.random((n, n))
+    d = (d + d.T) / 2
+    pairs = spark.createDataFrame([(10 * i, 10 * j, float(d[i, j])) for i in range(n) for j in range(i + 1, n)], "i long, j long, distance double")
+    for linkage in ("complete", "average", "dbscan"):
+        cfg = config.Clustering(linkage=linkage, corr_eps=0.25)
+        np.fill_diagonal(d, 0)
+        whole = cluster.density(d, 0.25, 2) if linkage == "dbscan" else cluster.agglomerate(d, 0.25, linkage)
+        groups = {frozenset((10 * np.flatnonzero(whole == x)).tolist()) for x in set(whole.tolist()) if x >= 0 and (whole == x).sum() > 1}
+        got = dict(rows(cluster.group_items(pairs, cfg), "itemid", "clusterid"))
+        assert len(got) == n and {frozenset(i for i, c in got.items() if c == x) for x in set(got.values()) if x >= 0} == groups
+        leads = sorted(min(g) for g in groups)
+        assert all(got[x] == k for k, x in enumerate(leads))
+
+
+def test_day_tables(spark, tmp_path):
+    st = Stores(spark, f"file://{tmp_path}", "ds")
+    st.init()
+    day = 86400
+    st.history.upsert(spark.createDataFrame([(1, 5, 1.0), (1, day + 5, 2.0), (2, 2 * day, 3.0)], schemas.HISTORY))
+    before = {d: t.versions() for d, t in st.history.days().items()}
+    st.history.upsert(spark.createDataFrame([(1, day + 5, 9.0)], schemas.HISTORY))
+    after = {d: t.versions() for d, t in st.history.days().items()}
+    assert [d for d in after if after[d] != before[d]] == [1] and rows(st.history.read(), "value") == [(1.0,), (3.0,), (9.0,)]
+    st.history.delete_before("clock", day + 6)
+    assert rows(st.history.read(), "value") == [(3.0,)] and 0 not in st.history.days()
+    st.history.replace(spark.createDataFrame([(7, 0, 1.0)], schemas.HISTORY))
+    assert rows(st.history.read(), "itemid") == [(7,)]
+
+
+def test_database(spark, tmp_path):
+    """A real database by way of JDBC: pushed ids, ranges, versions, retries."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    put = lambda df, name: df.toDF(*map(str.upper, df.columns)).write.jdbc(url, name, mode="append", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    put(spark.createDataFrame([(1, "h1"), (2, "h2")], "hostid long, name string"), "hosts")
+    put(spark.createDataFrame([(i, 1 + i % 2, f"k{i}", f"n{i}", "B") for i in range(10)], "itemid long, hostid long, key_ string, name string, units string"), "items")
+    put(spark.createDataFrame([(1, 5), (2, 5)], "hostid long, groupid long"), "hosts_groups")
+    put(spark.createDataFrame([(5, "g/x")], "groupid long, name string"), "groups")
+    put(spark.createDataFrame([(3000000,)], "mandatory long"), "dbversion")
+    put(spark.createDataFrame([(i, 100 + i, 0.5 + i) for i in range(10)], "itemid long, clock int, value double"), "history")
+    put(spark.createDataFrame([(i, 200 + i, i) for i in range(10)], "itemid long, clock int, value long"), "history_uint")
+    plain = {"driver": "org.apache.derby.jdbc.EmbeddedDriver", "delay": 0}
+    src = JdbcSource(spark, config.Source(type="jdbc", url=url, options={**plain, "batch_size": 2, "partitions": 3}))
+    assert src.schema_version() == "3000000" and rows(src.get_item_details(), "group_name")[0] == ("g/x",)
+    ids = spark.createDataFrame([(3,), (4,), (8,)], "itemid long")
+    some = src.get_history(103, 204, ids)
+    assert rows(some, "itemid", "value") == [(3, 3.0), (3, 3.5), (4, 4.0), (4, 4.5), (8, 8.5)] and some.rdd.getNumPartitions() <= 4
+    assert rows(src.get_history(0, 1000), "itemid") == sorted([(i,) for i in range(10)] * 2)
+    gone = JdbcSource(spark, config.Source(type="jdbc", url=f"jdbc:derby:{tmp_path}/nowhere", options={**plain, "retries": 2}))
+    with pytest.raises(Exception):  # noqa: B017
+        gone.table("hosts")
+
+
+def test_whole_cycle_with_stores(spark, tmp_path):
+    end = 1_700_000_000 - 1_700_000_000 % 3600
+    rng = np.random.default_rng(4)
+    hist, trends = [], []
+    for i in range(4):
+        for h in range(14 * 24):
+            t = end - 3600 * (14 * 24 - h)
+            v = 100 + float(rng.normal(0, 3)) + (300 if i < 2 and t >= end - 7200 else 0)
+            trends.append((i, t, v - 2, v, v + 2))
+        for k in range(72):
+            t = end - 600 * (71 - k)
+            hist.append((i, t, 100 + float(rng.normal(0, 3)) + (300 if i < 2 and t >= end - 7200 else 0)))
+    folder = f"file://{tmp_path}/data"
+    for name, df in (("history", spark.createDataFrame(hist, schemas.HISTORY)), ("trends", spark.createDataFrame(trends, schemas.TRENDS)), ("items", spark.createDataFrame([("g", 1, "h", i, f"k{i}", "") for i in range(4)], "group_name string, hostid long, host_name string, itemid long, item_name string, units string"))):
+        write_csv(df, f"{folder}/{name}.csv.gz")
+    cfg = config.Source(data_dir=folder)
+    src, st = CsvSource(spark, cfg), Stores(spark, f"file://{tmp_path}/wh", "ds")
+    st.create()
+    cycle.update_statistics(spark, src, st, cfg, end)
+    assert rows(cycle.run_detection(spark, src, st, cfg, end), "itemid") == [(0,), (1,)]
+    found = st.read_anomalies().collect()
+    assert {(r.itemid, r.created, r.rescued) for r in found} == {(0, end, False), (1, end, False)} and all(r.score >= 0.7 for r in found)
+    assert cycle.run_detection(spark, src, st, cfg, end + 600).count() == 0
+    stores.export_anomalies(st.read_anomalies(), f"file://{tmp_path}/out")
+    assert len((tmp_path / "out/anomalies.csv").read_text().splitlines()) == 3
+    stores.export_dataset(src, None, 0, 0, end, f"file://{tmp_path}/copy", [end])
+    again = CsvSource(spark, config.Source(data_dir=f"file://{tmp_path}/copy"))
+    assert again.get_history(0, end).count() == len(hist) and (tmp_path / "copy/cycles.txt").read_text() == f"{end}\n"
+    picked = spark.createDataFrame([(1, 0.9), (2, 0.0)], "itemid long, score double")
+    stores.export_labels(picked, f"file://{tmp_path}/out")
+    assert (tmp_path / "out/labels.csv").read_text().splitlines()[0] == "item_id,label,note"
+    assert stores.write_skeleton_labels(picked, f"file://{tmp_path}/out/new.csv") and not stores.write_skeleton_labels(picked, f"file://{tmp_path}/out/new.csv")
+
+
+def test_streams(spark, tmp_path):
+    schema = "itemid long, clock long, value double"
+    end = 1_700_000_000
+    spark.createDataFrame([(i, end - 60 * k, (50.0 if i == 1 and k < 3 else 10.0) + k % 2) for i in range(3) for k in range(60)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    out = stream.trailing_window_stats(read(), 3600, 600, 0).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert spark.table("windows").where("itemid = 1").agg(F.max("max_value")).first()[0] == 51.0
+    once = stream.detect_once(read(), 7200).writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start()
+    once.awaitTermination()
+    assert rows(spark.table("once"), "itemid") == [(0,), (1,), (2,)]
+    items = spark.createDataFrame([("g", 1, "h", i, f"k{i}", "", f"k{i}") for i in range(3)], schemas.ITEMS)
+    cfg = config.Source(fast_detect=config.FastDetect(True, (config.WatchRule(),), 3600, 3, 3.0, 0.5, False, 3.0, False, False, 0))
+    got = []
+    q = stream.start_fast_axis(read(), lambda a, b: spark.read.parquet(f"{tmp_path}/in"), items, None, cfg, lambda e, t: got.append((t, [r["items"][0].item_id for r in e.collect()])), f"{tmp_path}/cp")
+    q.awaitTermination()
+    assert got == [(end, [1])]

@@ -139,6 +139,7 @@ class Clustering:
     onset_tolerance: int = 2
     onset_recent_samples: int = 3
     max_items: int = 5000
+    rescue_same_incident: bool = True
 
 
 @dataclass(frozen=True)

@@ -1,7 +1,7 @@
 """Incidents: items whose series move together and whose anomalies started together.
 
-Everything up to the pair distances is SQL over the flagged items; only the linkage itself, which is iterative, runs in
-one grouped-map task. Its input is the flagged set, bounded by `max_items` (more is an error, never a cut).
+Charts and ranks are SQL over the flagged items, correlations are blocks of a matrix product, and the linkage, which is
+iterative, runs on each connected component of the close pairs; one of more than `max_items` is an error, never a cut.
 """
 
 from __future__ import annotations
@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 from ..config import Clustering
 from ..functions.scalar import key_family
 from ..functions.sequence import average_rank, linear_fill
+from ..scratch import materialize
+from .graph import components
 from .stats import grid_unit, median_gap
 
 
+#: A grid of more buckets is taken for a clock that is far off.
+MAX_BUCKETS = 1_000_000
+
+
 def usable_items(history: DataFrame, unit: DataFrame) -> DataFrame:
     """Items sampled at least half as often as the grid; those with one sample have no gap and are out."""
     return median_gap(history).crossJoin(F.broadcast(unit)).where(F.col("gap") <= 2.0 * F.col("unit")).select("itemid")  # unit: one row
@@ -27,6 +33,8 @@ def build_charts(history: DataFrame, unit: DataFrame) -> DataFrame:
     rows = history.where("value is not null").crossJoin(F.broadcast(unit))  # unit: one row
     means = rows.groupBy("itemid", F.floor(F.col("clock") / F.col("unit")).alias("bucket")).agg(F.avg("value").alias("value"))
     ends = means.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo is not null")
+    wide = F.raise_error(F.lit(f"the samples' clocks span more than {MAX_BUCKETS} buckets"))
+    ends = ends.select(F.when(F.col("hi") - F.col("lo") < MAX_BUCKETS, F.col("lo")).otherwise(wide.cast("long")).alias("lo"), "hi")
     grid = means.select("itemid").distinct().crossJoin(F.broadcast(ends)).select("itemid", F.explode(F.sequence("lo", "hi")).alias("bucket"))
     return linear_fill(grid.join(means, ["itemid", "bucket"], "left"))
 
@@ -41,12 +49,36 @@ def _channel(charts: DataFrame, diff: bool) -> DataFrame:
     return uneven.select("itemid", "bucket", average_rank("value").alias("r"))
 
 
-def _correlation(ranks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(i, j, rho) of the pairs i < j of items with ranks on the same buckets."""
-    a = ranks.select(F.col("itemid").alias("i"), "bucket", F.col("r").alias("ri"))
-    b = ranks.select(F.col("itemid").alias("j"), "bucket", F.col("r").alias("rj"))
-    j = a.join(b, "bucket").where("i < j") if pairs is None else pairs.join(a, "i").join(b, ["j", "bucket"])
-    return j.groupBy("i", "j").agg(F.corr("ri", "rj").alias("rho"))
+#: Items of a block of the correlation matrix.
+BLOCK = 256
+
+
+def _correlation(ranks: DataFrame, family: DataFrame | None = None) -> DataFrame:
+    """(i, j, rho) of the pairs i < j of items; with `family` (itemid, f), of items of one family.
+
+    Each item's ranks go as one array to the blocks of the matrix that hold it, so what is shuffled grows with items times
+    blocks, not with pairs times buckets.
+    """
+    vectors = ranks.groupBy("itemid").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "r"))), lambda x: x["r"].cast("double")).alias("v"))
+    vectors = vectors.withColumn("f", F.lit("")) if family is None else vectors.join(family, "itemid")
+    n = F.ceil(F.count("*").over(Window.partitionBy("f")) / BLOCK).cast("int")
+    dealt = vectors.withColumn("n", n).withColumn("g", F.pmod(F.xxhash64("itemid"), F.col("n")).cast("int"))
+    sent = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("itemid", "v", "f", "g", F.least("g", "k").alias("a"), F.greatest("g", "k").alias("b"))
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("itemid")
+        x = np.stack(rows["v"].to_numpy())
+        x = x - x.mean(axis=1, keepdims=True)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        g, ids = rows["g"].to_numpy(), rows["itemid"].to_numpy()
+        rho = x @ x.T
+        wanted = np.triu(np.ones(rho.shape, bool), 1)
+        if rows["a"].iloc[0] != rows["b"].iloc[0]:
+            wanted &= g[:, None] != g[None, :]
+        i, j = np.nonzero(wanted)
+        return pd.DataFrame({"i": ids[i], "j": ids[j], "rho": rho[i, j]})
+
+    return sent.groupBy("f", "a", "b").applyInPandas(block, "i long, j long, rho double")
 
 
 def pair_distances(charts: DataFrame, keys: DataFrame | None = None, raw_corr_min: float = 0.99, n_buckets: int = 3) -> DataFrame:
@@ -58,8 +90,7 @@ def pair_distances(charts: DataFrame, keys: DataFrame | None = None, raw_corr_mi
     out = pairs.join(diff, ["i", "j"], "left").withColumn("distance", (1 - F.coalesce("rho", F.lit(0.0))) / 2).drop("rho")
     if keys is not None:
         fam = keys.select("itemid", key_family(F.col("key_")).alias("f")).where("f <> ''")
-        same = fam.select(F.col("itemid").alias("i"), "f").join(fam.select(F.col("itemid").alias("j"), "f"), "f").where("i < j").select("i", "j")
-        raw = _correlation(_channel(charts, False), same).where(F.col("rho") >= raw_corr_min).select("i", "j", ((1 - F.col("rho")) / 2).alias("raw"))
+        raw = _correlation(_channel(charts, False), fam).where(F.col("rho") >= raw_corr_min).select("i", "j", ((1 - F.col("rho")) / 2).alias("raw"))
         out = out.join(raw, ["i", "j"], "left").withColumn("distance", F.least("distance", F.coalesce("raw", "distance"))).drop("raw")
     return out
 
@@ -74,23 +105,36 @@ def onset_constraint(distances: DataFrame, onsets: DataFrame, max_gap: int) -> D
 
 
 def agglomerate(d: np.ndarray, eps: float, linkage: str) -> np.ndarray:
-    """Group of each row: merges the closest two groups while they are closer than `eps`; ties to the lowest rows."""
+    """Group of each row: merges the closest two groups while they are closer than `eps`; ties to the lowest rows.
+
+    Every row keeps its closest later row, so a merge costs one pass over the rows, but for those whose closest went.
+    """
     n = len(d)
     d = d.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    while alive.sum() > 1:
-        k = int(np.argmin(d))
-        a, b = divmod(k, n)
-        if not d[a, b] < eps:
+    size, label = np.ones(n), np.arange(n)
+    later = np.where(np.triu(np.ones((n, n), bool), 1), d, np.inf)
+    near = later.argmin(axis=1)
+    best = later[np.arange(n), near]
+    for _ in range(n - 1):
+        a = int(np.argmin(best))
+        if not best[a] < eps:
             break
+        b = int(near[a])
         row = np.maximum(d[a], d[b]) if linkage == "complete" else (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        row[[a, b]] = np.inf
         d[a, :] = d[:, a] = row
-        d[a, a] = np.inf
         d[b, :] = d[:, b] = np.inf
-        alive[b] = False
+        later[:a, a], later[a, a + 1 :] = row[:a], row[a + 1 :]
+        later[b, :] = later[:, b] = np.inf
         size[a] += size[b]
         label[label == b] = a
+        again = np.flatnonzero((near == a) | (near == b))
+        again = np.unique(np.append(again, [a, b]))
+        near[again] = later[again].argmin(axis=1)
+        best[again] = later[again, near[again]]
+        closer = np.flatnonzero((row[:a] < best[:a]) | ((row[:a] == best[:a]) & (a < near[:a]) & np.isfinite(row[:a])))
+        near[closer], best[closer] = a, row[closer]
     return label
 
 
@@ -113,7 +157,18 @@ def density(d: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
 
 
 def group_items(distances: DataFrame, cfg: Clustering) -> DataFrame:
-    """(itemid, clusterid) of every item of a pair: clusters are numbered by their lowest itemid, -1 is none."""
+    """(itemid, clusterid) of every item of a pair: clusters are numbered by their lowest itemid, -1 is none.
+
+    No linkage joins items that no chain of close pairs connects, so each connected component of the close pairs is a
+    task of its own, of `max_items` items at most.
+    """
+    close = F.col("distance") <= cfg.corr_eps if cfg.linkage == "dbscan" else F.col("distance") < cfg.corr_eps
+    distances = materialize(distances, "pair-distances")
+    edges = distances.where(close).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    ends = edges.select(F.col("a").alias("itemid")).unionByName(edges.select(F.col("b").alias("itemid"))).distinct()
+    root = materialize(ends.join(components(edges).withColumnRenamed("s", "itemid"), "itemid", "left").select("itemid", F.coalesce("root", "itemid").alias("root")), "incident-roots")
+    side = lambda c: root.select(F.col("itemid").alias(c), F.col("root").alias(f"r{c}"))
+    within = distances.join(side("i"), "i").join(side("j"), "j").where("ri = rj")
 
     def link(pairs: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pairs[["i", "j"]].to_numpy())
@@ -123,24 +178,26 @@ def group_items(distances: DataFrame, cfg: Clustering) -> DataFrame:
         i, j = np.searchsorted(ids, pairs["i"]), np.searchsorted(ids, pairs["j"])
         d[i, j] = d[j, i] = pairs["distance"].fillna(1.0)
         label = density(d, cfg.corr_eps, cfg.min_samples) if cfg.linkage == "dbscan" else agglomerate(d, cfg.corr_eps, cfg.linkage)
-        if cfg.linkage != "dbscan":
-            count = np.bincount(label, minlength=len(ids))
-            label = np.where(count[label] >= cfg.min_samples, label, -1)
-        order = {x: k for k, x in enumerate(sorted(set(label.tolist()) - {-1}))}
-        return pd.DataFrame({"itemid": ids, "clusterid": [order.get(x, -1) for x in label.tolist()]})
+        count = np.bincount(label + 1, minlength=len(ids) + 1)
+        some = label >= 0 if cfg.linkage == "dbscan" else count[label + 1] >= cfg.min_samples
+        lowest = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(lowest, label[some], ids[some])
+        return pd.DataFrame({"itemid": ids[some], "lead": lowest[label[some]]})
 
-    return distances.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(link, "itemid long, clusterid int")
+    found = materialize(within.groupBy("ri").applyInPandas(link, "itemid long, lead long"), "incident-groups")
+    # a row for each incident: a short sort
+    number = found.select("lead").distinct().withColumn("clusterid", F.row_number().over(Window.orderBy("lead")) - 1)
+    every = distances.select(F.col("i").alias("itemid")).unionByName(distances.select(F.col("j").alias("itemid"))).distinct()
+    return every.join(found.join(number, "lead"), "itemid", "left").select("itemid", F.coalesce("clusterid", F.lit(-1)).cast("int").alias("clusterid"))
 
 
 def cluster_anomalies(history: DataFrame, ids: DataFrame, cfg: Clustering, keys: DataFrame | None = None, onsets: DataFrame | None = None) -> DataFrame:
     """(itemid, clusterid) of the items of `ids`; -1 for all if there is too little to correlate."""
     none = ids.select("itemid", F.lit(-1).alias("clusterid"))
-    rows = history.join(ids.select("itemid").distinct(), "itemid", "left_semi").persist()  # the flagged items' samples
-    unit = grid_unit(rows)
-    charts = build_charts(rows.join(usable_items(rows, unit), "itemid", "left_semi"), unit).persist()
+    rows = materialize(history.join(ids.select("itemid").distinct(), "itemid", "left_semi"), "flagged-samples")
+    unit = materialize(grid_unit(rows), "grid-unit")
+    charts = materialize(build_charts(rows.join(usable_items(rows, unit), "itemid", "left_semi"), unit), "charts")
     n_items, n_buckets = charts.agg(F.count_distinct("itemid"), F.count_distinct("bucket")).first()
-    if n_items > cfg.max_items:
-        raise ValueError(f"{n_items} items to cluster; max_items is {cfg.max_items}")
     points = n_buckets - 1 if n_buckets >= 3 else n_buckets
     if n_items < 2 or points < cfg.min_corr_points:
         return none

@@ -29,37 +29,46 @@ def host_event_weights(events: DataFrame, saturation: float) -> DataFrame:
     return events.groupBy("host_name").agg((1 - F.exp(-load / max(saturation, 1e-9))).alias("weight"))
 
 
-def score_events(scores: DataFrame, clusters: DataFrame, hosts: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+def score_events(scores: DataFrame, clusters: DataFrame, items: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
     """One event for each cluster, and for each item in none: noisy-or of its items' scores and its hosts' weights.
 
-    Columns: score, n_items, cluster (null for a single item), reason, event_boost, members (itemid, score, host_name).
+    Columns: score, n_items, cluster (-1 for a single item), reason, event_boost, items (item_id, host, key, score,
+    recent_mean). `items` names each item's host_name and, if it is there, key_.
     """
-    j = scores.join(clusters, "itemid", "left").withColumn("cluster", F.when(F.col("clusterid") >= 0, F.col("clusterid")))
-    j = j.withColumn("group", F.when(F.col("cluster").isNotNull(), F.concat(F.lit("c"), "cluster")).otherwise(F.concat(F.lit("i"), "itemid")))
-    j = j.join(hosts.select("itemid", "host_name"), "itemid", "left") if hosts is not None else j.withColumn("host_name", F.lit(None).cast("string"))
-    items = j.groupBy("group", "cluster").agg(
-        F.product(1 - F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias("rest"), F.count("*").alias("n_items"),
-        F.array_sort(F.collect_list(F.struct("itemid", F.round("score", 4).alias("score"), "host_name"))).alias("members"),
+    j = scores.join(clusters, "itemid", "left").withColumn("cluster", F.when(F.col("clusterid") >= 0, F.col("clusterid")).otherwise(-1))
+    j = j.withColumn("group", F.when(F.col("cluster") >= 0, F.concat(F.lit("c"), "cluster")).otherwise(F.concat(F.lit("i"), "itemid")))
+    named = [c for c in ("host_name", "key_") if items is not None and c in items.columns]
+    j = j.join(items.select("itemid", *named), "itemid", "left") if named else j
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in named else F.lit("")
+    level = F.col("h_mean") if "h_mean" in scores.columns else F.lit(None).cast("double")
+    member = F.struct(F.col("itemid").alias("item_id"), text("host_name").alias("host"), text("key_").alias("key"), F.round("score", 4).alias("score"), level.alias("recent_mean"))
+    found = j.groupBy("group", "cluster").agg(
+        F.product(1 - F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias("rest"), F.count("*").alias("n_items"), F.array_sort(F.collect_list(member)).alias("items"),
     )
-    if weights is not None:
+    if weights is not None and "host_name" in named:
         each = j.select("group", "host_name").distinct().join(weights.where("weight > 0"), "host_name").groupBy("group").agg(F.product(1 - F.col("weight")).alias("host_rest"), F.max("weight").alias("boost"))
-        items = items.join(each, "group", "left")
+        found = found.join(each, "group", "left")
     else:
-        items = items.withColumn("host_rest", F.lit(None).cast("double")).withColumn("boost", F.lit(None).cast("double"))
+        found = found.withColumn("host_rest", F.lit(None).cast("double")).withColumn("boost", F.lit(None).cast("double"))
     score = 1 - F.col("rest") * F.coalesce("host_rest", F.lit(1.0))
     reason = F.when(F.col("n_items") >= 2, "novel co-occurrence").otherwise("single-item")
-    return items.select(F.round(score, 4).alias("score"), "n_items", "cluster", reason.alias("reason"), F.round(F.coalesce("boost", F.lit(0.0)), 4).alias("event_boost"), "members")
+    return found.select(F.round(score, 4).alias("score"), "n_items", "cluster", reason.alias("reason"), F.round(F.coalesce("boost", F.lit(0.0)), 4).alias("event_boost"), "items")
+
+
+_NO_ITEMS = "array<struct<item_id:long,host:string,key:string,score:double,recent_mean:double>>"
 
 
 def event_only_events(weights: DataFrame, covered: DataFrame, min_event_score: float) -> DataFrame:
     """Events of hosts that no scored item covers."""
     rest = weights.where(F.col("weight") >= min_event_score).join(covered.select("host_name").distinct(), "host_name", "left_anti")
-    return rest.select(F.round("weight", 4).alias("score"), F.lit(0).cast("long").alias("n_items"), F.lit("host_events").alias("reason"), F.round("weight", 4).alias("event_boost"), F.col("host_name").alias("host"))
+    score = F.round("weight", 4)
+    return rest.select(score.alias("score"), F.lit(0).cast("long").alias("n_items"), F.lit(-1).alias("cluster"), F.lit("host_events").alias("reason"), score.alias("event_boost"), F.array().cast(_NO_ITEMS).alias("items"), F.col("host_name").alias("host"))
 
 
 def build_result(events: DataFrame, suppressed: DataFrame, endep: int) -> DataFrame:
-    """One row: the event document, highest score first."""
+    """One row: the event document (ts, max_score, n_events, events, suppressed, dashboard_url), highest score first."""
     order = F.struct((-F.col("score")).alias("k"), F.to_json(F.struct(*events.columns)).alias("n"), F.struct(*events.columns).alias("e"))
     e = events.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["e"]).alias("events"), F.max("score").alias("m"), F.count("*").alias("n_events"))
-    s = suppressed.agg(F.array_sort(F.collect_list(F.struct("itemid", F.lit("seasonal").alias("reason"), F.round("seasonal_z", 4).alias("z")))).alias("suppressed"))
-    return e.crossJoin(s).select(F.lit(endep).cast("long").alias("endep"), F.coalesce("m", F.lit(0.0)).alias("max_score"), "n_events", "events", "suppressed")
+    s = suppressed.agg(F.array_sort(F.collect_list(F.struct(F.col("itemid").alias("item_id"), F.lit("seasonal_expected").alias("reason")))).alias("suppressed"))
+    # one row each
+    return e.crossJoin(s).select(F.lit(endep).cast("long").alias("ts"), F.round(F.coalesce("m", F.lit(0.0)), 4).alias("max_score"), "n_events", "events", "suppressed", F.lit(None).cast("string").alias("dashboard_url"))

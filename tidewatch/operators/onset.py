@@ -38,7 +38,8 @@ def anomaly_onset(trends: DataFrame, stats: DataFrame, hours: DataFrame, endep:
     base = stats.select("itemid", F.col("mean").alias("t_mean"), F.col("std").alias("t_std"))
     every = rows.select("itemid").distinct().select("itemid", F.explode(F.sequence(F.lit(0), F.lit(max_back_hours))).alias("k"))
     steps = every.join(means, ["itemid", "k"], "left").withColumn("hour_of_day", hour_of_day(F.lit(endep) - F.col("k") * 3600).cast("short"))
-    steps = steps.join(base, "itemid", "left").join(hours.select("itemid", "hour_of_day", F.col("mean").alias("s_mean"), F.col("std").alias("s_std")), ["itemid", "hour_of_day"], "left")
+    # an item without long-term statistics stays unknown
+    steps = steps.join(base, "itemid").join(hours.select("itemid", "hour_of_day", F.col("mean").alias("s_mean"), F.col("std").alias("s_std")), ["itemid", "hour_of_day"], "left")
     test = lambda m, s, t: F.when(F.col(s) > 0, F.abs(F.col("x") - F.col(m)) / F.col(s) >= t).otherwise(False)
     hot = F.coalesce(test("t_mean", "t_std", zscore_lambda) | test("s_mean", "s_std", seasonal_lambda), F.lit(False))
     w = Window.partitionBy("itemid").orderBy("k")

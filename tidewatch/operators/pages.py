@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import keep_latest
 
-COLUMNS, ROWS = 3, 16
+#: The dashboard's grid.
+COLUMNS, ROWS = 4, 12
 WIDGET_WIDTH, WIDGET_HEIGHT = 15, 5
 
 
@@ -26,41 +27,57 @@ def pages_by_group(anomalies: DataFrame) -> DataFrame:
 
 
 def pages_by_cluster(anomalies: DataFrame, max_clusters: int = 50) -> DataFrame:
-    """(page, itemid): a page for each cluster of two items or more, `max_clusters` at most; the others share `singletons`.
+    """(page, itemid, pos): a page `cluster<n>` for each cluster of several items; clusters of one item and items of none
+    share `singletons`. There are `max_clusters` pages at most, in the order of their clusters, none before all.
 
-    Clusters of different cycles are told apart by the cycle's rank.
+    Clusters of different cycles are told apart by the cycle's rank; pos is an item's place on its page.
     """
-    rows = anomalies.where("clusterid >= 0")
+    rows = anomalies.select("hostid", "itemid", *(["created"] if "created" in anomalies.columns else []), F.coalesce("clusterid", F.lit(-1)).cast("long").alias("clusterid"))
     if "created" in anomalies.columns:
-        cycles = rows.select("created").distinct()
-        cycles = cycles.join(cycles.withColumnRenamed("created", "c"), F.col("c") < F.col("created"), "left").groupBy("created").agg((F.count("c") * 1000).alias("base"))
-        rows = rows.join(cycles, "created").withColumn("cid", F.col("base") + F.col("clusterid"))
-    else:
-        rows = rows.withColumn("cid", F.col("clusterid").cast("long"))
-    rows = rows.select("cid", "hostid", "itemid").distinct()
-    sizes = rows.groupBy("cid").agg(F.count_distinct("itemid").alias("n"))
-    many = sizes.where("n > 1").orderBy("cid").limit(max_clusters)
-    paged = rows.join(many, "cid").select(F.concat(F.lit("cluster_"), "cid").alias("page"), "itemid")
-    single = rows.join(sizes.where("n = 1"), "cid").select(F.lit("singletons").alias("page"), "itemid")
-    return paged.unionByName(single).distinct()
+        # a row for each cycle: a short sort
+        cycles = rows.select("created").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("created")) - 1)
+        rows = rows.join(cycles, "created").withColumn("clusterid", F.when(F.col("clusterid") >= 0, F.col("n") * 1000 + F.col("clusterid")).otherwise(-1))
+    rows = rows.select(F.greatest("clusterid", F.lit(-1)).alias("cid"), "hostid", "itemid").distinct()
+    sizes = rows.groupBy("cid").agg(F.count("*").alias("n"))
+    page = F.when((F.col("cid") >= 0) & (F.col("n") > 1), F.concat(F.lit("cluster"), "cid")).otherwise("singletons")
+    rows = rows.join(sizes, "cid").select(page.alias("page"), "cid", "hostid", "itemid")
+    shown = rows.groupBy("page").agg(F.min("cid").alias("first")).orderBy("first").limit(max_clusters).select("page")
+    pos = F.row_number().over(Window.partitionBy("page").orderBy("cid", "hostid", "itemid")) - 1
+    return rows.join(shown, "page").select("page", "itemid", pos.alias("pos"))
 
 
 def pages_for_events(events: DataFrame) -> DataFrame:
-    """(page, itemid) of the fast axis' events in their order; events without items have no page."""
+    """(page, itemid, pos) of the fast axis' events, numbered from 1 in their order; events without items have no page."""
     # a handful of events: their order is one short sort
-    ranked = events.withColumn("k", F.row_number().over(Window.orderBy(F.col("score").desc(), "reason", "cluster")) - 1)
-    name = F.concat(F.lit("event"), "k", F.when(F.col("cluster").isNotNull(), F.concat(F.lit("_cluster"), "cluster")).otherwise(""))
-    return ranked.where(F.size("members") > 0).select(name.alias("page"), F.explode("members.itemid").alias("itemid"))
+    ranked = events.withColumn("k", F.row_number().over(Window.orderBy(F.col("score").desc(), "reason", "cluster", F.to_json("items"))))
+    name = F.concat(F.lit("event"), "k", F.when(F.col("cluster") >= 0, F.concat(F.lit("_cluster"), "cluster")).otherwise(""))
+    return ranked.select(name.alias("page"), F.posexplode("items").alias("pos", "x")).select("page", F.col("x.item_id").alias("itemid"), "pos")
+
+
+#: The review dashboard's pages in their order, by band, and its widgets' width.
+BAND_PAGES = (("high", "high_score"), ("mid", "mid_score"), ("low", "low_score"))
+REVIEW_WIDTH = 16
 
 
-def page_layout(pages: DataFrame, labels: DataFrame | None = None, ncols: int = COLUMNS, nrows: int = ROWS) -> DataFrame:
-    """(page, itemid, x, y, header): widgets on a grid; a page that is full goes on as page_2, page_3, .."""
+def pages_by_band(scores: DataFrame) -> DataFrame:
+    """(page, itemid, pos) of scored items for review: a page for each band, highest scores first."""
+    page = F.coalesce(*(F.when(F.col("band") == band, name) for band, name in BAND_PAGES))
+    pos = F.row_number().over(Window.partitionBy("page").orderBy(F.col("score").desc(), "itemid")) - 1
+    return scores.withColumn("page", page).where("page is not null").select("page", "itemid", pos.alias("pos"))
+
+
+def page_layout(pages: DataFrame, labels: DataFrame | None = None, ncols: int = COLUMNS, nrows: int = ROWS, width: int = WIDGET_WIDTH, suffix_always: bool = True) -> DataFrame:
+    """(page, itemid, x, y, header): widgets on a grid; page p becomes p_1, p_2, .. as they fill. Without `suffix_always`, a
+    page that one grid holds keeps its name. Items stand in the order of `pos`, or else of itemid."""
     per = ncols * nrows
-    k = F.row_number().over(Window.partitionBy("page").orderBy("itemid")) - 1
+    order = ["pos"] if "pos" in pages.columns else ["itemid"]
+    k = F.row_number().over(Window.partitionBy("page").orderBy(*order)) - 1
     rows = pages.withColumn("k", k).withColumn("n", F.floor(F.col("k") / per) + 1).withColumn("r", F.pmod("k", F.lit(per)))
+    rows = rows.withColumn("all", F.count("*").over(Window.partitionBy("page")))
     rows = rows.join(labels, "itemid", "left") if labels is not None else rows.withColumn("header", F.lit(""))
-    page = F.when(F.col("n") == 1, F.col("page")).otherwise(F.concat_ws("_", "page", F.col("n").cast("string")))
-    x, y = F.pmod("r", F.lit(ncols)) * WIDGET_WIDTH, F.floor(F.col("r") / ncols) * WIDGET_HEIGHT
+    numbered = F.concat_ws("_", "page", F.col("n").cast("string"))
+    page = numbered if suffix_always else F.when(F.col("all") > per, numbered).otherwise(F.col("page"))
+    x, y = F.pmod("r", F.lit(ncols)) * width, F.floor(F.col("r") / ncols) * WIDGET_HEIGHT
     return rows.select(page.alias("page"), "itemid", x.cast("long").alias("x"), y.cast("long").alias("y"), F.coalesce("header", F.lit("")).alias("header"))
 
 
@@ -115,6 +132,43 @@ def stratified_sample(scored: DataFrame, unscored: DataFrame, n_top: int, n_mid:
     return top.unionByName(rest).unionByName(rand)
 
 
+#: What each stratum of the queue is called, by the pools' bands.
+STRATA = {"mid": ("boundary", "near threshold"), "low": ("control", "random normal control")}
+
+
+def review_queue(scores: DataFrame, items: DataFrame, excluded: DataFrame, n_flagged: int, n_mid: int, n_random: int, seed: int, zscores: DataFrame | None = None, anomalies: DataFrame | None = None) -> DataFrame:
+    """The queue for review: (itemid, host_name, key_, score, band, clusterid, reason).
+
+    Its strata: flagged (the highest first-stage z-scores, or with `anomalies` one row for each incident of their newest
+    cycle), boundary and control. What is `excluded` (host_name, key_) is in none.
+    """
+    known = items.select("itemid", "host_name", "key_")
+    done = excluded.select("host_name", "key_").distinct()
+    if anomalies is None:
+        top = top_zscores(zscores, 3 * n_flagged)
+        flagged = top.select("itemid", "score", F.format_string("first-stage z=%.1f", "z").alias("reason"), F.col("z").alias("rank"), F.lit(-1).alias("clusterid"))
+        hits = flagged.select("itemid")
+    else:
+        one = collapse_flagged(latest_cycle(anomalies))
+        text = F.when(F.col("clusterid") >= 0, F.format_string("incident cluster %d (%d items, %d rescued)", "clusterid", "n_members", "n_rescued")).otherwise("flagged (unclustered)")
+        flagged = one.select("itemid", "score", text.alias("reason"), F.col("score").alias("rank"), "clusterid")
+        hits = flagged.join(known, "itemid").join(done, ["host_name", "key_"], "left_anti").select("itemid")
+    flagged = flagged.join(known, "itemid").join(done, ["host_name", "key_"], "left_anti")
+    if anomalies is None:
+        flagged = flagged.orderBy(F.col("score").desc(), F.col("rank").desc(), "itemid").limit(n_flagged)
+    pool = candidate_pools(scores, hits, n_mid, n_random, seed)
+    some = dedup_trim(pool, items, excluded, max(n_mid, n_random)).where(F.col("rn") <= F.when(F.col("band") == "mid", n_mid).otherwise(n_random))
+    named = F.create_map(*(F.lit(x) for k, (band, _) in STRATA.items() for x in (k, band)))[F.col("band")]
+    reason = F.create_map(*(F.lit(x) for k, (_, why) in STRATA.items() for x in (k, why)))[F.col("band")]
+    rest = some.select("itemid", "host_name", "key_", F.round("score", 4).alias("score"), named.alias("band"), F.lit(-1).alias("clusterid"), reason.alias("reason"))
+    return flagged.select("itemid", "host_name", "key_", F.round("score", 4).alias("score"), F.lit("flagged").alias("band"), "clusterid", "reason").unionByName(rest)
+
+
+def replay_candidates(recorded: DataFrame, scores: DataFrame, span_start: int) -> DataFrame:
+    """(itemid) worth replaying: recorded since `span_start`, or scored above zero by the cheap detectors."""
+    return recorded.where(F.col("created") >= span_start).select("itemid").unionByName(scores.where("score > 0").select("itemid")).distinct()
+
+
 def build_master_rows(labels: DataFrame, items: DataFrame, date: str) -> DataFrame:
     """Labels with their item's host and key; labels of unknown items are left out."""
     j = labels.join(items.select(F.col("itemid").alias("item_id"), "host_name", "key_"), "item_id", "left").dropna(subset=["host_name", "key_"])
@@ -144,7 +198,7 @@ def normalize_labels(labels: DataFrame) -> DataFrame:
 
 def labels_for_saving(labels: DataFrame) -> DataFrame:
     """Labels as they are written: a note from the label, confidence only for anomalies."""
-    note = F.when(F.col("label") == 1, "anomaly").when(F.col("label") == 0, "normal").otherwise("unknown")
+    note = F.when(F.col("label") == 1, "anomaly").when(F.col("label") == 0, "normal").when(F.col("label") == -1, "skip").otherwise("")
     return labels.select("item_id", "label", note.alias("note"), "incident", F.when(F.col("label") == 1, F.col("confidence")).alias("confidence"))
 
 

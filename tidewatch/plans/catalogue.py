@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ANOMALY_FILTERS, CATEGORIES, ITEM_FILTERS, Changepoint, Clustering, Duration, Ensemble, FastDetect, IdleBaseline, MetricCategories, Recency, RecurringPeak, Seasonal, Source, WatchRule, ZScore
+from ..config import ANOMALY_FILTERS, CATEGORIES, ITEM_FILTERS, Category, Changepoint, Clustering, Detectors, Duration, Ensemble, FastDetect, IdleBaseline, Magnitude, MetricCategories, Recency, RecurringPeak, Seasonal, Source, WatchRule, ZScore
 from ..functions import scalar
 from ..operators import cluster, detectors, evaluate, fast, filters, gates, onset, pages, stats
+from ..scratch import materialize, scratch_path
+from ..sources.jdbc import JdbcSource
+from ..sources.stores import Stores
 from . import bindings as b
 from .bindings import DAY, DAYS, ENDEP, VIEWS, stats_sql, with_views
 from .cycle import Inputs, detect, fast_events, hour_of
@@ -40,9 +43,11 @@ def r(name: str, digits: int = 9):
 class _Views:
     """The bindings of one run; frames are lazy."""
 
-    def __init__(self, spark: SparkSession, sf: str):
-        self.hist, self.items = b.history(spark, sf), b.items(spark, sf)
-        self.trends = stats.hourly_trends(self.hist)
+    def __init__(self, spark: SparkSession, sf: str, cut: bool = False):
+        """With `cut`, for plans that start from the samples many times, samples and hours are tables."""
+        table = materialize if cut else lambda df, _: df
+        self.hist, self.items = table(b.history(spark, sf), "samples"), table(b.items(spark, sf), "items")
+        self.trends = table(stats.hourly_trends(self.hist), "hours")
         self.recent = stats.window_stats(self.hist, ENDEP - DAY, ENDEP)
         self.base = stats.window_stats(self.trends, START, ENDEP, "value_avg")
         window = stats.in_range(self.trends, START, ENDEP)
@@ -321,14 +326,14 @@ def gate_recency(spark, sf):
     return v.base.select("itemid").join(_began(v), "itemid", "left").select("itemid", gates.recency_gate(F.col("onset"), ENDEP, 14400, Recency()).alias("recency"))
 
 
-def _gated(v: _Views) -> DataFrame:
+def _gated(v: _Views, cfg: MetricCategories = MetricCategories(recurring_peak=RecurringPeak(min_episodes=1), duration=Duration(hi_secs=36000))) -> DataFrame:
     s = detectors.zscore_scores(v.recent, v.base, Z1).select("itemid", "score")
-    return gates.apply_gates(s, v.items, v.recent, v.full, MetricCategories(recurring_peak=RecurringPeak(min_episodes=1), duration=Duration(hi_secs=36000)), 0.4, stats.in_range(v.hist, ENDEP - DAY, ENDEP), 600, _began(v), ENDEP, 30 * 3600)
+    return gates.apply_gates(s, v.items, v.recent, v.full, cfg, 0.4, stats.in_range(v.hist, ENDEP - DAY, ENDEP), 600, _began(v), ENDEP, 30 * 3600)
 
 
 GATED_SQL = {
     **MAG, **_DUR, **PEAK_SQL, **ANOMALY_SQL,
-    "gt": f"""SELECT z1.itemid, z1.score AS raw_score, {CATEGORY_WEIGHT_SQL.replace('key_', 'items.key_')} AS weight, {CATEGORY_NAME_SQL.replace('key_', 'items.key_')} AS category, coalesce(magnitude, 1) AS magnitude, coalesce({_ramp_sql('n * interval', 600, 36000)}, 1) AS duration,
+    "gt": f"""SELECT z1.itemid, z1.score AS raw_score, h_mean, t_mean, {CATEGORY_WEIGHT_SQL.replace('key_', 'items.key_')} AS weight, {CATEGORY_NAME_SQL.replace('key_', 'items.key_')} AS category, coalesce(magnitude, 1) AS magnitude, coalesce({_ramp_sql('n * interval', 600, 36000)}, 1) AS duration,
 CASE WHEN base.zero_cnt / base.cnt >= 0.8 AND h_mean <= base.max_value THEN 0 ELSE 1 END AS idle, CASE WHEN h_mean > t_mean AND peak_episodes >= 1 AND h_mean <= local_peak THEN 0 ELSE 1 END AS peak, CASE WHEN {ENDEP} - onset > 108000 THEN 0 ELSE 1 END AS recency
 FROM z1 LEFT JOIN items USING (itemid) LEFT JOIN mg USING (itemid) LEFT JOIN base USING (itemid) LEFT JOIN dcount USING (itemid) LEFT JOIN dspace USING (itemid) LEFT JOIN peaks USING (itemid) LEFT JOIN anomaly_on USING (itemid)""",
     "gated": "SELECT *, raw_score * weight * magnitude * duration * idle * peak * recency AS score FROM gt",
@@ -337,12 +342,24 @@ FROM z1 LEFT JOIN items USING (itemid) LEFT JOIN mg USING (itemid) LEFT JOIN bas
 
 @query("SELECT itemid, category, round(score, 9) AS score, round(raw_score, 9) AS raw_score, round(score, 9) >= 0.4 AS is_anomaly FROM gated", **GATED_SQL)
 def gated_scores(spark, sf):
-    return _gated(_Views(spark, sf)).select("itemid", "category", r("score"), r("raw_score"), (F.round("score", 9) >= 0.4).alias("is_anomaly"))
+    return _gated(_Views(spark, sf, True)).select("itemid", "category", r("score"), r("raw_score"), (F.round("score", 9) >= 0.4).alias("is_anomaly"))
 
 
-@query("SELECT itemid, round(score, 9) AS score FROM gated WHERE score < 0.4 AND raw_score >= 0.4 AND idle = 1 AND peak = 1 AND magnitude < 1 AND raw_score * weight * duration >= 0.4", **GATED_SQL)
+#: One category whose magnitude grades the test series, so that some items are held back by it alone.
+GRADED = MetricCategories(categories=(Category("all", ("*",), 1.0, Magnitude("relative", 0.5, 8.0)),), recurring_peak=RecurringPeak(enabled=False), duration=Duration(enabled=False))
+
+
+def _graded(v: _Views) -> DataFrame:
+    return materialize(_gated(v, GRADED), "gated")
+
+
+@query(
+    "SELECT itemid, round(score, 9) AS score FROM graded WHERE score < 0.4 AND raw_score >= 0.4 AND idle = 1 AND magnitude < 1",
+    graded="SELECT *, raw_score * magnitude * idle * recency AS score FROM "
+    f"(SELECT * REPLACE (CASE WHEN h_mean IS NULL OR t_mean IS NULL THEN 1 ELSE {_ramp_sql('abs(h_mean - t_mean) / greatest(abs(t_mean), 1e-9)', 0.5, 8.0)} END AS magnitude) FROM gt)", **GATED_SQL,
+)
 def rescue_candidates(spark, sf):
-    return gates.rescue_candidates(_gated(_Views(spark, sf)), 0.4).select("itemid", r("score"))
+    return gates.rescue_candidates(_graded(_Views(spark, sf, True)), 0.4).select("itemid", r("score"))
 
 
 # --- incidents
@@ -404,8 +421,8 @@ def incident_clusters(spark, sf):
 
 @query()
 def rescued_items(spark, sf):
-    v = _Views(spark, sf)
-    gated = _gated(v)
+    v = _Views(spark, sf, True)
+    gated = _graded(v)
     cand, ok = gates.rescue_candidates(gated, 0.4), gated.where("is_anomaly")
     found = cluster.cluster_anomalies(stats.in_range(v.hist, START, ENDEP), ok.select("itemid").union(cand.select("itemid")), Clustering(corr_eps=0.45), v.items)
     return gates.select_rescued(cand, found, ok).select("itemid", r("score"))
@@ -414,12 +431,9 @@ def rescued_items(spark, sf):
 @query()
 def hourly_detection(spark, sf):
     """The whole hourly plan, at lower thresholds than shipped: these series are sparse."""
-    v = _Views(spark, sf)
-    from ..config import Detectors
-
+    v = _Views(spark, sf, True)
     cfg = Source(history_interval=4800, staleness_secs=DAY, detectors=Detectors(ZScore(lambda_threshold=1.0), Changepoint(cusum_h=2.0), Seasonal(lambda_threshold=1.0)), ensemble=Ensemble(0.3, 2), anomaly_filters=())
-    # cut the plan where many steps start from: each of these is small beside the raw samples' scan
-    found = detect(Inputs(*(x.persist() for x in (v.hist, v.trends, v.items, v.recent, v.full, v.hours))), cfg, ENDEP)
+    found = detect(Inputs(v.hist, v.trends, v.items, v.recent, v.full, v.hours), cfg, ENDEP)
     return found.gated.join(found.clusters, "itemid", "left").select("itemid", "category", r("score"), r("raw_score"), "is_anomaly", F.coalesce("clusterid", F.lit(-1)).alias("clusterid"))
 
 
@@ -474,13 +488,13 @@ def _events(spark, sf):
 
 @query("SELECT round(1 - product(1 - least(greatest(score, 0), 1)) * coalesce(any_value(hr), 1), 4) AS score, count(*)::BIGINT AS n_items, min(itemid) AS first_item, CASE WHEN count(*) >= 2 THEN 'novel co-occurrence' ELSE 'single-item' END AS reason, round(coalesce(any_value(boost), 0), 4) AS event_boost FROM fe LEFT JOIN fh USING (g) GROUP BY g", **FAST)
 def noisy_or_events(spark, sf):
-    return _events(spark, sf).select("score", "n_items", F.col("members")[0]["itemid"].alias("first_item"), "reason", "event_boost")
+    return _events(spark, sf).select("score", "n_items", F.col("items")[0]["item_id"].alias("first_item"), "reason", "event_boost")
 
 
-@query("SELECT round(weight, 4) AS score, 0::BIGINT AS n_items, 'host_events' AS reason, round(weight, 4) AS event_boost, host_name AS host FROM hw WHERE weight >= 0.5 AND host_name NOT IN (SELECT host_name FROM fe WHERE itemid % 2 = 0)", **FAST)
+@query("SELECT round(weight, 4) AS score, 0::BIGINT AS n_items, 'host_events' AS reason, round(weight, 4) AS event_boost, host_name AS host FROM hw WHERE weight >= 0.1 AND host_name NOT IN (SELECT host_name FROM fz JOIN items USING (itemid) WHERE z >= 8.0)", **FAST)
 def event_only_events(spark, sf):
-    covered = fast.fast_severity(*_short(spark, sf), FCFG).where("itemid % 2 = 0").join(b.items(spark, sf), "itemid")
-    return fast.event_only_events(_weights(spark, sf), covered, 0.5)
+    strong = fast.fast_severity(*_short(spark, sf), FastDetect(detect_window=3, lambda_threshold=8.0, min_item_score=0.5))
+    return fast.event_only_events(_weights(spark, sf), strong.join(b.items(spark, sf), "itemid"), 0.1).select("score", "n_items", "reason", "event_boost", "host")
 
 
 @query()
@@ -507,16 +521,23 @@ def _anomalies(spark, sf):
     return b.anomalies(spark, sf, s.unionByName(detectors.zscore_scores(before, v.base, Z1).select("itemid", F.lit(ENDEP - DAY).cast("long").alias("created"), "score")))
 
 
+def _stores(spark) -> Stores:
+    return Stores(spark, scratch_path(spark, "stores"), "tables")
+
+
 @query(f"SELECT itemid, round(score, 9) AS score FROM an WHERE created = {ENDEP} AND itemid NOT IN (SELECT itemid FROM an WHERE created < {ENDEP} AND created >= {ENDEP - 3 * DAY})", **AN)
 def detect_once(spark, sf):
-    a = _anomalies(spark, sf)
-    seen = a.where((F.col("created") < ENDEP) & (F.col("created") >= ENDEP - 3 * DAY))
-    return a.where(F.col("created") == ENDEP).join(seen.select("itemid"), "itemid", "left_anti").select("itemid", r("score"))
+    a, st = _anomalies(spark, sf), _stores(spark)
+    st.anomalies.upsert(a.where(F.col("created") < ENDEP))
+    return a.where(F.col("created") == ENDEP).join(st.recorded_ids(ENDEP - 3 * DAY), "itemid", "left_anti").select("itemid", r("score"))
 
 
 @query(f"SELECT itemid, created FROM an WHERE created >= {ENDEP - DAY // 2}", **AN)
 def retention(spark, sf):
-    return _anomalies(spark, sf).where(F.col("created") >= ENDEP - DAY // 2).select("itemid", "created")
+    st = _stores(spark)
+    st.anomalies.upsert(_anomalies(spark, sf))
+    st.anomalies.delete_before("created", ENDEP - DAY // 2)
+    return st.anomalies.read().select("itemid", "created")
 
 
 @query("SELECT itemid, created, group_name FROM an WHERE created = (SELECT max(created) FROM an)", **AN)
@@ -537,16 +558,43 @@ def pages_by_group(spark, sf):
     return pages.pages_by_group(_anomalies(spark, sf))
 
 
-@query("SELECT DISTINCT CASE WHEN n > 1 THEN 'cluster_' || cid::VARCHAR ELSE 'singletons' END AS page, itemid FROM (SELECT cid, itemid, (SELECT count(DISTINCT y.itemid) FROM pcr y WHERE y.cid = pcr.cid) AS n, dense_rank() OVER (ORDER BY cid) AS k FROM pcr)", **AN, pcr="SELECT DISTINCT (created = (SELECT max(created) FROM an))::INTEGER * 1000 + clusterid AS cid, hostid, itemid FROM an WHERE clusterid >= 0")
+CLUSTER_PAGES = {
+    "pca": "SELECT DISTINCT CASE WHEN clusterid >= 0 THEN (dense_rank() OVER (ORDER BY created) - 1) * 1000 + clusterid ELSE -1 END AS cid, hostid, itemid FROM an",
+    "pcn": "SELECT *, CASE WHEN cid >= 0 AND count(*) OVER (PARTITION BY cid) > 1 THEN 'cluster' || cid::VARCHAR ELSE 'singletons' END AS page FROM pca",
+    "pcp": "SELECT page FROM pcn GROUP BY page ORDER BY min(cid) LIMIT 50",
+    "cpage": "SELECT page, itemid, row_number() OVER (PARTITION BY page ORDER BY cid, hostid, itemid) - 1 AS pos FROM pcn SEMI JOIN pcp USING (page)",
+}
+
+
+@query("SELECT page, itemid, pos::BIGINT AS pos FROM cpage", **AN, **CLUSTER_PAGES)
 def pages_by_cluster(spark, sf):
-    return pages.pages_by_cluster(_anomalies(spark, sf))
+    return pages.pages_by_cluster(_anomalies(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
+
+
+_LAYOUT = "SELECT page || '_' || (k // 48 + 1)::VARCHAR AS page, itemid, (k % 48 % 4 * 15)::BIGINT AS x, (k % 48 // 4 * 5)::BIGINT AS y, header FROM (SELECT page, itemid, {k} AS k, host_name || ': ' || key_ AS header FROM {pages} JOIN items USING (itemid))"
 
 
-@query("SELECT page || CASE WHEN k // 48 = 0 THEN '' ELSE '_' || (k // 48 + 1)::VARCHAR END AS page, itemid, (k % 48 % 3 * 15)::BIGINT AS x, (k % 48 // 3 * 5)::BIGINT AS y, header FROM (SELECT page, itemid, row_number() OVER (PARTITION BY page ORDER BY itemid) - 1 AS k, host_name || ': ' || key_ AS header FROM gp JOIN items USING (itemid))", **AN, **GROUP_PAGES)
+@query(_LAYOUT.format(pages="gp", k="row_number() OVER (PARTITION BY page ORDER BY itemid) - 1"), **AN, **GROUP_PAGES)
 def page_layout(spark, sf):
     return pages.page_layout(pages.pages_by_group(_anomalies(spark, sf)), pages.widget_labels(b.items(spark, sf)))
 
 
+@query(_LAYOUT.format(pages="cpage", k="pos"), **AN, **CLUSTER_PAGES)
+def cluster_page_layout(spark, sf):
+    return pages.page_layout(pages.pages_by_cluster(_anomalies(spark, sf)), pages.widget_labels(b.items(spark, sf)))
+
+
+BANDS = "SELECT itemid, coalesce(score, 0) AS score, CASE WHEN coalesce(score, 0) >= 0.5 THEN 'high_score' WHEN coalesce(score, 0) > 0.1 THEN 'mid_score' ELSE 'low_score' END AS page FROM base LEFT JOIN z1 USING (itemid)"
+
+
+@query("SELECT page || CASE WHEN n > 48 THEN '_' || (k // 48 + 1)::VARCHAR ELSE '' END AS page, itemid, (k % 48 % 4 * 16)::BIGINT AS x, (k % 48 // 4 * 5)::BIGINT AS y, '' AS header FROM (SELECT page, itemid, row_number() OVER (PARTITION BY page ORDER BY score DESC, itemid) - 1 AS k, count(*) OVER (PARTITION BY page) AS n FROM bands)", bands=BANDS)
+def band_pages(spark, sf):
+    v = _Views(spark, sf)
+    s = v.base.select("itemid").join(detectors.zscore_scores(v.recent, v.base, Z1), "itemid", "left").fillna({"score": 0.0})
+    paged = pages.pages_by_band(s.select("itemid", "score", filters.score_band(F.col("score")).alias("band")))
+    return pages.page_layout(paged, width=pages.REVIEW_WIDTH, suffix_always=False)
+
+
 HASH_SQL = "(((itemid * 48271 + {s} * 7919) % 2147483647) * 16807 + 12345) % 2147483647"
 POOL = {
     "allz": "SELECT base.itemid, abs(recent.mean - base.mean) / base.std / 3 AS score FROM base JOIN recent USING (itemid) WHERE base.std > 0",
@@ -568,6 +616,28 @@ def strata_pools(spark, sf):
     return _pool(_Views(spark, sf)).select("itemid", r("score"), "band", F.col("pos").cast("long").alias("pos"))
 
 
+QUEUE = {
+    "qdone": "SELECT DISTINCT host_name, key_ FROM items WHERE itemid % 10 = 3",
+    "qtop": "SELECT itemid, score, z FROM z15 ORDER BY score DESC, z DESC, itemid LIMIT 30",
+    "qflag": "SELECT itemid, host_name, key_, score, z FROM qtop JOIN items USING (itemid) ANTI JOIN qdone USING (host_name, key_) ORDER BY score DESC, z DESC, itemid LIMIT 10",
+    "qpool": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY CASE WHEN band = 'mid' THEN -score ELSE {HASH_SQL.format(s=7)} END, itemid) AS pos FROM (SELECT itemid, score, CASE WHEN score > 0.1 AND score < 0.5 THEN 'mid' WHEN score <= 0.1 THEN 'low' END AS band FROM allz ANTI JOIN qtop USING (itemid)) WHERE band IS NOT NULL) WHERE pos <= CASE WHEN band = 'mid' THEN 24 ELSE 18 END",
+    "qrest": "SELECT * FROM (SELECT itemid, host_name, key_, score, band, row_number() OVER (PARTITION BY band ORDER BY pos) AS rn FROM qpool JOIN items USING (itemid) ANTI JOIN qdone USING (host_name, key_)) WHERE rn <= CASE WHEN band = 'mid' THEN 8 ELSE 6 END",
+}
+
+
+@query("SELECT itemid, host_name, key_, round(score, 4) AS score, 'flagged' AS band FROM qflag UNION ALL SELECT itemid, host_name, key_, round(score, 4), CASE band WHEN 'mid' THEN 'boundary' ELSE 'control' END FROM qrest", **POOL, **QUEUE)
+def review_queue(spark, sf):
+    v = _Views(spark, sf)
+    done = v.items.where("itemid % 10 = 3")
+    return pages.review_queue(_simple_scores(v), v.items, done, 10, 8, 6, 7, zscores=detectors.zscore_scores(v.recent, v.base, Z15)).select("itemid", "host_name", "key_", "score", "band")
+
+
+@query(f"SELECT itemid FROM an WHERE created >= {ENDEP} UNION SELECT itemid FROM s1", **AN)
+def replay_candidates(spark, sf):
+    v = _Views(spark, sf)
+    return pages.replay_candidates(_anomalies(spark, sf), detectors.seasonal_scores(v.recent, v.hours, HOUR, Seasonal(lambda_threshold=1.0)), ENDEP)
+
+
 @query("SELECT itemid, band, rn::BIGINT AS rn FROM trim", **POOL)
 def dedup_trim(spark, sf):
     v = _Views(spark, sf)
@@ -600,10 +670,10 @@ _METRICS = "tp, fp, fn, tn, round(p, 9) AS precision, round(r, 9) AS recall, rou
 _COUNTS = "count(*) FILTER ({h} AND label = 1)::BIGINT AS tp, count(*) FILTER ({h} AND label = 0)::BIGINT AS fp, count(*) FILTER (NOT ({h}) AND label = 1)::BIGINT AS fn, count(*) FILTER (NOT ({h}) AND label = 0)::BIGINT AS tn"
 _PR = "SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM ({q})"
 EV = {"lb": "SELECT item_id AS itemid, label, round(coalesce(score, 0), 9) AS score, key_ FROM labels_ LEFT JOIN z1 ON z1.itemid = item_id JOIN items ON items.itemid = item_id WHERE label >= 0"}
-def _cols():
-    return ["tp", "fp", "fn", "tn", *(r(c) for c in ("precision", "recall", "f1"))]
 
 
+def _cols():
+    return ["tp", "fp", "fn", "tn", *(r(c) for c in ("precision", "recall", "f1"))]
 
 
 def _scored(spark, sf):
@@ -656,18 +726,19 @@ def pair_metrics(spark, sf):
 # --- scans
 
 
-@query("SELECT itemid, clock, round(avg(value), 9) AS value FROM (SELECT itemid, clock, value FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT itemid, clock, floor(value) FROM ev WHERE event_id % 2 = 1) GROUP BY itemid, clock")
+@query("SELECT itemid, clock, round(avg(value), 9) AS value FROM (SELECT itemid, clock, value FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT itemid, clock, floor(value) FROM ev WHERE event_id % 2 = 1) WHERE clock <= " + str(ENDEP) + " GROUP BY itemid, clock")
 def union_uint_float(spark, sf):
-    e = b.raw_events(spark, sf)
-    twins = e.where("event_id % 2 = 0").select("itemid", "clock", "value").unionByName(e.where("event_id % 2 = 1").select("itemid", "clock", F.floor("value").cast("double").alias("value")))
-    return twins.groupBy("itemid", "clock").agg(F.round(F.avg("value"), 9).alias("value"))
+    rows = _database(spark, sf).get_history(0, ENDEP)
+    return rows.groupBy("itemid", "clock").agg(F.round(F.avg("value"), 9).alias("value"))
 
 
 def _database(spark, sf):
     """The bindings as the tables of a monitoring database."""
     items, events = b.items(spark, sf), b.problem_events(spark, sf)
-    hosts = items.select("hostid", F.col("host_name").alias("name")).distinct()
+    hosts, raw = items.select("hostid", F.col("host_name").alias("name")).distinct(), b.raw_events(spark, sf)
     tables = {
+        "history": lambda: raw.where("event_id % 2 = 0").select("itemid", "clock", "value"),
+        "history_uint": lambda: raw.where("event_id % 2 = 1").select("itemid", "clock", F.floor("value").alias("value")),
         "hosts": lambda: hosts,
         "items": lambda: items.select("itemid", "hostid", "key_", F.col("key_").alias("name"), "units"),
         "hosts_groups": lambda: items.select("hostid", F.xxhash64("group_name").alias("groupid")).distinct(),
@@ -676,8 +747,6 @@ def _database(spark, sf):
         "triggers": lambda: hosts.select(F.col("hostid").alias("triggerid")),
         "functions": lambda: items.select(F.col("hostid").alias("triggerid"), "itemid"),
     }
-    from ..sources.jdbc import JdbcSource
-
     return JdbcSource(spark, Source(type="jdbc", options={"reader": lambda name: tables[name]()}))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Source
 from ..operators import cluster, detectors, fast, filters, gates, onset, stats
+from ..scratch import kept, materialize, scope
 from ..sources.stores import Stores, event_path, write_event_file
 
 
@@ -65,25 +66,34 @@ def score_items(x: Inputs, cfg: Source, endep: int) -> DataFrame:
 
 
 def detect(x: Inputs, cfg: Source, endep: int) -> Findings:
-    """One cycle, from statistics to incidents; nothing is written."""
-    fresh, _ = stats.split_stale(x.history_stats, endep, cfg.staleness_secs)
-    kept = filters.apply_item_filters(fresh, x.items, fresh.select("itemid", "mean"), cfg.item_filters).persist()
-    # a few rows an item, used by every step that follows
-    x = Inputs(x.history, x.trends, x.items, kept, x.trends_stats.persist(), x.hour_stats.persist())
-    scores = score_items(x, cfg, endep).drop("is_anomaly").persist()
-    ids = scores.select("itemid")
-    trends = x.trends.join(ids, "itemid", "left_semi")
-    c = cfg.clustering
-    level = onset.level_onset(trends, x.trends_stats, c.onset_level_tol, c.sigma, c.onset_tolerance, c.onset_recent_samples)
-    began = onset.anomaly_onset(trends, x.trends_stats, x.hour_stats, endep, cfg.history_window, cfg.detectors.zscore.lambda_threshold, cfg.detectors.seasonal.lambda_threshold, c.onset_tolerance)
-    recent = stats.in_range(x.history, endep - cfg.history_window, endep).join(ids, "itemid", "left_semi")
-    gated = gates.apply_gates(scores, x.items, kept, x.trends_stats, cfg.metric_categories, cfg.ensemble.min_score, recent, cfg.history_interval, began, endep, cfg.recency_max_age)
-    gated = filters.apply_anomaly_filters(gated, x.items, kept, x.trends_stats, cfg.anomaly_filters).persist()
-    confirmed = gated.where("is_anomaly")
-    candidates = gates.rescue_candidates(gated, cfg.ensemble.min_score)
-    flagged = confirmed.select("itemid").unionByName(candidates.select("itemid")).distinct()
-    window = stats.in_range(x.history, endep - c.detection_period, endep)
-    clusters = cluster.cluster_anomalies(window, flagged, c, x.items, level)
+    """One cycle, from statistics to incidents; nothing is recorded.
+
+    What several steps start from is cut to a table once, so no plan holds another one twice; the tables go with the
+    cycle, but for the gated scores and the clusters, which go with the caller's scope.
+    """
+    with scope():
+        fresh, _ = stats.split_stale(x.history_stats, endep, cfg.staleness_secs)
+        items = materialize(x.items, "cycle-items")
+        recent = materialize(filters.apply_item_filters(fresh, items, fresh.select("itemid", "mean"), cfg.item_filters), "cycle-recent")
+        x = Inputs(x.history, x.trends, items, recent, materialize(x.trends_stats, "cycle-trend-stats"), materialize(x.hour_stats, "cycle-hours"))
+        scores = materialize(score_items(x, cfg, endep).drop("is_anomaly"), "cycle-scores")
+        ids = scores.select("itemid")
+        # of the scored items only: few
+        trends = materialize(x.trends.join(ids, "itemid", "left_semi"), "cycle-trends")
+        history = materialize(x.history.join(ids, "itemid", "left_semi"), "cycle-history")
+        c = cfg.clustering
+        began = onset.anomaly_onset(trends, x.trends_stats, x.hour_stats, endep, cfg.history_window, cfg.detectors.zscore.lambda_threshold, cfg.detectors.seasonal.lambda_threshold, c.onset_tolerance)
+        window = stats.in_range(history, endep - cfg.history_window, endep)
+        gated = gates.apply_gates(scores, items, recent, x.trends_stats, cfg.metric_categories, cfg.ensemble.min_score, window, cfg.history_interval, materialize(began, "cycle-onsets"), endep, cfg.recency_max_age)
+        gated = kept(filters.apply_anomaly_filters(gated, items, recent, x.trends_stats, cfg.anomaly_filters), "cycle-gated")
+        confirmed = gated.where("is_anomaly")
+        candidates = gates.rescue_candidates(gated, cfg.ensemble.min_score)
+        if not c.rescue_same_incident:
+            candidates = candidates.limit(0)
+        flagged = confirmed.select("itemid").unionByName(candidates.select("itemid")).distinct()
+        level = onset.level_onset(trends, x.trends_stats, c.onset_level_tol, c.sigma, c.onset_tolerance, c.onset_recent_samples)
+        clusters = cluster.cluster_anomalies(stats.in_range(history, endep - c.detection_period, endep), flagged, c, items, level)
+        clusters = kept(clusters, "cycle-clusters")
     return Findings(gated, confirmed, gates.select_rescued(candidates, clusters, confirmed), clusters)
 
 
@@ -108,21 +118,20 @@ def update_statistics(spark: SparkSession, source, stores: Stores, cfg: Source,
 
 def run_detection(spark: SparkSession, source, stores: Stores, cfg: Source, endep: int) -> DataFrame:
     """The hourly cycle: detects, records each anomaly once, drops old ones. Returns the new rows' itemids."""
-    ids = source.get_item_ids(cfg.item_names, cfg.host_names, cfg.group_names, cfg.item_ids, cfg.max_items)
-    start = endep - cfg.history_window
-    history = source.get_history(min(start, endep - cfg.clustering.detection_period), endep, ids)
-    recent = stats.window_stats(history, start, endep)
-    stores.history_stats.replace(recent)
-    stores.set_watermark(stores.history_updates, start, endep)
-    trends = source.get_trends(endep - cfg.trends_retention * 86400, endep, ids)
-    x = Inputs(history, trends, source.get_item_details(ids), stores.history_stats.read(), stores.trends_stats.read(), stores.read_hours())
-    found = detect(x, cfg, endep)
-    seen = stores.recorded_ids(endep - cfg.anomaly_keep_secs)
-    rows = anomaly_rows(found, x.items, x.trends_stats, endep).join(seen, "itemid", "left_anti").persist()
-    stores.insert_anomalies(rows)
-    stores.update_clusters(found.clusters, endep)
-    stores.anomalies.delete_before("created", endep - cfg.anomaly_keep_secs)
-    return rows.select("itemid")
+    with scope():
+        ids = materialize(source.get_item_ids(cfg.item_names, cfg.host_names, cfg.group_names, cfg.item_ids, cfg.max_items), "cycle-ids")
+        start = endep - cfg.history_window
+        history = materialize(source.get_history(min(start, endep - cfg.clustering.detection_period), endep, ids), "cycle-samples")
+        stores.history_stats.replace(stats.window_stats(history, start, endep))
+        stores.set_watermark(stores.history_updates, start, endep)
+        trends = source.get_trends(endep - cfg.trends_retention * 86400, endep, ids)
+        x = Inputs(history, trends, source.get_item_details(ids), stores.history_stats.read(), stores.trends_stats.read(), stores.read_hours())
+        found = detect(x, cfg, endep)
+        seen = stores.recorded_ids(endep - cfg.anomaly_keep_secs)
+        rows = materialize(anomaly_rows(found, x.items, x.trends_stats, endep).join(seen, "itemid", "left_anti"), "cycle-new")
+        new = kept(rows.select("itemid").distinct(), "cycle-new-ids")
+        stores.record_cycle(rows, found.clusters, endep, endep - cfg.anomaly_keep_secs)
+    return new
 
 
 def fast_events(history: DataFrame, items: DataFrame, hours: DataFrame | None, events: DataFrame | None, cfg: Source, endep: int) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +145,7 @@ def fast_events(history: DataFrame, items: DataFrame, hours: DataFrame | None, e
         judged = fast.seasonal_veto(scores, hours, hour_of(endep), f.seasonal_lambda)
     else:
         judged = scores.withColumn("seasonal_z", F.lit(None).cast("double")).withColumn("suppressed", F.lit(False))
-    judged = judged.persist()
+    judged = materialize(judged, "fast-judged")
     kept = judged.where("not suppressed").drop("seasonal_z", "suppressed")
     clusters = cluster.cluster_anomalies(span, kept.select("itemid"), cfg.clustering) if f.cooccur else kept.select("itemid", F.lit(-1).alias("clusterid"))
     weights = None
@@ -148,14 +157,15 @@ def fast_events(history: DataFrame, items: DataFrame, hours: DataFrame | None, e
     if weights is not None:
         covered = kept.join(watched, "itemid").select("host_name")
         scored = scored.unionByName(fast.event_only_events(weights, covered, f.min_event_score), allowMissingColumns=True)
-    return scored, judged.where("suppressed")
+    return materialize(scored, "fast-events"), judged.where("suppressed")
 
 
 def run_fast(spark: SparkSession, source, stores: Stores, cfg: Source, endep: int, ds_name: str, n_sources: int = 1) -> dict:
     """The fast axis of one source: writes the event file and returns its document."""
     f = cfg.fast_detect
-    items = source.get_item_details(source.get_item_ids(cfg.item_names, cfg.host_names, cfg.group_names, cfg.item_ids, cfg.max_items))
-    span = max(f.history_span_secs, f.events_window_secs)
-    events = source.get_events(endep - span, endep) if f.use_events else None
-    scored, quiet = fast_events(source.get_history(endep - f.history_span_secs, endep), items, stores.read_hours(hour_of(endep)), events, cfg, endep)
-    return write_event_file(fast.build_result(scored, quiet, endep), event_path(f.output_path, ds_name, n_sources))
+    with scope():
+        items = materialize(source.get_item_details(source.get_item_ids(cfg.item_names, cfg.host_names, cfg.group_names, cfg.item_ids, cfg.max_items)), "fast-items")
+        span = max(f.history_span_secs, f.events_window_secs)
+        events = source.get_events(endep - span, endep) if f.use_events else None
+        scored, quiet = fast_events(source.get_history(endep - f.history_span_secs, endep), items, stores.read_hours(hour_of(endep)), events, cfg, endep)
+        return write_event_file(fast.build_result(scored, quiet, endep), event_path(f.output_path, ds_name, n_sources))

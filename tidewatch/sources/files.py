@@ -47,11 +47,11 @@ class _Folder:
             return False
 
     def get_item_ids(self, item_names=(), host_names=(), group_names=(), item_ids=(), max_items: int = 0) -> DataFrame:
-        """Distinct ids of the history, lowest first; a folder has no use for name filters."""
-        ids = self._history().select("itemid").distinct()
+        """Distinct ids of the history, those that appear first in its files first; a folder has no use for name filters."""
+        ids = self._history().select("itemid", F.monotonically_increasing_id().alias("at")).groupBy("itemid").agg(F.min("at").alias("at"))
         if item_ids:
             ids = ids.where(F.col("itemid").isin(list(item_ids)))
-        return ids.orderBy("itemid").limit(max_items) if max_items else ids
+        return (ids.orderBy("at").limit(max_items) if max_items else ids).select("itemid")
 
     def get_item_details(self, ids: DataFrame | None = None) -> DataFrame:
         """One row an item: that of the lowest group name, if it is in several."""

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from .. import schemas
 from ..functions.scalar import finite
 from ..functions.sequence import keep_latest
+from ..scratch import materialize, scope
 
 
 class Table:
@@ -82,17 +83,74 @@ class Table:
         return ids.join(have, "itemid", "left_semi"), ids.join(have, "itemid", "left_anti")
 
 
+class DayTable(Table):
+    """A keyed table in parts, by the day of the key `clock`: a write makes only those days anew that it touches."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str], clock: str):
+        super().__init__(spark, path, schema, keys)
+        self.clock = clock
+
+    def days(self) -> dict[int, Table]:
+        fs, path = self._fs()
+        if not fs.exists(path(self.path)):
+            return {}
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
+        return {int(n[1:]): self._part(int(n[1:])) for n in names if n.startswith("d") and n[1:].lstrip("-").isdigit()}
+
+    def _part(self, day: int) -> Table:
+        return Table(self.spark, f"{self.path}/d{day}", self.schema, self.keys)
+
+    def _day(self):
+        return F.floor(F.col(self.clock) / 86400).cast("long")
+
+    def create(self) -> None:
+        fs, path = self._fs()
+        fs.mkdirs(path(self.path))
+
+    def read(self) -> DataFrame:
+        parts = [f"{t.path}/v{v[-1]}" for _, t in sorted(self.days().items()) if (v := t.versions())]
+        return self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
+
+    def _each_day(self, df: DataFrame, write) -> set[int]:
+        with scope():
+            rows = materialize(self._cast(df), "store-rows")
+            found = {r[0] for r in rows.select(self._day()).distinct().collect()}  # a row for each day
+            for day in sorted(found):
+                write(self._part(day), rows.where(self._day() == day))
+        return found
+
+    def replace(self, df: DataFrame) -> None:
+        have = self.days()
+        new = self._each_day(df, lambda t, rows: t.replace(rows))
+        for day in set(have) - new:
+            have[day].drop()
+
+    def upsert(self, df: DataFrame) -> None:
+        self._each_day(df, lambda t, rows: t.upsert(rows))
+
+    def delete_ids(self, ids: DataFrame) -> None:
+        for t in self.days().values():
+            t.delete_ids(ids)
+
+    def delete_before(self, column: str, cutoff: int) -> None:
+        for day, t in self.days().items():
+            if column == self.clock and (day + 1) * 86400 <= cutoff:
+                t.drop()
+            elif column != self.clock or day * 86400 < cutoff:
+                t.delete_before(column, cutoff)
+
+
 class Stores:
     """All tables of one data source."""
 
     def __init__(self, spark: SparkSession, root: str, ds_name: str):
         at = lambda name: f"{root.rstrip('/')}/{ds_name}/{name}"
         self.spark = spark
-        self.history = Table(spark, at("history"), schemas.HISTORY, ["itemid", "clock"])
+        self.history = DayTable(spark, at("history"), schemas.HISTORY, ["itemid", "clock"], "clock")
         self.history_stats = Table(spark, at("history_stats"), schemas.STATS, ["itemid"])
         self.trends_stats = Table(spark, at("trends_stats"), schemas.STATS, ["itemid"])
         self.hour_stats = Table(spark, at("hour_stats"), schemas.HOUR_STATS, ["itemid", "hour_of_day"])
-        self.anomalies = Table(spark, at("anomalies"), schemas.ANOMALIES, ["itemid", "created", "group_name"])
+        self.anomalies = DayTable(spark, at("anomalies"), schemas.ANOMALIES, ["itemid", "created", "group_name"], "created")
         self.history_updates = Table(spark, at("history_updates"), schemas.UPDATES, [])
         self.trends_updates = Table(spark, at("trends_updates"), schemas.UPDATES, [])
 
@@ -127,20 +185,31 @@ class Stores:
     def set_watermark(self, table: Table, startep: int, endep: int) -> None:
         table.replace(self.spark.createDataFrame([(startep, endep)], schemas.UPDATES))
 
-    def insert_anomalies(self, df: DataFrame) -> None:
-        """Strings are cut to 255, quotes go from item names, unknown means are 0, a new row is in no cluster."""
+    @staticmethod
+    def _clean(df: DataFrame) -> DataFrame:
         cut = lambda c: F.substring(c, 1, 255)
         known = lambda c: F.coalesce(finite(F.col(c)), F.lit(0.0))
+        return df.withColumns({"item_name": cut(F.regexp_replace("item_name", "'", "")), "host_name": cut(F.col("host_name")), "group_name": cut(F.col("group_name")), "trend_mean": known("trend_mean"), "trend_std": known("trend_std")})
+
+    def insert_anomalies(self, df: DataFrame) -> None:
+        """Strings are cut to 255, quotes go from item names, unknown means are 0, a new row is in no cluster."""
         old = self.anomalies.read().select("itemid", "created", "group_name", F.col("clusterid").alias("_old"))
-        rows = df.drop("clusterid").withColumns({"item_name": cut(F.regexp_replace("item_name", "'", "")), "host_name": cut(F.col("host_name")), "group_name": cut(F.col("group_name")), "trend_mean": known("trend_mean"), "trend_std": known("trend_std")})
+        rows = self._clean(df.drop("clusterid"))
         rows = rows.join(old, ["itemid", "created", "group_name"], "left").withColumn("clusterid", F.coalesce("_old", F.lit(-1)))
         self.anomalies.upsert(rows)
 
+    def record_cycle(self, rows: DataFrame, clusters: DataFrame, created: int, keep_from: int) -> None:
+        """insert_anomalies(), update_clusters() of the cycle and the removal of old rows, in one write of the days concerned."""
+        fresh = self._clean(rows.drop("clusterid")).join(clusters.select("itemid", "clusterid"), "itemid", "left").withColumn("clusterid", F.coalesce("clusterid", F.lit(-1)))
+        self.anomalies.upsert(fresh)
+        self.anomalies.delete_before("created", keep_from)
+
     def update_clusters(self, clusters: DataFrame, created: int | None = None) -> None:
         """Clusters of one cycle (or of all rows): rows without one get -1."""
-        here = F.lit(True) if created is None else F.col("created") == created
-        j = self.anomalies.read().join(clusters.select("itemid", F.col("clusterid").alias("_new")), "itemid", "left")
-        self.anomalies.replace(j.withColumn("clusterid", F.when(here, F.coalesce("_new", F.lit(-1))).otherwise(F.col("clusterid"))))
+        rows = self.anomalies.read()
+        rows = rows if created is None else rows.where(F.col("created") == created)
+        j = rows.drop("clusterid").join(clusters.select("itemid", "clusterid"), "itemid", "left")
+        self.anomalies.upsert(j.withColumn("clusterid", F.coalesce("clusterid", F.lit(-1))))
 
     def recorded_ids(self, since: int = 0) -> DataFrame:
         rows = self.anomalies.read()
@@ -188,10 +257,14 @@ def event_path(path: str, ds_name: str, n_sources: int) -> str:
 
 
 def write_event_file(result: DataFrame, path: str) -> dict:
-    """The event document of build_result(), one row, as JSON."""
-    text = result.select(F.to_json(F.struct(*result.columns), {"ignoreNullFields": "false"}).alias("j")).first().j
-    write_text_atomic(result.sparkSession, path, text)
-    return json.loads(text)
+    """The event document of build_result(), one row, as JSON; only events of a host alone have its name."""
+    row = result.select(F.to_json(F.struct(*result.columns), {"ignoreNullFields": "false"}).alias("j")).first().j
+    document = json.loads(row)
+    for event in document["events"]:
+        if event.get("host", "") is None:
+            del event["host"]
+    write_text_atomic(result.sparkSession, path, json.dumps(document, indent=2))
+    return document
 
 
 def export_dataset(source, ids: DataFrame | None, history_start: int, trends_start: int, endep: int, folder: str, cycles: list[int] = ()) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import Source
 from ..operators import stats
 from ..plans.cycle import fast_events
+from ..scratch import scope
 
 
 def trailing_window_stats(history: DataFrame, window_secs: int, slide_secs: int, delay_secs: int) -> DataFrame:
@@ -38,7 +39,8 @@ def start_fast_axis(ticks: DataFrame, history: Callable[[int, int], DataFrame],
         endep = df.agg(F.max("clock")).first()[0]
         if endep is not None:
             span = stats.in_range(history(endep - cfg.fast_detect.history_span_secs, endep), endep - cfg.fast_detect.history_span_secs, endep)
-            emit(fast_events(span, items, hours, None, cfg, endep)[0], endep)
+            with scope():  # the batch's tables go with it
+                emit(fast_events(span, items, hours, None, cfg, endep)[0], endep)
 
     writer = ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
