@@ -355,8 +355,9 @@ def _graded(v: _Views) -> DataFrame:
 
 @query(
     "SELECT itemid, round(score, 9) AS score FROM graded WHERE score < 0.4 AND raw_score >= 0.4 AND idle = 1 AND magnitude < 1",
+    **GATED_SQL,
     graded="SELECT *, raw_score * magnitude * idle * recency AS score FROM "
-    f"(SELECT * REPLACE (CASE WHEN h_mean IS NULL OR t_mean IS NULL THEN 1 ELSE {_ramp_sql('abs(h_mean - t_mean) / greatest(abs(t_mean), 1e-9)', 0.5, 8.0)} END AS magnitude) FROM gt)", **GATED_SQL,
+    f"(SELECT * REPLACE (CASE WHEN h_mean IS NULL OR t_mean IS NULL THEN 1 ELSE {_ramp_sql('abs(h_mean - t_mean) / greatest(abs(t_mean), 1e-9)', 0.5, 8.0)} END AS magnitude) FROM gt)",
 )
 def rescue_candidates(spark, sf):
     return gates.rescue_candidates(_graded(_Views(spark, sf, True)), 0.4).select("itemid", r("score"))
