@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import jaccard, mixture
 
@@ -15,6 +16,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def test_keeps_one_of_each_class(spark):
     rows = corpus(3)
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    clash = jaccard.keep_one_of_each_class(df.withColumn("text_th", F.lit(7)).withColumn("lead_doc", F.lit("x")))
+    assert clash.columns[-2:] == ["text_th", "lead_doc"] and {(r.text_th, r.lead_doc) for r in clash.collect()} == {(7, "x")}
     kept = jaccard.keep_one_of_each_class(df)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     got = Counter((r.doc_id, r.text) for r in kept.collect())

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import kept, materialize, scope, scratch_path  # noqa: F401
+
 #: Bytes of text that the numpy kernels take at a time (a longer document is taken alone).
 CHUNK_BYTES = 2 << 20
 
@@ -21,38 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where none is set (single-machine sessions only)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return jdir.get()
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tidewatch-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes `df` as Parquet in the shared folder and reads it back.
-
-    A lost executor then costs no more than the stages after this point.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of plans that are no longer referenced (else they stay until the next driver GC)."""
     import gc
@@ -61,6 +27,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that `df` doesn't have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows with at most `limit` bytes; null counts as empty."""
     col = pc.fill_null(batch.column(column), "").cast(pa.large_utf8())

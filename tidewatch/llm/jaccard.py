@@ -3,15 +3,17 @@
 A document is the set of its five-word shingles (hashes of lower-cased words; a text of one to four words is one
 shingle). Equal sets are folded first; what follows works on distinct sets. In each run every set samples some of its
 shingles, each with probability 1 / (threshold * size), by a hash of the run and the shingle, so that similar sets choose
-the same ones; a sampled shingle is a child bucket. Buckets of at most BUCKET sets are compared by brute force; larger
-ones are split again by another sample. A bucket that is still larger at the last level is compared whole as well, in
-tiles of two groups of about BUCKET sets. A pair is compared if it shares LEAST buckets or more (pairs with one passage in
-common share fewer); runs are so many that a pair at the threshold does with probability RECALL, whether its buckets are
-those of the first level or of the last. Every candidate pair is verified on the full sets, and counted in the first of the
-buckets it shares.
+the same ones. A path is an increasing sequence of a set's samples, and sets that share a path share its bucket. Buckets
+of at most BUCKET sets are compared by brute force; a larger one is split again by its sets' later samples, up to LEAST
+samples a path. Two sets that share LEAST samples therefore meet at every depth, so splitting costs no recall, and runs are
+so many that a pair at the threshold shares that many with probability RECALL. A large bucket whose sets mostly share
+another sample too is alike: splitting it again would only repeat it. It is compared whole, in tiles of two groups of
+about BUCKET sets, as is what is still large at the last depth. Every candidate pair is verified on the full sets, and
+counted in the first of the buckets it shares.
 
 Pairs are never emitted: a bucket gives its members' link counts and a spanning forest of its links. Classes are the
-connected components of the forests, by alternating star contraction on tables in shared storage.
+connected components of the forests, by alternating star contraction on tables in shared storage. Among equal doc_ids the
+text with the lowest hash leads. Very long texts are one set each, of all their shingles.
 
 Defined cases: a document without words is alone; repeated rows are copies; null doc_ids take part, and a class's id is
 its lowest doc_id (null if it has none); a document without links is its own class; extra columns are ignored; an empty
@@ -29,7 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, text_chunks
+from ..operators.graph import components
+from .common import free_names, materialize, release, text_chunks
 from .textops import Prefix, mix, ngrams, words
 
 WIDTH = 5
@@ -37,43 +40,26 @@ WIDTH = 5
 NUM, DEN = 4, 5
 BUCKET = 256
 RECALL = 0.99999
-LEVELS = 2
+#: Samples that a pair must share to be compared, and the longest path.
 LEAST = 3
+#: A bucket is alike if this share of its sets shares another sample; of a large bucket, about PROBE sets are looked at.
+ALIKE, PROBE = 0.5, 128
+#: Sets of a task whose tiles are held together before they are sent.
+HELD = 50_000
 _NULL = -(1 << 63)
 
 
-def _shared(depth: int, upto: int) -> np.ndarray:
-    """P(a pair at the threshold shares 0, 1, .. upto - 1 buckets of level `depth` in one run).
+def runs_for(recall: float, least: int = LEAST) -> int:
+    """Runs after which a pair at the threshold shares `least` samples with probability `recall`: the number that it
+    shares in a run is Poisson distributed with mean 1 at least."""
+    runs = 1
+    while sum(math.exp(-runs) * runs**k / math.factorial(k) for k in range(least)) > 1 - recall:
+        runs += 1
+    return runs
 
-    It has sampled a Poisson number of shingles in common at each level, with mean 1 at least, the same ones below every
-    bucket of a run: the shared buckets are the product of these numbers.
-    """
-    one = np.array([math.exp(-1) / math.factorial(k) for k in range(upto)])
-    out = one
-    for _ in range(depth - 1):
-        p = np.zeros(upto)
-        for i in range(1, upto):
-            for j in range(1, (upto - 1) // i + 1):
-                p[i * j] += out[i] * one[j]
-        p[0] = 1 - (1 - out[0]) * (1 - one[0])
-        out = p
-    return out
-
-
-def runs_for(recall: float, levels: int = LEVELS, least: int = LEAST) -> int:
-    """Runs after which a pair at the threshold has shared `least` buckets with probability `recall`, at any level."""
-    most = 1
-    for depth in range(1, levels + 1):
-        one = _shared(depth, least)
-        total, runs = one, 1
-        while total.sum() > 1 - recall:
-            total, runs = np.convolve(total, one)[:least], runs + 1
-        most = max(most, runs)
-    return most
 
-
-def _seed(run: int, level: int) -> np.uint64:
-    return mix(np.array([(run * 8 + level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0]
+def _seed(run: int) -> np.uint64:
+    return mix(np.array([(run * 8 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0]
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +95,12 @@ def _lower(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
 
+_SIGNED = "doc_id long, th long, s long, n long, samples array<long>"
+
+
 def _sample(runs: int):
+    """Each text's set: its id, size and samples (hashes of run and shingle, ascending)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in map(_lower, batches):
             for lo, hi, raw, off in text_chunks(b):
@@ -117,60 +108,72 @@ def _sample(runs: int):
                 size = np.diff(bounds)
                 doc = np.repeat(np.arange(hi - lo), size)
                 bar = np.minimum(2.0**64 * DEN / (NUM * np.maximum(size, 1)), 2.0**64 - 2048).astype(np.uint64)[doc]
-                cols = [b.column("doc_id").slice(lo, hi - lo), b.column("th").slice(lo, hi - lo), pa.array(set_ids(g, bounds).view(np.int64)), pa.array(size.astype(np.int64))]
-                for level in range(LEVELS):
-                    kept_d, kept_t, kept_r = [], [], []
-                    for r in range(runs):
-                        x = mix(g ^ _seed(r, level))
-                        k = np.flatnonzero(x <= bar)
-                        kept_d.append(doc[k])
-                        kept_t.append(x[k])
-                        kept_r.append(np.full(len(k), r, np.int32))
-                    d, t, r = map(np.concatenate, (kept_d, kept_t, kept_r))
-                    o = np.argsort(d, kind="stable")
-                    cut = pa.array(np.searchsorted(d[o], np.arange(hi - lo + 1)).astype(np.int32))
-                    pairs = pa.StructArray.from_arrays([pa.array(r[o]), pa.array(t[o].view(np.int64))], names=["r", "t"])
-                    cols.append(pa.ListArray.from_arrays(cut, pairs))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "s", "n", *(f"l{k}" for k in range(1, LEVELS + 1))])
-
-    levels = ", ".join(f"l{k} array<struct<r:int,t:long>>" for k in range(1, LEVELS + 1))
-    return run, f"doc_id long, th long, s long, n long, {levels}"
-
-
-def _buckets(rows: DataFrame) -> DataFrame:
-    """`rows` (s, r, path) with the size of their bucket, without those alone."""
+                owners, found = [], []
+                for r in range(runs):
+                    x = mix(g ^ _seed(r))
+                    k = np.flatnonzero(x <= bar)
+                    owners.append(doc[k])
+                    found.append(mix(x[k] + np.uint64(r)).view(np.int64))
+                d, t = np.concatenate(owners), np.concatenate(found)
+                o = np.lexsort((t, d))
+                cut = pa.array(np.searchsorted(d[o], np.arange(hi - lo + 1)).astype(np.int32))
+                cols = [b.column("doc_id").slice(lo, hi - lo), b.column("th").slice(lo, hi - lo), pa.array(set_ids(g, bounds).view(np.int64)), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(cut, pa.array(t[o]))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "s", "n", "samples"])
+
+    return run
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """`rows` (s, path, last) with the size of their bucket, without those alone."""
     sizes = rows.groupBy("path").agg(F.count("*").alias("c")).where("c > 1")
     return rows.join(sizes, "path")
 
 
+def _alike(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """(path) of the large buckets of which most sets share another sample. About PROBE sets of each are looked at, which
+    decides how the bucket is compared, not whether."""
+    some = large.where(F.pmod(F.xxhash64("s", "path"), F.col("c")) < PROBE)
+    seen = some.groupBy("path").agg(F.count("*").alias("seen"))
+    other = some.join(reps.select("s", "samples"), "s").select("path", "last", F.explode("samples").alias("t")).where("t <> last")
+    top = other.groupBy("path", "t").agg(F.count("*").alias("k")).groupBy("path").agg(F.max("k").alias("k"))
+    return top.join(seen, "path").where(F.col("k") >= ALIKE * F.col("seen")).select("path")
+
+
 def _leaves(reps: DataFrame) -> DataFrame:
-    """(s, leaf, c): the buckets that are to be compared; those over BUCKET at the last level too."""
-    spark = reps.sparkSession
-    rows = reps.select("s", F.explode("l1").alias("x")).select("s", F.col("x.r").alias("r"), F.xxhash64("x.r", "x.t").alias("path"))
+    """(s, leaf, c): the buckets that are to be compared, with their size."""
+    rows = reps.select("s", F.explode("samples").alias("last")).select("s", F.col("last").alias("path"), "last")
     found = []
-    for level in range(1, LEVELS + 1):
-        sized = materialize(_buckets(rows), f"jaccard-level{level}")
-        last = level == LEVELS
-        found.append(sized.where("true" if last else f"c <= {BUCKET}").select("s", F.col("path").alias("leaf"), "c"))
+    for depth in range(1, LEAST + 1):
+        sized = materialize(_sized(rows), f"jaccard-depth{depth}")
+        found.append(sized.where("true" if depth == LEAST else f"c <= {BUCKET}").select("s", F.col("path").alias("leaf"), "c"))
         large = sized.where(f"c > {BUCKET}")
-        if last or large.isEmpty():
+        if depth == LEAST or large.isEmpty():
             break
-        rows = large.join(reps.select("s", f"l{level + 1}"), "s").select("s", "r", "path", F.explode(F.filter(f"l{level + 1}", lambda x: x["r"] == F.col("r"))).alias("x"))
-        rows = rows.select("s", "r", F.xxhash64("path", "x.t").alias("path")).distinct()
+        alike = materialize(_alike(large, reps), "jaccard-alike")
+        found.append(large.join(alike, "path", "left_semi").select("s", F.col("path").alias("leaf"), "c"))
+        split = large.join(alike, "path", "left_anti").join(reps.select("s", "samples"), "s")
+        rows = split.select("s", "path", F.explode(F.filter("samples", lambda t: t > F.col("last"))).alias("t")).select("s", F.xxhash64("path", "t").alias("path"), F.col("t").alias("last"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    release(spark)
     return out
 
 
-_TILE = "s long, leaf long, g int, a int, b int"
+_TILES = "s long, tiles array<struct<leaf:long,g:int,a:int,b:int>>"
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a tile (rows sorted by tile) that have a pair of their own in it: one whose sizes allow the threshold,
-    that shares enough leaves for a similar pair, and no earlier leaf than this."""
+    """Of each set the tiles (rows sorted by tile) in which it has a pair of its own: one whose sizes allow the threshold,
+    that shares LEAST samples, and no earlier leaf than this. A set's tiles of this task go together."""
     held: list[pa.RecordBatch] = []
+    wanted: dict[int, list[tuple[int, int, int, int]]] = {}
+
+    def shared(t: pa.Table, column: str, limit: int | None = None) -> np.ndarray:
+        have = t.column(column).combine_chunks()
+        flat, owner = have.flatten().to_numpy(), np.repeat(np.arange(len(t)), np.diff(have.offsets.to_numpy()))
+        if limit is not None:
+            flat, owner = flat[flat < limit], owner[flat < limit]
+        return common_counts(flat, owner, len(t))
 
     def tile(t: pa.Table) -> np.ndarray:
         n, leaf = t.column("n").to_numpy(), t.column("leaf")[0].as_py()
@@ -180,20 +183,28 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok &= g[:, None] != g[None, :]
         if not ok.any():
             return np.zeros(len(n), bool)
-        have = t.column("leaves").combine_chunks()
-        flat, owner = have.flatten().to_numpy(), np.repeat(np.arange(len(n)), np.diff(have.offsets.to_numpy()))
-        ok &= common_counts(flat, owner, len(n)) >= t.column("least")[0].as_py()
-        before = flat < leaf
-        return (ok & (common_counts(flat[before], owner[before], len(n)) == 0)).any(axis=1)
+        ok &= shared(t, "samples") >= LEAST
+        return (ok & (shared(t, "leaves", leaf) == 0)).any(axis=1)
+
+    def sent() -> pa.RecordBatch:
+        tiles = [dict(zip(("leaf", "g", "a", "b"), x)) for have in wanted.values() for x in have]
+        cut = np.concatenate([[0], np.cumsum([len(x) for x in wanted.values()])]).astype(np.int32)
+        kind = pa.struct([("leaf", pa.int64()), ("g", pa.int32()), ("a", pa.int32()), ("b", pa.int32())])
+        return pa.RecordBatch.from_arrays([pa.array(list(wanted), pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(tiles, kind))], names=["s", "tiles"])
 
     def settle(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
         key = t.column("key").to_numpy()
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         ends = np.append(cut[1:], len(key))
         done = len(cut) if last else len(cut) - 1
-        out = [np.flatnonzero(tile(t.slice(lo, hi - lo))) + lo for lo, hi in zip(cut[:done], ends[:done]) if hi - lo > 1]
-        if out and (k := np.concatenate(out)).size:
-            yield from t.select(["s", "leaf", "g", "a", "b"]).take(pa.array(k)).combine_chunks().to_batches()
+        for lo, hi in zip(cut[:done], ends[:done]):
+            if hi - lo > 1 and (k := np.flatnonzero(tile(t.slice(lo, hi - lo)))).size:
+                part = t.slice(lo, hi - lo).select(["s", "leaf", "g", "a", "b"]).take(pa.array(k))
+                for s, *where in zip(*(part.column(c).to_pylist() for c in part.column_names)):
+                    wanted.setdefault(s, []).append(tuple(where))
+        if wanted and (last or len(wanted) > HELD):
+            yield sent()
+            wanted.clear()
         held[:] = [] if last else t.slice(int(cut[-1])).to_batches()
 
     for b in batches:
@@ -206,19 +217,18 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tiles(leaves: DataFrame, reps: DataFrame) -> DataFrame:
     """(s, all its leaves, tiles): what each set has to be sent to.
 
-    Tiles are first looked through without the sets, by sizes and by the leaves that pairs have in common: similar sets
+    Tiles are first looked through without the sets, by sizes and by the samples that pairs have in common: similar sets
     share far more of them than sets with one passage in common.
     """
-    own = leaves.groupBy("s").agg(F.array_sort(F.collect_set("leaf")).alias("leaves")).join(reps.select("s", "n"), "s")
+    own = leaves.groupBy("s").agg(F.array_sort(F.collect_set("leaf")).alias("leaves")).join(reps.select("s", "n", "samples"), "s")
     groups = F.when(F.col("c") > BUCKET, F.ceil(F.col("c") / BUCKET)).otherwise(1).cast("int")
     dealt = leaves.join(own, "s").withColumn("groups", groups).withColumn("g", F.pmod(F.xxhash64("s", "leaf"), F.col("groups")).cast("int"))
     j = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("j")
-    rows = dealt.select("s", "n", "leaves", "leaf", "g", F.when(F.col("groups") > 1, LEAST - 1).otherwise(LEAST).alias("least"), j)
-    rows = rows.select("s", "n", "leaves", "leaf", "g", "least", F.least("g", "j").alias("a"), F.greatest("g", "j").alias("b"))
+    rows = dealt.select("s", "n", "samples", "leaves", "leaf", "g", j)
+    rows = rows.select("s", "n", "samples", "leaves", "leaf", "g", F.least("g", "j").alias("a"), F.greatest("g", "j").alias("b"))
     rows = rows.withColumn("key", F.xxhash64("leaf", "a", "b"))
     dealt = rows.repartition("key").sortWithinPartitions("key")
-    wanted = dealt.mapInArrow(_promising, _TILE)
-    tiles = wanted.groupBy("s").agg(F.collect_list(F.struct("leaf", "g", "a", "b")).alias("tiles"))
+    tiles = dealt.mapInArrow(_promising, _TILES).groupBy("s").agg(F.flatten(F.collect_list("tiles")).alias("tiles"))
     return tiles.join(own.select("s", "leaves"), "s")
 
 
@@ -306,35 +316,12 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate([s[has], s[edge]])), pa.array([None] * len(has) + s[root[edge]].tolist(), pa.int64()), pa.array(np.concatenate([count[has], zero]))], names=["s", "t", "n"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(s, root): the lowest member of each node's connected component, by alternating large and small stars."""
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 30)))).first()
-    old = mark(edges)
-    while old[0]:
-        e = both(edges)
-        low = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = e.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: each node's lower neighbours, and itself, hang on the lowest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = materialize(small, "components")
-        now = mark(edges)
-        if now == old:
-            break
-        old = now
-    return edges.select(F.col("a").alias("s"), F.col("b").alias("root"))
-
-
 def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """doc_id, th (hash of the text), root (of the class; null without words), class_id, n_links, n_shingles."""
-    sample, schema = _sample(runs_for(recall))
     slim = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    signed = materialize(slim.mapInArrow(sample, schema), "jaccard-signatures")
+    signed = materialize(slim.mapInArrow(_sample(runs_for(recall)), _SIGNED), "jaccard-signatures")
     some = signed.where("n > 0")
-    reps = materialize(some.groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.first("n").alias("n"), *(F.first(f"l{k}").alias(f"l{k}") for k in range(1, LEVELS + 1))), "jaccard-sets")
+    reps = materialize(some.groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("samples").alias("samples")), "jaccard-sets")
     tiles = _tiles(materialize(_leaves(reps), "jaccard-leaves"), reps)
     needed = materialize(reps.select("s", "m", F.coalesce("rep", F.lit(_NULL)).alias("doc")).join(tiles, "s"), "jaccard-tiles")
     release(docs.sparkSession)
@@ -362,10 +349,11 @@ def keep_one_of_each_class(docs: DataFrame, recall: float = RECALL) -> DataFrame
     lowest hash. All documents without words stay."""
     found = materialize(classes(docs, recall), "jaccard-found")
     lead = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
-    keys = materialize(lead.unionByName(found.where("root is null").select("doc_id", "th").distinct()).select(F.col("doc_id").alias("lead_doc"), F.col("th").alias("lead_th")), "jaccard-kept")
-    here = F.col("doc_id").eqNullSafe(F.col("lead_doc")) & (F.col("text_th") == F.col("lead_th"))
-    kept = docs.withColumn("text_th", F.xxhash64(F.coalesce("text", F.lit("")))).join(keys, here, "left_semi")
-    again = materialize(found.where("root is not null").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("lead_doc"), F.col("th").alias("lead_th")), "jaccard-repeated")
+    own_th, doc, th = free_names(docs, "text_th", "lead_doc", "lead_th")
+    keys = materialize(lead.unionByName(found.where("root is null").select("doc_id", "th").distinct()).select(F.col("doc_id").alias(doc), F.col("th").alias(th)), "jaccard-kept")
+    here = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own_th) == F.col(th))
+    kept = docs.withColumn(own_th, F.xxhash64(F.coalesce("text", F.lit("")))).join(keys, here, "left_semi")
+    again = materialize(found.where("root is not null").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias(doc), F.col("th").alias(th)), "jaccard-repeated")
     if not again.isEmpty():  # rows repeated whole
-        kept = kept.join(again, here, "left_anti").unionByName(kept.join(again, here, "left_semi").dropDuplicates(["doc_id", "text_th"]))
-    return kept.drop("text_th")
+        kept = kept.join(again, here, "left_anti").unionByName(kept.join(again, here, "left_semi").dropDuplicates(["doc_id", own_th]))
+    return kept.drop(own_th)
