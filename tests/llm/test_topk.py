@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import topk
@@ -51,7 +52,14 @@ def test_few_and_none(spark):
     assert topk.top_k(df, F.col("vec_id") % 7 == 0).count() == 0
 
 
-def test_extreme_components(spark):
-    rows = [(0, [1e30, -1e30]), (1, [1e30, 1e30]), (2, [-1e30, 1e30]), (3, [0.0, 0.0])]
-    got = run(spark, rows)
-    assert [r[2] for r in sorted(got) if r[0] == 0] == [1, 3, 2]
+def test_large_components(spark):
+    rows = [(0, [2e6, 1.0]), (1, [2e6, 0.0]), (2, [3e6, 0.0]), (3, [-3e6, 5.0]), (7, [1e7, -1e7]), (8, [9e6, 1e6])]
+    assert run(spark, rows) == brute(rows, 5, 7)
+    far = [(0, [2.0**40, -(2.0**40)]), (1, [2.0**30, 2.0**30]), (2, [1.0, -1.0]), (4, [0.5, 0.0])]  # terms beyond a long, the sum within
+    with pytest.raises(Exception, match="does not fit in a long"):
+        run(spark, [(0, [2.0**30, 0.0]), (1, [2.0**30, 0.0])])
+    with pytest.raises(OverflowError):
+        run(spark, [(0, [1e30]), (1, [1.0])])
+    assert run(spark, far) == brute(far, 5, 7)
+    edge = [(0, [2.0**23 - 1, 1.0]), (1, [2.0**23, 0.0]), (2, [-(2.0**23), 0.0]), (3, [2.0**22, 2.0**22])]  # scores just within a long
+    assert run(spark, edge) == brute(edge, 5, 7)

@@ -5,7 +5,8 @@ lines; the characters of words inside windows that occur twice or more in the te
 line, are measured against all characters in words. One pass over the texts, no shuffle.
 
 Defined cases: a null or empty text has no word (base_failed, not kept); rows of equal doc_id are judged apart; a null
-doc_id is passed through; an empty table gives an empty result; other columns are ignored.
+doc_id is passed through; a share that is just at its bound passes; texts of any length are measured whole, one at a time
+beyond a chunk; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,14 +61,10 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     at, g = ngrams(h, doc, 3)
     hit = covered(at[repeated(g, doc[at])], 3, len(h))
     out["n_repeat_words"] = count(doc[hit])
-    for k, share in DUP_NGRAM_SHARE.items():
-        if k == 5:
-            sel = np.arange(len(h))
-        else:  # what a longer repeated window covers, the 5-word windows cover too: other documents can't exceed a share
-            sel = np.flatnonzero((out["dup5"] > min(DUP_NGRAM_SHARE.values()) * out["word_chars"])[doc])
-        at, g = ngrams(h[sel], doc[sel], k)
-        hit = covered(at[repeated(g, doc[sel][at])], k, len(sel))
-        out[f"dup{k}"] = count(doc[sel][hit], wchars[sel][hit])
+    for k in DUP_NGRAM_SHARE:
+        at, g = ngrams(h, doc, k)
+        hit = covered(at[repeated(g, doc[at])], k, len(h))
+        out[f"dup{k}"] = count(doc[hit], wchars[hit])
     return out
 
 
@@ -109,6 +106,27 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repetition_rules(docs: DataFrame) -> DataFrame:
-    """One row per document with its measures, `base_failed` and `kept`; dup_ngram_chars is by n from 5 to 10 (0 for
-    n over 5 where the 5-word windows cover too little for any rule to fail)."""
+    """One row per document with its measures, `base_failed` and `kept`; dup_ngram_chars is by n from 5 to 10."""
     return docs.select("doc_id", "text").mapInArrow(_run, SCHEMA)
+
+
+def oracle() -> str:
+    """The measures and verdicts of `documents` as DuckDB SQL."""
+    gram = lambda n: " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, n))])
+    ns = (3, *DUP_NGRAM_SHARE)
+    hits = ", ".join(f"g{n} IS NOT NULL AND count(*) OVER (PARTITION BY id, g{n}) > 1 AS r{n}" for n in ns)
+    inside = ", ".join(f"max(r{n}::INTEGER) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n in ns)
+    dups = ", ".join(f"coalesce(sum(length(w)) FILTER (c{n} = 1), 0)::BIGINT AS d{n}" for n in DUP_NGRAM_SHARE)
+    bad = " OR ".join(f"d{n} > {share} * word_chars" for n, share in DUP_NGRAM_SHARE.items())
+    return f"""WITH t AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+ws AS MATERIALIZED (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM t)),
+g AS MATERIALIZED (SELECT id, i, w, {", ".join(f"{gram(n)} AS g{n}" for n in ns)} FROM ws WINDOW o AS (PARTITION BY id ORDER BY i)),
+h AS MATERIALIZED (SELECT id, i, w, {hits} FROM g), c AS (SELECT id, w, {inside} FROM h),
+m AS MATERIALIZED (SELECT id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (c3 = 1) AS n_repeat_words, {dups} FROM c GROUP BY id),
+l AS (SELECT id, line, row_number() OVER (PARTITION BY id, line) AS k FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+n AS MATERIALIZED (SELECT id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) FILTER (k > 1), 0) AS dup_line_chars FROM l GROUP BY id),
+a AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, {", ".join(f"coalesce(d{n}, 0) AS d{n}" for n in DUP_NGRAM_SHARE)} FROM t LEFT JOIN m USING (id) LEFT JOIN n USING (id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, dup_line_chars, [{", ".join(f"d{n}" for n in DUP_NGRAM_SHARE)}] AS dup_ngram_chars,
+  NOT (base_failed OR n_dup_lines > {DUP_LINE_SHARE} * n_lines OR dup_line_chars > {DUP_LINE_CHAR_SHARE} * word_chars OR n_symbols > {MAX_SYMBOLS_PER_WORD} * n_words OR {bad}) AS kept FROM b"""

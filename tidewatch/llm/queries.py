@@ -30,12 +30,12 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_TOPK_SEARCH_SQL = """WITH v AS MATERIALIZED (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id)::INTEGER AS rank
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id) WHERE rank <= 5"""
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)) WHERE rank <= 5"""
 
 #: Exact: all pairs that share a shingle, and what they reach.
 OP6_JACCARD_JOIN_SQL = """WITH RECURSIVE w AS (
@@ -49,6 +49,7 @@ SELECT d.doc_id, coalesce((SELECT min(b) FROM r WHERE a = d.doc_id), d.doc_id) A
   (SELECT count(*) FROM l WHERE a = d.doc_id)::BIGINT AS n_links, coalesce((SELECT n FROM n WHERE n.doc_id = d.doc_id), 0)::BIGINT AS n_shingles FROM documents d"""
 
 OP2_MIXTURE_SQL = mixture.oracle()
+OP9_QUALITY_RULES_SQL = quality.oracle()
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
