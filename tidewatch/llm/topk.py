@@ -73,11 +73,11 @@ class _Group:
         for q in range(0, len(self.ids), 256):
             part = pad(self.mat[q : q + 256]).astype(kind)
             s = (part @ c).astype(np.int64)  # whole numbers modulo 2**64: right wherever the score fits
-            if bound >= 1 << 62 and (np.abs(part.astype(np.float64) @ c.astype(np.float64)) >= 2.0**63 * (1 - 1e-9)).any():
-                raise OverflowError("a score does not fit in a long")
             ok = np.ones(s.shape, bool)
             mine = np.flatnonzero(own & (at >= q) & (at < q + 256))
             ok[at[mine] - q, mine] = False
+            if bound >= 1 << 62 and (ok & (np.abs(part.astype(np.float64) @ c.astype(np.float64)) >= 2.0**63 * (1 - 1e-9))).any():
+                raise OverflowError("a score does not fit in a long")
             yield q, s, ok
 
 
