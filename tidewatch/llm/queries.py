@@ -49,6 +49,7 @@ SELECT d.doc_id, coalesce((SELECT min(b) FROM r WHERE a = d.doc_id), d.doc_id) A
   (SELECT count(*) FROM l WHERE a = d.doc_id)::BIGINT AS n_links, coalesce((SELECT n FROM n WHERE n.doc_id = d.doc_id), 0)::BIGINT AS n_shingles FROM documents d"""
 
 OP2_MIXTURE_SQL = mixture.oracle()
+OP4_REPEATED_STRINGS_SQL = repeats.ORACLE_SQL
 OP8_PERSONAL_DATA_SQL = pii.oracle()
 OP9_QUALITY_RULES_SQL = quality.oracle()
 

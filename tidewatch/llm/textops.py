@@ -25,6 +25,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: One 64-bit value for each byte.
 BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD) | np.uint64(1)
+#: Others, for a second hash that owes nothing to the first.
+BYTE2 = mix((np.arange(256, dtype=np.uint64) + np.uint64(1001)) * _GOLD) | np.uint64(1)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
