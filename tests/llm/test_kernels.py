@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from tidewatch.llm import bpe, quality, tokenfile
+from tidewatch.llm.common import scratch_path
 from tidewatch.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, kept int"
@@ -73,17 +74,40 @@ def test_bpe_equals_the_library(spark):
         ids = lib.encode(r[1] or "", add_special_tokens=False).ids
         want[r[0], len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))] += 1
     assert Counter(map(tuple, bpe.bpe_digests(df, path).collect())) == want
-    enc = bpe.encode_documents(df.drop("ids"), path)
-    assert enc.columns[-1] == "ids"
+    enc = bpe.encode_documents(df, path)
+    assert enc.columns == [*df.columns, "ids_"] and bpe.encode_documents(df.drop("ids"), path).columns[-1] == "ids"
     back = bpe.decode_documents(enc, path)
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r[0], r[1] or "") for r in rows)
     assert bpe.bpe_digests(df.limit(0), path).count() == 0
 
 
-def test_forced_cuts_are_in_no_token():
+def test_forced_cuts():
+    """The table's cuts are in no token, and they do the cutting."""
     c = bpe.codec(tokenizer_path("byte_bpe_50k.json"))
     joined = {b[i : i + 2] for b in c.token_bytes.values() for i in range(len(b) - 1) if not b.startswith(b"<|")}
-    assert c._forced and not any((x + y).encode() in joined for x, y in c._forced)
+    forced = {bytes(divmod(int(k), 256)) for k in np.flatnonzero(c.cut)}
+    assert len(forced) > 10_000 and not forced & joined
+    text = "The first words, then (more) words; 12 numbers.\n\nAnother line\twith  spaces here and \u00e9t\u00e9." * 50
+    raw = np.frombuffer(text.encode(), np.uint8)
+    edges = c.cuts(raw, np.array([0, len(raw)]))
+    assert c.cut[raw[edges[1:-1] - 1].astype(int) << 8 | raw[edges[1:-1]]].all()  # all cuts are the table's
+    spaces = sum(text[k] == " " and text[k - 1] != " " for k in range(1, len(text)))
+    assert len(edges) > spaces  # and every space after something else is one
+
+
+def test_bpe_by_chunks(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    lib, c = Tokenizer.from_file(path), bpe.ForcedBoundaryCodec(path)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)  # starts anew again and again
+    rng = random.Random(4)
+    pieces = ["'s", "'", "x'll", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u2003", "\x85", "<|endoftext|>", "<|end", "|>", "!", "!'s", "a", "B", "9", "\u00e9", "\u6f22", "\U0001f600", "-", "_", ".", "\x1c", "\x00", "word", "longerword" * 3]
+    for _ in range(300):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 8))]
+        raws = [t.encode() for t in texts]
+        got = c.encode_all(np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64))
+        assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_files_round_trip(spark, monkeypatch):
@@ -101,6 +125,20 @@ def test_token_files_round_trip(spark, monkeypatch):
         at += len(ids)
     assert Counter(map(tuple, got)) == want
     assert tokenfile.token_files(df.limit(0), path).count() == 0
+    out = scratch_path(spark, "shards")
+    monkeypatch.setattr(tokenfile, "SHARD_IDS", 5000)  # here for the positions; the workers' own is larger
+    tokenfile.write_token_files(df, path, out)
+    shards = spark.read.schema(tokenfile.SHARD_SCHEMA).parquet(out)
+    every = np.concatenate([np.array([*lib.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in order])
+    some = [1, int(every[7]), int(every[100]), 48_999]
+    count = {r.token: r.n for r in tokenfile.count_tokens(shards, some).collect()}
+    assert count == {t: int((every == t).sum()) for t in some}
+    rare = [t for t in some if count[t] < 2000]
+    where = Counter((r.token, r["at"]) for r in tokenfile.locate_tokens(shards, rare).collect())
+    assert where == Counter((t, int(k)) for t in set(rare) for k in np.flatnonzero(every == t))
+    asked = [0, 5, 4999, 5000, len(every) - 1, len(every) + 10]
+    got = {r["at"]: r.token for r in tokenfile.read_tokens(shards, spark.createDataFrame([(a,) for a in asked], "at long")).collect()}
+    assert got == {a: int(every[a]) for a in asked if a < len(every)}
 
 
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (100, 2), (70_000, 40_000), (33_000, 1 << 20)])

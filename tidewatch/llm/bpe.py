@@ -1,33 +1,42 @@
 """BPE encoding and decoding by forced-boundary splitting.
 
-Merges join neighbouring symbols only, so two bytes that no vocabulary token holds side by side always stay in different
-tokens: a certain cut. Texts are cut twice. First before white space that follows anything else (it always ends a
-pre-token); the fragments repeat a lot and are looked up. A fragment seen for the first time is
-cut again at every forced byte pair inside it, and only those pieces go through the merges. Concatenating the pieces'
-ids gives exactly what encoding the whole text gives.
+Merges join neighbouring symbols only, so two bytes that no vocabulary token holds side by side always end up in different
+tokens: a certain cut. A table of all 65,536 pairs of bytes tells where; texts are cut there as bytes, a chunk of documents
+at a time. A cut must leave pre-tokens as they are, too: none inside a character, none after white space before something
+else (a run of white space leaves its last character to the next word), none before an apostrophe that may open a
+contraction. Tokens of such vocabularies never cross from one kind of character to the next, so most cuts fall before white
+space and between words and marks.
+
+The fragments repeat a lot: each chunk's distinct ones are looked up, new ones are encoded on their own, and the
+concatenation of the fragments' ids is exactly what encoding the whole text gives.
 
 Defined cases: a null or empty text has no ids (the digests are those of the empty string); the strings of special
-tokens in a text become their ids, as in the library; rows of equal doc_id stay apart; other columns are ignored.
+tokens in a text become their ids, as in the library; texts beyond a chunk are encoded alone; rows of equal doc_id stay
+apart; other columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Fixed value: the pre-token pattern of byte-level vocabularies.
-GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space as pre-token patterns see it.
-ASCII_SPACES = r"\t-\r "
-SPACES = ASCII_SPACES + r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Fragments and pieces that a worker remembers at most; then it starts anew.
-CACHE_ENTRIES = 300_000
+from .common import free_names, text_chunks
+from .textops import mix
+
+#: ASCII white space as pre-token patterns see it, and control characters that some take for white space.
+SPACES, ODD = b"\t\n\v\f\r ", bytes(range(0x1C, 0x20))
+#: Bytes of text that are cut at a time.
+CHUNK = 1 << 19
+#: Bytes that a worker's known fragments take at most, about; then it starts anew.
+CACHE_BYTES = 24 << 20
 _workers: dict[str, "ForcedBoundaryCodec"] = {}
 
 
@@ -38,18 +47,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Cache(dict):
-    def __init__(self, make, entries: int = CACHE_ENTRIES):
-        super().__init__()
-        self._make, self._entries = make, entries
-
-    def __missing__(self, key):
-        if len(self) >= self._entries:
-            self.clear()
-        out = self[key] = self._make(key)
-        return out
-
-
 class ForcedBoundaryCodec:
     """Encoder and decoder of a byte-level BPE vocabulary file."""
 
@@ -64,83 +61,132 @@ class ForcedBoundaryCodec:
         alphabet = byte_alphabet()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_bytes = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}
-        inside = bytearray(65536)
-        for b in self.token_bytes.values():
-            for x, y in zip(b, b[1:]):
-                inside[x << 8 | y] = 1
+        every = b"\0".join(self.token_bytes.values())
+        pairs = np.frombuffer(every, np.uint8).astype(np.int32)
+        edge = np.zeros(len(pairs), bool)  # the separators aren't part of tokens
+        edge[np.cumsum([len(b) + 1 for b in self.token_bytes.values()])[:-1] - 1] = True
+        pairs = (pairs[:-1] << 8 | pairs[1:])[~edge[:-1] & ~edge[1:]]
+        #: True where a pair of bytes is a certain cut.
+        self.cut = self._allowed()
+        self.cut[pairs] = False
+        self._piece = self._merger(spec, special)
         self.token_bytes |= {i: t.encode() for t, i in special.items()}
-        self._special = special
-        self._at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        printable = range(33, 127)
-        #: Certain cuts inside a fragment: ASCII pairs that no token holds; an apostrophe may start a contraction, so none before it.
-        self._forced = {(chr(x), chr(y)) for x in printable for y in printable if not inside[x << 8 | y] and y != 39}
-        self._merge = self._merger(spec)
-        #: Runs of white space stay with what follows them.
-        self._fragments = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-        self._odd_space = re.compile(f"[{SPACES[len(ASCII_SPACES):]}]")
-        self._pieces = _Cache(lambda s: tuple(self._merge(s)), CACHE_ENTRIES // 3)
-        self._known = _Cache(self._encode_fragment, CACHE_ENTRIES // 3)
-        self._spaced = _Cache(lambda s: self._encode_fragment(" " + s))
-
-    def _merger(self, spec: dict):
-        """Encodes one piece: a compiled merge loop over the vocabulary's own ranks where ids are in merge order, else the library."""
+        self._special = re.compile(b"|".join(re.escape(t.encode()) for t in sorted(special, key=len, reverse=True))) if special else None
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        self._slot: dict[bytes, int] = {}
+        self._size: list[int] = []
+        self._listed: list[str] = []
+        self._decoded: list[bytes] = []
+        self._held = 0
+
+    @staticmethod
+    def _allowed() -> np.ndarray:
+        """Pairs of bytes between which a cut changes no pre-token."""
+        x, y = np.divmod(np.arange(65536), 256)
+        space, odd = np.isin(np.arange(256), list(SPACES)), np.isin(np.arange(256), list(ODD))
+        word = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+        inside = y & 0xC0 == 0x80
+        plain = (x < 128) & ~space[x] & ((y != ord("'")) | word[x])
+        return ~inside & ~odd[x] & ~odd[y] & (space[y] | plain)
+
+    def _merger(self, spec: dict, special: dict[str, int]):
+        """Encodes a fragment that is one pre-token by a compiled merge loop over the vocabulary's ranks, where ids are in
+        the order of merges; None where they aren't."""
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         ids = [model["vocab"]["".join(m)] for m in merges]
         plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        if plain and ids == sorted(ids) and sum(len(b) == 1 for b in self.token_bytes.values()) == 256:
-            import tiktoken
-
-            core = tiktoken.Encoding("pieces", pat_str=GPT_PATTERN, mergeable_ranks={b: i for i, b in self.token_bytes.items() if i not in self._special.values()}, special_tokens={})
-            return core.encode_ordinary
-        return lambda s: self._lib.encode(s, add_special_tokens=False).ids
-
-    def forced_pieces(self, fragment: str) -> list[str]:
-        cuts = [k for k, pair in enumerate(zip(fragment, fragment[1:]), 1) if pair in self._forced]
-        return [fragment[i:j] for i, j in zip([0, *cuts], [*cuts, len(fragment)])] if cuts else [fragment]
-
-    def _encode_fragment(self, fragment: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids in decimal, and the bytes that they decode to."""
-        ids: list[int] = []
-        for part in self._fragments.findall(fragment):
-            for piece in self.forced_pieces(part):
-                ids += self._pieces[piece]
-        return len(ids), ",".join(map(str, ids)), b"".join(map(self.token_bytes.__getitem__, ids))
-
-    def _parts(self, text: str) -> list[tuple[int, str, bytes]]:
-        if not text:
-            return []
-        if self._at_special and "<|" in text:
-            out = []
-            for k, part in enumerate(self._at_special.split(text)):
-                if k % 2:
-                    i = self._special[part]
-                    out.append((1, str(i), self.token_bytes[i]))
-                elif part:
-                    out += self._plain(part)
-            return out
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[tuple[int, str, bytes]]:
-        if text[0] == " " or not text.isascii() and self._odd_space.search(text) or any(x in text for x in ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")):
-            return list(map(self._known.__getitem__, self._fragments.findall(text)))
-        head, *rest = text.split(" ")  # every space follows something else: each is a certain cut
-        return [self._known[head], *map(self._spaced.__getitem__, rest)]
+        if not plain or ids != sorted(ids) or sum(len(b) == 1 for b in self.token_bytes.values()) != 256:
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("pieces", pat_str="x", mergeable_ranks={b: i for i, b in self.token_bytes.items()}, special_tokens={})._core_bpe.encode_single_piece
+
+    def _encode_fragment(self, fragment: bytes) -> list[int]:
+        text = fragment.decode()
+        if self._piece is not None:
+            core = text[1:] if text[0] == " " else text
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):  # a space and letters are one pre-token
+                return self._piece(fragment)
+        return self._lib.encode(text, add_special_tokens=False).ids
+
+    def cuts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where fragments begin, in order, and the end: documents' starts, certain cuts, and the edges of special tokens."""
+        at = np.zeros(len(raw) + 1, bool)
+        at[1:-1] = self.cut[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        at[offsets] = True
+        if self._special is not None and ord("<") in raw:
+            for m in self._special.finditer(raw.tobytes()):
+                if m.end() > offsets[np.searchsorted(offsets, m.start(), "right")]:
+                    continue  # put together of two documents
+                at[m.start() + 1 : m.end()] = False
+                at[m.start()] = at[m.end()] = True
+        return np.flatnonzero(at)
+
+    def fragments(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each fragment's place among the known ones, and where each document's fragments begin and end."""
+        if self._held > CACHE_BYTES:
+            self._start_anew()
+        edges = self.cuts(raw, offsets)
+        if len(raw) == 0:
+            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        start, size = edges[:-1], np.diff(edges)
+        padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+        first = np.where(np.arange(16)[None, :] < size[:, None], np.lib.stride_tricks.sliding_window_view(padded, 16)[start], 0)
+        lead = np.ascontiguousarray(first, np.uint8).view(np.uint64)
+        key = mix(lead[:, 0] + mix(lead[:, 1] + np.uint64(1))) + size.astype(np.uint64)
+        _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        # long fragments, and any two that the key confuses, are told apart by their bytes
+        odd = np.flatnonzero((size > 16) | (lead != lead[at[inverse]]).any(axis=1) | (size != size[at[inverse]]))
+        data = raw.tobytes()
+        slots = np.fromiter(map(self._known, (data[a : a + n] for a, n in zip(start[at].tolist(), size[at].tolist()))), np.int64, len(at))[inverse]
+        slots[odd] = [self._known(data[a : a + n]) for a, n in zip(start[odd].tolist(), size[odd].tolist())]
+        return slots, np.searchsorted(start, offsets)
+
+    def _known(self, fragment: bytes) -> int:
+        slot = self._slot.get(fragment)
+        if slot is None:
+            ids = self._encode_fragment(fragment)
+            slot = self._slot[fragment] = len(self._size)
+            back = b"".join(map(self.token_bytes.__getitem__, ids))
+            self._size.append(len(ids))
+            self._listed.append(",".join(map(str, ids)))
+            self._decoded.append(fragment if back == fragment else back)
+            self._held += 240 + len(fragment) + len(self._listed[-1])
+        return slot
+
+    def digests(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[str], list[str]]:
+        """Of each text: number of ids, sha256 of the decimal ids joined by commas, sha256 of the decoded text."""
+        slots, bounds = self.fragments(raw, offsets)
+        counts = np.concatenate([[0], np.cumsum(np.array(self._size, np.int64)[slots])]) if len(slots) else np.zeros(1, np.int64)
+        numbers, ids, texts = np.diff(counts[bounds]).tolist(), [], []
+        listed, decoded = self._listed, self._decoded
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            mine = slots[lo:hi].tolist()
+            ids.append(hashlib.sha256(",".join([listed[k] for k in mine]).encode()).hexdigest())
+            text = b"".join([decoded[k] for k in mine]).decode("utf-8", "replace")
+            texts.append(hashlib.sha256(text.encode()).hexdigest())
+        return numbers, ids, texts
+
+    def encode_all(self, raw: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
+        slots, bounds = self.fragments(raw, offsets)
+        own = [",".join([self._listed[k] for k in slots[lo:hi].tolist()]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return [list(map(int, x.split(","))) if x else [] for x in own]
 
     def encode(self, text: str) -> list[int]:
-        parts = self._parts(text)
-        return list(map(int, ",".join([p[1] for p in parts]).split(","))) if parts else []
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_all(raw, np.array([0, len(raw)]))[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, sha256 of the decimal ids joined by commas, sha256 of the decoded text."""
-        parts = self._parts(text)
-        n = sum([p[0] for p in parts])
-        listed = ",".join([p[1] for p in parts])
-        decoded = b"".join([p[2] for p in parts]).decode("utf-8", "replace")
-        return n, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def rest(self) -> None:
+        """Between two tasks: the known fragments go, and freed memory goes back to the system."""
+        self._start_anew()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def codec(path: str) -> ForcedBoundaryCodec:
@@ -150,37 +196,35 @@ def codec(path: str) -> ForcedBoundaryCodec:
     return _workers[path]
 
 
-def _text(value: str | None) -> str:
-    return value or ""
-
-
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """All columns of `docs` and `ids`, an array of the text's token ids."""
+    """All columns of `docs` and, last, an array of the text's token ids: `ids`, or a name like it that is free."""
+    (name,) = free_names(docs, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                ids = pa.array([c.encode(_text(t)) for t in part.column("text").to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(x for k, x in enumerate(part.columns)), ids], names=[*part.schema.names, "ids"])
+            for lo, hi, raw, off in text_chunks(b, limit=CHUNK):
+                ids = pa.array(c.encode_all(raw, off), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(x.slice(lo, hi - lo) for x in b.columns), ids], names=[*b.schema.names, name])
+        c.rest()
 
-    return docs.mapInArrow(run, T.StructType([*(f for f in docs.schema.fields), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """`encoded` with `text` decoded from `ids`, which goes."""
+    """`encoded` with `text` decoded from its last column, the ids, which goes."""
+    name = encoded.columns[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            names = [n for n in b.schema.names if n != "ids"]
+            names = b.schema.names[:-1]
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                text = pa.array([c.decode(i or []) for i in part.column("ids").to_pylist()], pa.string())
+                text = pa.array([c.decode(i or []) for i in part.column(name).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([text if n == "text" else part.column(n) for n in names], names=names)
 
-    return encoded.mapInArrow(run, T.StructType([f for f in encoded.schema.fields if f.name != "ids"]))
+    return encoded.mapInArrow(run, T.StructType(encoded.schema.fields[:-1]))
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -189,10 +233,10 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                got = [c.digest(_text(t)) for t in part.column("text").to_pylist()]
-                cols = [part.column("doc_id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
+            for lo, hi, raw, off in text_chunks(b, limit=CHUNK):
+                n, ids, decoded = c.digests(raw, off)
+                cols = [b.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

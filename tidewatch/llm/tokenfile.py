@@ -6,7 +6,8 @@ before every block. From that one compressed payload any token can be read, coun
 occurrence, without the sequence being unpacked. Shards are rows of a Parquet table in shared storage.
 
 Defined cases: a null or empty text has only the end id; rows of equal doc_id follow each other by text; null doc_ids
-come first; an empty table gives no shard; other columns are ignored; a text is never cut over shards.
+come first; an empty table gives no shard; other columns are ignored; a text is never cut over shards, so a very long one
+makes a longer shard.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
@@ -29,7 +30,7 @@ from .common import scratch_path
 #: A shard is closed at this many ids.
 SHARD_IDS = 4 << 20
 BLOCK_BITS = 1 << 15
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 _workers: dict[str, "WordCodec"] = {}
 
 
@@ -48,11 +49,13 @@ class WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if n else 1
         out = [struct.pack("<QII", n, bits, BLOCK_BITS)]
         cur = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        width = BLOCK_BITS // 8
         for level in range(bits - 1, -1, -1):
-            on = (cur >> cur.dtype.type(level)) & cur.dtype.type(1) != 0
+            on = (cur & cur.dtype.type(1 << level)) != 0
             packed = np.packbits(on)
-            width = BLOCK_BITS // 8
-            per = np.add.reduceat(on, np.arange(0, n, BLOCK_BITS), dtype=np.int64) if n else np.zeros(0, np.int64)
+            full = np.zeros(-(-len(packed) // width) * width, np.uint8)
+            full[: len(packed)] = packed
+            per = np.bitwise_count(full.view(np.uint64)).reshape(-1, width // 8).sum(axis=1, dtype=np.int64)
             ones = np.concatenate([[0], np.cumsum(per)]).astype("<u8")
             blocks, kept = [], []
             for k in range(0, len(packed), width):
@@ -180,7 +183,7 @@ class WordCodec:
         self._cut = re.compile("[!-&(-~ß-öø-ÿ]+")
         self._letters = re.compile("[a-zß-öø-ÿ]+")
         #: Lower-casing of these depends on what follows, or white space is seen differently.
-        self._odd = re.compile("[\\x1c-\\x1fΣİ]|<\\|")
+        self._odd = re.compile("[Σİ]")
 
     def _merger(self, model: dict):
         """A compiled merge loop for words of letters that take one or two bytes in UTF-8.
@@ -193,8 +196,10 @@ class WordCodec:
         alphabet = byte_alphabet()
         end = model["end_of_word_suffix"]
 
+        fit = bytes([*range(97, 123), 0xC3, *range(0x80, 0xC0)])
+
         def symbols(raw: bytes, final: bool) -> bytes | None:
-            if not raw or any(not (97 <= x <= 122 or x == 0xC3 or 0x80 <= x <= 0xBF) for x in raw):
+            if not raw or raw.translate(None, fit):
                 return None
             if not final:
                 return raw
@@ -215,8 +220,10 @@ class WordCodec:
                 ranks[s] = len(ranks)
         core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
+        written = {r: struct.pack("<I", i) for r, i in ids.items()}
+
         def merge(word: str) -> bytes:
-            return np.array([ids[r] for r in core.encode_single_piece(symbols(word.encode(), True))], "<u4").tobytes()
+            return b"".join([written[r] for r in core.encode_single_piece(symbols(word.encode(), True))])
 
         return merge
 
@@ -224,6 +231,11 @@ class WordCodec:
         return np.array(self._lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii():  # nearly all are letters, or letters and a mark
+            if word.isalpha():
+                return self._merge(word)
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return (self._known.get(word[:-1]) or self._merge(word[:-1])) + self._part(word[-1], self._bytes)
         if not self._cut.fullmatch(word):
             return self._bytes(word)
         out, at = [], 0
@@ -246,20 +258,20 @@ class WordCodec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self._odd.search(text):
+        plain = text.isascii()
+        if "<|" in text or any(x in text for x in "\x1c\x1d\x1e\x1f") or not plain and self._odd.search(text):
             return self._bytes(text)
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+        if not plain and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         words = text.lower().split()
+        known = self._known
         try:
-            return b"".join([self._known[w] for w in words])
+            return b"".join([known[w] for w in words])
         except KeyError:
-            if len(self._known) >= CACHE_ENTRIES:
-                self._known.clear()
-            known = self._known
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
+            if len(known) >= CACHE_ENTRIES:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = self._word(w)
             return b"".join([known[w] for w in words])
 
 
@@ -308,16 +320,19 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 1) ->
     dealt.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "uncompressed").parquet(out)
 
 
+def shard_starts(shards: DataFrame) -> DataFrame:
+    """(part, seq, first): how many ids stand before each shard. Parts are summed first; what is summed up in one task is a
+    row for each part, that is for each few hundred million bytes of text."""
+    size = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    sized = shards.select("part", "seq", size.alias("n"))
+    before = lambda *order: F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sized.groupBy("part").agg(F.sum("n").alias("n")).select("part", before("part").alias("ahead"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sized.withColumn("within", within).join(parts, "part").select("part", "seq", (F.col("ahead") + F.col("within")).alias("first"))
+
+
 def read_token_files(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the shards alone."""
-    spark = shards.sparkSession
-    # one row for each shard, that is for each few million ids: file metadata, as a reader keeps it
-    sizes = shards.select("part", "seq", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).orderBy("part", "seq").collect()
-    starts, at = {}, 0
-    for r in sizes:
-        starts[r.part, r.seq] = at
-        at += r.n
-    first = spark.sparkContext.broadcast(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -327,11 +342,55 @@ def read_token_files(shards: DataFrame) -> DataFrame:
                 ends = np.cumsum(n)
                 raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), n.tolist())]
-                start = first.value[b.column("part")[k].as_py(), b.column("seq")[k].as_py()] + ends - n
-                cols = [b.column("doc_ids")[k].values, pa.array(start), pa.array(n), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                where = [pa.array(np.full(len(n), b.column(c)[k].as_py()), pa.int32()) for c in ("part", "seq")]
+                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[k].values, *where, pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "part", "seq", "at", "n_tokens", "ids_crc32"])
+
+    rows = shards.select("part", "seq", "doc_ids", "n_tokens", "payload").mapInArrow(run, "doc_id long, part int, seq int, at long, n_tokens long, ids_crc32 long")
+    return rows.join(shard_starts(shards), ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _asked(shards: DataFrame, asked: DataFrame, column: str, kind: str, answer) -> DataFrame:
+    """Every shard with the values of `column` that are asked of it; answer(matrix, value) gives one value of `kind` for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                m = WaveletMatrix.load(b.column("payload")[k].as_py())
+                values = b.column("asked")[k].as_py()
+                where = [pa.array(np.full(len(values), b.column(c)[k].as_py()), t) for c, t in (("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*where, pa.array(values, pa.int64()), pa.array([answer(m, v) for v in values], kind_of)], names=["part", "seq", "first", column, "answer"])
+
+    kind_of = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}[kind]
+    sized = shards.join(shard_starts(shards), ["part", "seq"]).join(asked, ["part", "seq"])
+    return sized.select("part", "seq", "first", "payload", "asked").mapInArrow(run, f"part int, seq int, first long, {column} long, answer {kind}")
+
+
+def _of_all_shards(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    return shards.select("part", "seq", F.array(*(F.lit(t).cast("long") for t in sorted(set(tokens)))).alias("asked"))
+
+
+def count_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, n): occurrences of each token in all files, by rank."""
+    found = _asked(shards, _of_all_shards(shards, tokens), "token", "long", lambda m, t: m.rank(t, m.n))
+    return found.groupBy("token").agg(F.sum("answer").alias("n"))
+
+
+def locate_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, at): the positions of every occurrence of each token in the files' one sequence, by select."""
+    found = _asked(shards, _of_all_shards(shards, tokens), "token", "array<long>", lambda m, t: [m.select(t, k) for k in range(m.rank(t, m.n))])
+    return found.select("token", "first", F.explode("answer").alias("x")).select("token", (F.col("first") + F.col("x")).alias("at"))
+
 
-    return shards.select("part", "seq", "doc_ids", "n_tokens", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_tokens(shards: DataFrame, positions: DataFrame) -> DataFrame:
+    """(at, token) of the positions asked for (at), by access; those beyond the files have no row."""
+    sized = shard_starts(shards).join(shards.select("part", "seq", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")), ["part", "seq"])
+    # positions meet shards by the few million ids that a shard and its neighbours lie in
+    cell = lambda c: F.floor(c / SHARD_IDS)
+    spread = sized.withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("first") + F.greatest(F.col("n") - 1, F.lit(0))))))
+    met = positions.select("at").distinct().withColumn("cell", cell(F.col("at"))).join(spread, "cell").where("at >= first AND at < first + n")
+    asked = met.groupBy("part", "seq").agg(F.collect_list(F.col("at") - F.col("first")).alias("asked"))
+    found = _asked(shards, asked, "x", "long", lambda m, i: m.access(i))
+    return found.select((F.col("first") + F.col("x")).alias("at"), F.col("answer").alias("token"))
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
