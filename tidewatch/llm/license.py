@@ -148,15 +148,17 @@ class Scanner:
     def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE, texts: dict[str, str] | None = None, telling: dict[str, tuple[str, ...]] | None = None):
         self.templates, self.bodies = self._prepared(templates, min_coverage), self._prepared(texts or {}, min_coverage)
         self.any = sorted({w for *_, marks in self.templates for w in marks})
-        self.marked = set(self.any)
-        self.body_marks = {w for *_, marks in self.bodies for w in marks}
         self.body_words = {w for _, ws, *_ in self.bodies for w in ws}
         self.least_body = min((need for *_, need, _ in self.bodies), default=0)
         self.telling: dict[str, list[tuple[int, int]]] = {}
+        # a template can't be told in a text without all words of its telling phrases
+        self.telling_words: dict[str, set[str]] = {}
         for name, phrases in (telling or {}).items():
             ws = words_of(templates.get(name, ""))
             spans = [(k, k + len(p)) for p in map(words_of, phrases) for k in range(len(ws)) if ws[k : k + len(p)] == p]
             self.telling[name] = spans
+            self.telling_words[name] = {w for i, j in spans for w in ws[i:j]}
+        self.all_telling = set().union(*self.telling_words.values())
 
     @staticmethod
     def _prepared(templates: dict[str, str], min_coverage: float) -> list[tuple]:
@@ -185,12 +187,13 @@ class Scanner:
             return None
         ws = WORD.findall(low)
         held = Counter(w for w in ws if w in self.body_words)
-        chosen = list(enumerate(self.templates))
+        tells = self.all_telling.intersection(ws)
+        chosen = [(order, t) for order, t in enumerate(self.templates) if self.telling_words.get(t[0], set()) <= tells]
         if self.bodies and held.total() >= self.least_body:
-            for order, t in enumerate(self.bodies, len(chosen)):
+            for order, t in enumerate(self.bodies, len(self.templates)):
                 if sum(min(n, c) for x, n in t[2].items() if (c := held.get(x))) >= t[3]:
                     chosen.append((order, t))
-        marked = self.marked if len(chosen) == len(self.templates) else self.marked | self.body_marks
+        marked = {w for _, (*_, marks) in chosen for w in marks}
         at: dict[str, list[int]] = {}
         for k, w in enumerate(ws):
             if w in marked:
