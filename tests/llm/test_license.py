@@ -1,5 +1,6 @@
 import random
 from functools import lru_cache
+from itertools import combinations
 
 from tidewatch.llm import license as lic
 
@@ -28,7 +29,12 @@ def slow_patience(a, b):
     if not pairs:
         return 0
 
-    best = lic._increasing(pairs)
+    # of the longest ones, that whose second parts, from the last on, are smallest
+    rising = lambda c: all(y < z for (_, y), (_, z) in zip(c, c[1:]))
+    for n in range(len(pairs), 0, -1):
+        if longest := [c for c in combinations(pairs, n) if rising(c)]:
+            best = min(longest, key=lambda c: [y for _, y in c][::-1])
+            break
     total, i, p = 0, 0, 0
     for x, y in [*best, (len(a), len(b))]:
         total += slow_patience(a[i:x], b[p:y]) + (x < len(a))
@@ -104,3 +110,41 @@ def test_telling_words_and_texts(spark):
     df = spark.createDataFrame([(i, t, "x", 1) for i, (t, _) in enumerate(rows)], SCHEMA)
     got = {r.doc_id: r.license for r in lic.license_scan(df).collect()}
     assert got == {i: name for i, (_, name) in enumerate(rows)}
+
+
+def test_scan_against_brute_force():
+    """Never less than patience on the whole text, nor more than the longest common subsequence."""
+    rng = random.Random(4)
+    templates = {"a": "one two three four five six seven eight nine ten", "b": "red green two blue grey the of the", "c": "nine ten the of"}
+    scanner = lic.Scanner(templates)
+    found = 0
+    for _ in range(400):
+        text = []
+        for t in rng.sample(sorted(templates), rng.randint(0, 2)):
+            for w in templates[t].split():
+                text += [w] * (rng.random() < 0.8) + ["x"] * rng.choice([0, 0, 0, 1, 9])
+            text += rng.choices(["the", "of", "x", "ten", "y"], k=rng.randint(0, 4))
+        got = scanner.scan(" ".join(text))
+        least, most = {}, {}
+        for name, t in templates.items():
+            ws = t.split()
+            own = [w for w in text if w in ws]
+            need = -(-len(ws) * 6 // 10)
+            least[name] = (n if (n := slow_patience(own, ws)) >= need else 0) / len(ws)
+            most[name] = lcs(tuple(own), tuple(ws)) / len(ws)
+        found += got is not None
+        if got is None:
+            assert not any(least.values())
+        else:
+            assert max(least.values()) <= got[1] <= most[got[0]] and got[1] >= lic.MIN_COVERAGE
+            assert text[got[3]] in templates[got[0]].split()
+    assert found > 100
+
+
+def test_parts_far_apart_and_repeated(spark):
+    ws = lic.TEMPLATES["mit"].split()
+    apart = " ".join(ws[:40] + [f"w{k}" for k in range(600)] + ws[40:])
+    copies = " x ".join([lic.TEMPLATES["isc"]] * 5)
+    df = spark.createDataFrame([(1, apart, "x", 1), (2, copies, "x", 1)], SCHEMA)
+    got = {r.doc_id: (r.license, r.coverage) for r in lic.license_scan(df).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("isc", 1.0)}

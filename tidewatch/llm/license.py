@@ -4,11 +4,13 @@ A template and a stretch of text are aligned on words that occur once in each: t
 anchors the alignment, the gaps between anchors are aligned in the same way, and equal words next to an anchor extend
 it. The share of the template's words that are matched is its coverage.
 
-Where to align: coverage of MIN_COVERAGE leaves at most a certain number of template words unmatched, so of one more than
-that number of its rarest words at least one must be in the text. Every occurrence of such a word gives a stretch around
-the place where the template would lie; stretches that hold too few of the template's words are left out, which loses
-none. Full license texts (`licenses/`) are looked for only in texts that hold enough of their words at all, in coarser
-stretches that take in the finer ones. So whole texts are scanned, and repeated notices or long texts don't hide anchors. One pass, no shuffle.
+Where to align: first the whole text, however far apart the parts of a license stand; of the text only the words that the
+template has, as no other can be matched. Words that a text repeats are no anchors, so a repeated notice could hide itself:
+stretches of the text are aligned too, and the best alignment counts. Coverage of MIN_COVERAGE leaves at most a certain
+number of template words unmatched, so of one more than that number of its rarest words at least one must be in the text.
+Every occurrence of such a word gives a stretch around the place where the template would lie. Texts and stretches that
+hold too few of the template's words are left out, which loses none. Stretches for full license texts (`licenses/`) are
+coarser and take in the finer ones. One pass, no shuffle.
 
 Short notices and headers differ from each other, and from plain prose, in a word or two: their telling phrases must be
 matched word by word without a gap.
@@ -202,6 +204,14 @@ class Scanner:
             return None
         best = None
         for order, (name, t, count, need, marks) in chosen:
+            own = [k for k, w in enumerate(ws) if w in count]
+            if sum(min(n, count[x]) for x, n in Counter(ws[k] for k in own).items()) < need:
+                continue
+            pairs = [(own[x], y) for x, y in align([ws[k] for k in own], t)]
+            if len(pairs) >= need and self._told(name, pairs):
+                key = (len(pairs) / len(t), len(pairs), -order, -pairs[0][0])
+                if best is None or key > best[0]:
+                    best = (key, name)
             slack = len(t) // 4 + 4
             step = slack if order >= len(self.templates) else 1
             seen: set[int] = set()
