@@ -121,3 +121,11 @@ def test_empty(spark):
 
 def test_runs():
     assert jc.runs_for(0.99999) > jc.runs_for(0.99) >= 1
+
+
+def test_texts_of_thue_morse_words_stay(spark):
+    t = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    u = t.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, t), (2, u), (3, "other words stand here for once")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in jc.keep_one_of_each_class(df).collect()) == [1, 2, 3]
+    assert {r.doc_id: r.class_id for r in jc.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 3}

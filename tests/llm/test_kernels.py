@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidewatch.llm import bpe, quality, tokenfile
+from tidewatch.llm import bpe, quality, textops, tokenfile
 from tidewatch.llm.common import scratch_path
 from tidewatch.llm.queries import tokenizer_path
 
@@ -62,6 +62,22 @@ def test_quality_against_loops(spark):
     assert quality.repetition_rules(df.limit(0)).count() == 0
 
 
+def test_thue_morse_stretches_differ(spark, monkeypatch):
+    """Stretches that collide under every polynomial modulo 2**64."""
+    t = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    u = t.translate(str.maketrans("ab", "ba"))
+    texts = [f"{t}\n{u}\n", f"x y {t} q w x y {u} z", f"{t}\n{u}\n{t}", " ".join([t, u] * 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.repetition_rules(df).collect()}
+    assert [(got[i].n_dup_lines, got[i].dup_line_chars, got[i].n_repeat_words) for i in range(4)] == [(0, 0, 0), (0, 0, 0), (1, 1024, 0), (0, 0, 6)]
+    # equal hashes of different stretches are told apart by their bytes
+    raw = np.frombuffer("ab cd ab ef ab ".encode(), np.uint8)
+    s = np.arange(0, 15, 3)
+    monkeypatch.setattr(textops, "chain", lambda raw, s, e: np.zeros(len(s), np.uint64))
+    h = textops.identities(raw, s, s + 2)
+    assert h[0] == h[2] == h[4] and len(set(h.tolist())) == 3
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

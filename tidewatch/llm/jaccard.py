@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .common import free_names, materialize, release, text_chunks
-from .textops import Prefix, mix, ngrams, words
+from .textops import Prefix, chain, mix, ngrams, words
 
 WIDTH = 5
 #: Similarity of a link, as a fraction.
@@ -82,7 +82,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Distinct shingles of each document, by document: (hashes, bounds)."""
     n = len(offsets) - 1
     s, e, doc = words(raw, offsets)
-    h = Prefix(raw).of(s, e)
+    h = chain(raw, s, e)
     at, g = ngrams(h, doc, WIDTH)
     gd = doc[at]
     count = np.bincount(doc, minlength=n)

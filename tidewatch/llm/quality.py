@@ -2,7 +2,8 @@
 
 Every text is cut into words (`[^\\x20\\x09-\\x0D]+`) as bytes. Rolling hashes give all 3- and 5..10-word windows and all
 lines; the characters of words inside windows that occur twice or more in the text, and of lines that repeat an earlier
-line, are measured against all characters in words. One pass over the texts, no shuffle.
+line, are measured against all characters in words. Words and lines of equal hashes are compared as bytes. One pass over
+the texts, no shuffle.
 
 Defined cases: a null or empty text has no word (base_failed, not kept); rows of equal doc_id are judged apart; a null
 doc_id is passed through; a share that is just at its bound passes; texts of any length are measured whole, one at a time
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import text_chunks
-from .textops import Prefix, covered, later, ngrams, repeated, words
+from .textops import Prefix, covered, identities, later, repeated, words
 
 #: The largest shares of characters in repeated n-grams and lines, by n, as published for web corpora.
 DUP_NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -47,24 +48,30 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     at = np.flatnonzero(sym[raw])
     out["n_symbols"] = count(np.searchsorted(offsets, at, "right") - 1)
 
-    pre = Prefix(raw)
     ls, le, ldoc = _lines(raw, offsets)
     inside = np.searchsorted(s, le) - np.searchsorted(s, ls)  # words of a line
     ls, le, ldoc = ls[inside > 0], le[inside > 0], ldoc[inside > 0]
-    dup = later(pre.of(ls, le), ldoc)
+    dup = later(identities(raw, ls, le), ldoc)
     out["n_lines"], out["n_dup_lines"] = count(ldoc), count(ldoc[dup])
     chars = np.concatenate([[0], np.cumsum(wchars)])
     lchars = chars[np.searchsorted(s, le)] - chars[np.searchsorted(s, ls)]
     out["dup_line_chars"] = count(ldoc[dup], lchars[dup])
 
-    h = pre.of(s, e)
-    at, g = ngrams(h, doc, 3)
-    hit = covered(at[repeated(g, doc[at])], 3, len(h))
-    out["n_repeat_words"] = count(doc[hit])
-    for k in DUP_NGRAM_SHARE:
-        at, g = ngrams(h, doc, k)
-        hit = covered(at[repeated(g, doc[at])], k, len(h))
-        out[f"dup{k}"] = count(doc[hit], wchars[hit])
+    h = identities(raw, s, e)
+    pre = Prefix(h)
+    at, before = np.flatnonzero(doc[: max(len(h) - 2, 0)] == doc[2:]), 3
+    for k in (3, *DUP_NGRAM_SHARE):
+        # a window can repeat only where the shorter ones inside it do
+        for shift in range(1, k - before + 1):
+            at = at[twice[at + shift]]
+        at, before = at[repeated(pre.of(at, at + k), doc[at])], k
+        twice = np.zeros(len(h) + k, bool)
+        twice[at] = True
+        hit = covered(at, k, len(h))
+        if k == 3:
+            out["n_repeat_words"] = count(doc[hit])
+        else:
+            out[f"dup{k}"] = count(doc[hit], wchars[hit])
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _M1, _M2, _GOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -46,7 +48,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefix:
-    """Rolling hash of any stretch of a byte array, or of an array of 64-bit values, from prefix sums modulo 2**64."""
+    """Rolling hash of any stretch of a byte array, or of an array of 64-bit values, from prefix sums modulo 2**64.
+
+    Not for long stretches of few different values: from about a thousand on, there are some (Thue-Morse words) that
+    collide under any odd base. Words and lines take chain() or identities().
+    """
 
     def __init__(self, values: np.ndarray):
         v = BYTE[values] if values.dtype == np.uint8 else values
@@ -59,6 +65,56 @@ class Prefix:
         return mix(h + (end - start).astype(np.uint64) * _GOLD) if final else h
 
 
+#: Longer stretches are hashed by BLAKE2b, one at a time.
+LONG = 256
+
+
+def chain(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes: its length and its blocks of eight bytes, each mixed into what came before."""
+    size = end - start
+    h = mix((size.astype(np.uint64) + np.uint64(1)) * _GOLD)
+    eight = np.ndarray((len(raw) + 1,), "<u8", buffer=np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    todo, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(todo):
+        left = size[todo] - done
+        block = eight[start[todo] + done]
+        part = left < 8
+        block[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
+        h[todo] = mix(h[todo] ^ block) + _GOLD
+        done += 8
+        todo = todo[left > 8]
+    for k in np.flatnonzero(size > LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the stretches of these sizes at `a` and at `b` hold the same bytes."""
+    out = np.ones(len(a), bool)
+    lo = 0
+    ends = np.cumsum(size)
+    while lo < len(a):  # some megabytes at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+        n = size[lo:hi]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differ = raw[np.repeat(a[lo:hi], n) + step] != raw[np.repeat(b[lo:hi], n) + step]
+        out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n), weights=differ, minlength=hi - lo) == 0
+        lo = hi
+    return out
+
+
+def identities(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit values that are equal for equal stretches only: hashes whose stretches are compared, or else their numbers."""
+    h, size = chain(raw, start, end), end - start
+    o = np.argsort(h, kind="stable")
+    twin = np.flatnonzero(h[o[1:]] == h[o[:-1]])
+    a, b = o[twin], o[twin + 1]
+    if (size[a] == size[b]).all() and same_bytes(raw, start[a], start[b], size[a]).all():
+        return h
+    number: dict[bytes, int] = {}
+    return mix(np.array([number.setdefault(raw[i:j].tobytes(), len(number)) for i, j in zip(start, end)], np.uint64))
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every run of bytes other than space and \\t..\\r."""
     if len(raw) == 0:
