@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, license, mixture, pii, quality, repeats, tokenfile, topk, toxicity
+from . import bpe, classifier, conversations, jaccard, license, merkle, mixture, pii, quality, repeats, tokenfile, topk, toxicity
 from .common import table
 
 
@@ -52,6 +52,8 @@ OP2_MIXTURE_SQL = mixture.oracle()
 OP4_REPEATED_STRINGS_SQL = repeats.ORACLE_SQL
 OP8_PERSONAL_DATA_SQL = pii.oracle()
 OP9_QUALITY_RULES_SQL = quality.oracle()
+OP12_MERKLE_MANIFEST_SQL = merkle.oracle()
+OP13_CONVERSATION_REPAIR_SQL = conversations.oracle()
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +88,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -135,6 +135,17 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, doc
 
 
+def runs_of(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every run of bytes of one kind other than 0."""
+    edge = np.ones(len(kind) + 1, bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[offsets] = True  # a run never crosses documents
+    at = np.flatnonzero(edge)
+    start, end = at[:-1], at[1:]
+    some = kind[start] > 0
+    return start[some], end[some], np.searchsorted(offsets, start[some], "right") - 1
+
+
 def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of every n-word window that lies in one document; h: hashes of words."""
     m = len(h) - n + 1
