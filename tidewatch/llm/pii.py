@@ -34,6 +34,8 @@ BLOCK = 128
 #: Code points of the pieces that a text is cut into for redaction.
 PIECE = 4096
 MIN_TEXTS = 1
+#: Candidate terms that are sent to all tasks; more are counted by a shuffle of each text's terms.
+TERMS_SENT = 200_000
 GENERALISE, REMOVE = 0.85, 0.97
 
 #: The kinds in the order in which they are listed.
@@ -208,12 +210,18 @@ def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame:
         return F.when(ic > 0, F.log(F.col("n_et") * n / (F.col("n_e") * F.greatest(n_t, F.col("n_et")))) / ic).otherwise(0.0)
 
     # a term is in as many texts at least as it is near entities in: pairs with common words can't disclose, and go no further
-    may = joint.join(alone, "entity").join(nearby, "term").where(ratio(F.col("n_c")) >= GENERALISE)
+    may = materialize(joint.join(alone, "entity").join(nearby, "term").where(ratio(F.col("n_c")) >= GENERALISE), "pii-candidates")
+    terms = materialize(may.select("term").distinct(), "pii-terms")
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    # terms are letters only: a text's are one string until copies are folded
-    words = F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))), " ")
-    folded = text.select(F.xxhash64("text").alias("th"), words.alias("terms")).where("terms <> ''").groupBy("th").agg(F.first("terms").alias("terms"))
-    everywhere = folded.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    if terms.count() <= TERMS_SENT:
+        # few terms: texts are searched for them where they lie, and only what is found is shuffled
+        seen_in = text.select(F.xxhash64("text").alias("th"), F.explode(words).alias("term")).join(F.broadcast(terms), "term", "left_semi").distinct()
+    else:
+        # terms are letters only: a text's are one string until copies are folded
+        folded = text.select(F.xxhash64("text").alias("th"), F.array_join(words, " ").alias("terms")).where("terms <> ''").groupBy("th").agg(F.first("terms").alias("terms"))
+        seen_in = folded.select(F.explode(F.split("terms", " ")).alias("term"))
+    everywhere = seen_in.groupBy("term").agg(F.count("*").alias("n_t"))
     scored = may.join(everywhere, "term").withColumn("ratio", ratio(F.col("n_t")))
     return scored.where(F.col("ratio") >= GENERALISE).select("entity", "term", "ratio")
 
