@@ -1,11 +1,17 @@
-"""A cleaning pipeline over the documents table: each stage takes what its predecessor kept."""
+"""A cleaning pipeline over the documents table: each stage takes what its predecessor kept.
+
+Defined cases, of every stage: an empty table gives an empty one; a null or empty text is a document without words, clean,
+alone and kept as it is (the mixture gives it no tokens); a null doc_id is passed through; repeated rows are near
+duplicates of each other; very long texts are taken whole; all columns but the text that is redacted and its n_chars are
+passed through, whatever they are named.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import bpe, jaccard, mixture, pii, toxicity
-from tidewatch.llm.common import materialize, table
+from tidewatch.llm.common import kept, scope, table
 from tidewatch.llm.queries import tokenizer_path
 
 
@@ -50,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope():  # a stage's own tables go with it
+            docs = kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
