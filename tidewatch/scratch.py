@@ -13,10 +13,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+Tables = list[tuple[SparkSession, str]]
+_application: Tables = []
+#: The scopes that the present thread is in: a stream's batches have their own.
+_scopes: ContextVar[tuple[Tables, ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path, which goes with the scope that it was asked for in."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _scopes[-1].append((spark, path))
+    (_scopes.get() or (_application,))[-1].append((spark, path))
     return path
 
 
@@ -50,7 +54,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+def _remove(tables: Tables) -> None:
     for spark, path in tables:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -59,27 +63,27 @@ def _remove(tables: list[tuple[SparkSession, str]]) -> None:
 @contextmanager
 def scope() -> Iterator[None]:
     """Removes the tables made inside when it ends; what is still needed then has to be kept() by then."""
-    _scopes.append([])
+    mine: Tables = []
+    before = _scopes.set((*_scopes.get(), mine))
     try:
         yield
     finally:
-        _remove(_scopes.pop())
+        _scopes.reset(before)
+        _remove(mine)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """materialize() for the scope outside the present one: the result of what is done here."""
-    if len(_scopes) == 1:
-        return materialize(df, name)
-    inner = _scopes.pop()
+    before = _scopes.set(_scopes.get()[:-1])
     try:
         return materialize(df, name)
     finally:
-        _scopes.append(inner)
+        _scopes.reset(before)
 
 
 @atexit.register
 def _at_exit() -> None:
     try:
-        _remove(_scopes[0])
+        _remove(_application)
     except Exception:  # noqa: BLE001  the session may be gone; then the shared folder's own clean-up has to do
         pass
