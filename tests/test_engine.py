@@ -1,6 +1,8 @@
 import json
 import os
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -336,6 +338,71 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
+def series(n, groups, noise, seed=5, length=48):
+    """n walks of which items with one number modulo `groups` move together."""
+    rng = np.random.default_rng(seed)
+    shapes = rng.standard_normal((groups, length))
+    return [(i, k, float(v)) for i in range(n) for k, v in enumerate((shapes[i % groups] + noise * rng.standard_normal(length)).cumsum())]
+
+
+def test_close_pairs_against_all_pairs(spark):
+    for n, groups, noise, eps in ((300, 6, 0.2, 0.3), (200, 200, 0.0, 0.4), (150, 4, 1.0, 0.25)):
+        charts = spark.createDataFrame(series(n, groups, noise), "itemid long, bucket long, value double")
+        keys = spark.createDataFrame([(i, f"k{i % 3}[x]") for i in range(n)], "itemid long, key_ string")
+        want = cluster.pair_distances(charts, keys, 0.9).where(F.col("distance") < eps)
+        got = cluster.close_pairs(charts, eps, keys, 0.9)
+        pairs = lambda df: {(r.i, r.j): r.distance for r in df.collect()}
+        want, got = pairs(want), pairs(got)
+        assert want.keys() == got.keys() and len(got) and all(abs(want[k] - got[k]) < 1e-9 for k in got)
+
+
+def test_the_index_compares_few_pairs(spark):
+    """5,000 series of 40 incidents: the same close pairs as one matrix, under a tenth of the pairs compared."""
+    n, groups, eps = 5000, 40, 0.2
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((groups, 60))[np.arange(n) % groups] + 0.3 * rng.standard_normal((n, 60))
+    ranks = x.argsort(axis=1).argsort(axis=1).astype(float)
+    vectors = spark.createDataFrame([(i, "", v.tolist()) for i, v in enumerate(ranks)], "itemid long, f string, v array<double>")
+    blocks = cluster.index_blocks(vectors, 1 - 2 * eps)
+    sizes = blocks.groupBy("a", "b").agg(F.count_if("own").alias("l"), F.count_if(~F.col("own")).alias("r")).collect()
+    compared = sum(s.l * (s.l - 1) // 2 if s.a == s.b else s.l * s.r for s in sizes)
+    assert compared < 0.1 * n * (n - 1) / 2
+    c = (ranks - ranks.mean(axis=1, keepdims=True)) / ranks.std(axis=1, keepdims=True) / np.sqrt(60)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(c @ c.T >= 1 - 2 * eps, 1)))}
+    flat = vectors.select("itemid", F.posexplode("v").alias("bucket", "r"))
+    got = {(r.i, r.j) for r in cluster.close_correlation(flat, 1 - 2 * eps).collect()}
+    assert got == want and len(got) > 100_000
+
+
+def test_linkage_in_rounds_equals_one_matrix(spark):
+    """2,000 items with many equal distances, and smaller sets, by rounds and in one task."""
+    rng = np.random.default_rng(11)
+    for n, per in ((40, 40), (2000, 50)):
+        rows_, whole = [], {}
+        for lo in range(0, n, per):
+            d = rng.integers(1, 12, (per, per)) / 20
+            d = np.minimum(d, d.T)
+            rows_ += [(lo + i, lo + j, float(d[i, j])) for i in range(per) for j in range(i + 1, per) if d[i, j] < 0.5]
+            d[d >= 0.5] = np.inf
+            np.fill_diagonal(d, 0)
+            whole |= {lo + i: lo + int(x) for i, x in enumerate(cluster.agglomerate(d, 0.5, "complete"))}
+        pairs = spark.createDataFrame(rows_, "i long, j long, distance double")
+        got = {r.itemid: r.lead for r in cluster.link_rounds(pairs).collect()}
+        assert got == {k: v for k, v in whole.items() if k in got} and all(whole[k] == k for k in whole.keys() - got.keys())
+
+
+def test_components_beyond_one_task(spark):
+    n = 60
+    rng = np.random.default_rng(13)
+    d = rng.integers(1, 30, (n, n)) / 30
+    d = np.minimum(d, d.T)
+    pairs = spark.createDataFrame([(3 * i, 3 * j, float(d[i, j])) for i in range(n) for j in range(i + 1, n)], "i long, j long, distance double")
+    for linkage, least in (("complete", 2), ("dbscan", 4), ("dbscan", 6)):
+        cfg = config.Clustering(linkage=linkage, corr_eps=0.08, min_samples=least)
+        one = sorted(rows(cluster.group_items(pairs, cfg), "itemid", "clusterid"))
+        assert sorted(rows(cluster.group_items(pairs, replace(cfg, max_items=5)), "itemid", "clusterid")) == one and len(one) == n
+
+
 def test_groups_against_one_matrix(spark):
     """Linkage by components gives what the whole matrix gives."""
     rng = np.random.default_rng(7)

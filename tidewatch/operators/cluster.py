@@ -1,7 +1,9 @@
 """Incidents: items whose series move together and whose anomalies started together.
 
-Charts and ranks are SQL over the flagged items, correlations are blocks of a matrix product, and the linkage, which is
-iterative, runs on each connected component of the close pairs; one of more than `max_items` is an error, never a cut.
+Charts and ranks are SQL over the flagged items. Correlations are blocks of a matrix product; where close pairs are all
+that the linkage asks for, a metric index keeps series apart that can't be close. The linkage runs on each connected
+component of the close pairs: in one task up to `max_items` items, beyond that in rounds over a table of distances. Average
+linkage needs the distances of all pairs, and a component of more items is an error for it, never a cut.
 """
 
 from __future__ import annotations
@@ -53,6 +55,13 @@ def _channel(charts: DataFrame, diff: bool) -> DataFrame:
 BLOCK = 256
 
 
+def _standard(vectors: pd.Series) -> np.ndarray:
+    """Ranks as vectors of mean 0 and length 1: a correlation is their product, and 2 - 2 rho the square of their distance."""
+    x = np.stack(vectors.to_numpy())
+    x = x - x.mean(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _correlation(ranks: DataFrame, family: DataFrame | None = None) -> DataFrame:
     """(i, j, rho) of the pairs i < j of items; with `family` (itemid, f), of items of one family.
 
@@ -61,15 +70,14 @@ def _correlation(ranks: DataFrame, family: DataFrame | None = None) -> DataFrame
     """
     vectors = ranks.groupBy("itemid").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "r"))), lambda x: x["r"].cast("double")).alias("v"))
     vectors = vectors.withColumn("f", F.lit("")) if family is None else vectors.join(family, "itemid")
-    n = F.ceil(F.count("*").over(Window.partitionBy("f")) / BLOCK).cast("int")
-    dealt = vectors.withColumn("n", n).withColumn("g", F.pmod(F.xxhash64("itemid"), F.col("n")).cast("int"))
+    vectors = materialize(vectors, "rank-vectors")
+    sizes = vectors.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    dealt = vectors.join(sizes, "f").withColumn("g", F.pmod(F.xxhash64("itemid"), F.col("n")).cast("int"))
     sent = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("itemid", "v", "f", "g", F.least("g", "k").alias("a"), F.greatest("g", "k").alias("b"))
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("itemid")
-        x = np.stack(rows["v"].to_numpy())
-        x = x - x.mean(axis=1, keepdims=True)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = _standard(rows["v"])
         g, ids = rows["g"].to_numpy(), rows["itemid"].to_numpy()
         rho = x @ x.T
         wanted = np.triu(np.ones(rho.shape, bool), 1)
@@ -81,6 +89,87 @@ def _correlation(ranks: DataFrame, family: DataFrame | None = None) -> DataFrame
     return sent.groupBy("f", "a", "b").applyInPandas(block, "i long, j long, rho double")
 
 
+#: Most pivots of the metric index, vectors that they are chosen from, and bytes of these.
+PIVOTS, SAMPLE, SAMPLE_BYTES = 64, 512, 64 << 20
+#: Items for each pivot.
+CELL = 64
+_SLACK = 1e-6
+
+
+def _pivots(vectors: DataFrame) -> np.ndarray:
+    """Vectors far from each other, of a bounded sample."""
+    n, length = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    most = int(min(SAMPLE, n, max(SAMPLE_BYTES // (8 * (length or 1)), 1)))
+    rows = vectors.orderBy(F.xxhash64("itemid"), "itemid").limit(most).select("v").toPandas()
+    if not len(rows):
+        return np.zeros((0, 0))
+    x = _standard(rows["v"])
+    chosen, away = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(PIVOTS, n // CELL) and away.max() > _SLACK:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+def index_blocks(vectors: DataFrame, least: float) -> DataFrame:
+    """(itemid, f, a, b, own): the blocks (a, b) that an item is compared in, so that two items of one `f` with correlation
+    `least` or more share one block, and `own`, whether it stands on the side of a.
+
+    Every item belongs to the cell of its nearest pivot, at a distance h from the plane between that and another pivot. Items
+    of two cells are apart by both their h at least, so an item goes only to cells whose smallest h leaves room for a
+    close one. A cell is cut to parts of BLOCK items, so no cell is a task's work.
+    """
+    pivots, radius = _pivots(vectors), float(np.sqrt(max(2 - 2 * least, 0.0))) + _SLACK
+
+    def deal(batches):
+        apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2), 1e-300))
+        for rows in batches:
+            if len(rows):
+                square = 2 - 2 * (_standard(rows["v"]) @ pivots.T)
+                cell = square.argmin(axis=1)
+                h = (square - square[np.arange(len(cell)), cell][:, None]) / (2 * apart[cell])
+                yield pd.DataFrame({"itemid": rows["itemid"], "f": rows["f"], "cell": cell, "h": list(h)})
+
+    dealt = materialize(vectors.select("itemid", "f", "v").mapInPandas(deal, "itemid long, f string, cell int, h array<double>"), "rank-cells")
+    sizes = dealt.groupBy("f", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    margin = dealt.select("cell", F.posexplode("h").alias("b", "h")).groupBy("cell", "b").agg(F.min("h").alias("m"))
+    # a row for each pair of pivots
+    near = F.broadcast(margin.select(F.col("cell").alias("b"), F.col("b").alias("cell"), "m"))
+    mine = dealt.join(sizes, ["f", "cell"]).withColumn("g", F.pmod(F.xxhash64("itemid"), F.col("n")).cast("int")).select("itemid", "f", "cell", "g", F.posexplode("h").alias("b", "h"))
+    sent = mine.join(near, ["cell", "b"]).where((F.col("b") == F.col("cell")) | (F.col("h") + F.col("m") < radius))
+    sent = sent.join(sizes.select("f", F.col("cell").alias("b"), "n"), ["f", "b"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    here, there = F.struct(F.col("cell").alias("c"), F.col("g").alias("g")), F.struct(F.col("b").alias("c"), F.col("k").alias("g"))
+    return sent.select("itemid", "f", F.least(here, there).alias("a"), F.greatest(here, there).alias("b"), (here <= there).alias("own"))
+
+
+def close_correlation(ranks: DataFrame, least: float, family: DataFrame | None = None) -> DataFrame:
+    """The pairs of _correlation() whose rho is `least` or more."""
+    vectors = ranks.groupBy("itemid").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "r"))), lambda x: x["r"].cast("double")).alias("v"))
+    vectors = materialize(vectors.withColumn("f", F.lit("")) if family is None else vectors.join(family, "itemid"), "rank-vectors")
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        x, ids, own = _standard(rows["v"]), rows["itemid"].to_numpy(), rows["own"].to_numpy()
+        left, right = (slice(None), slice(None)) if own.all() else (own, ~own)
+        i, j = np.nonzero((rho := x[left] @ x[right].T) >= least - _SLACK)
+        out = pd.DataFrame({"i": ids[left][i], "j": ids[right][j], "rho": rho[i, j]})
+        if own.all():
+            return out[out["i"] < out["j"]]
+        return pd.DataFrame({"i": np.minimum(out["i"], out["j"]), "j": np.maximum(out["i"], out["j"]), "rho": out["rho"]})
+
+    found = index_blocks(vectors, least).join(vectors.select("itemid", "v"), "itemid")
+    return found.groupBy("f", "a", "b").applyInPandas(block, "i long, j long, rho double").where(F.round("rho", 12) >= F.lit(least - 1e-12))
+
+
+def close_pairs(charts: DataFrame, eps: float, keys: DataFrame | None = None, raw_corr_min: float = 0.99, n_buckets: int = 3, at: bool = False) -> DataFrame:
+    """The rows of pair_distances() whose distance is less than `eps` (or `at` it), for an `eps` of 0.5 at most: flat series are close to none."""
+    out = close_correlation(_channel(charts, n_buckets >= 3), 1 - 2 * eps).select("i", "j", ((1 - F.col("rho")) / 2).alias("distance"))
+    if keys is not None:
+        fam = keys.select("itemid", key_family(F.col("key_")).alias("f")).where("f <> ''")
+        raw = close_correlation(_channel(charts, False), max(raw_corr_min, 1 - 2 * eps), fam).where(F.col("rho") >= raw_corr_min)
+        out = out.unionByName(raw.select("i", "j", ((1 - F.col("rho")) / 2).alias("distance"))).groupBy("i", "j").agg(F.min("distance").alias("distance"))
+    return out.where(F.col("distance") <= eps if at else F.col("distance") < eps)
+
+
 def pair_distances(charts: DataFrame, keys: DataFrame | None = None, raw_corr_min: float = 0.99, n_buckets: int = 3) -> DataFrame:
     """(i, j, distance) of all pairs i < j of charted items: (1 - rho) / 2 of their differences (of levels on a grid of fewer than 3
     buckets); of items of one key family whose levels correlate at `raw_corr_min` or more, that of the levels if smaller. Flat series have rho 0."""
@@ -156,25 +245,71 @@ def density(d: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
     return label
 
 
-def group_items(distances: DataFrame, cfg: Clustering) -> DataFrame:
-    """(itemid, clusterid) of every item of a pair: clusters are numbered by their lowest itemid, -1 is none.
+def link_rounds(pairs: DataFrame) -> DataFrame:
+    """(itemid, lead): complete linkage of close pairs (i, j, distance) in rounds, lead being the lowest item of a group; pairs
+    that aren't listed are never merged across.
+
+    In each round all groups that are each other's nearest merge at once. Pairs are ordered by distance, then by their
+    leads, and merging two groups brings none nearer to a third, so this is what merging the nearest two at a time gives.
+    """
+    table = materialize(pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.coalesce("distance", F.lit(1.0)).alias("d")), "linkage")
+    ends = table.select(F.col("a").alias("itemid")).unionByName(table.select(F.col("b").alias("itemid"))).distinct()
+    label = materialize(ends.select("itemid", F.col("itemid").alias("lead")), "linkage-labels")
+    while True:
+        key = F.struct("d", "a", "b").alias("key")
+        sides = table.select(F.col("a").alias("x"), key).unionByName(table.select(F.col("b").alias("x"), key))
+        nearest = sides.groupBy("x").agg(F.min("key").alias("key"))
+        both = nearest.groupBy("key").agg(F.count("*").alias("n")).where("n = 2")
+        merged = materialize(both.select(F.col("key.b").alias("gone"), F.col("key.a").alias("into")), "linkage-merged")
+        if not merged.limit(1).count():
+            return label
+        label = materialize(label.join(merged, F.col("lead") == F.col("gone"), "left").select("itemid", F.coalesce("into", "lead").alias("lead")), "linkage-labels")
+        parts = merged.select(F.col("into").alias("p")).withColumn("parts", F.lit(2))
+        moved = table.join(merged.select(F.col("gone").alias("a"), F.col("into").alias("na")), "a", "left").join(merged.select(F.col("gone").alias("b"), F.col("into").alias("nb")), "b", "left")
+        moved = moved.select(F.coalesce("na", "a").alias("x"), F.coalesce("nb", "b").alias("y"), "d").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d")
+        joint = moved.groupBy("a", "b").agg(F.max("d").alias("d"), F.count("*").alias("n"))
+        size = lambda c: parts.select(F.col("p").alias(c), F.col("parts").alias(f"n{c}"))
+        # two groups are close if all their halves are
+        whole = joint.join(size("a"), "a", "left").join(size("b"), "b", "left").where(F.col("n") == F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)))
+        table = materialize(whole.select("a", "b", "d"), "linkage")
+
+
+def density_rounds(pairs: DataFrame, min_samples: int) -> DataFrame:
+    """(itemid, lead) of density() over close pairs (i, j) as tables: core items by connected components, border items by the
+    lowest core of a neighbouring cluster; noise has no row."""
+    sides = materialize(pairs.select(F.col("i").alias("x"), F.col("j").alias("y")).unionByName(pairs.select(F.col("j").alias("x"), F.col("i").alias("y"))).distinct(), "density-sides")
+    core = materialize(sides.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select("x"), "density-core")
+    from_core = sides.join(core, "x", "left_semi")
+    linked = from_core.join(core.select(F.col("x").alias("y")), "y", "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    start = materialize(core.join(components(linked).withColumnRenamed("s", "x"), "x", "left").select("x", F.coalesce("root", "x").alias("start")), "density-starts")
+    border = from_core.join(core.select(F.col("x").alias("y")), "y", "left_anti").join(start, "x").groupBy(F.col("y").alias("x")).agg(F.min("start").alias("start"))
+    found = materialize(start.unionByName(border), "density-found")
+    return found.join(found.groupBy("start").agg(F.min("x").alias("lead")), "start").select(F.col("x").alias("itemid"), "lead")
+
+
+def group_items(distances: DataFrame, cfg: Clustering, ids: DataFrame | None = None) -> DataFrame:
+    """(itemid, clusterid) of every item of `ids` (of a pair, if not given): clusters are numbered by their lowest itemid, -1 is
+    none. Average linkage needs all pairs, for the others those that aren't close may be missing.
 
     No linkage joins items that no chain of close pairs connects, so each connected component of the close pairs is a
-    task of its own, of `max_items` items at most.
+    task of its own; beyond `max_items` items it is linked in rounds, for average linkage it is an error.
     """
-    close = F.col("distance") <= cfg.corr_eps if cfg.linkage == "dbscan" else F.col("distance") < cfg.corr_eps
     distances = materialize(distances, "pair-distances")
-    edges = distances.where(close).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    close = distances.where(F.col("distance") <= cfg.corr_eps if cfg.linkage == "dbscan" else F.col("distance") < cfg.corr_eps)
+    edges = close.select(F.col("i").alias("a"), F.col("j").alias("b"))
     ends = edges.select(F.col("a").alias("itemid")).unionByName(edges.select(F.col("b").alias("itemid"))).distinct()
     root = materialize(ends.join(components(edges).withColumnRenamed("s", "itemid"), "itemid", "left").select("itemid", F.coalesce("root", "itemid").alias("root")), "incident-roots")
+    large = materialize(root.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > cfg.max_items).select("root"), "incident-large")
+    rounds = cfg.linkage != "average" and large.limit(1).count() > 0
     side = lambda c: root.select(F.col("itemid").alias(c), F.col("root").alias(f"r{c}"))
-    within = distances.join(side("i"), "i").join(side("j"), "j").where("ri = rj")
+    within = distances.join(side("i"), "i").join(side("j"), "j").where("ri = rj") if cfg.linkage == "average" else close.join(side("i"), "i")
 
     def link(pairs: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pairs[["i", "j"]].to_numpy())
         if len(ids) > cfg.max_items:
             raise ValueError(f"{len(ids)} items to cluster; max_items is {cfg.max_items}")
-        d = np.zeros((len(ids), len(ids)))
+        d = np.full((len(ids), len(ids)), np.inf)
+        np.fill_diagonal(d, 0)
         i, j = np.searchsorted(ids, pairs["i"]), np.searchsorted(ids, pairs["j"])
         d[i, j] = d[j, i] = pairs["distance"].fillna(1.0)
         label = density(d, cfg.corr_eps, cfg.min_samples) if cfg.linkage == "dbscan" else agglomerate(d, cfg.corr_eps, cfg.linkage)
@@ -184,11 +319,20 @@ def group_items(distances: DataFrame, cfg: Clustering) -> DataFrame:
         np.minimum.at(lowest, label[some], ids[some])
         return pd.DataFrame({"itemid": ids[some], "lead": lowest[label[some]]})
 
-    found = materialize(within.groupBy("ri").applyInPandas(link, "itemid long, lead long"), "incident-groups")
+    big = large.withColumnRenamed("root", "ri")
+    found = (within.join(big, "ri", "left_anti") if rounds else within).groupBy("ri").applyInPandas(link, "itemid long, lead long")
+    if rounds:
+        rest = within.join(big, "ri", "left_semi")
+        linked = density_rounds(rest, cfg.min_samples) if cfg.linkage == "dbscan" else link_rounds(rest)
+        if cfg.linkage != "dbscan":
+            linked = linked.join(linked.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") >= cfg.min_samples).select("lead"), "lead", "left_semi").select("itemid", "lead")
+        found = found.unionByName(linked)
+    found = materialize(found, "incident-groups")
     # a row for each incident: a short sort
     number = found.select("lead").distinct().withColumn("clusterid", F.row_number().over(Window.orderBy("lead")) - 1)
-    every = distances.select(F.col("i").alias("itemid")).unionByName(distances.select(F.col("j").alias("itemid"))).distinct()
-    return every.join(found.join(number, "lead"), "itemid", "left").select("itemid", F.coalesce("clusterid", F.lit(-1)).cast("int").alias("clusterid"))
+    if ids is None:
+        ids = distances.select(F.col("i").alias("itemid")).unionByName(distances.select(F.col("j").alias("itemid"))).distinct()
+    return ids.join(found.join(number, "lead"), "itemid", "left").select("itemid", F.coalesce("clusterid", F.lit(-1)).cast("int").alias("clusterid"))
 
 
 def cluster_anomalies(history: DataFrame, ids: DataFrame, cfg: Clustering, keys: DataFrame | None = None, onsets: DataFrame | None = None) -> DataFrame:
@@ -201,8 +345,11 @@ def cluster_anomalies(history: DataFrame, ids: DataFrame, cfg: Clustering, keys:
     points = n_buckets - 1 if n_buckets >= 3 else n_buckets
     if n_items < 2 or points < cfg.min_corr_points:
         return none
-    distances = pair_distances(charts, keys, cfg.raw_corr_min, n_buckets)
+    if cfg.linkage == "average" or cfg.corr_eps > 0.5:
+        distances = pair_distances(charts, keys, cfg.raw_corr_min, n_buckets)
+    else:
+        distances = close_pairs(charts, cfg.corr_eps, keys, cfg.raw_corr_min, n_buckets, cfg.linkage == "dbscan")
     if onsets is not None:
         distances = onset_constraint(distances, onsets, cfg.max_onset_gap)
-    found = group_items(distances, cfg)
+    found = group_items(distances, cfg, charts.select("itemid").distinct())
     return ids.select("itemid").join(found, "itemid", "left").select("itemid", F.coalesce("clusterid", F.lit(-1)).alias("clusterid"))
