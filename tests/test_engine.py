@@ -1,6 +1,7 @@
 import json
 import os
 
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -313,14 +314,42 @@ def test_replay_records_once(spark):
             hist.append((i, t, 100 + float(rng.normal(0, 3)) + (300 if i == 0 and t >= end - 7200 else 0)))
     items = spark.createDataFrame([("g", 1, "h", i, f"k{i}", "", f"k{i}") for i in range(4)], schemas.ITEMS)
     cfg = config.Source()
-    out = backtest.replay(spark.createDataFrame(hist, schemas.HISTORY), spark.createDataFrame(trends, schemas.TRENDS), items, cfg, [end - 600, end])
-    assert [o["recorded"] for o in out] == [[0], []] and out[1]["retained"] == [0]
+    out = backtest.replay_cycles(spark.createDataFrame(hist, schemas.HISTORY), spark.createDataFrame(trends, schemas.TRENDS), items, cfg, [end - 600, end])
+    assert sorted(rows(out, "endep", "itemid", "detected", "recorded", "retained")) == [(end - 600, 0, True, True, True), (end, 0, True, False, True)]
     labels = spark.createDataFrame([(i, int(i == 0), "", "", 1.0) for i in range(4)], schemas.LABELS)
     m = backtest.backtest(spark.createDataFrame(hist, schemas.HISTORY), spark.createDataFrame(trends, schemas.TRENDS), items, labels, cfg, end)
     assert rows(m["detection"].where("threshold = 0.5"), "tp", "fp", "fn") == [(1, 0, 0)]
     assert m["scores"].where("is_anomaly").count() == 1
 
 
+def test_replay_is_the_cycles_in_order(spark):
+    """Cycles as one plan: what a loop over detection cycles finds, item by item."""
+    end = 1_700_000_000 - 1_700_000_000 % 3600 + 1234
+    rng = np.random.default_rng(9)
+    hist, trends = [], []
+    shape = rng.normal(0, 40, 400)
+    for i in range(9):
+        calm = lambda t: 100 + 3 * i + float(rng.normal(0, 3)) + (150 + float(shape[(end - t) // 600 % 400]) if i < 5 and end - 9000 * (i + 2) <= t < end - 2000 * i else 0)  # noqa: B023, E731
+        trends += [(i, t, v - 2, v, v + 2) for h in range(8 * 24) for t in (end - 3600 * h - 600,) for v in (calm(t),)]
+        hist += [(i, t, calm(t)) for k in range(400) for t in (end - 600 * k,) if rng.random() < 0.97]
+    items = spark.createDataFrame([("g", 1, "h", i, f"k{i % 2}[{i}]", "", f"k{i % 2}[{i}]") for i in range(9)], schemas.ITEMS)
+    h, tr = spark.createDataFrame(hist, schemas.HISTORY).cache(), spark.createDataFrame(trends, schemas.TRENDS).cache()
+    cfg = config.Source(trends_retention=6, anomaly_keep_secs=20_000, clustering=config.Clustering(detection_period=20_000, corr_eps=0.45))
+    cycles = [end - 9000 * k for k in range(6)]
+    got = backtest.replay_cycles(h, tr, items, cfg, cycles).collect()
+    alone, recorded, want = replace(cfg, staleness_secs=0), {}, set()
+    for e in sorted(cycles):
+        until = F.col("clock") <= e
+        found = cycle.detect(backtest.inputs_at(h.where(until), tr.where(until), items, alone, e), alone, e)
+        ids = {r.itemid for r in found.confirmed.select("itemid").union(found.rescued.select("itemid")).collect()}
+        recorded = {i: t for i, t in recorded.items() if e - t <= cfg.anomaly_keep_secs}
+        new = ids - recorded.keys()
+        recorded |= dict.fromkeys(new, e)
+        want |= {(e, i, i in ids, i in new, i in recorded) for i in ids | recorded.keys()}
+    assert {(r.endep, r.itemid, r.detected, r.recorded, r.retained) for r in got} == want and len(got) == len(want)
+    assert len({r.itemid for r in got if r.recorded}) >= 3 and max(Counter(r.itemid for r in got if r.recorded).values()) > 1
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(i, i + 1) for i in range(50, 90)] + [(int(a), int(b)) for a, b in rng.integers(100, 160, (50, 2))] + [(1, 1)] + [(200, k) for k in range(201, 300)]

@@ -8,9 +8,11 @@ linkage needs the distances of all pairs, and a component of more items is an er
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Clustering
@@ -18,26 +20,40 @@ from ..functions.scalar import key_family
 from ..functions.sequence import average_rank, linear_fill
 from ..scratch import materialize
 from .graph import components
-from .stats import grid_unit, median_gap
+from .stats import cycle_units, grid_unit, median_gap
 
 
 #: A grid of more buckets is taken for a clock that is far off.
 MAX_BUCKETS = 1_000_000
 
 
-def usable_items(history: DataFrame, unit: DataFrame) -> DataFrame:
+#: What tells the cycle of an item, where the items of several cycles are looked at together.
+Cycle = Callable[[Column], Column]
+
+
+def _with_unit(rows: DataFrame, unit: DataFrame, cycle: Cycle | None) -> DataFrame:
+    if cycle is None:
+        return rows.crossJoin(F.broadcast(unit))  # unit: one row
+    return rows.withColumn("cycle", cycle(F.col("itemid"))).join(unit, "cycle").drop("cycle")
+
+
+def usable_items(history: DataFrame, unit: DataFrame, cycle: Cycle | None = None) -> DataFrame:
     """Items sampled at least half as often as the grid; those with one sample have no gap and are out."""
-    return median_gap(history).crossJoin(F.broadcast(unit)).where(F.col("gap") <= 2.0 * F.col("unit")).select("itemid")  # unit: one row
+    return _with_unit(median_gap(history), unit, cycle).where(F.col("gap") <= 2.0 * F.col("unit")).select("itemid")
 
 
-def build_charts(history: DataFrame, unit: DataFrame) -> DataFrame:
-    """(itemid, bucket, value): each item's mean on the full grid, gaps filled in both directions."""
-    rows = history.where("value is not null").crossJoin(F.broadcast(unit))  # unit: one row
-    means = rows.groupBy("itemid", F.floor(F.col("clock") / F.col("unit")).alias("bucket")).agg(F.avg("value").alias("value"))
-    ends = means.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo is not null")
+def build_charts(history: DataFrame, unit: DataFrame, cycle: Cycle | None = None) -> DataFrame:
+    """(itemid, bucket, value): each item's mean on the full grid (of its cycle), gaps filled in both directions. Buckets are by
+    `at` instead of `clock` where there is such a column."""
+    of = cycle or (lambda _: F.lit(0))
+    rows = _with_unit(history.where("value is not null"), unit, cycle)
+    when = F.col("at") if "at" in history.columns else F.col("clock")
+    means = rows.groupBy("itemid", F.floor(when / F.col("unit")).alias("bucket")).agg(F.avg("value").alias("value"))
+    ends = means.groupBy(of(F.col("itemid")).alias("cycle")).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
     wide = F.raise_error(F.lit(f"the samples' clocks span more than {MAX_BUCKETS} buckets"))
-    ends = ends.select(F.when(F.col("hi") - F.col("lo") < MAX_BUCKETS, F.col("lo")).otherwise(wide.cast("long")).alias("lo"), "hi")
-    grid = means.select("itemid").distinct().crossJoin(F.broadcast(ends)).select("itemid", F.explode(F.sequence("lo", "hi")).alias("bucket"))
+    ends = ends.select("cycle", F.when(F.col("hi") - F.col("lo") < MAX_BUCKETS, F.col("lo")).otherwise(wide.cast("long")).alias("lo"), "hi")
+    ids = means.select("itemid").distinct().withColumn("cycle", of(F.col("itemid")))
+    grid = ids.join(F.broadcast(ends), "cycle").select("itemid", F.explode(F.sequence("lo", "hi")).alias("bucket"))  # ends: a row for each cycle
     return linear_fill(grid.join(means, ["itemid", "bucket"], "left"))
 
 
@@ -143,7 +159,7 @@ def index_blocks(vectors: DataFrame, least: float) -> DataFrame:
 
 
 def close_correlation(ranks: DataFrame, least: float, family: DataFrame | None = None) -> DataFrame:
-    """The pairs of _correlation() whose rho is `least` or more."""
+    """The pairs of _correlation() whose rho is `least` or more; all series have one length."""
     vectors = ranks.groupBy("itemid").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "r"))), lambda x: x["r"].cast("double")).alias("v"))
     vectors = materialize(vectors.withColumn("f", F.lit("")) if family is None else vectors.join(family, "itemid"), "rank-vectors")
 
@@ -160,26 +176,43 @@ def close_correlation(ranks: DataFrame, least: float, family: DataFrame | None =
     return found.groupBy("f", "a", "b").applyInPandas(block, "i long, j long, rho double").where(F.round("rho", 12) >= F.lit(least - 1e-12))
 
 
-def close_pairs(charts: DataFrame, eps: float, keys: DataFrame | None = None, raw_corr_min: float = 0.99, n_buckets: int = 3, at: bool = False) -> DataFrame:
-    """The rows of pair_distances() whose distance is less than `eps` (or `at` it), for an `eps` of 0.5 at most: flat series are close to none."""
-    out = close_correlation(_channel(charts, n_buckets >= 3), 1 - 2 * eps).select("i", "j", ((1 - F.col("rho")) / 2).alias("distance"))
+def _families(keys: DataFrame, cycle: Cycle | None) -> DataFrame:
+    fam = keys.select("itemid", key_family(F.col("key_")).alias("f")).where("f <> ''")
+    return fam if cycle is None else fam.withColumn("f", F.concat_ws(" ", cycle(F.col("itemid")).cast("string"), "f"))
+
+
+def close_pairs(charts: DataFrame, eps: float, keys: DataFrame | None = None, raw_corr_min: float = 0.99, n_buckets: int = 3, at: bool = False, cycle: Cycle | None = None) -> DataFrame:
+    """The rows of pair_distances() whose distance is less than `eps` (or `at` it), for an `eps` of 0.5 at most: flat series are
+    close to none. Grids of several cycles differ in length and are compared by blocks, within cycles."""
+
+    def close(ranks: DataFrame, least: float, family: DataFrame | None) -> DataFrame:
+        if cycle is None:
+            return close_correlation(ranks, least, family)
+        return _correlation(ranks, family if family is not None else _cycles(ranks, cycle)).where(F.col("rho") >= least - 1e-12)
+
+    out = close(_channel(charts, n_buckets >= 3), 1 - 2 * eps, None).select("i", "j", ((1 - F.col("rho")) / 2).alias("distance"))
     if keys is not None:
-        fam = keys.select("itemid", key_family(F.col("key_")).alias("f")).where("f <> ''")
-        raw = close_correlation(_channel(charts, False), max(raw_corr_min, 1 - 2 * eps), fam).where(F.col("rho") >= raw_corr_min)
+        raw = close(_channel(charts, False), max(raw_corr_min, 1 - 2 * eps), _families(keys, cycle)).where(F.col("rho") >= raw_corr_min)
         out = out.unionByName(raw.select("i", "j", ((1 - F.col("rho")) / 2).alias("distance"))).groupBy("i", "j").agg(F.min("distance").alias("distance"))
     return out.where(F.col("distance") <= eps if at else F.col("distance") < eps)
 
 
-def pair_distances(charts: DataFrame, keys: DataFrame | None = None, raw_corr_min: float = 0.99, n_buckets: int = 3) -> DataFrame:
-    """(i, j, distance) of all pairs i < j of charted items: (1 - rho) / 2 of their differences (of levels on a grid of fewer than 3
-    buckets); of items of one key family whose levels correlate at `raw_corr_min` or more, that of the levels if smaller. Flat series have rho 0."""
+def _cycles(rows: DataFrame, cycle: Cycle) -> DataFrame:
+    return rows.select("itemid").distinct().withColumn("f", cycle(F.col("itemid")).cast("string"))
+
+
+def pair_distances(charts: DataFrame, keys: DataFrame | None = None, raw_corr_min: float = 0.99, n_buckets: int = 3, cycle: Cycle | None = None) -> DataFrame:
+    """(i, j, distance) of all pairs i < j of charted items (of one cycle): (1 - rho) / 2 of their differences (of levels on a grid of
+    fewer than 3 buckets); of items of one key family whose levels correlate at `raw_corr_min` or more, that of the levels if smaller.
+    Flat series have rho 0."""
     ids = charts.select("itemid").distinct()
-    pairs = ids.select(F.col("itemid").alias("i")).join(ids.select(F.col("itemid").alias("j")), F.col("i") < F.col("j"))
-    diff = _correlation(_channel(charts, n_buckets >= 3))
+    i, j = ids.select(F.col("itemid").alias("i")), ids.select(F.col("itemid").alias("j"))
+    pairs = i.join(j, F.col("i") < F.col("j")) if cycle is None else i.join(j, (cycle(F.col("i")) == cycle(F.col("j"))) & (F.col("i") < F.col("j")))
+    diff = _channel(charts, n_buckets >= 3)
+    diff = _correlation(diff, None if cycle is None else _cycles(diff, cycle))
     out = pairs.join(diff, ["i", "j"], "left").withColumn("distance", (1 - F.coalesce("rho", F.lit(0.0))) / 2).drop("rho")
     if keys is not None:
-        fam = keys.select("itemid", key_family(F.col("key_")).alias("f")).where("f <> ''")
-        raw = _correlation(_channel(charts, False), fam).where(F.col("rho") >= raw_corr_min).select("i", "j", ((1 - F.col("rho")) / 2).alias("raw"))
+        raw = _correlation(_channel(charts, False), _families(keys, cycle)).where(F.col("rho") >= raw_corr_min).select("i", "j", ((1 - F.col("rho")) / 2).alias("raw"))
         out = out.join(raw, ["i", "j"], "left").withColumn("distance", F.least("distance", F.coalesce("raw", "distance"))).drop("raw")
     return out
 
@@ -335,20 +368,27 @@ def group_items(distances: DataFrame, cfg: Clustering, ids: DataFrame | None = N
     return ids.join(found.join(number, "lead"), "itemid", "left").select("itemid", F.coalesce("clusterid", F.lit(-1)).cast("int").alias("clusterid"))
 
 
-def cluster_anomalies(history: DataFrame, ids: DataFrame, cfg: Clustering, keys: DataFrame | None = None, onsets: DataFrame | None = None) -> DataFrame:
-    """(itemid, clusterid) of the items of `ids`; -1 for all if there is too little to correlate."""
-    none = ids.select("itemid", F.lit(-1).alias("clusterid"))
+def cluster_anomalies(history: DataFrame, ids: DataFrame, cfg: Clustering, keys: DataFrame | None = None, onsets: DataFrame | None = None, cycle: Cycle | None = None) -> DataFrame:
+    """(itemid, clusterid) of the items of `ids`; -1 for all (of a cycle) if there is too little to correlate."""
+    of = cycle or (lambda _: F.lit(0))
     rows = materialize(history.join(ids.select("itemid").distinct(), "itemid", "left_semi"), "flagged-samples")
-    unit = materialize(grid_unit(rows), "grid-unit")
-    charts = materialize(build_charts(rows.join(usable_items(rows, unit), "itemid", "left_semi"), unit), "charts")
-    n_items, n_buckets = charts.agg(F.count_distinct("itemid"), F.count_distinct("bucket")).first()
-    points = n_buckets - 1 if n_buckets >= 3 else n_buckets
-    if n_items < 2 or points < cfg.min_corr_points:
-        return none
-    if cfg.linkage == "average" or cfg.corr_eps > 0.5:
-        distances = pair_distances(charts, keys, cfg.raw_corr_min, n_buckets)
-    else:
-        distances = close_pairs(charts, cfg.corr_eps, keys, cfg.raw_corr_min, n_buckets, cfg.linkage == "dbscan")
+    unit = materialize(grid_unit(rows) if cycle is None else cycle_units(rows, cycle), "grid-unit")
+    charts = materialize(build_charts(rows.join(usable_items(rows, unit, cycle), "itemid", "left_semi"), unit, cycle), "charts")
+    # a row for each cycle
+    shapes = charts.groupBy(of(F.col("itemid")).alias("cycle")).agg(F.count_distinct("itemid").alias("items"), F.count_distinct("bucket").alias("buckets")).collect()
+    enough = [s for s in shapes if s["items"] >= 2 and s["buckets"] - (s["buckets"] >= 3) >= cfg.min_corr_points]
+    distances = None
+    for n_buckets in (3, 1):
+        wanted = [s["cycle"] for s in enough if (s["buckets"] >= 3) == (n_buckets >= 3)]
+        if wanted:
+            some = charts.where(of(F.col("itemid")).isin(wanted))
+            if cfg.linkage == "average" or cfg.corr_eps > 0.5:
+                more = pair_distances(some, keys, cfg.raw_corr_min, n_buckets, cycle)
+            else:
+                more = close_pairs(some, cfg.corr_eps, keys, cfg.raw_corr_min, n_buckets, cfg.linkage == "dbscan", cycle)
+            distances = more if distances is None else distances.unionByName(more)
+    if distances is None:
+        return ids.select("itemid", F.lit(-1).alias("clusterid"))
     if onsets is not None:
         distances = onset_constraint(distances, onsets, cfg.max_onset_gap)
     found = group_items(distances, cfg, charts.select("itemid").distinct())

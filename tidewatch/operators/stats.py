@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +39,10 @@ def intra_std(trends: DataFrame, range_to_sigma: float) -> DataFrame:
     return trends.groupBy("itemid").agg((F.avg(F.greatest(F.col("value_max") - F.col("value_min"), F.lit(0.0))) / divisor).alias("intra_std"))
 
 
-def hour_stats(trends: DataFrame, value: str = "value_avg") -> DataFrame:
-    """(itemid, hour_of_day, mean, std, cnt) in UTC."""
+def hour_stats(trends: DataFrame, value: str = "value_avg", hour: Column | None = None) -> DataFrame:
+    """(itemid, hour_of_day, mean, std, cnt) in UTC, or by `hour`."""
     x = finite(F.col(value))
-    g = trends.select("itemid", hour_of_day(F.col("clock")).cast("short").alias("hour_of_day"), x.alias("x")).groupBy("itemid", "hour_of_day")
+    g = trends.select("itemid", (hour_of_day(F.col("clock")) if hour is None else hour).cast("short").alias("hour_of_day"), x.alias("x")).groupBy("itemid", "hour_of_day")
     return g.agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"), F.count("x").alias("cnt")).where("cnt > 0")
 
 
@@ -56,10 +58,18 @@ def median_gap(history: DataFrame) -> DataFrame:
     return history.select("itemid", gap().alias("gap")).where("gap is not null").groupBy("itemid").agg(F.median("gap").alias("gap"))
 
 
+def _unit(fallback: int) -> Column:
+    return F.when(F.col("m") >= 1, F.floor("m")).otherwise(F.lit(fallback)).cast("long").alias("unit")
+
+
 def grid_unit(history: DataFrame, fallback: int = 600) -> DataFrame:
     """One row (unit): the median of the items' median gaps in whole seconds."""
-    mid = median_gap(history).agg(F.median("gap").alias("m"))
-    return mid.select(F.when(F.col("m") >= 1, F.floor("m")).otherwise(F.lit(fallback)).cast("long").alias("unit"))
+    return median_gap(history).agg(F.median("gap").alias("m")).select(_unit(fallback))
+
+
+def cycle_units(history: DataFrame, cycle: Callable[[Column], Column], fallback: int = 600) -> DataFrame:
+    """(cycle, unit): grid_unit() of the items of each cycle."""
+    return median_gap(history).groupBy(cycle(F.col("itemid")).alias("cycle")).agg(F.median("gap").alias("m")).select("cycle", _unit(fallback))
 
 
 def peak_stats(trends: DataFrame, baseline: DataFrame, window_secs: int, k_sigma: float, max_clock: int | None = None, peak: str = "value_max") -> DataFrame:

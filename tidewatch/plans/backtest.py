@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Source
+from ..functions.scalar import hour_of_day
 from ..operators import evaluate, stats
-from ..scratch import materialize, scope
-from .cycle import Inputs, all_trend_stats, detect
+from ..scratch import kept, materialize, scope
+from .cycle import Inputs, all_trend_stats, detect, hour_of
 
 
 def inputs_at(history: DataFrame, trends: DataFrame, items: DataFrame, cfg: Source, endep: int) -> Inputs:
@@ -19,7 +20,7 @@ def inputs_at(history: DataFrame, trends: DataFrame, items: DataFrame, cfg: Sour
     base, hours = all_trend_stats(trends, cfg, endep)
     recent = stats.window_stats(history, endep - cfg.history_window + 1, endep)
     period = stats.in_range(history, endep - max(cfg.history_window, cfg.clustering.detection_period) + 1, endep)
-    return Inputs(period, trends, items, recent, base, hours)
+    return Inputs(period, stats.in_range(trends, endep - cfg.trends_retention * 86400, endep), items, recent, base, hours)
 
 
 def backtest(history: DataFrame, trends: DataFrame, items: DataFrame, labels: DataFrame, cfg: Source, endep: int, thresholds: tuple[float, ...] = (0.3, 0.5, 0.7)) -> dict[str, DataFrame]:
@@ -30,28 +31,64 @@ def backtest(history: DataFrame, trends: DataFrame, items: DataFrame, labels: Da
     return {"detection": sweep, "clusters": evaluate.cluster_metrics(found.clusters, labels), "scores": found.gated}
 
 
-def replay(history: DataFrame, trends: DataFrame, items: DataFrame, cfg: Source, cycles: list[int]) -> list[dict]:
-    """The cycles in order: each item is recorded once within the time that anomalies are kept.
+def _dealt(rows: DataFrame, cycles: list[int], back: int) -> DataFrame:
+    """Each row for every cycle whose window (end - back, end] holds it: as the row of an item of that cycle, its clock moved so
+    that the cycle ends where the last one does. `at` is its own clock, `hour` its hour of day moved likewise."""
+    n, last = len(cycles), cycles[-1]
+    ends = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(e).cast("long").alias("e")) for k, e in enumerate(cycles)))
+    clock = F.col("clock")
+    dealt = rows.withColumn("c", F.explode(F.filter(ends, lambda c: (c["e"] >= clock) & (c["e"] - back < clock))))
+    hour = F.pmod(hour_of_day(clock) - hour_of_day(F.col("c.e")) + hour_of(last), F.lit(24))
+    moved = {"itemid": F.col("itemid") * n + F.col("c.k"), "at": clock, "hour": hour, "clock": clock + last - F.col("c.e")}
+    return dealt.withColumns(moved).drop("c")
 
-    The loop is over cycles, whose results depend on each other; each cycle is one distributed plan, and only the ids
-    that it records come back.
+
+def record_once(detected: DataFrame, keep_secs: int) -> DataFrame:
+    """(itemid, endep): of each item's detections in order, those more than `keep_secs` after the last one that was recorded.
+
+    What is recorded depends on what was recorded before, so it is a fold over an item's cycles.
+    """
+    none = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
+
+    def step(acc, t):
+        new = acc["last"].isNull() | (t - acc["last"] > keep_secs)
+        return F.struct(F.when(new, t).otherwise(acc["last"]).alias("last"), F.when(new, F.concat(acc["out"], F.array(t))).otherwise(acc["out"]).alias("out"))
+
+    times = detected.groupBy("itemid").agg(F.array_sort(F.collect_set(F.col("endep").cast("long"))).alias("ts"))
+    return times.select("itemid", F.explode(F.aggregate("ts", none, step)["out"]).alias("endep"))
+
+
+def replay_cycles(history: DataFrame, trends: DataFrame, items: DataFrame, cfg: Source, cycles: list[int]) -> DataFrame:
+    """(endep, itemid, detected, recorded, retained) of all cycles, as one plan: each item is recorded once within the time that
+    anomalies are kept. A row for each item that a cycle detects or retains.
+
+    An item of a cycle is an item of its own, so one detection cycle does for all of them: windows, detectors, gates and
+    onsets are by item, and incidents are told apart by cycle.
     """
     # a replay knows no silent items: what has samples in a cycle's window is scored
-    cfg = replace(cfg, staleness_secs=0)
-    recorded: dict[int, int] = {}
-    out = []
+    cfg, cycles = replace(cfg, staleness_secs=0), sorted(set(cycles))
+    n, last = len(cycles), cycles[-1]
     with scope():
-        history, trends, items = materialize(history, "replay-history"), materialize(trends, "replay-trends"), materialize(items, "replay-items")
-        for endep in cycles:
-            with scope():
-                until = F.col("clock") <= endep
-                found = detect(inputs_at(history.where(until), trends.where(until), items, cfg, endep), cfg, endep)
-                ids = sorted({r.itemid for r in found.confirmed.select("itemid").unionByName(found.rescued.select("itemid")).collect()})
-            recorded = {i: t for i, t in recorded.items() if endep - t <= cfg.anomaly_keep_secs}
-            new = [i for i in ids if i not in recorded]
-            recorded |= dict.fromkeys(new, endep)
-            out.append({"endep": endep, "detected": ids, "recorded": new, "retained": sorted(recorded)})
-    return out
+        back = max(cfg.history_window, cfg.clustering.detection_period)
+        samples = materialize(_dealt(history, cycles, back), "replay-history")
+        start = last - cfg.trends_retention * 86400
+        hours = materialize(_dealt(trends, cycles, last - start + 1), "replay-trends")
+        recent = stats.window_stats(samples, last - cfg.history_window + 1, last)
+        peak = cfg.metric_categories.recurring_peak
+        full = stats.trend_stats(hours, start, last, cfg.trends_range_to_sigma, cfg.history_window, peak.k_sigma, peak.exclude_recent_secs)
+        own = F.expr(f"itemid div {n}")
+        known = recent.select("itemid", own.alias("own")).join(items.withColumnRenamed("itemid", "own"), "own").drop("own")
+        x = Inputs(samples, hours, known, recent, full, stats.hour_stats(hours, hour=F.col("hour")))
+        found = detect(x, cfg, last, lambda i: F.pmod(i, F.lit(n)))
+        ends = F.array(*(F.lit(e).cast("long") for e in cycles))
+        both = found.confirmed.select("itemid").unionByName(found.rescued.select("itemid")).distinct()
+        detected = kept(both.select(own.cast("long").alias("itemid"), ends[F.pmod("itemid", F.lit(n)).cast("int")].alias("endep")), "replay-detected")
+    recorded = record_once(detected, cfg.anomaly_keep_secs)
+    t = F.col("endep")
+    held = recorded.select("itemid", F.explode(F.filter(ends, lambda e: (e >= t) & (e - t <= cfg.anomaly_keep_secs))).alias("endep"))
+    flags = ("detected", "recorded", "retained")
+    parts = [df.select("endep", "itemid", *(F.lit(g == f).alias(g) for g in flags)) for f, df in zip(flags, (detected, recorded, held))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("endep", "itemid").agg(*(F.max(f).alias(f) for f in flags))
 
 
 def synthetic_dataset(spark: SparkSession, n_items: int = 50, n_anomalies: int = 10, mean: float = 100.0, std: float = 10.0, noise: float = 2.0, magnitude: float = 5.0, points: int = 18, days: int = 14, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:

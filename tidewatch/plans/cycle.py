@@ -65,8 +65,9 @@ def score_items(x: Inputs, cfg: Source, endep: int) -> DataFrame:
     return detectors.ensemble_scores(found, weights, cfg.ensemble)
 
 
-def detect(x: Inputs, cfg: Source, endep: int) -> Findings:
-    """One cycle, from statistics to incidents; nothing is recorded.
+def detect(x: Inputs, cfg: Source, endep: int, of: cluster.Cycle | None = None) -> Findings:
+    """One cycle, from statistics to incidents; nothing is recorded. With `of`, several cycles whose items and clocks were
+    brought to one, `of` an item its cycle.
 
     What several steps start from is cut to a table once, so no plan holds another one twice; the tables go with the
     cycle, but for the gated scores and the clusters, which go with the caller's scope.
@@ -92,7 +93,7 @@ def detect(x: Inputs, cfg: Source, endep: int) -> Findings:
             candidates = candidates.limit(0)
         flagged = confirmed.select("itemid").unionByName(candidates.select("itemid")).distinct()
         level = onset.level_onset(trends, x.trends_stats, c.onset_level_tol, c.sigma, c.onset_tolerance, c.onset_recent_samples)
-        clusters = cluster.cluster_anomalies(stats.in_range(history, endep - c.detection_period, endep), flagged, c, items, level)
+        clusters = cluster.cluster_anomalies(stats.in_range(history, endep - c.detection_period, endep), flagged, c, items, level, of)
         clusters = kept(clusters, "cycle-clusters")
     return Findings(gated, confirmed, gates.select_rescued(candidates, clusters, confirmed), clusters)
 
