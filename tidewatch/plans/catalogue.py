@@ -13,6 +13,7 @@ from ..operators import cluster, detectors, evaluate, fast, filters, gates, onse
 from ..scratch import materialize, scratch_path
 from ..sources.jdbc import JdbcSource
 from ..sources.stores import Stores
+from . import backtest
 from . import bindings as b
 from .bindings import DAY, DAYS, ENDEP, VIEWS, stats_sql, with_views
 from .cycle import Inputs, detect, fast_events, hour_of
@@ -349,6 +350,12 @@ def gated_scores(spark, sf):
 GRADED = MetricCategories(categories=(Category("all", ("*",), 1.0, Magnitude("relative", 0.5, 8.0)),), recurring_peak=RecurringPeak(enabled=False), duration=Duration(enabled=False))
 
 
+GRADED_SQL = (
+    "SELECT *, raw_score * magnitude * idle * recency AS score FROM "
+    f"(SELECT * REPLACE (CASE WHEN h_mean IS NULL OR t_mean IS NULL THEN 1 ELSE {_ramp_sql('abs(h_mean - t_mean) / greatest(abs(t_mean), 1e-9)', 0.5, 8.0)} END AS magnitude) FROM gt)"
+)
+
+
 def _graded(v: _Views) -> DataFrame:
     return materialize(_gated(v, GRADED), "gated")
 
@@ -356,8 +363,7 @@ def _graded(v: _Views) -> DataFrame:
 @query(
     "SELECT itemid, round(score, 9) AS score FROM graded WHERE score < 0.4 AND raw_score >= 0.4 AND idle = 1 AND magnitude < 1",
     **GATED_SQL,
-    graded="SELECT *, raw_score * magnitude * idle * recency AS score FROM "
-    f"(SELECT * REPLACE (CASE WHEN h_mean IS NULL OR t_mean IS NULL THEN 1 ELSE {_ramp_sql('abs(h_mean - t_mean) / greatest(abs(t_mean), 1e-9)', 0.5, 8.0)} END AS magnitude) FROM gt)",
+    graded=GRADED_SQL,
 )
 def rescue_candidates(spark, sf):
     return gates.rescue_candidates(_graded(_Views(spark, sf, True)), 0.4).select("itemid", r("score"))
@@ -414,13 +420,38 @@ def distance_with_onset(spark, sf):
     return cluster.onset_constraint(cluster.pair_distances(_charts(v)), _level(v), 7200).select("i", "j", r("distance"))
 
 
-@query()
+def _linked(eps: float) -> dict[str, str]:
+    """Complete linkage of the charted items, merging the two closest clusters at a time."""
+    near = "SELECT least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, max(distance) AS d FROM clus x JOIN dist99 ON i = x.itemid JOIN clus y ON j = y.itemid WHERE x.label <> y.label GROUP BY ALL ORDER BY d, a, b LIMIT 1"
+    return {
+        "dist99": CHART_SQL["dist1"].replace(">= 0.3", ">= 0.99"),
+        "clus": f"SELECT 0 AS step, itemid, itemid AS label FROM cids UNION ALL SELECT step + 1, c.itemid, CASE WHEN c.label = m.b THEN m.a ELSE c.label END FROM clus c, ({near}) m WHERE d < {eps}",
+        "grp": "SELECT itemid, label FROM clus WHERE step = (SELECT max(step) FROM clus) QUALIFY count(*) OVER (PARTITION BY label) >= 2",
+    }
+
+
+@query("SELECT i, j, round(distance, 9) AS distance FROM dist1 WHERE distance < 0.45", **CHART_SQL)
+def close_pairs(spark, sf):
+    v = _Views(spark, sf)
+    return cluster.close_pairs(_charts(v), 0.45, v.items, 0.3).select("i", "j", r("distance"))
+
+
+@query("SELECT z1.itemid, coalesce(k - 1, -1)::INTEGER AS clusterid FROM z1 LEFT JOIN (SELECT itemid, dense_rank() OVER (ORDER BY label) AS k FROM grp) USING (itemid)", **CHART_SQL, **_linked(0.35))
 def incident_clusters(spark, sf):
     v = _Views(spark, sf)
     return cluster.cluster_anomalies(stats.in_range(v.hist, START, ENDEP), detectors.zscore_scores(v.recent, v.base, Z1), Clustering(corr_eps=0.35), v.items)
 
 
-@query()
+RESCUE_SQL = {
+    "graded": GRADED_SQL,
+    "rconf": "SELECT itemid FROM graded WHERE score >= 0.4",
+    "rcand": "SELECT itemid, score FROM graded WHERE score < 0.4 AND raw_score >= 0.4 AND idle = 1 AND magnitude < 1",
+    **CHART_SQL,
+    "crow": CHART_SQL["crow"].replace("JOIN z1", "JOIN (SELECT itemid FROM rconf UNION SELECT itemid FROM rcand)"),
+}
+
+
+@query("SELECT itemid, round(score, 9) AS score FROM rcand WHERE itemid IN (SELECT x.itemid FROM grp x JOIN grp y USING (label) SEMI JOIN rconf ON rconf.itemid = y.itemid)", **GATED_SQL, **RESCUE_SQL, **_linked(0.45))
 def rescued_items(spark, sf):
     v = _Views(spark, sf, True)
     gated = _graded(v)
@@ -438,6 +469,30 @@ def hourly_detection(spark, sf):
     return found.gated.join(found.clusters, "itemid", "left").select("itemid", "category", r("score"), r("raw_score"), "is_anomaly", F.coalesce("clusterid", F.lit(-1)).alias("clusterid"))
 
 
+#: A replay of daily cycles by the z-score alone, without gates.
+CYCLES = [ENDEP - DAY * k for k in range(12)]
+KEEP = 3 * DAY
+REPLAY = Source(
+    history_interval=4800, anomaly_keep_secs=KEEP, detectors=Detectors(ZScore(lambda_threshold=1.0), Changepoint(enabled=False), Seasonal(enabled=False)), ensemble=Ensemble(0.6, 1), item_filters=(), anomaly_filters=(),
+    clustering=Clustering(rescue_same_incident=False, min_corr_points=1_000_000), metric_categories=MetricCategories(categories=(), default_weight=1.0, duration=Duration(enabled=False), recency=Recency(enabled=False), idle_baseline=IdleBaseline(enabled=False), recurring_peak=RecurringPeak(enabled=False)),
+)
+REPLAY_SQL = {
+    "cyc": f"SELECT {ENDEP} - {DAY} * k AS e FROM range({len(CYCLES)}) AS g(k)",
+    "crec": f"SELECT e, itemid, avg(value) AS h FROM cyc JOIN hist ON clock > e - {DAY} AND clock <= e GROUP BY ALL",
+    "cbase": f"SELECT e, itemid, avg(value_avg) AS m, coalesce(stddev_samp(value_avg), 0) AS s FROM cyc JOIN trends ON clock BETWEEN e - {DAYS * DAY} AND e GROUP BY ALL",
+    "cdet": "SELECT e, itemid, row_number() OVER (PARTITION BY itemid ORDER BY e) AS rn FROM crec JOIN cbase USING (e, itemid) WHERE s > 0 AND (m = 0 OR abs(h - m) / abs(m) > 0.05) AND abs(h - m) / s / 2 >= 0.6",
+    "cfold": f"SELECT itemid, rn, e, e AS last FROM cdet WHERE rn = 1 UNION ALL SELECT d.itemid, d.rn, d.e, CASE WHEN d.e - last > {KEEP} THEN d.e ELSE last END FROM cfold f JOIN cdet d ON d.itemid = f.itemid AND d.rn = f.rn + 1",
+    "conce": "SELECT itemid, e FROM cfold WHERE e = last",
+    "cflag": f"SELECT e, itemid, true AS d, false AS n, false AS k FROM cdet UNION ALL SELECT e, itemid, false, true, false FROM conce UNION ALL SELECT cyc.e, itemid, false, false, true FROM conce o JOIN cyc ON cyc.e >= o.e AND cyc.e - o.e <= {KEEP}",
+}
+
+
+@query("SELECT e AS endep, itemid, bool_or(d) AS detected, bool_or(n) AS recorded, bool_or(k) AS retained FROM cflag GROUP BY ALL", **REPLAY_SQL)
+def replay_cycles(spark, sf):
+    v = _Views(spark, sf, True)
+    return backtest.replay_cycles(v.hist, v.trends, v.items, REPLAY, CYCLES)
+
+
 # --- fast axis
 
 FAST = {
