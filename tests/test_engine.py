@@ -222,10 +222,37 @@ def test_event_document(spark, tmp_path):
     assert single["cluster"] == -1 and single["items"] == [{"item_id": 3, "host": "", "key": "", "score": 0.25, "recent_mean": None}]
     paged = rows(pages.pages_for_events(events), "page", "itemid", "pos")
     assert paged == [("event2_cluster0", 1, 0), ("event2_cluster0", 2, 1), ("event3", 3, 0)]
+    named = fast.build_result(events, none, 1, config.FastDetect(boost_field="boost", host_events_reason="problems")).first().events
+    assert named[0].reason == "problems" and named[0].boost == 0.8 and "event_boost" not in named[0]
     empty = write_event_file(fast.build_result(events.limit(0), none, 123), f"file://{tmp_path}/e.json")
     assert empty == {"ts": 123, "max_score": 0.0, "n_events": 0, "events": [], "suppressed": [], "dashboard_url": None}
 
 
+def test_pages_are_numbered_as_the_document(spark):
+    """Events of equal score: a page shows the event that the document lists at its number."""
+    rng = np.random.default_rng(4)
+    s = spark.createDataFrame([(i, 0.5, float(rng.integers(3))) for i in range(12)], "itemid long, score double, h_mean double")
+    c = spark.createDataFrame([(i, int(rng.integers(-1, 4))) for i in range(12)], schemas.CLUSTERS)
+    items = spark.createDataFrame([(i, f"h{i % 3}", f"k{9 - i}") for i in range(12)], "itemid long, host_name string, key_ string")
+    w = spark.createDataFrame([("g", 0.5), ("f", 0.5)], "host_name string, weight double")
+    events = fast.score_events(s, c, items).withColumn("host", F.lit(None).cast("string")).unionByName(fast.event_only_events(w, items, 0.5))
+    listed = fast.build_result(events, spark.createDataFrame([], "itemid long, seasonal_z double"), 1).first().events
+    want = {(f"event{k}" + (f"_cluster{e.cluster}" if e.cluster >= 0 else ""), x.item_id, pos) for k, e in enumerate(listed, 1) for pos, x in enumerate(e["items"])}
+    assert set(rows(pages.pages_for_events(events.repartition(3)), "page", "itemid", "pos")) == want and len(want) == 12
+
+
+def test_dashboard_items(spark):
+    field = lambda n, v: {"name": n, "value": v}
+    simple = {"type": "graph", "fields": [field("source_type", "1"), field("itemid", "7"), field("graphid", "1")]}
+    drawn = {"type": "graph", "fields": [field("graphid", "1"), field("itemid", "99")]}
+    svg = {"type": "svggraph", "fields": [field("ds.0.itemids.0", "8"), field("ds.0.itemids.1", "x")]}
+    boards = [{"pages": [{"widgets": [simple, drawn]}, {"widgets": [svg, {"type": "clock", "fields": [field("itemid", "55")]}]}]}, {"widgets": [{**drawn, "fields": [field("graphid", "2")]}]}, {}]
+    df = spark.createDataFrame([(json.dumps(x),) for x in boards], "json string")
+    assert rows(pages.dashboard_widgets(df), "kind", "id") == [("graph", 1), ("graph", 2), ("item", 7), ("item", 8)]
+    graphs = spark.createDataFrame([(1, 20), (1, 21), (2, 20), (3, 30)], "graphid long, itemid long")
+    assert rows(pages.dashboard_items(df, graphs), "itemid") == [(20,), (21,), (7,), (8,)]
+
+
 def test_cluster_pages(spark):
     an = lambda data: spark.createDataFrame(data, "group_name string, hostid long, clusterid int, itemid long")
     got = rows(pages.pages_by_cluster(an([("A", 1, 5, 10), ("A", 1, 5, 10), ("B", 2, 5, 11), ("C", 3, 7, 20), ("D", 4, -1, 30)])), "page", "itemid", "pos")

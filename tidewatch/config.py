@@ -180,6 +180,9 @@ class FastDetect:
     events_saturation: float = 3.0
     min_event_score: float = 0.5
     output_path: str = "fast-events.json"
+    #: Names in the event document that its consumers expect.
+    boost_field: str = "event_boost"
+    host_events_reason: str = "host_events"
 
 
 #: Items that are never scored, and changes too small to report.

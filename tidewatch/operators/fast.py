@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FastDetect, ZScore
@@ -55,6 +55,8 @@ def score_events(scores: DataFrame, clusters: DataFrame, items: DataFrame | None
     return found.select(F.round(score, 4).alias("score"), "n_items", "cluster", reason.alias("reason"), F.round(F.coalesce("boost", F.lit(0.0)), 4).alias("event_boost"), "items")
 
 
+#: The reason of events of a host alone.
+HOST_EVENTS = "host_events"
 _NO_ITEMS = "array<struct<item_id:long,host:string,key:string,score:double,recent_mean:double>>"
 
 
@@ -62,12 +64,21 @@ def event_only_events(weights: DataFrame, covered: DataFrame, min_event_score: f
     """Events of hosts that no scored item covers."""
     rest = weights.where(F.col("weight") >= min_event_score).join(covered.select("host_name").distinct(), "host_name", "left_anti")
     score = F.round("weight", 4)
-    return rest.select(score.alias("score"), F.lit(0).cast("long").alias("n_items"), F.lit(-1).alias("cluster"), F.lit("host_events").alias("reason"), score.alias("event_boost"), F.array().cast(_NO_ITEMS).alias("items"), F.col("host_name").alias("host"))
+    return rest.select(score.alias("score"), F.lit(0).cast("long").alias("n_items"), F.lit(-1).alias("cluster"), F.lit(HOST_EVENTS).alias("reason"), score.alias("event_boost"), F.array().cast(_NO_ITEMS).alias("items"), F.col("host_name").alias("host"))
 
 
-def build_result(events: DataFrame, suppressed: DataFrame, endep: int) -> DataFrame:
-    """One row: the event document (ts, max_score, n_events, events, suppressed, dashboard_url), highest score first."""
-    order = F.struct((-F.col("score")).alias("k"), F.to_json(F.struct(*events.columns)).alias("n"), F.struct(*events.columns).alias("e"))
+def event_order(events: DataFrame) -> list[Column]:
+    """The order of the document's events, which numbers their pages too: highest score first."""
+    by = {"reason": F.col("reason"), "cluster": F.col("cluster"), "items": F.to_json("items"), "host": F.col("host")}
+    return [(-F.col("score")).alias("k0"), *(c.alias(f"k{i}") for i, (name, c) in enumerate(by.items(), 1) if name in events.columns)]
+
+
+def build_result(events: DataFrame, suppressed: DataFrame, endep: int, cfg: FastDetect = FastDetect()) -> DataFrame:
+    """One row: the event document (ts, max_score, n_events, events, suppressed, dashboard_url), highest score first. Events'
+    boost and the reason of host events have the names in `cfg`."""
+    reason = F.when(F.col("reason") == HOST_EVENTS, F.lit(cfg.host_events_reason)).otherwise(F.col("reason")).alias("reason")
+    fields = [reason if c == "reason" else F.col(c).alias(cfg.boost_field if c == "event_boost" else c) for c in events.columns]
+    order = F.struct(*event_order(events), F.struct(*fields).alias("e"))
     e = events.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["e"]).alias("events"), F.max("score").alias("m"), F.count("*").alias("n_events"))
     s = suppressed.agg(F.array_sort(F.collect_list(F.struct(F.col("itemid").alias("item_id"), F.lit("seasonal_expected").alias("reason")))).alias("suppressed"))
     # one row each

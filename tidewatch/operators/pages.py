@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import keep_latest
+from .fast import event_order
 
 #: The dashboard's grid.
 COLUMNS, ROWS = 4, 12
@@ -47,9 +48,10 @@ def pages_by_cluster(anomalies: DataFrame, max_clusters: int = 50) -> DataFrame:
 
 
 def pages_for_events(events: DataFrame) -> DataFrame:
-    """(page, itemid, pos) of the fast axis' events, numbered from 1 in their order; events without items have no page."""
+    """(page, itemid, pos) of the fast axis' events, numbered from 1 in the order of their document; events without items have
+    no page."""
     # a handful of events: their order is one short sort
-    ranked = events.withColumn("k", F.row_number().over(Window.orderBy(F.col("score").desc(), "reason", "cluster", F.to_json("items"))))
+    ranked = events.withColumn("k", F.row_number().over(Window.orderBy(*event_order(events))))
     name = F.concat(F.lit("event"), "k", F.when(F.col("cluster") >= 0, F.concat(F.lit("_cluster"), "cluster")).otherwise(""))
     return ranked.select(name.alias("page"), F.posexplode("items").alias("pos", "x")).select("page", F.col("x.item_id").alias("itemid"), "pos")
 
@@ -207,14 +209,24 @@ def incident_names(labels: DataFrame) -> DataFrame:
     return labels.where("incident <> ''").agg(F.array_sort(F.collect_set("incident")).alias("names"))
 
 
-def dashboard_items(dashboards: DataFrame) -> DataFrame:
-    """(kind, id) of the items and graphs that dashboard widgets show; `json` holds one dashboard of the monitoring API a row."""
-    schema = "pages array<struct<widgets:array<struct<type:string,fields:array<struct<name:string,value:string>>>>>>"
-    widget = dashboards.select(F.explode(F.from_json("json", schema)["pages"]).alias("p")).select(F.explode("p.widgets").alias("w")).withColumn("id", F.monotonically_increasing_id())
-    field = widget.select("id", "w.type", F.explode("w.fields").alias("f")).select("id", "type", "f.name", "f.value")
+def dashboard_widgets(dashboards: DataFrame) -> DataFrame:
+    """(kind, id) of the items and graphs that dashboard widgets show; `json` holds one dashboard of the monitoring API a row, its
+    widgets on pages or, in older ones, on the dashboard itself."""
+    widgets = "array<struct<type:string,fields:array<struct<name:string,value:string>>>>"
+    board = F.from_json("json", f"pages array<struct<widgets:{widgets}>>, widgets {widgets}")
+    paged = F.flatten(F.coalesce(F.transform(board["pages"], lambda p: F.coalesce(p["widgets"], F.array().cast(widgets))), F.array().cast(f"array<{widgets}>")))
+    shown = F.when(F.size(paged) > 0, paged).otherwise(board["widgets"])
+    widget = dashboards.select(F.explode(shown).alias("w")).where(F.col("w.type").isin("graph", "svggraph")).withColumn("id", F.monotonically_increasing_id())
+    field = widget.select("id", F.explode("w.fields").alias("f")).select("id", "f.name", "f.value")
     simple = field.where("name = 'source_type' and value = '1'").select("id").distinct().withColumn("simple", F.lit(True))
-    j = field.join(simple, "id", "left").where("try_cast(value as long) is not null")
-    item = F.when((F.col("type") == "graph") & (F.col("name").rlike(r"^itemid(\.\d+)?$")) & F.coalesce("simple", F.lit(False)), "item")
-    item = item.when((F.col("type") == "graph") & (F.col("name").rlike(r"^graphid(\.\d+)?$")) & ~F.coalesce("simple", F.lit(False)), "graph")
-    item = item.when((F.col("type") == "svggraph") & F.col("name").rlike(r"^ds\..*itemids"), "item")
+    j = field.join(simple, "id", "left").where("rlike(value, '^[0-9]+$')")
+    simple = F.coalesce("simple", F.lit(False))
+    item = F.when(F.col("name").rlike(r"^itemid(\.\d+)?$") & simple, "item").when(F.col("name").rlike(r"^graphid(\.\d+)?$") & ~simple, "graph").when(F.col("name").rlike(r"^ds\..*itemids"), "item")
     return j.withColumn("kind", item).where("kind is not null").select("kind", F.col("value").cast("long").alias("id")).distinct()
+
+
+def dashboard_items(dashboards: DataFrame, graph_items: DataFrame) -> DataFrame:
+    """(itemid) of all items that dashboards show, by themselves or on a graph of `graph_items` (graphid, itemid)."""
+    found = dashboard_widgets(dashboards)
+    drawn = found.where("kind = 'graph'").select(F.col("id").alias("graphid")).join(graph_items, "graphid").select("itemid")
+    return found.where("kind = 'item'").select(F.col("id").alias("itemid")).unionByName(drawn).distinct()

@@ -169,4 +169,4 @@ def run_fast(spark: SparkSession, source, stores: Stores, cfg: Source, endep: in
         span = max(f.history_span_secs, f.events_window_secs)
         events = source.get_events(endep - span, endep) if f.use_events else None
         scored, quiet = fast_events(source.get_history(endep - f.history_span_secs, endep), items, stores.read_hours(hour_of(endep)), events, cfg, endep)
-        return write_event_file(fast.build_result(scored, quiet, endep), event_path(f.output_path, ds_name, n_sources))
+        return write_event_file(fast.build_result(scored, quiet, endep, f), event_path(f.output_path, ds_name, n_sources))
