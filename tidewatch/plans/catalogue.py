@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ANOMALY_FILTERS, CATEGORIES, ITEM_FILTERS, Category, Changepoint, Clustering, Detectors, Duration, Ensemble, FastDetect, IdleBaseline, Magnitude, MetricCategories, Recency, RecurringPeak, Seasonal, Source, WatchRule, ZScore
 from ..functions import scalar
-from ..operators import cluster, detectors, evaluate, fast, filters, gates, onset, pages, stats
+from ..operators import cluster, detectors, evaluate, fast, filters, gates, onset, pages, panes, stats
 from ..scratch import materialize, scratch_path
 from ..sources.jdbc import JdbcSource
 from ..sources.stores import Stores
@@ -106,6 +106,27 @@ def hour_of_day_stats(spark, sf):
     return _Views(spark, sf).hours.select("itemid", "hour_of_day", r("mean"), r("std"), "cnt")
 
 
+def _panes(spark, sf):
+    v = _Views(spark, sf, True)
+    columns = ("value_avg", "value_min", "value_max")
+    return panes.within(panes.partials(v.trends, *columns), v.trends, START, ENDEP, *columns)
+
+
+_PANED = {"sum": 5, "sqr_sum": 4, "mean": 9, "std": 9, "max_value": 9, "intra_std": 9}
+
+
+@query(f"SELECT itemid, cnt, last_clock, zero_cnt, {', '.join(f'round({c}, {d}) AS {c}' for c, d in _PANED.items())} FROM base JOIN intra USING (itemid)")
+def pane_window_stats(spark, sf):
+    """Window statistics put together from partial statistics of hours."""
+    s = panes.window_stats(_panes(spark, sf), 4.0)
+    return s.select("itemid", "cnt", "last_clock", "zero_cnt", *(r(c, d) for c, d in _PANED.items()))
+
+
+@query("SELECT itemid, hour_of_day, round(mean, 9) AS mean, round(std, 9) AS std, cnt FROM hours")
+def pane_hour_stats(spark, sf):
+    return panes.hour_stats(_panes(spark, sf)).select("itemid", "hour_of_day", r("mean"), r("std"), "cnt")
+
+
 @query("SELECT itemid, interval FROM spacing")
 def sample_interval(spark, sf):
     return stats.sample_interval(b.history(spark, sf), 600)

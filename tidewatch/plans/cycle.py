@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Source
-from ..operators import cluster, detectors, fast, filters, gates, onset, stats
+from ..operators import cluster, detectors, fast, filters, gates, onset, panes, stats
 from ..scratch import kept, materialize, scope
-from ..sources.stores import Stores, event_path, write_event_file
+from ..sources.stores import Paned, Stores, event_path, write_event_file
 
 
 @dataclass
@@ -117,6 +117,27 @@ def update_statistics(spark: SparkSession, source, stores: Stores, cfg: Source,
     stores.set_watermark(stores.trends_updates, start, endep)
 
 
+def advance_statistics(spark: SparkSession, source, stores: Stores, cfg: Source, endep: int, late_secs: int = 7200) -> None:
+    """update_statistics() from what arrived since the last time, and up to `late_secs` before it: only the hours that it touches
+    are summed up anew, windows are put together from hours. The shape of peaks is still looked for in the stored rows."""
+    start = endep - cfg.trends_retention * 86400
+    _, done = stores.get_watermark(stores.trends_updates)
+    peak = cfg.metric_categories.recurring_peak
+    with scope():
+        ids = materialize(source.get_item_ids(cfg.item_names, cfg.host_names, cfg.group_names, cfg.item_ids, cfg.max_items), "statistics-ids")
+        paned = Paned(stores.trends, stores.trend_panes)
+        paned.add(source.get_trends(max(start, done - late_secs) if done else start, endep, ids))
+        parts = materialize(paned.within(start, endep).join(ids, "itemid", "left_semi"), "statistics-panes")
+        base = materialize(panes.window_stats(parts, cfg.trends_range_to_sigma), "statistics-base")
+        rows = stats.in_range(stores.trends.read(), start, endep).join(ids, "itemid", "left_semi")
+        shape = stats.peak_stats(rows, base, cfg.history_window, peak.k_sigma, endep - peak.exclude_recent_secs)
+        stores.trends_stats.upsert(base.join(shape, "itemid", "left"))
+        stores.trends_stats.delete_ids(ids.join(stores.trends_stats.read().where(F.col("last_clock") >= start), "itemid", "left_anti"))
+        stores.hour_stats.replace(panes.hour_stats(parts))
+        paned.delete_before(start)
+    stores.set_watermark(stores.trends_updates, start, endep)
+
+
 def run_detection(spark: SparkSession, source, stores: Stores, cfg: Source, endep: int) -> DataFrame:
     """The hourly cycle: detects, records each anomaly once, drops old ones. Returns the new rows' itemids."""
     with scope():

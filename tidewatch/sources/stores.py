@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from .. import schemas
 from ..functions.scalar import finite
 from ..functions.sequence import keep_latest
+from ..operators import panes
 from ..scratch import materialize, scope
 
 
@@ -111,6 +112,11 @@ class DayTable(Table):
         parts = [f"{t.path}/v{v[-1]}" for _, t in sorted(self.days().items()) if (v := t.versions())]
         return self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
 
+    def read_days(self, days: set[int]) -> DataFrame:
+        """The rows of some days alone."""
+        parts = [f"{t.path}/v{v[-1]}" for d, t in sorted(self.days().items()) if d in days and (v := t.versions())]
+        return self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
+
     def _each_day(self, df: DataFrame, write) -> set[int]:
         with scope():
             rows = materialize(self._cast(df), "store-rows")
@@ -125,8 +131,9 @@ class DayTable(Table):
         for day in set(have) - new:
             have[day].drop()
 
-    def upsert(self, df: DataFrame) -> None:
-        self._each_day(df, lambda t, rows: t.upsert(rows))
+    def upsert(self, df: DataFrame) -> set[int]:
+        """The days that were made anew."""
+        return self._each_day(df, lambda t, rows: t.upsert(rows))
 
     def delete_ids(self, ids: DataFrame) -> None:
         for t in self.days().values():
@@ -140,6 +147,34 @@ class DayTable(Table):
                 t.delete_before(column, cutoff)
 
 
+class Paned:
+    """Trends by days, and the partial statistics of their hours: what arrives, early or late, marks its hours, and only those are
+    made anew. A call that failed can be repeated: rows and panes have keys."""
+
+    VALUES = ("value_avg", "value_min", "value_max")
+
+    def __init__(self, rows: DayTable, hours: DayTable):
+        self.rows, self.hours = rows, hours
+
+    def add(self, arrivals: DataFrame) -> None:
+        with scope():
+            new = materialize(arrivals, "pane-arrivals")
+            days = self.rows.upsert(new)
+            pane = panes.pane_of(F.col("clock")).alias("pane")
+            dirty = materialize(new.select("itemid", pane).distinct(), "pane-dirty")
+            rows = self.rows.read_days(days).withColumn("pane", pane).join(dirty, ["itemid", "pane"], "left_semi")
+            self.hours.upsert(panes.partials(rows, *self.VALUES))
+
+    def within(self, startep: int, endep: int) -> DataFrame:
+        """The panes of a window."""
+        ends = {startep // 86400, endep // 86400}
+        return panes.within(self.hours.read(), self.rows.read_days(ends), startep, endep, *self.VALUES)
+
+    def delete_before(self, cutoff: int) -> None:
+        self.rows.delete_before("clock", cutoff)
+        self.hours.delete_before("pane", cutoff - panes.PANE + 1)
+
+
 class Stores:
     """All tables of one data source."""
 
@@ -148,6 +183,8 @@ class Stores:
         self.spark = spark
         self.history = DayTable(spark, at("history"), schemas.HISTORY, ["itemid", "clock"], "clock")
         self.history_stats = Table(spark, at("history_stats"), schemas.STATS, ["itemid"])
+        self.trends = DayTable(spark, at("trends"), schemas.TRENDS, ["itemid", "clock"], "clock")
+        self.trend_panes = DayTable(spark, at("trend_panes"), schemas.PANES, ["itemid", "pane"], "pane")
         self.trends_stats = Table(spark, at("trends_stats"), schemas.STATS, ["itemid"])
         self.hour_stats = Table(spark, at("hour_stats"), schemas.HOUR_STATS, ["itemid", "hour_of_day"])
         self.anomalies = DayTable(spark, at("anomalies"), schemas.ANOMALIES, ["itemid", "created", "group_name"], "created")
