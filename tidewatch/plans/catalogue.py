@@ -112,7 +112,7 @@ def _panes(spark, sf):
     return panes.within(panes.partials(v.trends, *columns), v.trends, START, ENDEP, *columns)
 
 
-_PANED = {"sum": 5, "sqr_sum": 4, "mean": 9, "std": 9, "max_value": 9, "intra_std": 9}
+_PANED = {"mean": 9, "std": 9, "max_value": 9, "intra_std": 9}
 
 
 @query(f"SELECT itemid, cnt, last_clock, zero_cnt, {', '.join(f'round({c}, {d}) AS {c}' for c, d in _PANED.items())} FROM base JOIN intra USING (itemid)")
