@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import logging
 import sys
 import time
 
 from .config import load_config
 from .plans.cycle import run_detection, run_fast, update_statistics
+from .plans.lease import hold
 from .plans.lock import EX_TEMPFAIL, Held, single_instance
 from .sources import get_data_source
 from .sources.stores import Stores
@@ -38,14 +40,15 @@ def main(argv: list[str] | None = None) -> int:
     args = p.parse_args(argv)
     cfg, endep = load_config(args.config), args.endep or int(time.time())
     try:
-        with single_instance(args.command, cfg.lock_dir, args.wait):
+        with single_instance(args.command, cfg.lock_dir, args.wait), contextlib.ExitStack() as opened:
             from pyspark.sql import SparkSession
 
             spark = SparkSession.builder.appName("tidewatch").config("spark.sql.session.timeZone", "UTC").getOrCreate()
             failed = 0
             for name, ds in cfg.data_sources.items():
                 try:
-                    source, stores = get_data_source(spark, ds), Stores(spark, cfg.warehouse, name)
+                    held = opened.enter_context(hold(spark, f"{cfg.warehouse}/leases", f"{name}-{args.command}"))
+                    source, stores = get_data_source(spark, ds), Stores(spark, cfg.warehouse, name).guarded(held.check)
                     stores.init() if args.init else stores.create()
                     if args.command == "detect":
                         log.info("%s: %d new anomalies", name, run_detection(spark, source, stores, ds, endep).count())
@@ -56,6 +59,8 @@ def main(argv: list[str] | None = None) -> int:
                             run_fast(spark, source, stores, ds, endep, name, len(cfg.data_sources))
                     else:
                         print(name, health(spark, source, stores))
+                except Held:
+                    raise
                 except Exception:  # one failing source doesn't stop the others
                     log.exception("%s failed", name)
                     failed = 1

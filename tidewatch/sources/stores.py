@@ -7,6 +7,8 @@ table and a failed write changes nothing. The previous version stays until the n
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ class Table:
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str]):
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
+        #: Called before a write begins and before it shows; raises if this run may not write (any more).
+        self.guard: Callable[[], None] = lambda: None
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -43,6 +47,7 @@ class Table:
             self.replace(self.spark.createDataFrame([], self.schema))
 
     def drop(self) -> None:
+        self.guard()
         fs, path = self._fs()
         fs.delete(path(self.path), True)
 
@@ -57,9 +62,18 @@ class Table:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{have[-1]}")
 
     def replace(self, df: DataFrame) -> None:
+        self.guard()
         have = self.versions()
         fs, path = self._fs()
-        self._cast(df).write.mode("overwrite").parquet(f"{self.path}/v{(have[-1] if have else 0) + 1}")
+        made, final = path(f"{self.path}/w-{uuid.uuid4().hex}"), path(f"{self.path}/v{(have[-1] if have else 0) + 1}")
+        try:
+            self._cast(df).write.parquet(made.toString())
+            self.guard()
+            fs.delete(final, True)  # of a write that was cut off
+            if not fs.rename(made, final):
+                raise OSError(f"can't move {made} to {final}")
+        finally:
+            fs.delete(made, True)
         for v in have[:-1]:
             fs.delete(path(f"{self.path}/v{v}"), True)
 
@@ -99,7 +113,9 @@ class DayTable(Table):
         return {int(n[1:]): self._part(int(n[1:])) for n in names if n.startswith("d") and n[1:].lstrip("-").isdigit()}
 
     def _part(self, day: int) -> Table:
-        return Table(self.spark, f"{self.path}/d{day}", self.schema, self.keys)
+        part = Table(self.spark, f"{self.path}/d{day}", self.schema, self.keys)
+        part.guard = self.guard
+        return part
 
     def _day(self):
         return F.floor(F.col(self.clock) / 86400).cast("long")
@@ -194,6 +210,12 @@ class Stores:
     def all(self) -> list[Table]:
         return [t for t in vars(self).values() if isinstance(t, Table)]
 
+    def guarded(self, guard: Callable[[], None]) -> Stores:
+        """These tables, written only while `guard` doesn't raise."""
+        for t in self.all():
+            t.guard = guard
+        return self
+
     def create(self) -> None:
         for t in self.all():
             t.create()
