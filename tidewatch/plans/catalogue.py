@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ANOMALY_FILTERS, CATEGORIES, ITEM_FILTERS, Category, Changepoint, Clustering, Detectors, Duration, Ensemble, FastDetect, IdleBaseline, Magnitude, MetricCategories, Recency, RecurringPeak, Seasonal, Source, WatchRule, ZScore
 from ..functions import scalar
-from ..operators import cluster, detectors, evaluate, fast, filters, gates, onset, pages, panes, stats
+from ..operators import cluster, detectors, evaluate, fast, filters, gates, onset, pages, panes, rules, stats
 from ..scratch import materialize, scratch_path
 from ..sources.jdbc import JdbcSource
 from ..sources.stores import Stores
@@ -170,6 +170,16 @@ def metric_category(spark, sf):
     return b.items(spark, sf).select("itemid", "key_", scalar.category_name(i, CAT).alias("category"), scalar.category_weight(i, CAT).alias("weight"))
 
 
+_INDEX_SQL = _CATEGORY_SQL % tuple(range(len(CATEGORIES)))
+
+
+@query(f"SELECT key_ AS key, any_value({_INDEX_SQL})::INTEGER AS rule FROM items GROUP BY key_ HAVING any_value({_INDEX_SQL}) IS NOT NULL")
+def rules_as_a_table(spark, sf):
+    """The categories' globs as a table that keys are joined with."""
+    globs = [(i, p) for i, c in enumerate(CATEGORIES) for p in c.key_patterns]
+    return rules.first_rule(b.items(spark, sf).select(F.col("key_").alias("key")), rules.rule_table(spark, globs))
+
+
 def _rule_sql(rule) -> str:
     parts = ([_glob_sql("key_", rule.key_pattern)] if rule.key_pattern else []) + ([f"units = '{rule.units}'"] if rule.units else [])
     return " AND ".join(parts) or "true"
