@@ -35,6 +35,20 @@ def cusum_peak(df: DataFrame, dev: Column, slack: Column) -> DataFrame:
     return sums.select("itemid", F.greatest(side("up"), side("down")).alias("s")).groupBy("itemid").agg(F.max("s").alias("s_max"))
 
 
+def cusum_path(df: DataFrame, dev: Column, slack: Column) -> DataFrame:
+    """(itemid, clock, s, s_max, onset) after each sample: the higher of both statistics, the highest so far, and the clock of the
+    sample that the higher one has been above zero from (null at zero; upward, if both are as high)."""
+    w = along()
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.select("itemid", "clock", F.sum(dev - slack).over(upto).alias("pu"), F.sum(-dev - slack).over(upto).alias("pd"))
+    sums = sums.select("itemid", "clock", *((F.col(p) - F.least(F.lit(0.0), F.min(p).over(upto))).alias(c) for c, p in (("up", "pu"), ("down", "pd"))))
+    since = lambda c: F.coalesce(F.last(F.when(F.col(c) == 0, F.col("next")), True).over(before), F.first("clock").over(upto))
+    runs = sums.withColumn("next", F.lead("clock").over(w)).select("itemid", "clock", "up", "down", since("up").alias("u"), since("down").alias("d"))
+    s = F.greatest("up", "down")
+    onset = F.when(s > 0, F.when(F.col("up") >= F.col("down"), F.col("u")).otherwise(F.col("d")))
+    return runs.select("itemid", "clock", s.alias("s"), F.max(s).over(upto).alias("s_max"), onset.alias("onset"))
+
+
 def regime_start(df: DataFrame, out: Column, tolerance: int) -> DataFrame:
     """(itemid, onset): clock of the oldest sample of the newest regime.
 
