@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ANOMALY_FILTERS, CATEGORIES, ITEM_FILTERS, Category, Changepoint, Clustering, Detectors, Duration, Ensemble, FastDetect, IdleBaseline, Magnitude, MetricCategories, Recency, RecurringPeak, Seasonal, Source, WatchRule, ZScore
-from ..functions import scalar
+from ..functions import scalar, sequence
 from ..operators import cluster, detectors, evaluate, fast, filters, gates, onset, pages, panes, rules, stats
 from ..scratch import materialize, scratch_path
 from ..sources.jdbc import JdbcSource
@@ -256,6 +256,23 @@ def changepoint_scores(spark, sf):
     return _changepoints(_Views(spark, sf)).select("itemid", r("score"), r("s_max", 4))
 
 
+CUSUM_SQL = {
+    "cdev": f"SELECT itemid, clock, row_number() OVER (PARTITION BY itemid ORDER BY clock) AS rn, (value - mean) * interval / 600 AS d, 0.5 * sigma * interval / 600 AS slack FROM hist JOIN sig USING (itemid) JOIN spacing2 USING (itemid) WHERE sigma > 0 AND clock > {ENDEP - 2 * DAY}",
+    "cwalk": "SELECT itemid, rn, clock, greatest(0, d - slack) AS up, greatest(0, -d - slack) AS down, clock AS u, clock AS v FROM cdev WHERE rn = 1 UNION ALL SELECT c.itemid, c.rn, c.clock, greatest(0, up + d - slack), greatest(0, down - d - slack), CASE WHEN up = 0 THEN c.clock ELSE u END, CASE WHEN down = 0 THEN c.clock ELSE v END FROM cwalk JOIN cdev c ON c.itemid = cwalk.itemid AND c.rn = cwalk.rn + 1",
+}
+
+
+@query("SELECT itemid, clock, round(greatest(up, down), 4) AS s, round(max(greatest(up, down)) OVER (PARTITION BY itemid ORDER BY clock), 4) AS s_max, CASE WHEN greatest(up, down) > 0 THEN CASE WHEN up >= down THEN u ELSE v END END AS onset FROM cwalk", **CUSUM_SQL)
+def cusum_path(spark, sf):
+    """Both CUSUM statistics after every sample, and where their runs began."""
+    v = _Views(spark, sf)
+    history = v.hist.where(F.col("clock") > ENDEP - 2 * DAY)
+    base = v.sig.select("itemid", F.col("mean").alias("t_mean"), scalar.baseline_sigma(F.col("std"), F.col("intra_std")).alias("sigma")).where("sigma > 0")
+    rows = history.join(base, "itemid").join(stats.sample_interval(history, 600).select("itemid", (F.col("interval") / 600).alias("w")), "itemid")
+    path = sequence.cusum_path(rows, (F.col("value") - F.col("t_mean")) * F.col("w"), 0.5 * F.col("sigma") * F.col("w"))
+    return path.select("itemid", "clock", r("s", 4), r("s_max", 4), "onset")
+
+
 def _ensemble(v: _Views) -> DataFrame:
     found = {"zscore": detectors.zscore_scores(v.recent, v.base, Z1), "seasonal": detectors.seasonal_scores(v.recent, v.hours, HOUR, Seasonal(lambda_threshold=1.0)), "changepoint": _changepoints(v)}
     return detectors.ensemble_scores(found, {"zscore": 0.3, "changepoint": 0.3, "seasonal": 0.4}, Ensemble(min_score=0.7, require_any=2))
