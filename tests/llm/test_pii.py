@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from tidewatch.llm import pii
 
 SCHEMA = "doc_id long, text string, base string, th string, n_chars long, start int"
@@ -173,3 +175,10 @@ def test_empty_and_clean(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.personal_data(frame(spark, corpus(3)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def test_texts_with_a_match_are_those_with_spans(spark):
+    texts = [t for _, t in corpus(5)] + ["a@b", "a@b.c", "@b.c", "x.a@b.c@d.e", "1.2.3.4", "1.2.3", "999.1.1.1", "4111 1111 1111 1111", "4111111111111", "411111111111", "+1 234 567 890", "+1", "1234567890123456789012", None, ""]
+    df = frame(spark, list(enumerate(texts)))
+    got = df.select("doc_id", pii.has_match(F.col("text")).alias("may"), F.size(pii.base_spans(F.coalesce("text", F.lit("")))).alias("n")).collect()
+    assert all(r.may for r in got if r.n > 0) and sum(r.may for r in got) < len(got)

@@ -127,11 +127,25 @@ def _entity(kind: str, value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Valid matches, array of (kind, start, stop, entity), by kind and start."""
-    digit = F.rlike(text, F.lit("[0-9]"))
-    may = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
+    may = _may(text)
     return F.concat(*(_spans_of(kind, text, may[kind]) for kind in KINDS))
 
 
+def _may(text: Column) -> dict[str, Column]:
+    """By kind, what a text with a match has."""
+    digit = F.rlike(text, F.lit("[0-9]"))
+    return {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
+
+
+def has_match(text: Column) -> Column:
+    """Whether any pattern matches; texts without a match have no span."""
+    may, out = _may(text), F.lit(False)
+    for kind in KINDS:
+        pattern = rf"(?:[0-9][\x20-]?){{13}}" if kind == "card" else PATTERNS[kind].replace(r"\G|", "")
+        out = out | (may[kind] & F.rlike(text, F.lit(pattern)))
+    return F.coalesce(out, F.lit(False))
+
+
 def _spans_of(kind: str, text: Column, may: Column) -> Column:
     none = F.array().cast("array<struct<kind:string,start:int,stop:int,entity:string>>")
     good = F.filter(_located(text, PATTERNS[kind]), lambda x: _valid(kind, x["value"]))
@@ -261,7 +275,8 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = all_spans(docs).where(F.size("spans") > 0).groupBy("doc_id", "th").agg(F.first("spans").alias("spans"))
     spans = materialize(spans, "pii-redacted").select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("spans").alias(found_spans))
     text = F.col("text")
-    keyed = docs.withColumn(at, F.xxhash64(F.coalesce(text, F.lit(""))))
+    # texts without a match, nearly all, stay where they are
+    keyed = docs.where(has_match(text)).withColumn(at, F.xxhash64(F.coalesce(text, F.lit(""))))
     joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(at) == F.col(th)), "left")
     joined = joined.withColumn(pieces, F.when(F.col(found_spans).isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
     order = F.array_sort(F.transform(found_spans, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
@@ -276,7 +291,7 @@ def redact(docs: DataFrame) -> DataFrame:
     out = joined.withColumn("text", F.when(F.col(found_spans).isNotNull(), clean).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(found_spans).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(~has_match(text)))
 
 
 def oracle() -> str:
