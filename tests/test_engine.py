@@ -419,7 +419,7 @@ def test_the_index_compares_few_pairs(spark):
     x = rng.standard_normal((groups, 60))[np.arange(n) % groups] + 0.3 * rng.standard_normal((n, 60))
     ranks = x.argsort(axis=1).argsort(axis=1).astype(float)
     vectors = spark.createDataFrame([(i, "", v.tolist()) for i, v in enumerate(ranks)], "itemid long, f string, v array<double>")
-    blocks = cluster.index_blocks(vectors, 1 - 2 * eps)
+    blocks = cluster.index_blocks(vectors, 1 - 2 * eps, cluster._pivots(vectors))
     sizes = blocks.groupBy("a", "b").agg(F.count_if("own").alias("l"), F.count_if(~F.col("own")).alias("r")).collect()
     compared = sum(s.l * (s.l - 1) // 2 if s.a == s.b else s.l * s.r for s in sizes)
     assert compared < 0.1 * n * (n - 1) / 2

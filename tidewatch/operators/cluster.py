@@ -78,15 +78,20 @@ def _standard(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _vectors(ranks: DataFrame, family: DataFrame | None) -> DataFrame:
+    """(itemid, v, f): each item's ranks in the order of buckets, and its family."""
+    vectors = ranks.groupBy("itemid").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "r"))), lambda x: x["r"].cast("double")).alias("v"))
+    return materialize(vectors.withColumn("f", F.lit("")) if family is None else vectors.join(family, "itemid"), "rank-vectors")
+
+
 def _correlation(ranks: DataFrame, family: DataFrame | None = None) -> DataFrame:
-    """(i, j, rho) of the pairs i < j of items; with `family` (itemid, f), of items of one family.
+    """(i, j, rho) of the pairs i < j of items; with `family` (itemid, f), of items of one family."""
+    return _matrix(_vectors(ranks, family))
 
-    Each item's ranks go as one array to the blocks of the matrix that hold it, so what is shuffled grows with items times
-    blocks, not with pairs times buckets.
-    """
-    vectors = ranks.groupBy("itemid").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "r"))), lambda x: x["r"].cast("double")).alias("v"))
-    vectors = vectors.withColumn("f", F.lit("")) if family is None else vectors.join(family, "itemid")
-    vectors = materialize(vectors, "rank-vectors")
+
+def _matrix(vectors: DataFrame) -> DataFrame:
+    """_correlation() of vectors. Each goes to the blocks of the matrix that hold it, so what is shuffled grows with items times
+    blocks, not with pairs times buckets."""
     sizes = vectors.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     dealt = vectors.join(sizes, "f").withColumn("g", F.pmod(F.xxhash64("itemid"), F.col("n")).cast("int"))
     sent = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("itemid", "v", "f", "g", F.least("g", "k").alias("a"), F.greatest("g", "k").alias("b"))
@@ -127,7 +132,7 @@ def _pivots(vectors: DataFrame) -> np.ndarray:
     return x[chosen]
 
 
-def index_blocks(vectors: DataFrame, least: float) -> DataFrame:
+def index_blocks(vectors: DataFrame, least: float, pivots: np.ndarray) -> DataFrame:
     """(itemid, f, a, b, own): the blocks (a, b) that an item is compared in, so that two items of one `f` with correlation
     `least` or more share one block, and `own`, whether it stands on the side of a.
 
@@ -135,7 +140,7 @@ def index_blocks(vectors: DataFrame, least: float) -> DataFrame:
     of two cells are apart by both their h at least, so an item goes only to cells whose smallest h leaves room for a
     close one. A cell is cut to parts of BLOCK items, so no cell is a task's work.
     """
-    pivots, radius = _pivots(vectors), float(np.sqrt(max(2 - 2 * least, 0.0))) + _SLACK
+    radius = float(np.sqrt(max(2 - 2 * least, 0.0))) + _SLACK
 
     def deal(batches):
         apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2), 1e-300))
@@ -160,8 +165,10 @@ def index_blocks(vectors: DataFrame, least: float) -> DataFrame:
 
 def close_correlation(ranks: DataFrame, least: float, family: DataFrame | None = None) -> DataFrame:
     """The pairs of _correlation() whose rho is `least` or more; all series have one length."""
-    vectors = ranks.groupBy("itemid").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "r"))), lambda x: x["r"].cast("double")).alias("v"))
-    vectors = materialize(vectors.withColumn("f", F.lit("")) if family is None else vectors.join(family, "itemid"), "rank-vectors")
+    vectors = _vectors(ranks, family)
+    pivots, near = _pivots(vectors), F.round("rho", 12) >= F.lit(least - 1e-12)
+    if len(pivots) < 2:  # one cell: the whole matrix
+        return _matrix(vectors).where(near)
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         x, ids, own = _standard(rows["v"]), rows["itemid"].to_numpy(), rows["own"].to_numpy()
@@ -172,8 +179,8 @@ def close_correlation(ranks: DataFrame, least: float, family: DataFrame | None =
             return out[out["i"] < out["j"]]
         return pd.DataFrame({"i": np.minimum(out["i"], out["j"]), "j": np.maximum(out["i"], out["j"]), "rho": out["rho"]})
 
-    found = index_blocks(vectors, least).join(vectors.select("itemid", "v"), "itemid")
-    return found.groupBy("f", "a", "b").applyInPandas(block, "i long, j long, rho double").where(F.round("rho", 12) >= F.lit(least - 1e-12))
+    found = index_blocks(vectors, least, pivots).join(vectors.select("itemid", "v"), "itemid")
+    return found.groupBy("f", "a", "b").applyInPandas(block, "i long, j long, rho double").where(near)
 
 
 def _families(keys: DataFrame, cycle: Cycle | None) -> DataFrame:
