@@ -207,7 +207,7 @@ def oracle() -> str:
   SELECT lvl + 1, k, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY lvl, k, pos // 2, n)"""
 
     return f"""WITH RECURSIVE base AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1)::BIGINT AS pos, count(*) OVER (PARTITION BY k) AS n FROM (
-  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS k, {leaf_sql('n_chars')} AS leaf, CASE WHEN {crc32_sql('doc_id::VARCHAR')} % {TAMPERED} = 0 THEN {leaf_sql('(n_chars + 1)')} END AS changed FROM documents)),
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS k, {leaf_sql('n_chars')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc32_sql('doc_id::VARCHAR')} % {TAMPERED} = 0 THEN {leaf_sql('(n_chars + 1)')} END AS changed FROM documents)),
 {tree('t', 'SELECT 0, k, pos, leaf, n FROM base')},
 s AS MATERIALIZED (SELECT k, h AS subroot, (row_number() OVER (ORDER BY k) - 1)::BIGINT AS p, count(*) OVER () AS m FROM t WHERE n = 1),
 {tree('u', "SELECT 0, '', p, subroot, m FROM s")},
