@@ -277,7 +277,8 @@ def redact(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     # texts without a match, nearly all, stay where they are
     keyed = docs.where(has_match(text)).withColumn(at, F.xxhash64(F.coalesce(text, F.lit(""))))
-    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(at) == F.col(th)), "left")
+    # by a shuffle at every size: the spans have no bound that a broadcast could rely on
+    joined = keyed.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(at) == F.col(th)), "left")
     joined = joined.withColumn(pieces, F.when(F.col(found_spans).isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
     order = F.array_sort(F.transform(found_spans, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
 
