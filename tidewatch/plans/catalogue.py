@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ANOMALY_FILTERS, CATEGORIES, ITEM_FILTERS, Category, Changepoint, Clustering, Detectors, Duration, Ensemble, FastDetect, IdleBaseline, Magnitude, MetricCategories, Recency, RecurringPeak, Seasonal, Source, WatchRule, ZScore
 from ..functions import scalar, sequence
-from ..operators import cluster, detectors, evaluate, fast, filters, gates, onset, pages, panes, rules, stats
+from ..operators import cluster, detectors, evaluate, fast, filters, gates, onset, pages, panes, rules, selection, stats
 from ..scratch import materialize, scratch_path
 from ..sources.jdbc import JdbcSource
 from ..sources.stores import Stores
@@ -137,6 +137,19 @@ def grid_unit(spark, sf):
     return stats.grid_unit(b.history(spark, sf))
 
 
+@query("SELECT itemid, round(quantile_cont(gap, 0.5), 9) AS gap FROM gaps WHERE gap IS NOT NULL GROUP BY itemid")
+def selected_median_gaps(spark, sf):
+    """Median gaps of items of any number of samples."""
+    rows = b.history(spark, sf).select("itemid", sequence.gap().alias("gap"))
+    return selection.exact_quantile(rows, ["itemid"], "gap").select("itemid", F.round("quantile", 9).alias("gap"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.9), 9) AS quantile FROM ev WHERE value IS NOT NULL GROUP BY event_type")
+def value_quantiles(spark, sf):
+    """A high quantile of all samples of a type, whose values hardly repeat: few groups of many values."""
+    return selection.exact_quantile(b.raw_events(spark, sf), ["event_type"], "value", 0.9, 1000).select("event_type", r("quantile"))
+
+
 PEAK_SQL = {
     "peak_rows": f"SELECT itemid, clock, value_max AS x, avg(value_max) OVER (PARTITION BY itemid ORDER BY clock RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW) AS trail, clock - min(clock) OVER (PARTITION BY itemid) >= {DAY} AS whole, coalesce(sigma > 0 AND value_max >= mean + 2.0 * sigma, false) AS hot FROM trends LEFT JOIN sig USING (itemid) WHERE clock >= {START} AND clock < {ENDEP - DAY}",
     "peak_marks": "SELECT *, hot AND NOT coalesce(lag(hot) OVER (PARTITION BY itemid ORDER BY clock), false) AS begins FROM peak_rows",
