@@ -149,14 +149,26 @@ def test_token_files_round_trip(spark, monkeypatch):
     some = [1, int(every[7]), int(every[100]), 48_999]
     count = {r.token: r.n for r in tokenfile.count_tokens(shards, some).collect()}
     assert count == {t: int((every == t).sum()) for t in some}
-    rare = [t for t in some if count[t] < 2000]
-    where = Counter((r.token, r["at"]) for r in tokenfile.locate_tokens(shards, rare).collect())
-    assert where == Counter((t, int(k)) for t in set(rare) for k in np.flatnonzero(every == t))
+    where = Counter((r.token, r["at"]) for r in tokenfile.locate_tokens(shards, some).collect())
+    assert where == Counter((t, int(k)) for t in set(some) for k in np.flatnonzero(every == t))
     asked = [0, 5, 4999, 5000, len(every) - 1, len(every) + 10]
     got = {r["at"]: r.token for r in tokenfile.read_tokens(shards, spark.createDataFrame([(a,) for a in asked], "at long")).collect()}
     assert got == {a: int(every[a]) for a in asked if a < len(every)}
 
 
+def test_frequent_token_is_located_in_batches(monkeypatch):
+    """Of a token that stands everywhere in a shard, each block is unpacked once a batch and plane, not once an occurrence."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 49_000, 1 << 20).astype(np.uint32)
+    ids[rng.random(len(ids)) < 0.28] = 17
+    m = tokenfile.WaveletMatrix.load(tokenfile.WaveletMatrix.build(ids))
+    unpacked, block = [], tokenfile.WaveletMatrix._block
+    monkeypatch.setattr(tokenfile.WaveletMatrix, "_block", lambda self, level, k: unpacked.append(1) or block(self, level, k))
+    found = [*m.occurrences(17)]
+    assert (np.concatenate(found) == np.flatnonzero(ids == 17)).all() and max(map(len, found)) <= tokenfile.LOCATE_BATCH
+    assert len(unpacked) <= (len(found) + 2) * m.bits * -(-len(ids) // tokenfile.BLOCK_BITS)
+
+
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (100, 2), (70_000, 40_000), (33_000, 1 << 20)])
 def test_wavelet_matrix(n, top):
     rng = np.random.default_rng(n)
@@ -168,6 +180,8 @@ def test_wavelet_matrix(n, top):
         assert m.access(i) == t
         assert m.rank(t, i) == int((ids[:i] == t).sum())
         assert m.select(t, m.rank(t, i)) == i
-    assert m.rank(1 << 30, n) == 0
+        for batch in (1, 7, 1 << 16) if n <= 100 else (5000, 1 << 16):
+            assert np.concatenate([*m.occurrences(t, batch)]).tolist() == np.flatnonzero(ids == t).tolist()
+    assert m.rank(1 << 30, n) == 0 and not [*m.occurrences(1 << 30)] and not [*m.occurrences(-1)]
     with pytest.raises(IndexError):
         m.select(top + 1, 0)

@@ -31,6 +31,8 @@ from .common import scratch_path
 SHARD_IDS = 4 << 20
 BLOCK_BITS = 1 << 15
 CACHE_ENTRIES = 500_000
+#: Positions of a token that are looked up, and sent to Spark, at a time.
+LOCATE_BATCH = 1 << 16
 _workers: dict[str, "WordCodec"] = {}
 
 
@@ -141,6 +143,33 @@ class WaveletMatrix:
         b = int(np.searchsorted(before, k, "right")) - 1
         return b * BLOCK_BITS + int(np.flatnonzero(self._block(level, b) == bit)[k - int(before[b])])
 
+    def occurrences(self, token: int, batch: int = LOCATE_BATCH) -> Iterator[np.ndarray]:
+        """All positions of `token`, ascending, in batches: one way down for its interval of the last plane, then up again
+        for a whole batch, whose order no plane changes, so that each block is unpacked once a batch and plane."""
+        if token < 0 or token >> self.bits or not self.n:
+            return
+        bits = [token >> (self.bits - 1 - level) & 1 for level in range(self.bits)]
+        lo, hi = 0, self.n
+        for level, bit in enumerate(bits):
+            a, b = self._rank1(level, lo), self._rank1(level, hi)
+            lo, hi = (self._zeros[level] + a, self._zeros[level] + b) if bit else (lo - a, hi - b)
+        for at in range(lo, hi, batch):
+            pos = np.arange(at, min(at + batch, hi), dtype=np.int64)
+            for level in range(self.bits - 1, -1, -1):
+                pos = self._select_all(level, pos - self._zeros[level], True) if bits[level] else self._select_all(level, pos, False)
+            yield pos
+
+    def _select_all(self, level: int, ks: np.ndarray, bit: bool) -> np.ndarray:
+        """_select() of ascending numbers."""
+        ones = self._ones[level]
+        before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK_BITS, self.n) - ones
+        held = np.searchsorted(before, ks, "right") - 1
+        blocks, starts = np.unique(held, return_index=True)
+        out = np.empty(len(ks), np.int64)
+        for b, i, j in zip(blocks.tolist(), starts.tolist(), [*starts[1:].tolist(), len(ks)]):
+            out[i:j] = b * BLOCK_BITS + np.flatnonzero(self._block(level, b) == bit)[ks[i:j] - before[b]]
+        return out
+
     def decode(self) -> np.ndarray:
         """The whole sequence: the partitions are undone from the lowest plane up."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
@@ -349,8 +378,8 @@ def read_token_files(shards: DataFrame) -> DataFrame:
     return rows.join(shard_starts(shards), ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def _asked(shards: DataFrame, asked: DataFrame, column: str, kind: str, answer) -> DataFrame:
-    """Every shard with the values of `column` that are asked of it; answer(matrix, value) gives one value of `kind` for each."""
+def _asked(shards: DataFrame, asked: DataFrame, column: str, answer) -> DataFrame:
+    """Every shard with the values of `column` that are asked of it; answer(matrix, value) gives one number for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,11 +387,10 @@ def _asked(shards: DataFrame, asked: DataFrame, column: str, kind: str, answer)
                 m = WaveletMatrix.load(b.column("payload")[k].as_py())
                 values = b.column("asked")[k].as_py()
                 where = [pa.array(np.full(len(values), b.column(c)[k].as_py()), t) for c, t in (("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*where, pa.array(values, pa.int64()), pa.array([answer(m, v) for v in values], kind_of)], names=["part", "seq", "first", column, "answer"])
+                yield pa.RecordBatch.from_arrays([*where, pa.array(values, pa.int64()), pa.array([answer(m, v) for v in values], pa.int64())], names=["part", "seq", "first", column, "answer"])
 
-    kind_of = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}[kind]
     sized = shards.join(shard_starts(shards), ["part", "seq"]).join(asked, ["part", "seq"])
-    return sized.select("part", "seq", "first", "payload", "asked").mapInArrow(run, f"part int, seq int, first long, {column} long, answer {kind}")
+    return sized.select("part", "seq", "first", "payload", "asked").mapInArrow(run, f"part int, seq int, first long, {column} long, answer long")
 
 
 def _of_all_shards(shards: DataFrame, tokens: list[int]) -> DataFrame:
@@ -371,14 +399,27 @@ def _of_all_shards(shards: DataFrame, tokens: list[int]) -> DataFrame:
 
 def count_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
     """(token, n): occurrences of each token in all files, by rank."""
-    found = _asked(shards, _of_all_shards(shards, tokens), "token", "long", lambda m, t: m.rank(t, m.n))
+    found = _asked(shards, _of_all_shards(shards, tokens), "token", lambda m, t: m.rank(t, m.n))
     return found.groupBy("token").agg(F.sum("answer").alias("n"))
 
 
 def locate_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
-    """(token, at): the positions of every occurrence of each token in the files' one sequence, by select."""
-    found = _asked(shards, _of_all_shards(shards, tokens), "token", "array<long>", lambda m, t: [m.select(t, k) for k in range(m.rank(t, m.n))])
-    return found.select("token", "first", F.explode("answer").alias("x")).select("token", (F.col("first") + F.col("x")).alias("at"))
+    """(token, at): the positions of every occurrence of each token in the files' one sequence, by select; a shard's come in
+    batches, so that a frequent token needs no more memory than a rare one."""
+    wanted = sorted(set(tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                m, part, seq = WaveletMatrix.load(b.column("payload")[k].as_py()), b.column("part")[k].as_py(), b.column("seq")[k].as_py()
+                for t in wanted:
+                    for x in m.occurrences(t):
+                        same = lambda v, kind: pa.array(np.full(len(x), v), kind)  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays([same(part, pa.int32()), same(seq, pa.int32()), same(t, pa.int64()), pa.array(x)], names=["part", "seq", "token", "x"])
+
+    found = shards.select("part", "seq", "payload").mapInArrow(run, "part int, seq int, token long, x long")
+    # a row a shard, small beside the occurrences, which stay where they are
+    return found.join(shard_starts(shards), ["part", "seq"]).select("token", (F.col("first") + F.col("x")).alias("at"))
 
 
 def read_tokens(shards: DataFrame, positions: DataFrame) -> DataFrame:
@@ -389,7 +430,7 @@ def read_tokens(shards: DataFrame, positions: DataFrame) -> DataFrame:
     spread = sized.withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("first") + F.greatest(F.col("n") - 1, F.lit(0))))))
     met = positions.select("at").distinct().withColumn("cell", cell(F.col("at"))).join(spread, "cell").where("at >= first AND at < first + n")
     asked = met.groupBy("part", "seq").agg(F.collect_list(F.col("at") - F.col("first")).alias("asked"))
-    found = _asked(shards, asked, "x", "long", lambda m, i: m.access(i))
+    found = _asked(shards, asked, "x", lambda m, i: m.access(i))
     return found.select((F.col("first") + F.col("x")).alias("at"), F.col("answer").alias("token"))
 
 
