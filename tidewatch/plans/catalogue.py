@@ -774,6 +774,34 @@ def top_zscores(spark, sf):
     return pages.top_zscores(detectors.zscore_scores(v.recent, v.base, Z1), 25).select("itemid", r("score"), r("z"))
 
 
+SUMMARY = {
+    "newest": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY itemid ORDER BY created DESC, score DESC) AS k FROM an) WHERE k = 1",
+    "cycles": "SELECT itemid, string_agg(DISTINCT created::VARCHAR, ',' ORDER BY created::VARCHAR) AS detections FROM an GROUP BY itemid",
+}
+
+
+@query("SELECT items.itemid, items.host_name, items.item_name, items.group_name, newest.created, newest.clusterid, round(CASE WHEN created IS NOT NULL THEN base.mean END, 9) AS trend_mean, round(CASE WHEN created IS NOT NULL THEN base.std END, 9) AS trend_std, coalesce(detections, '') AS detections, round(coalesce(allz.score, 0), 9) AS score, CASE WHEN allz.score >= 0.5 THEN 'high' WHEN allz.score > 0.1 THEN 'mid' ELSE 'low' END AS band FROM items LEFT JOIN newest USING (itemid) LEFT JOIN cycles USING (itemid) LEFT JOIN allz ON allz.itemid = items.itemid LEFT JOIN base ON base.itemid = items.itemid", **POOL, **AN, **SUMMARY)
+def review_summary(spark, sf):
+    v = _Views(spark, sf)
+    scores = _simple_scores(v).withColumn("band", filters.score_band(F.col("score")))
+    level = v.base.select("itemid", F.col("mean").alias("trend_mean"), F.col("std").alias("trend_std"))
+    out = pages.review_summary(_anomalies(spark, sf).join(level, "itemid", "left"), v.items, scores)
+    return out.select("itemid", "host_name", "item_name", "group_name", "created", "clusterid", r("trend_mean"), r("trend_std"), F.array_join(F.col("detections").cast("array<string>"), ",").alias("detections"), r("score"), "band")
+
+
+@query("SELECT item_id, CASE WHEN item_id % 11 = 4 THEN -1 ELSE label END AS label, '' AS note, incident, CASE item_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0.25 ELSE 1 END::DOUBLE AS confidence FROM labels_")
+def normalized_labels(spark, sf):
+    """Labels as people write them: words for numbers, confidences out of range, of no number or missing."""
+    typed = b.labels(spark, sf).withColumn("label", F.when(F.col("item_id") % 11 == 4, "unsure").otherwise(F.col("label").cast("string")))
+    told = F.element_at(F.array(F.lit("1.5"), F.lit("-2"), F.lit("0.25"), F.lit("high"), F.lit(None)), (F.col("item_id") % 5 + 1).cast("int"))
+    return pages.normalize_labels(typed.withColumn("confidence", told).withColumn("note", F.lit(None).cast("string")))
+
+
+@query("SELECT string_agg(DISTINCT incident, ',' ORDER BY incident) AS names FROM labels_ WHERE incident <> ''")
+def incident_names(spark, sf):
+    return pages.incident_names(b.labels(spark, sf)).select(F.array_join("names", ",").alias("names"))
+
+
 @query("SELECT host_name, key_, CASE WHEN fresh.label IS NOT NULL THEN fresh.label ELSE old.label END AS label, coalesce(fresh.date, old.date) AS date FROM (SELECT host_name, key_, max(label) AS label, '2024-01-30' AS date FROM items JOIN labels_ ON item_id = itemid WHERE itemid % 2 = 0 GROUP BY ALL) fresh FULL JOIN (SELECT host_name, key_, max(label) AS label, '2024-01-01' AS date FROM items JOIN labels_ ON item_id = itemid WHERE itemid % 2 = 1 GROUP BY ALL) old USING (host_name, key_)")
 def master_upsert(spark, sf):
     labels, items = b.labels(spark, sf), b.items(spark, sf)
@@ -810,6 +838,36 @@ def per_category_metrics(spark, sf):
     return evaluate.category_metrics(_scored(spark, sf), b.labels(spark, sf), cats).select("category", *_cols())
 
 
+DETECTORS = {
+    "det": "SELECT itemid, 'zscore' AS detector, round(score, 9) AS score FROM z1 UNION ALL SELECT itemid, 'seasonal', round(score, 9) FROM s1",
+    "det_lb": "SELECT detector, label, coalesce(score, 0) AS score FROM (SELECT item_id AS itemid, label, detector FROM labels_, (SELECT DISTINCT detector FROM det) WHERE label >= 0) LEFT JOIN det USING (itemid, detector)",
+    "det_pr": _PR.format(q="SELECT detector, " + _COUNTS.format(h="score >= 0.5") + " FROM det_lb GROUP BY detector"),
+}
+
+
+def _by_detector(spark, sf):
+    v = _Views(spark, sf)
+    seasonal = detectors.seasonal_scores(v.recent, v.hours, HOUR, Seasonal(lambda_threshold=1.0))
+    one = lambda df, name: df.select("itemid", F.lit(name).alias("detector"), F.round("score", 9).alias("score"))
+    return evaluate.detector_metrics(one(detectors.zscore_scores(v.recent, v.base, Z1), "zscore").unionByName(one(seasonal, "seasonal")), b.labels(spark, sf))
+
+
+@query(f"SELECT detector, {_METRICS} FROM det_pr", **DETECTORS)
+def detector_metrics(spark, sf):
+    return _by_detector(spark, sf).select("detector", *_cols())
+
+
+@query(
+    "SELECT tp, fp, fn, tn, round(mp, 9) AS macro_precision, round(mr, 9) AS macro_recall, round(mf, 9) AS macro_f1, round(p, 9) AS micro_precision, round(r, 9) AS micro_recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS micro_f1 FROM ("
+    + _PR.format(q="SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, avg(p) AS mp, avg(r) AS mr, avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) AS mf FROM det_pr")
+    + ")",
+    **DETECTORS,
+)
+def pooled_metrics(spark, sf):
+    """Reports of several detectors as one."""
+    return evaluate.pool(_by_detector(spark, sf)).select("tp", "fp", "fn", "tn", *(r(f"{k}_{c}") for k in ("macro", "micro") for c in ("precision", "recall", "f1")))
+
+
 SWEEP = {"sweep": "SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM (" + _PR.format(q="SELECT t AS threshold, " + _COUNTS.format(h="score >= t") + f" FROM lb, (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in evaluate.GRID)}]) AS t) GROUP BY t") + ")"}
 
 
@@ -849,13 +907,21 @@ def union_uint_float(spark, sf):
     return rows.groupBy("itemid", "clock").agg(F.round(F.avg("value"), 9).alias("value"))
 
 
+@query("SELECT itemid, clock, " + ", ".join(f"round(CASE itemid % 2 WHEN 0 THEN {c} ELSE floor({c}) END, 9) AS {c}" for c in ("value_min", "value_avg", "value_max")) + f" FROM trends WHERE clock BETWEEN {START} AND {ENDEP}")
+def union_trends(spark, sf):
+    return _database(spark, sf).get_trends(START, ENDEP).select("itemid", "clock", r("value_min"), r("value_avg"), r("value_max"))
+
+
 def _database(spark, sf):
     """The bindings as the tables of a monitoring database."""
     items, events = b.items(spark, sf), b.problem_events(spark, sf)
     hosts, raw = items.select("hostid", F.col("host_name").alias("name")).distinct(), b.raw_events(spark, sf)
+    hours = lambda: stats.hourly_trends(b.history(spark, sf))
     tables = {
         "history": lambda: raw.where("event_id % 2 = 0").select("itemid", "clock", "value"),
         "history_uint": lambda: raw.where("event_id % 2 = 1").select("itemid", "clock", F.floor("value").alias("value")),
+        "trends": lambda: hours().where("itemid % 2 = 0"),
+        "trends_uint": lambda: hours().where("itemid % 2 = 1").select("itemid", "clock", *(F.floor(c).alias(c) for c in ("value_min", "value_avg", "value_max"))),
         "hosts": lambda: hosts,
         "items": lambda: items.select("itemid", "hostid", "key_", F.col("key_").alias("name"), "units"),
         "hosts_groups": lambda: items.select("hostid", F.xxhash64("group_name").alias("groupid")).distinct(),
