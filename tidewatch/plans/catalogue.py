@@ -780,13 +780,13 @@ SUMMARY = {
 }
 
 
-@query("SELECT items.itemid, items.host_name, items.item_name, items.group_name, newest.created, newest.clusterid, round(CASE WHEN created IS NOT NULL THEN base.mean END, 9) AS trend_mean, round(CASE WHEN created IS NOT NULL THEN base.std END, 9) AS trend_std, coalesce(detections, '') AS detections, round(coalesce(allz.score, 0), 9) AS score, CASE WHEN allz.score >= 0.5 THEN 'high' WHEN allz.score > 0.1 THEN 'mid' ELSE 'low' END AS band FROM items LEFT JOIN newest USING (itemid) LEFT JOIN cycles USING (itemid) LEFT JOIN allz ON allz.itemid = items.itemid LEFT JOIN base ON base.itemid = items.itemid", **POOL, **AN, **SUMMARY)
+@query("SELECT items.itemid, items.host_name, items.item_name, items.group_name, coalesce(newest.created, 0)::BIGINT AS created, coalesce(newest.clusterid, -1)::INTEGER AS clusterid, round(CASE WHEN newest.created IS NOT NULL THEN base.mean END, 9) AS trend_mean, round(CASE WHEN newest.created IS NOT NULL THEN base.std END, 9) AS trend_std, coalesce(detections, '') AS detections, round(coalesce(allz.score, 0), 9) AS score, CASE WHEN allz.score >= 0.5 THEN 'high' WHEN allz.score > 0.1 THEN 'mid' ELSE 'low' END AS band FROM items LEFT JOIN newest USING (itemid) LEFT JOIN cycles USING (itemid) LEFT JOIN allz ON allz.itemid = items.itemid LEFT JOIN base ON base.itemid = items.itemid", **POOL, **AN, **SUMMARY)
 def review_summary(spark, sf):
     v = _Views(spark, sf)
     scores = _simple_scores(v).withColumn("band", filters.score_band(F.col("score")))
     level = v.base.select("itemid", F.col("mean").alias("trend_mean"), F.col("std").alias("trend_std"))
     out = pages.review_summary(_anomalies(spark, sf).join(level, "itemid", "left"), v.items, scores)
-    return out.select("itemid", "host_name", "item_name", "group_name", "created", "clusterid", r("trend_mean"), r("trend_std"), F.array_join(F.col("detections").cast("array<string>"), ",").alias("detections"), r("score"), "band")
+    return out.select("itemid", "host_name", "item_name", "group_name", F.coalesce("created", F.lit(0)).alias("created"), F.coalesce("clusterid", F.lit(-1)).alias("clusterid"), r("trend_mean"), r("trend_std"), F.array_join(F.col("detections").cast("array<string>"), ",").alias("detections"), r("score"), "band")
 
 
 @query("SELECT item_id, CASE WHEN item_id % 11 = 4 THEN -1 ELSE label END AS label, '' AS note, incident, CASE item_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0.25 ELSE 1 END::DOUBLE AS confidence FROM labels_")
