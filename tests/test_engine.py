@@ -196,6 +196,20 @@ def test_csv_source(spark, tmp_path):
     assert rows(read_labels(spark, f"file://{tmp_path}/labels.csv"), "item_id", "label", "incident", "confidence") == [(1, 1, "", 1.0), (2, -1, "", 1.0)]
 
 
+def test_events_meet_hosts_not_items(spark):
+    """Two events of a trigger with 1,000 items on two hosts: a row for each event and host, and items go before the events are joined."""
+    t = {
+        "events": spark.createDataFrame([(k, 5, 2, "n", 7, 0, 0, 1) for k in (1, 2)], "eventid long, clock long, severity int, name string, objectid long, source int, object int, value int"),
+        "triggers": spark.createDataFrame([(7,)], "triggerid long"),
+        "functions": spark.range(1000).selectExpr("7L as triggerid", "id as itemid"),
+        "items": spark.range(1000).selectExpr("id as itemid", "id % 2 as hostid"),
+        "hosts": spark.createDataFrame([(0, "a"), (1, "b")], "hostid long, name string"),
+    }
+    found = JdbcSource(spark, config.Source(type="jdbc", options={"reader": t.get})).get_events(0, 10)
+    assert rows(found, "clock", "host_name") == [(5, "a"), (5, "a"), (5, "b"), (5, "b")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+
+
 def test_event_file(spark, tmp_path):
     e = spark.createDataFrame([(0.5, 1)], "score double, n_items long")
     q = spark.createDataFrame([(9, 1.0)], "itemid long, seasonal_z double")

@@ -130,7 +130,9 @@ class JdbcSource:
         f = self.table("functions").select("triggerid", "itemid")
         i = self.table("items").select("itemid", "hostid")
         h = self.table("hosts").select("hostid", F.col("name").alias("host_name"))
-        rows = e.join(t, "triggerid").join(f, "triggerid").join(i, "itemid").join(h, "hostid").where(any_glob("host_name", host_names))
+        # the hosts of a trigger first: an event is joined with these, not with every item of them
+        hosts = f.join(i, "itemid").join(h, "hostid").where(any_glob("host_name", host_names)).select("triggerid", "host_name").distinct()
+        rows = e.join(t, "triggerid").join(hosts, "triggerid")
         return rows.select("eventid", "clock", "host_name", "severity", "name").distinct().drop("eventid")
 
     def item_link(self, api_url: str) -> Column:
