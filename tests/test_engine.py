@@ -426,6 +426,46 @@ def test_close_pairs_against_all_pairs(spark):
         assert want.keys() == got.keys() and len(got) and all(abs(want[k] - got[k]) < 1e-9 for k in got)
 
 
+def test_all_pairs_meet_in_blocks(spark):
+    """Pairs, onsets and families included, come from the blocks: no join has the pairs on a side. Spearman from ranks that are put
+    in by hand; correlations of exactly the threshold count."""
+    n = 9
+    rng = np.random.default_rng(1)
+    c = 2 * np.arange(45) - 44
+    while len(at := np.argwhere(np.triu((x := np.stack([rng.permutation(c) for _ in range(600)])) @ x.T * 10 == 3 * (c @ c), 1))) < n:
+        pass
+    pairs = [tuple(map(int, p)) for p in at[:n]]
+    # each pair in a family of its own
+    charts = spark.createDataFrame([(2 * k + s, b, float(v)) for k, p in enumerate(pairs) for s in (0, 1) for b, v in enumerate(x[p[s]])], "itemid long, bucket long, value double")
+    keys = spark.createDataFrame([(k, f"k{k // 2}[x]") for k in range(2 * n)], "itemid long, key_ string")
+    onsets = spark.createDataFrame([(0, 0), (1, 10), (2, 100), (3, 0)], "itemid long, onset long")
+    found = cluster.pair_distances(charts, keys, 0.3, onsets=onsets, max_gap=50)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan.splitlines()[0] and "Cross" not in plan
+    got = {(r.i, r.j): r.distance for r in found.collect()}
+    assert len(got) == n * (2 * n - 1)
+    # 0 and 1 are near enough, 2 and 3 aren't
+    assert got[0, 1] <= 0.35 and got[2, 3] == 1 and all(got[2 * k, 2 * k + 1] <= 0.35 for k in range(2, n))
+    assert {k for k, d in got.items() if d == 1} == {(0, 2), (1, 2), (2, 3)}
+
+
+def test_copies_are_linked_as_items(spark):
+    """Copies of series, flat ones among them: the groups of the classes are those of all items, by every linkage."""
+    base = [(i, k, v) for i, k, v in series(12, 4, 0.7, seed=3, length=20)]
+    rows_ = [(12 * m + i, k, v) for i, k, v in base for m in range(1 + i % 4)] + [(900 + i, k, 1.0) for i in range(3) for k in range(20)]
+    ids = spark.createDataFrame(sorted({(r[0],) for r in rows_}), "itemid long")
+    history = spark.createDataFrame([(i, 600 * k, v) for i, k, v in rows_], schemas.HISTORY)
+    onsets = spark.createDataFrame([(i, 20_000 * (i // 24)) for (i,) in {(r[0],) for r in rows_} if i % 3], "itemid long, onset long")
+    charts = spark.createDataFrame(rows_, "itemid long, bucket long, value double")
+    classes = cluster._classes(cluster._series(charts, 3))[0]
+    assert {r.itemid: r.n for r in classes.collect()} == {i: 1 + i % 4 for i in range(12)} | {900 + i: 1 for i in range(3)}
+    for linkage, least, most in (("complete", 2, 5000), ("complete", 4, 2), ("average", 3, 5000), ("dbscan", 4, 5000), ("dbscan", 4, 2)):
+        cfg = config.Clustering(linkage=linkage, corr_eps=0.3, min_samples=least, max_items=most)
+        whole = cluster.onset_constraint(cluster.pair_distances(charts), onsets, cfg.max_onset_gap)
+        want = rows(cluster.group_items(whole, replace(cfg, max_items=5000), ids), "itemid", "clusterid")
+        assert rows(cluster.cluster_anomalies(history, ids, cfg, None, onsets), "itemid", "clusterid") == want and len({c for _, c in want}) > 2
+
+
 def test_the_index_compares_few_pairs(spark):
     """5,000 series of 40 incidents: the same close pairs as one matrix, under a tenth of the pairs compared."""
     n, groups, eps = 5000, 40, 0.2

@@ -9,6 +9,7 @@ linkage needs the distances of all pairs, and a component of more items is an er
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import Clustering
 from ..functions.scalar import key_family
-from ..functions.sequence import average_rank, linear_fill
+from ..functions.sequence import linear_fill
 from ..scratch import materialize
 from .graph import components
 from .stats import cycle_units, grid_unit, median_gap
@@ -57,25 +58,49 @@ def build_charts(history: DataFrame, unit: DataFrame, cycle: Cycle | None = None
     return linear_fill(grid.join(means, ["itemid", "bucket"], "left"))
 
 
-def _channel(charts: DataFrame, diff: bool) -> DataFrame:
-    """(itemid, bucket, r): ranks of first differences or of levels, to 9 digits; flat series have no row."""
-    if diff:
-        charts = charts.withColumn("value", F.col("value") - F.lag("value").over(Window.partitionBy("itemid").orderBy("bucket"))).where("value is not null")
-    charts = charts.withColumn("value", F.round("value", 9))
-    w = Window.partitionBy("itemid")
-    uneven = charts.withColumn("_lo", F.min("value").over(w)).withColumn("_hi", F.max("value").over(w)).where("_hi > _lo")
-    return uneven.select("itemid", "bucket", average_rank("value").alias("r"))
+def _series(charts: DataFrame, n_buckets: int, keys: DataFrame | None = None, onsets: DataFrame | None = None, cycle: Cycle | None = None) -> DataFrame:
+    """(itemid, c, d, l, f, o): each item's cycle, twice the ranks (to 9 digits) of its first differences (of levels on a grid of fewer
+    than 3 buckets) and of its levels, in the order of buckets and null for flat ones, its key family and its onset."""
+    along = Window.partitionBy("itemid").orderBy("bucket")
+    change = F.col("value") - F.lag("value").over(along) if n_buckets >= 3 else F.col("value")
+    rows = charts.select("itemid", "bucket", F.round(change, 9).alias("d"), F.round("value", 9).alias("l"))
 
+    def ranks(c: str) -> Column:
+        w = Window.partitionBy("itemid")
+        twice = 2 * F.rank().over(w.orderBy(F.col(c).asc_nulls_last())) + F.count("*").over(Window.partitionBy("itemid", c)) - 1
+        return F.when(F.col(c).isNotNull(), F.struct("bucket", twice.cast("int").alias("r")))
 
-#: Items of a block of the correlation matrix.
-BLOCK = 256
+    whole = lambda c: F.when(F.max(c) > F.min(c), F.transform(F.array_sort(F.collect_list(f"_{c}")), lambda x: x["r"]))
+    wanted = ["d", "l"] if keys is not None else ["d"]
+    rows = rows.select("*", *(ranks(c).alias(f"_{c}") for c in wanted)).groupBy("itemid").agg(*(whole(c).alias(c) for c in wanted))
+    rows = rows.withColumn("c", (cycle or (lambda _: F.lit(0)))(F.col("itemid")).cast("long"))
+    rows = rows.withColumns({"l": F.lit(None).cast("array<int>"), "f": F.lit(None).cast("string")}) if keys is None else rows.join(_families(keys), "itemid", "left")
+    rows = rows.withColumn("o", F.lit(None).cast("long")) if onsets is None else rows.join(onsets.select("itemid", F.col("onset").cast("long").alias("o")), "itemid", "left")
+    return materialize(rows.select("itemid", "c", "d", F.when(F.col("f").isNotNull(), F.col("l")).alias("l"), "f", "o"), "series")
+
+
+#: Items of a block of the correlation matrix; of many items, and the most blocks in a row before blocks grow to these.
+BLOCK, LARGE_BLOCK, IN_A_ROW = 256, 1024, 16
+#: Ranks of a block at most, and tasks that blocks are dealt to.
+BLOCK_RANKS, MOST_TASKS = 1 << 23, 2000
+
+
+def _centred(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Twice the ranks less their mean, which are whole numbers, and the sums of their squares."""
+    x = 2.0 * np.stack(vectors.to_numpy())
+    x -= x.mean(axis=1, keepdims=True)
+    return x, (x * x).sum(axis=1)
+
+
+def _rho(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Correlations: the sums are exact below 2**53, so a threshold is met by what equals it, in any block and order."""
+    return (left[0] @ right[0].T) / np.sqrt(left[1][:, None] * right[1][None, :])
 
 
 def _standard(vectors: pd.Series) -> np.ndarray:
     """Ranks as vectors of mean 0 and length 1: a correlation is their product, and 2 - 2 rho the square of their distance."""
-    x = np.stack(vectors.to_numpy())
-    x = x - x.mean(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x, square = _centred(vectors)
+    return x / np.sqrt(square)[:, None]
 
 
 def _vectors(ranks: DataFrame, family: DataFrame | None) -> DataFrame:
@@ -84,30 +109,78 @@ def _vectors(ranks: DataFrame, family: DataFrame | None) -> DataFrame:
     return materialize(vectors.withColumn("f", F.lit("")) if family is None else vectors.join(family, "itemid"), "rank-vectors")
 
 
-def _correlation(ranks: DataFrame, family: DataFrame | None = None) -> DataFrame:
-    """(i, j, rho) of the pairs i < j of items; with `family` (itemid, f), of items of one family."""
-    return _matrix(_vectors(ranks, family))
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """`rows`, each in the blocks (a, b) of the matrix of its `key` that hold it, with g, its own part.
+    What is shuffled grows with rows times blocks, not with pairs, and no block is more than a task's work."""
+    vector = "d" if "d" in rows.columns else "v"
+    n, size = F.count("*"), F.max(F.coalesce(F.size(vector), F.lit(1)))
+    most = F.greatest(F.lit(1), F.least(F.lit(LARGE_BLOCK), F.floor(BLOCK_RANKS / F.greatest(size, F.lit(1)))))
+    parts = F.greatest(F.least(F.ceil(n / BLOCK), F.lit(IN_A_ROW)), F.ceil(n / most))
+    sizes = materialize(rows.groupBy(key).agg(parts.cast("int").alias("parts")), "blocks")
+    total = sizes.agg(F.sum(F.col("parts") * (F.col("parts") + 1) / 2)).first()[0] or 1
+    dealt = rows.join(sizes, key).withColumn("g", F.pmod(F.xxhash64("itemid"), F.col("parts")).cast("int"))
+    sent = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"a": F.least("g", "k"), "b": F.greatest("g", "k")}).drop("parts", "k")
+    # by number, or Spark would put the blocks, small before they are multiplied, together
+    return sent.repartition(int(min(max(total, 1), MOST_TASKS)), key, "a", "b")
+
 
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The items of both sides of a block; of one on the diagonal the same ones, in their order."""
+    rows = rows.sort_values("itemid")
+    a, b = rows["a"].iloc[0], rows["b"].iloc[0]
+    return (rows, rows) if a == b else (rows[rows["g"] == a], rows[rows["g"] == b])
 
-def _matrix(vectors: DataFrame) -> DataFrame:
-    """_correlation() of vectors. Each goes to the blocks of the matrix that hold it, so what is shuffled grows with items times
-    blocks, not with pairs times buckets."""
-    sizes = vectors.groupBy("f").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    dealt = vectors.join(sizes, "f").withColumn("g", F.pmod(F.xxhash64("itemid"), F.col("n")).cast("int"))
-    sent = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("itemid", "v", "f", "g", F.least("g", "k").alias("a"), F.greatest("g", "k").alias("b"))
+
+def _pairs(left: pd.DataFrame, right: pd.DataFrame, wanted: np.ndarray, **values: np.ndarray) -> pd.DataFrame:
+    """The `wanted` pairs, the lower item first."""
+    if left is right:
+        wanted = np.triu(wanted, 1)
+    i, j = np.nonzero(wanted)
+    x, y = left["itemid"].to_numpy()[i], right["itemid"].to_numpy()[j]
+    return pd.DataFrame({"i": np.minimum(x, y), "j": np.maximum(x, y)} | {k: v[i, j] for k, v in values.items()})
+
+
+def _matrix(vectors: DataFrame, least: float) -> DataFrame:
+    """(i, j, rho) of the pairs i < j of vectors of one `f` whose rho is `least` or more."""
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("itemid")
-        x = _standard(rows["v"])
-        g, ids = rows["g"].to_numpy(), rows["itemid"].to_numpy()
-        rho = x @ x.T
-        wanted = np.triu(np.ones(rho.shape, bool), 1)
-        if rows["a"].iloc[0] != rows["b"].iloc[0]:
-            wanted &= g[:, None] != g[None, :]
-        i, j = np.nonzero(wanted)
-        return pd.DataFrame({"i": ids[i], "j": ids[j], "rho": rho[i, j]})
+        left, right = _sides(rows)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"i": [], "j": [], "rho": []})
+        rho = _rho(_centred(left["v"]), _centred(right["v"]))
+        return _pairs(left, right, rho >= least - _SLACK, rho=rho)
 
-    return sent.groupBy("f", "a", "b").applyInPandas(block, "i long, j long, rho double")
+    return _blocks(vectors, "f").groupBy("f", "a", "b").applyInPandas(block, "i long, j long, rho double")
+
+
+def _distances(series: DataFrame, raw_corr_min: float, max_gap: int = 0, eps: float | None = None, at: bool = False) -> DataFrame:
+    """(i, j, distance) of the pairs i < j of series of one cycle, as pair_distances() has them; those below `eps` only, if given (or
+    `at` it). Both correlations and the onsets of a pair meet in its block, so no pair is shuffled."""
+
+    def rho(left: pd.DataFrame, right: pd.DataFrame, column: str) -> np.ndarray:
+        """NaN where a series is flat."""
+        out = np.full((len(left), len(right)), np.nan)
+        x, y = (np.flatnonzero(side[column].notna()) for side in (left, right))
+        if len(x) and len(y):
+            out[np.ix_(x, y)] = _rho(_centred(left[column].iloc[x]), _centred(right[column].iloc[y]))
+        return out
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(rows)
+        distance = (1 - np.nan_to_num(rho(left, right, "d"))) / 2
+        code = dict(zip(names := rows["f"].dropna().unique(), range(len(names))))
+        x, y = (side["f"].map(code).fillna(-1).to_numpy(float) for side in (left, right))
+        if len(names):
+            raw = rho(left, right, "l")
+            near = (x[:, None] == y[None, :]) & (x[:, None] >= 0) & (raw >= raw_corr_min)
+            distance[near] = np.minimum(distance[near], (1 - raw[near]) / 2)
+        if max_gap > 0:
+            o, p = left["o"].to_numpy(float), right["o"].to_numpy(float)
+            distance[np.abs(o[:, None] - p[None, :]) > max_gap] = 1.0
+        wanted = np.ones(distance.shape, bool) if eps is None else distance <= eps if at else distance < eps
+        return _pairs(left, right, wanted, distance=distance)
+
+    return _blocks(series, "c").groupBy("c", "a", "b").applyInPandas(block, "i long, j long, distance double")
 
 
 #: Most pivots of the metric index, vectors that they are chosen from, and bytes of these.
@@ -164,16 +237,20 @@ def index_blocks(vectors: DataFrame, least: float, pivots: np.ndarray) -> DataFr
 
 
 def close_correlation(ranks: DataFrame, least: float, family: DataFrame | None = None) -> DataFrame:
-    """The pairs of _correlation() whose rho is `least` or more; all series have one length."""
-    vectors = _vectors(ranks, family)
+    """(i, j, rho) of the pairs i < j of items (with `family` (itemid, f), of one family) whose rho is `least` or more; all series have
+    one length."""
+    return _close_vectors(_vectors(ranks, family), least)
+
+
+def _close_vectors(vectors: DataFrame, least: float) -> DataFrame:
     pivots, near = _pivots(vectors), F.round("rho", 12) >= F.lit(least - 1e-12)
     if len(pivots) < 2:  # one cell: the whole matrix
-        return _matrix(vectors).where(near)
+        return _matrix(vectors, least).where(near)
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        x, ids, own = _standard(rows["v"]), rows["itemid"].to_numpy(), rows["own"].to_numpy()
+        (x, square), ids, own = _centred(rows["v"]), rows["itemid"].to_numpy(), rows["own"].to_numpy()
         left, right = (slice(None), slice(None)) if own.all() else (own, ~own)
-        i, j = np.nonzero((rho := x[left] @ x[right].T) >= least - _SLACK)
+        i, j = np.nonzero((rho := _rho((x[left], square[left]), (x[right], square[right]))) >= least - _SLACK)
         out = pd.DataFrame({"i": ids[left][i], "j": ids[right][j], "rho": rho[i, j]})
         if own.all():
             return out[out["i"] < out["j"]]
@@ -183,45 +260,50 @@ def close_correlation(ranks: DataFrame, least: float, family: DataFrame | None =
     return found.groupBy("f", "a", "b").applyInPandas(block, "i long, j long, rho double").where(near)
 
 
-def _families(keys: DataFrame, cycle: Cycle | None) -> DataFrame:
-    fam = keys.select("itemid", key_family(F.col("key_")).alias("f")).where("f <> ''")
-    return fam if cycle is None else fam.withColumn("f", F.concat_ws(" ", cycle(F.col("itemid")).cast("string"), "f"))
+def _families(keys: DataFrame) -> DataFrame:
+    return keys.select("itemid", key_family(F.col("key_")).alias("f")).where("f <> ''")
+
+
+#: Two unrelated series are at 0.5; an index for an `eps` not far below keeps few of them apart.
+LOOSE = 0.4
 
 
 def close_pairs(charts: DataFrame, eps: float, keys: DataFrame | None = None, raw_corr_min: float = 0.99, n_buckets: int = 3, at: bool = False, cycle: Cycle | None = None) -> DataFrame:
     """The rows of pair_distances() whose distance is less than `eps` (or `at` it), for an `eps` of 0.5 at most: flat series are
     close to none. Grids of several cycles differ in length and are compared by blocks, within cycles."""
-
-    def close(ranks: DataFrame, least: float, family: DataFrame | None) -> DataFrame:
-        if cycle is None:
-            return close_correlation(ranks, least, family)
-        return _correlation(ranks, family if family is not None else _cycles(ranks, cycle)).where(F.col("rho") >= least - 1e-12)
-
-    out = close(_channel(charts, n_buckets >= 3), 1 - 2 * eps, None).select("i", "j", ((1 - F.col("rho")) / 2).alias("distance"))
-    if keys is not None:
-        raw = close(_channel(charts, False), max(raw_corr_min, 1 - 2 * eps), _families(keys, cycle)).where(F.col("rho") >= raw_corr_min)
-        out = out.unionByName(raw.select("i", "j", ((1 - F.col("rho")) / 2).alias("distance"))).groupBy("i", "j").agg(F.min("distance").alias("distance"))
+    return _close(_series(charts, n_buckets, keys, cycle=cycle), eps, raw_corr_min, at, keys is not None, cycle is not None)
+
+
+def _close(series: DataFrame, eps: float, raw_corr_min: float, at: bool, raw: bool, cycles: bool) -> DataFrame:
+    if cycles or eps >= LOOSE:
+        return _distances(series, raw_corr_min, eps=eps, at=at)
+    of = lambda c, f: materialize(series.where(F.col(c).isNotNull()).select("itemid", F.col(c).alias("v"), f.alias("f")), "rank-vectors")
+    near = lambda rho: rho.select("i", "j", ((1 - F.col("rho")) / 2).alias("distance"))
+    out = near(_close_vectors(of("d", F.lit("")), 1 - 2 * eps))
+    if raw:
+        levels = _close_vectors(of("l", F.col("f")), max(raw_corr_min, 1 - 2 * eps)).where(F.col("rho") >= raw_corr_min)
+        out = out.unionByName(near(levels)).groupBy("i", "j").agg(F.min("distance").alias("distance"))
     return out.where(F.col("distance") <= eps if at else F.col("distance") < eps)
 
 
-def _cycles(rows: DataFrame, cycle: Cycle) -> DataFrame:
-    return rows.select("itemid").distinct().withColumn("f", cycle(F.col("itemid")).cast("string"))
-
-
-def pair_distances(charts: DataFrame, keys: DataFrame | None = None, raw_corr_min: float = 0.99, n_buckets: int = 3, cycle: Cycle | None = None) -> DataFrame:
+def pair_distances(charts: DataFrame, keys: DataFrame | None = None, raw_corr_min: float = 0.99, n_buckets: int = 3, cycle: Cycle | None = None, onsets: DataFrame | None = None, max_gap: int = 0) -> DataFrame:
     """(i, j, distance) of all pairs i < j of charted items (of one cycle): (1 - rho) / 2 of their differences (of levels on a grid of
     fewer than 3 buckets); of items of one key family whose levels correlate at `raw_corr_min` or more, that of the levels if smaller.
-    Flat series have rho 0."""
-    ids = charts.select("itemid").distinct()
-    i, j = ids.select(F.col("itemid").alias("i")), ids.select(F.col("itemid").alias("j"))
-    pairs = i.join(j, F.col("i") < F.col("j")) if cycle is None else i.join(j, (cycle(F.col("i")) == cycle(F.col("j"))) & (F.col("i") < F.col("j")))
-    diff = _channel(charts, n_buckets >= 3)
-    diff = _correlation(diff, None if cycle is None else _cycles(diff, cycle))
-    out = pairs.join(diff, ["i", "j"], "left").withColumn("distance", (1 - F.coalesce("rho", F.lit(0.0))) / 2).drop("rho")
-    if keys is not None:
-        raw = _correlation(_channel(charts, False), _families(keys, cycle)).where(F.col("rho") >= raw_corr_min).select("i", "j", ((1 - F.col("rho")) / 2).alias("raw"))
-        out = out.join(raw, ["i", "j"], "left").withColumn("distance", F.least("distance", F.coalesce("raw", "distance"))).drop("raw")
-    return out
+    Flat series have rho 0. With `onsets`, as onset_constraint() has it."""
+    return _distances(_series(charts, n_buckets, keys, onsets if max_gap > 0 else None, cycle), raw_corr_min, max_gap)
+
+
+def _classes(series: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(itemid, c, d, l, f, o, n), one series of those that all distances are the same of, the lowest item's, with their number; and
+    (itemid, lead), which it is of each item. Items of a class are at distance 0, which a linkage merges first, lowest items first;
+    so it merges classes as it would merge items. Flat series aren't near each other unless their levels are: each is a class."""
+    alone = F.when(F.col("d").isNull() & F.col("l").isNull(), F.col("itemid"))
+    series = series.withColumn("s", alone)
+    same = ["c", "d", "l", "f", "o", "s"]
+    classes = materialize(series.groupBy(*same).agg(F.min("itemid").alias("itemid"), F.count("*").alias("n")), "series-classes")
+    lead = classes.select(F.col("itemid").alias("lead"), *(F.col(c).alias(f"_{c}") for c in same))
+    match = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same))
+    return classes.drop("s"), materialize(series.join(lead, match).select("itemid", "lead"), "series-leads")
 
 
 def onset_constraint(distances: DataFrame, onsets: DataFrame, max_gap: int) -> DataFrame:
@@ -233,15 +315,16 @@ def onset_constraint(distances: DataFrame, onsets: DataFrame, max_gap: int) -> D
     return j.select("i", "j", F.when(F.abs(F.col("oi") - F.col("oj")) > max_gap, 1.0).otherwise(F.col("distance")).alias("distance"))
 
 
-def agglomerate(d: np.ndarray, eps: float, linkage: str) -> np.ndarray:
-    """Group of each row: merges the closest two groups while they are closer than `eps`; ties to the lowest rows.
+def agglomerate(d: np.ndarray, eps: float, linkage: str, items: np.ndarray | None = None) -> np.ndarray:
+    """Group of each row: merges the closest two groups while they are closer than `eps`; ties to the lowest rows. A row may stand for
+    several `items` at distance 0.
 
     Every row keeps its closest later row, so a merge costs one pass over the rows, but for those whose closest went.
     """
     n = len(d)
     d = d.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
+    size, label = np.ones(n) if items is None else items.astype(float), np.arange(n)
     later = np.where(np.triu(np.ones((n, n), bool), 1), d, np.inf)
     near = later.argmin(axis=1)
     best = later[np.arange(n), near]
@@ -267,11 +350,12 @@ def agglomerate(d: np.ndarray, eps: float, linkage: str) -> np.ndarray:
     return label
 
 
-def density(d: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
-    """DBSCAN on distances: -1 for noise. A row is a neighbour of itself; the border belongs to the first cluster that reaches it."""
+def density(d: np.ndarray, eps: float, min_samples: int, items: np.ndarray | None = None) -> np.ndarray:
+    """DBSCAN on distances: -1 for noise. A row is a neighbour of itself; the border belongs to the first cluster that reaches it. A row
+    may stand for several `items`."""
     near = d <= eps
     np.fill_diagonal(near, True)
-    core = near.sum(axis=1) >= min_samples
+    core = near @ (np.ones(len(d)) if items is None else items) >= min_samples
     label = np.full(len(d), -1)
     for s in np.flatnonzero(core):
         if label[s] >= 0:
@@ -294,6 +378,7 @@ def link_rounds(pairs: DataFrame) -> DataFrame:
     """
     table = materialize(pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.coalesce("distance", F.lit(1.0)).alias("d")), "linkage")
     ends = table.select(F.col("a").alias("itemid")).unionByName(table.select(F.col("b").alias("itemid"))).distinct()
+    table = table.where("a <> b")
     label = materialize(ends.select("itemid", F.col("itemid").alias("lead")), "linkage-labels")
     while True:
         key = F.struct("d", "a", "b").alias("key")
@@ -314,11 +399,14 @@ def link_rounds(pairs: DataFrame) -> DataFrame:
         table = materialize(whole.select("a", "b", "d"), "linkage")
 
 
-def density_rounds(pairs: DataFrame, min_samples: int) -> DataFrame:
+def density_rounds(pairs: DataFrame, min_samples: int, items: DataFrame | None = None) -> DataFrame:
     """(itemid, lead) of density() over close pairs (i, j) as tables: core items by connected components, border items by the
-    lowest core of a neighbouring cluster; noise has no row."""
+    lowest core of a neighbouring cluster; noise has no row. `items` (itemid, n) are rows that stand for several."""
     sides = materialize(pairs.select(F.col("i").alias("x"), F.col("j").alias("y")).unionByName(pairs.select(F.col("j").alias("x"), F.col("i").alias("y"))).distinct(), "density-sides")
-    core = materialize(sides.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select("x"), "density-core")
+    # with the row itself once
+    near = sides.where("x <> y").unionByName(sides.select("x", F.col("x").alias("y")).distinct())
+    near = near.withColumn("n", F.lit(1)) if items is None else near.join(items.withColumnRenamed("itemid", "y"), "y", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    core = materialize(near.groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("x"), "density-core")
     from_core = sides.join(core, "x", "left_semi")
     linked = from_core.join(core.select(F.col("x").alias("y")), "y", "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b"))
     start = materialize(core.join(components(linked).withColumnRenamed("s", "x"), "x", "left").select("x", F.coalesce("root", "x").alias("start")), "density-starts")
@@ -327,13 +415,17 @@ def density_rounds(pairs: DataFrame, min_samples: int) -> DataFrame:
     return found.join(found.groupBy("start").agg(F.min("x").alias("lead")), "start").select(F.col("x").alias("itemid"), "lead")
 
 
-def group_items(distances: DataFrame, cfg: Clustering, ids: DataFrame | None = None) -> DataFrame:
+def group_items(distances: DataFrame, cfg: Clustering, ids: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
     """(itemid, clusterid) of every item of `ids` (of a pair, if not given): clusters are numbered by their lowest itemid, -1 is
     none. Average linkage needs all pairs, for the others those that aren't close may be missing.
 
     No linkage joins items that no chain of close pairs connects, so each connected component of the close pairs is a
-    task of its own; beyond `max_items` items it is linked in rounds, for average linkage it is an error.
+    task of its own; beyond `max_items` items it is linked in rounds, for average linkage it is an error. `items` (itemid, n) are rows
+    that stand for several items at distance 0, see _classes().
     """
+    if items is not None:  # these are close to themselves
+        items = items.where("n > 1")
+        distances = distances.unionByName(items.select(F.col("itemid").alias("i"), F.col("itemid").alias("j"), F.lit(0.0).alias("distance")))
     distances = materialize(distances, "pair-distances")
     close = distances.where(F.col("distance") <= cfg.corr_eps if cfg.linkage == "dbscan" else F.col("distance") < cfg.corr_eps)
     edges = close.select(F.col("i").alias("a"), F.col("j").alias("b"))
@@ -343,6 +435,11 @@ def group_items(distances: DataFrame, cfg: Clustering, ids: DataFrame | None = N
     rounds = cfg.linkage != "average" and large.limit(1).count() > 0
     side = lambda c: root.select(F.col("itemid").alias(c), F.col("root").alias(f"r{c}"))
     within = distances.join(side("i"), "i").join(side("j"), "j").where("ri = rj") if cfg.linkage == "average" else close.join(side("i"), "i")
+    several = lambda c: F.lit(1) if items is None else F.coalesce(c, F.lit(1))
+    if items is not None:
+        for c in ("i", "j"):
+            within = within.join(items.select(F.col("itemid").alias(c), F.col("n").alias(f"n{c}")), c, "left")
+    within = within.withColumns({"ni": several("ni"), "nj": several("nj")})
 
     def link(pairs: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pairs[["i", "j"]].to_numpy())
@@ -352,8 +449,10 @@ def group_items(distances: DataFrame, cfg: Clustering, ids: DataFrame | None = N
         np.fill_diagonal(d, 0)
         i, j = np.searchsorted(ids, pairs["i"]), np.searchsorted(ids, pairs["j"])
         d[i, j] = d[j, i] = pairs["distance"].fillna(1.0)
-        label = density(d, cfg.corr_eps, cfg.min_samples) if cfg.linkage == "dbscan" else agglomerate(d, cfg.corr_eps, cfg.linkage)
-        count = np.bincount(label + 1, minlength=len(ids) + 1)
+        size = np.ones(len(ids), int)
+        size[i], size[j] = pairs["ni"], pairs["nj"]
+        label = density(d, cfg.corr_eps, cfg.min_samples, size) if cfg.linkage == "dbscan" else agglomerate(d, cfg.corr_eps, cfg.linkage, size)
+        count = np.bincount(label + 1, size, minlength=len(ids) + 1)
         some = label >= 0 if cfg.linkage == "dbscan" else count[label + 1] >= cfg.min_samples
         lowest = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(lowest, label[some], ids[some])
@@ -363,9 +462,10 @@ def group_items(distances: DataFrame, cfg: Clustering, ids: DataFrame | None = N
     found = (within.join(big, "ri", "left_anti") if rounds else within).groupBy("ri").applyInPandas(link, "itemid long, lead long")
     if rounds:
         rest = within.join(big, "ri", "left_semi")
-        linked = density_rounds(rest, cfg.min_samples) if cfg.linkage == "dbscan" else link_rounds(rest)
+        linked = density_rounds(rest, cfg.min_samples, items) if cfg.linkage == "dbscan" else link_rounds(rest)
         if cfg.linkage != "dbscan":
-            linked = linked.join(linked.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") >= cfg.min_samples).select("lead"), "lead", "left_semi").select("itemid", "lead")
+            counted = linked if items is None else linked.join(items, "itemid", "left")
+            linked = linked.join(counted.groupBy("lead").agg(F.sum(several("n")).alias("n")).where(F.col("n") >= cfg.min_samples).select("lead"), "lead", "left_semi").select("itemid", "lead")
         found = found.unionByName(linked)
     found = materialize(found, "incident-groups")
     # a row for each incident: a short sort
@@ -384,19 +484,21 @@ def cluster_anomalies(history: DataFrame, ids: DataFrame, cfg: Clustering, keys:
     # a row for each cycle
     shapes = charts.groupBy(of(F.col("itemid")).alias("cycle")).agg(F.count_distinct("itemid").alias("items"), F.count_distinct("bucket").alias("buckets")).collect()
     enough = [s for s in shapes if s["items"] >= 2 and s["buckets"] - (s["buckets"] >= 3) >= cfg.min_corr_points]
-    distances = None
+    constrained = onsets if onsets is not None and cfg.max_onset_gap > 0 else None
+    distances = items = leads = None
     for n_buckets in (3, 1):
         wanted = [s["cycle"] for s in enough if (s["buckets"] >= 3) == (n_buckets >= 3)]
         if wanted:
-            some = charts.where(of(F.col("itemid")).isin(wanted))
+            classes, mine = _classes(_series(charts.where(of(F.col("itemid")).isin(wanted)), n_buckets, keys, constrained, cycle))
             if cfg.linkage == "average" or cfg.corr_eps > 0.5:
-                more = pair_distances(some, keys, cfg.raw_corr_min, n_buckets, cycle)
+                more = _distances(classes, cfg.raw_corr_min)
             else:
-                more = close_pairs(some, cfg.corr_eps, keys, cfg.raw_corr_min, n_buckets, cfg.linkage == "dbscan", cycle)
-            distances = more if distances is None else distances.unionByName(more)
+                more = _close(classes, cfg.corr_eps, cfg.raw_corr_min, cfg.linkage == "dbscan", keys is not None, cycle is not None)
+            both = lambda x, y: y if x is None else x.unionByName(y)
+            distances, items, leads = both(distances, more), both(items, classes.select("itemid", "n")), both(leads, mine)
     if distances is None:
         return ids.select("itemid", F.lit(-1).alias("clusterid"))
-    if onsets is not None:
-        distances = onset_constraint(distances, onsets, cfg.max_onset_gap)
-    found = group_items(distances, cfg, charts.select("itemid").distinct())
-    return ids.select("itemid").join(found, "itemid", "left").select("itemid", F.coalesce("clusterid", F.lit(-1)).alias("clusterid"))
+    if constrained is not None:
+        distances = onset_constraint(distances, constrained, cfg.max_onset_gap)
+    found = group_items(distances, cfg, items.select("itemid"), items).withColumnRenamed("itemid", "lead")
+    return ids.select("itemid").join(leads.join(found, "lead"), "itemid", "left").select("itemid", F.coalesce("clusterid", F.lit(-1)).alias("clusterid"))

@@ -454,8 +454,8 @@ CHART_SQL = {
 
 def _charts(v: _Views) -> DataFrame:
     ids = detectors.zscore_scores(v.recent, v.base, Z1).select("itemid")
-    rows = stats.in_range(v.hist, START, ENDEP).join(ids, "itemid", "left_semi")
-    unit = stats.grid_unit(rows)
+    rows = materialize(stats.in_range(v.hist, START, ENDEP).join(ids, "itemid", "left_semi"), "flagged-samples")
+    unit = materialize(stats.grid_unit(rows), "grid-unit")
     return cluster.build_charts(rows.join(cluster.usable_items(rows, unit), "itemid", "left_semi"), unit)
 
 
@@ -466,19 +466,19 @@ def charts(spark, sf):
 
 @query("SELECT i, j, round(distance, 9) AS distance FROM dist0", **CHART_SQL)
 def diff_spearman_pairs(spark, sf):
-    return cluster.pair_distances(_charts(_Views(spark, sf))).select("i", "j", r("distance"))
+    return cluster.pair_distances(_charts(_Views(spark, sf, True))).select("i", "j", r("distance"))
 
 
 @query("SELECT i, j, round(distance, 9) AS distance FROM dist1", **CHART_SQL)
 def raw_channel_pairs(spark, sf):
-    v = _Views(spark, sf)
+    v = _Views(spark, sf, True)
     return cluster.pair_distances(_charts(v), v.items, 0.3).select("i", "j", r("distance"))
 
 
 @query("SELECT d.i, d.j, round(CASE WHEN abs(a.onset - b.onset) > 7200 THEN 1 ELSE distance END, 9)::DOUBLE AS distance FROM dist0 d LEFT JOIN level_on a ON a.itemid = d.i LEFT JOIN level_on b ON b.itemid = d.j", **CHART_SQL, **LEVEL_SQL)
 def distance_with_onset(spark, sf):
-    v = _Views(spark, sf)
-    return cluster.onset_constraint(cluster.pair_distances(_charts(v)), _level(v), 7200).select("i", "j", r("distance"))
+    v = _Views(spark, sf, True)
+    return cluster.pair_distances(_charts(v), onsets=_level(v), max_gap=7200).select("i", "j", r("distance"))
 
 
 def _linked(eps: float) -> dict[str, str]:
@@ -493,13 +493,13 @@ def _linked(eps: float) -> dict[str, str]:
 
 @query("SELECT i, j, round(distance, 9) AS distance FROM dist1 WHERE distance < 0.45", **CHART_SQL)
 def close_pairs(spark, sf):
-    v = _Views(spark, sf)
+    v = _Views(spark, sf, True)
     return cluster.close_pairs(_charts(v), 0.45, v.items, 0.3).select("i", "j", r("distance"))
 
 
 @query("SELECT z1.itemid, coalesce(k - 1, -1)::INTEGER AS clusterid FROM z1 LEFT JOIN (SELECT itemid, dense_rank() OVER (ORDER BY label) AS k FROM grp) USING (itemid)", **CHART_SQL, **_linked(0.35))
 def incident_clusters(spark, sf):
-    v = _Views(spark, sf)
+    v = _Views(spark, sf, True)
     return cluster.cluster_anomalies(stats.in_range(v.hist, START, ENDEP), detectors.zscore_scores(v.recent, v.base, Z1), Clustering(corr_eps=0.35), v.items)
 
 
