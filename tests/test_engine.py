@@ -5,6 +5,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,6 +467,46 @@ def test_copies_are_linked_as_items(spark):
         assert rows(cluster.cluster_anomalies(history, ids, cfg, None, onsets), "itemid", "clusterid") == want and len({c for _, c in want}) > 2
 
 
+def test_groups_distances_by_pieces(monkeypatch):
+    """The furthest items of two groups, by pieces that cut groups: flat series, families and onsets included."""
+    n, rng = 40, np.random.default_rng(2)
+    ranks = lambda k: 2 * rng.random((n, k)).argsort(axis=1).argsort(axis=1) + 1
+    rows_ = pd.DataFrame({"itemid": range(n), "d": list(ranks(9)), "l": list(ranks(10)), "f": [None if i % 7 == 0 else f"k{i % 3}" for i in range(n)], "o": [i * 10.0 if i % 2 else None for i in range(n)]})
+    rows_.loc[[3, 4], "d"] = None
+    rows_.loc[[4, 5], "l"] = None
+    whole = cluster._whole_side(rows_)
+    d = cluster._between(whole, whole, 0.2, 200)
+    assert set(d[3, [0, 2, 4]]) == {0.5} and d[1, 25] == 1 and (d[whole.f[:, None] == whole.f[None, :]] <= 0.5).sum() > 10
+    left, right = (np.sort(rng.integers(0, k, n)) for k in (6, 11))
+    left, right = (np.unique(x, return_inverse=True)[1] for x in (left, right))
+    want = [[d[np.ix_(left == i, right == j)].max() for j in range(right[-1] + 1)] for i in range(left[-1] + 1)]
+    for piece in (7, 1024):
+        monkeypatch.setattr(cluster, "PIECE", piece)
+        assert (cluster._furthest(whole, whole, left, right, 0.2, 200) == want).all()
+
+
+def test_series_are_linked_without_their_pairs(spark, monkeypatch):
+    """Beyond `max_items` at a wide eps: the groups of one matrix, and no table has the close pairs of all items."""
+    n, written, write = 240, [], cluster.materialize
+    rows_ = series(n, 12, 1.2, length=20) + [(n + i, k, v) for i, k, v in series(20, 12, 1.2, length=20)]
+    history = spark.createDataFrame([(i, 600 * k, v) for i, k, v in rows_], schemas.HISTORY)
+    ids = spark.range(n + 20).withColumnRenamed("id", "itemid")
+    keys = ids.select("itemid", F.concat(F.lit("k"), (F.col("itemid") % 20 % 3).cast("string"), F.lit("[x]")).alias("key_"))
+    onsets = ids.where("itemid % 20 > 4").select("itemid", F.when(F.col("itemid") % 20 % 6 < 3, 0).otherwise(50_000).cast("long").alias("onset"))
+
+    def kept(df, name):
+        out = write(df, name)
+        written.append((out.count(), name))
+        return out
+
+    cfg = config.Clustering(corr_eps=0.45, raw_corr_min=0.3, min_samples=3)
+    want = rows(cluster.cluster_anomalies(history, ids, cfg, keys, onsets), "itemid", "clusterid")
+    monkeypatch.setattr(cluster, "materialize", kept)
+    got = rows(cluster.cluster_anomalies(history, ids, replace(cfg, max_items=60), keys, onsets), "itemid", "clusterid")
+    assert sorted(got) == sorted(want) and len({c for _, c in want}) > 12 and len(got) == n + 20
+    assert max(k for k, name in written if name not in ("flagged-samples", "charts")) <= 60 * 59 / 2 + 60
+
+
 def test_the_index_compares_few_pairs(spark):
     """5,000 series of 40 incidents: the same close pairs as one matrix, under a tenth of the pairs compared."""
     n, groups, eps = 5000, 40, 0.2

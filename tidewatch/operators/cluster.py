@@ -2,14 +2,16 @@
 
 Charts and ranks are SQL over the flagged items. Correlations are blocks of a matrix product; where close pairs are all
 that the linkage asks for, a metric index keeps series apart that can't be close. The linkage runs on each connected
-component of the close pairs: in one task up to `max_items` items, beyond that in rounds over a table of distances. Average
-linkage needs the distances of all pairs, and a component of more items is an error for it, never a cut.
+component of the close pairs: in one task up to `max_items` items, beyond that in rounds over a table of distances. Complete
+linkage of more items at a wide `corr_eps`, where close pairs would grow with the square of the items, takes its first rounds on the
+series themselves. Average linkage needs the distances of all pairs, and a component of more items is an error for it, never a cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -94,7 +96,8 @@ def _centred(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 def _rho(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Correlations: the sums are exact below 2**53, so a threshold is met by what equals it, in any block and order."""
-    return (left[0] @ right[0].T) / np.sqrt(left[1][:, None] * right[1][None, :])
+    out, scale = left[0] @ right[0].T, left[1][:, None] * right[1][None, :]
+    return np.divide(out, np.sqrt(scale, out=scale), out=out)
 
 
 def _standard(vectors: pd.Series) -> np.ndarray:
@@ -153,30 +156,61 @@ def _matrix(vectors: DataFrame, least: float) -> DataFrame:
     return _blocks(vectors, "f").groupBy("f", "a", "b").applyInPandas(block, "i long, j long, rho double")
 
 
+class _Side(NamedTuple):
+    """Series of one side of a block: centred ranks of differences (zero for flat ones) and of levels, number of the family (-1 for
+    none, and where levels are flat) and onset."""
+
+    d: tuple[np.ndarray, np.ndarray]
+    l: tuple[np.ndarray, np.ndarray]  # noqa: E741
+    f: np.ndarray
+    o: np.ndarray
+
+    def part(self, at: slice | np.ndarray) -> _Side:
+        return _Side((self.d[0][at], self.d[1][at]), (self.l[0][at], self.l[1][at]), self.f[at], self.o[at])
+
+
+def _whole_side(rows: pd.DataFrame) -> _Side:
+    """A block's rows, to be taken apart by part(); their series are of one length."""
+
+    def ranks(column: str) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(rows[column].notna())
+        if not len(at):
+            return np.zeros((len(rows), 1)), np.ones(len(rows))
+        x, square = _centred(rows[column].iloc[at])
+        out, squares = np.zeros((len(rows), x.shape[1])), np.ones(len(rows))
+        out[at], squares[at] = x, square
+        return out, squares
+
+    family = np.where(rows["l"].notna(), pd.factorize(rows["f"])[0], -1)
+    return _Side(ranks("d"), ranks("l"), family, rows["o"].to_numpy(float))
+
+
+def _between(left: _Side, right: _Side, raw_corr_min: float, max_gap: int) -> np.ndarray:
+    """Distances of all pairs of two sides, as pair_distances() has them."""
+    halved = lambda rho: np.multiply(np.subtract(1, rho, out=rho), 0.5, out=rho)
+    distance = halved(_rho(left.d, right.d))
+    for f in np.intersect1d(left.f, right.f):
+        if f >= 0:
+            x, y = np.flatnonzero(left.f == f), np.flatnonzero(right.f == f)
+            raw, at = _rho(left.part(x).l, right.part(y).l), np.ix_(x, y)
+            far = raw < raw_corr_min
+            raw = halved(raw)
+            raw[far] = np.inf
+            distance[at] = np.minimum(distance[at], raw)
+    if max_gap > 0:
+        distance[np.abs(left.o[:, None] - right.o[None, :]) > max_gap] = 1.0
+    return distance
+
+
 def _distances(series: DataFrame, raw_corr_min: float, max_gap: int = 0, eps: float | None = None, at: bool = False) -> DataFrame:
     """(i, j, distance) of the pairs i < j of series of one cycle, as pair_distances() has them; those below `eps` only, if given (or
     `at` it). Both correlations and the onsets of a pair meet in its block, so no pair is shuffled."""
 
-    def rho(left: pd.DataFrame, right: pd.DataFrame, column: str) -> np.ndarray:
-        """NaN where a series is flat."""
-        out = np.full((len(left), len(right)), np.nan)
-        x, y = (np.flatnonzero(side[column].notna()) for side in (left, right))
-        if len(x) and len(y):
-            out[np.ix_(x, y)] = _rho(_centred(left[column].iloc[x]), _centred(right[column].iloc[y]))
-        return out
-
     def block(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("itemid", ignore_index=True)
         left, right = _sides(rows)
-        distance = (1 - np.nan_to_num(rho(left, right, "d"))) / 2
-        code = dict(zip(names := rows["f"].dropna().unique(), range(len(names))))
-        x, y = (side["f"].map(code).fillna(-1).to_numpy(float) for side in (left, right))
-        if len(names):
-            raw = rho(left, right, "l")
-            near = (x[:, None] == y[None, :]) & (x[:, None] >= 0) & (raw >= raw_corr_min)
-            distance[near] = np.minimum(distance[near], (1 - raw[near]) / 2)
-        if max_gap > 0:
-            o, p = left["o"].to_numpy(float), right["o"].to_numpy(float)
-            distance[np.abs(o[:, None] - p[None, :]) > max_gap] = 1.0
+        whole = _whole_side(rows)
+        distance = _between(whole.part(left.index.to_numpy()), whole.part(right.index.to_numpy()), raw_corr_min, max_gap)
         wanted = np.ones(distance.shape, bool) if eps is None else distance <= eps if at else distance < eps
         return _pairs(left, right, wanted, distance=distance)
 
@@ -399,6 +433,100 @@ def link_rounds(pairs: DataFrame) -> DataFrame:
         table = materialize(whole.select("a", "b", "d"), "linkage")
 
 
+#: Items of a side of a block of groups at most, the most sides in a row before they grow to these, rows and columns of a piece of a
+#: block's matrix, and tasks that the blocks are dealt to.
+GROUPS_BLOCK, GROUPS_IN_A_ROW, PIECE, GROUPS_TASKS = 2048, 8, 512, 240
+
+
+def _runs_max(d: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The maximum of the rows of each group, which lie together."""
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    if len(first) == len(of):
+        return d
+    d = np.ascontiguousarray(d)
+    size, out = np.diff(first, append=len(of)), d[first]
+    for k in range(1, size.max()):
+        more = np.flatnonzero(size > k)
+        out[more] = np.maximum(out[more], d[first[more] + k])
+    return out
+
+
+def _furthest(left: _Side, right: _Side, x: np.ndarray, y: np.ndarray, raw_corr_min: float, max_gap: int) -> np.ndarray:
+    """Complete linkage's distances of groups, from the sides' items in the order of their groups' numbers `x` and `y` from 0."""
+    out = np.full((x[-1] + 1, y[-1] + 1), -np.inf)
+    for s in range(0, len(x), PIECE):
+        for t in range(0, len(y), PIECE):
+            m, n = x[s : s + PIECE], y[t : t + PIECE]
+            d = _between(left.part(slice(s, s + PIECE)), right.part(slice(t, t + PIECE)), raw_corr_min, max_gap)
+            d = _runs_max(_runs_max(d, m).T, n).T
+            here = out[m[0] : m[-1] + 1, n[0] : n[-1] + 1]
+            np.maximum(here, d, out=here)
+    return out
+
+
+def _group_pairs(members: DataFrame, eps: float, raw_corr_min: float, max_gap: int, nearest: bool) -> DataFrame:
+    """(x, y, distance) of groups of one cycle closer than `eps`: `nearest` gives that of each open group (ties to the lowest y), else all pairs
+    x < y. `members` (lead, open, with the columns of _series()) are the items of the groups. A group's items are in one block's side, and
+    what is shuffled grows with items times blocks; distances never leave their block."""
+    size = F.max(F.coalesce(F.size("d"), F.size("l"), F.lit(1)))
+    most = F.greatest(F.lit(1), F.least(F.lit(GROUPS_BLOCK), F.floor(BLOCK_RANKS / F.greatest(size, F.lit(1)))))
+    parts = lambda n: F.greatest(F.least(F.ceil(n / BLOCK), F.lit(GROUPS_IN_A_ROW)), F.ceil(n / most), F.lit(1)).cast("int")
+    sizes = materialize(members.groupBy("c").agg(parts(F.count_if("open")).alias("p"), parts(F.count("*")).alias("q")), "blocks")
+    total = sizes.agg(F.sum(F.col("p") * F.col("q"))).first()[0] or 1
+    part, every = lambda n: F.pmod(F.xxhash64("lead"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sent = members.join(sizes, "c")
+    mine = sent.where("open").withColumns({"a": part("p"), "own": F.lit(True)}).withColumn("b", every("q"))
+    others = sent.withColumns({"b": part("q"), "own": F.lit(False)}).withColumn("a", every("p"))
+    dealt = mine.unionByName(others).select("c", "a", "b", "own", "lead", "d", "l", "f", "o")
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("lead", ignore_index=True)
+        whole, own, lead = _whole_side(rows), rows["own"].to_numpy(bool), rows["lead"].to_numpy()
+        if own.all() or not own.any():
+            return pd.DataFrame({"x": [], "y": [], "distance": []})
+        (i, m), (j, n) = (np.unique(lead[side], return_inverse=True) for side in (own, ~own))
+        d = _furthest(whole.part(own), whole.part(~own), m, n, raw_corr_min, max_gap)
+        if not nearest:
+            m, n = np.nonzero((d < eps) & (i[:, None] < j[None, :]))
+        else:
+            d[i[:, None] == j[None, :]] = np.inf
+            m, n = np.arange(len(i)), d.argmin(axis=1)
+            m, n = m[d[m, n] < eps], n[d[m, n] < eps]
+        return pd.DataFrame({"x": i[m], "y": j[n], "distance": d[m, n]})
+
+    # by number, or Spark would put the blocks together
+    found = dealt.repartition(int(min(total, GROUPS_TASKS)), "c", "a", "b").groupBy("c", "a", "b").applyInPandas(block, "x long, y long, distance double")
+    if not nearest:
+        return found
+    return found.groupBy("x").agg(F.min(F.struct("distance", "y")).alias("k")).select("x", "k.y", "k.distance")
+
+
+def link_series(series: DataFrame, eps: float, raw_corr_min: float, max_gap: int = 0, most: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(itemid, lead), complete linkage of `series` as link_rounds() has it, until at most `most` groups have a group closer than `eps`; and (i, j,
+    distance), the close pairs of these. No pair is written before: a round computes distances from the series, for those groups alone
+    that merged or whose nearest did. Every other group's nearest stays, as merging brings no group nearer to a third."""
+    members = series.select("itemid", "c", "d", "l", "f", "o", F.col("itemid").alias("lead"), F.lit(True).alias("open"), F.lit(True).alias("live"))
+    near = None
+    while True:
+        found = _group_pairs(members.where("live"), eps, raw_corr_min, max_gap, True)
+        near = materialize(found if near is None else near.unionByName(found), "link-nearest")
+        pair = near.select(F.least("x", "y").alias("into"), F.greatest("x", "y").alias("gone"), "distance")
+        merged = materialize(pair.groupBy("into", "gone").agg(F.count("*").alias("n")).where("n = 2").select("into", "gone"), "link-merged")
+        n, n_merged = near.count(), merged.count()
+        if n and not n_merged:  # sums too large to be exact
+            merged, n_merged = materialize(pair.orderBy("distance", "into", "gone").limit(1).select("into", "gone"), "link-merged"), 1
+        ends = merged.select(F.col("gone").alias("x"), "into").unionByName(merged.select(F.col("into").alias("x"), "into"))
+        moved = near.join(ends, "x", "left").join(ends.select(F.col("x").alias("y"), F.lit(True).alias("went")), "y", "left")
+        moved = materialize(moved.select("x", "y", "distance", F.coalesce("into", "x").alias("lead"), (F.col("into").isNotNull() | F.col("went").isNotNull()).alias("open")), "link-moved")
+        to = moved.select(F.col("x").alias("lead"), F.col("lead").alias("_lead"), F.col("open").alias("_open"))
+        members = members.drop("open", "live").join(to, "lead", "left").withColumns({"open": F.coalesce("_open", F.lit(False)), "live": F.col("_lead").isNotNull(), "lead": F.coalesce("_lead", "lead")})
+        members = materialize(members.drop("_lead", "_open"), "link-members")
+        if n - n_merged <= most:
+            last = members.where("live").withColumn("open", F.lit(True))
+            return members.select("itemid", "lead"), _group_pairs(last, eps, raw_corr_min, max_gap, False).select(F.col("x").alias("i"), F.col("y").alias("j"), "distance")
+        near = moved.where("not open").select("x", "y", "distance")
+
+
 def density_rounds(pairs: DataFrame, min_samples: int, items: DataFrame | None = None) -> DataFrame:
     """(itemid, lead) of density() over close pairs (i, j) as tables: core items by connected components, border items by the
     lowest core of a neighbouring cluster; noise has no row. `items` (itemid, n) are rows that stand for several."""
@@ -490,7 +618,12 @@ def cluster_anomalies(history: DataFrame, ids: DataFrame, cfg: Clustering, keys:
         wanted = [s["cycle"] for s in enough if (s["buckets"] >= 3) == (n_buckets >= 3)]
         if wanted:
             classes, mine = _classes(_series(charts.where(of(F.col("itemid")).isin(wanted)), n_buckets, keys, constrained, cycle))
-            if cfg.linkage == "average" or cfg.corr_eps > 0.5:
+            # the close pairs of more items at an `eps` that keeps few apart grow with the square of them
+            if cfg.linkage == "complete" and cfg.corr_eps >= LOOSE and classes.groupBy("c").count().where(F.col("count") > cfg.max_items).limit(1).count():
+                groups, more = link_series(classes, cfg.corr_eps, cfg.raw_corr_min, cfg.max_onset_gap if constrained is not None else 0, cfg.max_items)
+                mine = materialize(mine.withColumnRenamed("lead", "of").join(groups.withColumnRenamed("itemid", "of"), "of").select("itemid", "lead"), "series-leads")
+                classes = materialize(classes.select("itemid", "n").join(groups, "itemid").groupBy(F.col("lead").alias("itemid")).agg(F.sum("n").alias("n")), "series-groups")
+            elif cfg.linkage == "average" or cfg.corr_eps > 0.5:
                 more = _distances(classes, cfg.raw_corr_min)
             else:
                 more = _close(classes, cfg.corr_eps, cfg.raw_corr_min, cfg.linkage == "dbscan", keys is not None, cycle is not None)
