@@ -465,8 +465,8 @@ def _furthest(left: _Side, right: _Side, x: np.ndarray, y: np.ndarray, raw_corr_
 
 
 def _group_pairs(members: DataFrame, eps: float, raw_corr_min: float, max_gap: int, nearest: bool) -> DataFrame:
-    """(x, y, distance) of groups of one cycle closer than `eps`: `nearest` gives that of each open group (ties to the lowest y), else all pairs
-    x < y. `members` (lead, open, with the columns of _series()) are the items of the groups. A group's items are in one block's side, and
+    """(x, y, distance, close) of groups of one cycle closer than `eps`: `nearest` gives that of each open group (ties to the lowest y), and how
+    many are close to it, else all pairs x < y. `members` (lead, open, with the columns of _series()) are the items of the groups. A group's items are in one block's side, and
     what is shuffled grows with items times blocks; distances never leave their block."""
     size = F.max(F.coalesce(F.size("d"), F.size("l"), F.lit(1)))
     most = F.greatest(F.lit(1), F.least(F.lit(GROUPS_BLOCK), F.floor(BLOCK_RANKS / F.greatest(size, F.lit(1)))))
@@ -483,27 +483,29 @@ def _group_pairs(members: DataFrame, eps: float, raw_corr_min: float, max_gap: i
         rows = rows.sort_values("lead", ignore_index=True)
         whole, own, lead = _whole_side(rows), rows["own"].to_numpy(bool), rows["lead"].to_numpy()
         if own.all() or not own.any():
-            return pd.DataFrame({"x": [], "y": [], "distance": []})
+            return pd.DataFrame({"x": [], "y": [], "distance": [], "close": []})
         (i, m), (j, n) = (np.unique(lead[side], return_inverse=True) for side in (own, ~own))
         d = _furthest(whole.part(own), whole.part(~own), m, n, raw_corr_min, max_gap)
         if not nearest:
             m, n = np.nonzero((d < eps) & (i[:, None] < j[None, :]))
+            close = np.ones(len(m), int)
         else:
             d[i[:, None] == j[None, :]] = np.inf
+            close = (d < eps).sum(axis=1)
             m, n = np.arange(len(i)), d.argmin(axis=1)
-            m, n = m[d[m, n] < eps], n[d[m, n] < eps]
-        return pd.DataFrame({"x": i[m], "y": j[n], "distance": d[m, n]})
+            m, n, close = m[close > 0], n[close > 0], close[close > 0]
+        return pd.DataFrame({"x": i[m], "y": j[n], "distance": d[m, n], "close": close})
 
     # by number, or Spark would put the blocks together
-    found = dealt.repartition(int(min(total, GROUPS_TASKS)), "c", "a", "b").groupBy("c", "a", "b").applyInPandas(block, "x long, y long, distance double")
+    found = dealt.repartition(int(min(total, GROUPS_TASKS)), "c", "a", "b").groupBy("c", "a", "b").applyInPandas(block, "x long, y long, distance double, close long")
     if not nearest:
         return found
-    return found.groupBy("x").agg(F.min(F.struct("distance", "y")).alias("k")).select("x", "k.y", "k.distance")
+    return found.groupBy("x").agg(F.min(F.struct("distance", "y")).alias("k"), F.sum("close").alias("close")).select("x", "k.y", "k.distance", "close")
 
 
 def link_series(series: DataFrame, eps: float, raw_corr_min: float, max_gap: int = 0, most: int = 5000) -> tuple[DataFrame, DataFrame]:
-    """(itemid, lead), complete linkage of `series` as link_rounds() has it, until at most `most` groups have a group closer than `eps`; and (i, j,
-    distance), the close pairs of these. No pair is written before: a round computes distances from the series, for those groups alone
+    """(itemid, lead), complete linkage of `series` as link_rounds() has it, until at most `most` groups have a group closer than `eps`,
+    or there are no more such pairs than `most` groups have; and (i, j, distance), the close pairs of these. No pair is written before: a round computes distances from the series, for those groups alone
     that merged or whose nearest did. Every other group's nearest stays, as merging brings no group nearer to a third."""
     members = series.select("itemid", "c", "d", "l", "f", "o", F.col("itemid").alias("lead"), F.lit(True).alias("open"), F.lit(True).alias("live"))
     near = None
@@ -512,19 +514,21 @@ def link_series(series: DataFrame, eps: float, raw_corr_min: float, max_gap: int
         near = materialize(found if near is None else near.unionByName(found), "link-nearest")
         pair = near.select(F.least("x", "y").alias("into"), F.greatest("x", "y").alias("gone"), "distance")
         merged = materialize(pair.groupBy("into", "gone").agg(F.count("*").alias("n")).where("n = 2").select("into", "gone"), "link-merged")
-        n, n_merged = near.count(), merged.count()
+        n, pairs = near.agg(F.count("*"), F.coalesce(F.sum("close"), F.lit(0)) / 2).first()
+        n_merged = merged.count()
         if n and not n_merged:  # sums too large to be exact
             merged, n_merged = materialize(pair.orderBy("distance", "into", "gone").limit(1).select("into", "gone"), "link-merged"), 1
         ends = merged.select(F.col("gone").alias("x"), "into").unionByName(merged.select(F.col("into").alias("x"), "into"))
         moved = near.join(ends, "x", "left").join(ends.select(F.col("x").alias("y"), F.lit(True).alias("went")), "y", "left")
-        moved = materialize(moved.select("x", "y", "distance", F.coalesce("into", "x").alias("lead"), (F.col("into").isNotNull() | F.col("went").isNotNull()).alias("open")), "link-moved")
+        moved = materialize(moved.select("x", "y", "distance", "close", F.coalesce("into", "x").alias("lead"), (F.col("into").isNotNull() | F.col("went").isNotNull()).alias("open")), "link-moved")
         to = moved.select(F.col("x").alias("lead"), F.col("lead").alias("_lead"), F.col("open").alias("_open"))
         members = members.drop("open", "live").join(to, "lead", "left").withColumns({"open": F.coalesce("_open", F.lit(False)), "live": F.col("_lead").isNotNull(), "lead": F.coalesce("_lead", "lead")})
         members = materialize(members.drop("_lead", "_open"), "link-members")
-        if n - n_merged <= most:
+        # a group never gets more close ones, so there are no more pairs than counted before
+        if n - n_merged <= most or pairs <= most * (most - 1) / 2:
             last = members.where("live").withColumn("open", F.lit(True))
             return members.select("itemid", "lead"), _group_pairs(last, eps, raw_corr_min, max_gap, False).select(F.col("x").alias("i"), F.col("y").alias("j"), "distance")
-        near = moved.where("not open").select("x", "y", "distance")
+        near = moved.where("not open").select("x", "y", "distance", "close")
 
 
 def density_rounds(pairs: DataFrame, min_samples: int, items: DataFrame | None = None) -> DataFrame:
